@@ -56,6 +56,8 @@ def salts_for(rows: int, keys: int = 1) -> int:
 def _salted(df: DataFrame, keys: list[str], order: list[str], salts: int) -> tuple[DataFrame, DataFrame]:
     """Rows with ``_salt`` and ``_r`` (rank from 0 in key and salt), and per key and salt the ranks before it."""
     salted = df.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(salts)).cast("int"))
+    # Dealt by key and salt here: rows that already lie by key would else be ranked where they lie, a hot key in one task.
+    salted = salted.repartition(*keys, "_salt")
     sizes = salted.groupBy(*keys, "_salt").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*keys).orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0)))

@@ -7,11 +7,33 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import bpe_replay, token_count
 from .common import documents
 from .quality import judge
 from .sharding import shard_documents
 
 
+def _tokenizer(name: str) -> str:
+    """Where a public tokenizer's file lies."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def _pattern() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.PATTERN
+
+
+def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_replay.round_trip_digests(documents(spark, sf_dir), _tokenizer("byte_bpe_multi_50k.tiktoken"), _pattern())
+
+
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_count.count_tokens(documents(spark, sf_dir), _tokenizer("byte_bpe_50k.json"), _pattern())
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = judge(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return out.select(
@@ -24,7 +46,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op9_quality_rules, op10_sharding)}
+    return {f.__name__: f for f in (op4_byte_bpe, op5_token_counts, op9_quality_rules, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
