@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .bpe_arrays import PairTable
-from .token_blocks import BOOK_PIECES, Encoder, blocks, splitter
+from .token_blocks import BOOK_PIECES, Encoder, blocks, gather, ragged, splitter
 
 
 class RankFile:
@@ -37,6 +37,9 @@ class RankFile:
                 if a is not None and b is not None:
                     left.append(a), right.append(b), new.append(rank)
         self.table = PairTable(*(np.array(x, np.int64) for x in (left, right, new, new)))
+        #: Of each id the bytes, and the decimal digits with a comma.
+        self.bytes = ragged(self.tokens)
+        self.decimal = ragged([b"%d," % i for i in range(len(self.tokens))])
         self.first = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
 
     def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -122,28 +125,10 @@ class RankFile:
         return alive
 
 
-class _Coder(Encoder):
-    """Also keeps, for each piece, its ids in decimal and the bytes that they decode to."""
-
-    def empty(self) -> None:
-        super().empty()
-        self.decimal: list[str] = []
-        self.decoded: list[bytes] = []
-
-    def learn(self, tokens: list[bytes]) -> None:
-        known = len(self.decimal)
-        self.settle()
-        ids, starts = self.ids.tolist(), self.starts.tolist()
-        for k in range(known, len(starts) - 1):
-            own = ids[starts[k] : starts[k + 1]]
-            self.decimal.append(",".join(map(str, own)))
-            self.decoded.append(b"".join([tokens[i] for i in own]))
-
-
 @functools.cache
-def _coder(file: str, pattern: str) -> tuple[RankFile, _Coder]:
+def _coder(file: str, pattern: str) -> tuple[RankFile, Encoder]:
     ranks = RankFile(file)
-    return ranks, _Coder(splitter(pattern), lambda new: ranks.encode([x.encode() for x in new]))
+    return ranks, Encoder(splitter(pattern), lambda new: ranks.encode([x.encode() for x in new]))
 
 
 def _run(docs: DataFrame, file: str, pattern: str, schema: str, row) -> DataFrame:
@@ -153,8 +138,8 @@ def _run(docs: DataFrame, file: str, pattern: str, schema: str, row) -> DataFram
         ranks, coder = _coder(file, pattern)
         for ids, texts in blocks(batches):
             parts = [coder.number(t) for t in texts]
-            coder.learn(ranks.tokens)
-            rows = [row(coder, p) for p in parts]
+            coder.settle()
+            rows = [row(ranks, coder.of(p)) for p in parts]
             cols = [ids, *(list(c) for c in zip(*rows, strict=True))]
             kinds = {"long": pa.int64(), "string": pa.string(), "array<int>": pa.list_(pa.int32()), "binary": pa.binary()}
             yield pa.RecordBatch.from_arrays([pa.array(c, kinds[x.split()[1]]) for c, x in zip(cols, schema.split(", "), strict=True)], names)
@@ -167,7 +152,7 @@ def _run(docs: DataFrame, file: str, pattern: str, schema: str, row) -> DataFram
 def encode(docs: DataFrame, file: str, pattern: str) -> DataFrame:
     """doc_id and token_ids of every whole text. A null text is empty and has no ids; repeated rows are encoded each;
     further columns are ignored; an empty table gives an empty result."""
-    return _run(docs, file, pattern, "doc_id long, token_ids array<int>", lambda c, p: (c.of(p).tolist(),))
+    return _run(docs, file, pattern, "doc_id long, token_ids array<int>", lambda _, ids: (ids.tolist(),))
 
 
 def decode(encoded: DataFrame, file: str) -> DataFrame:
@@ -186,11 +171,9 @@ def round_trip_digests(docs: DataFrame, file: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, and SHA-256 of the ids in decimal and of the bytes they decode to, in one pass: ids need not
     be written out to be digested."""
 
-    def row(c: _Coder, p: np.ndarray) -> tuple:
-        numbers = p.tolist()
-        n = int((c.starts[p + 1] - c.starts[p]).sum())
-        decimal = ",".join(map(c.decimal.__getitem__, numbers))
-        decoded = b"".join(map(c.decoded.__getitem__, numbers))
-        return n, hashlib.sha256(decimal.encode()).hexdigest(), hashlib.sha256(decoded).hexdigest()
+    def row(ranks: RankFile, ids: np.ndarray) -> tuple:
+        decimal = gather(*ranks.decimal, ids)[:-1].tobytes()
+        decoded = gather(*ranks.bytes, ids).tobytes()
+        return len(ids), hashlib.sha256(decimal).hexdigest(), hashlib.sha256(decoded).hexdigest()
 
     return _run(docs, file, pattern, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", row)

@@ -21,6 +21,20 @@ def splitter(pattern: str) -> Callable[[str], list[str]]:
     return regex.compile(pattern).findall
 
 
+def gather(flat: np.ndarray, starts: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """The ragged rows ``which`` of flat, one after another."""
+    begin = starts[which]
+    lens = starts[which + 1] - begin
+    ends = np.cumsum(lens)
+    if not len(ends) or not ends[-1]:
+        return flat[:0]
+    return flat[np.repeat(begin - ends + lens, lens) + np.arange(ends[-1])]
+
+
+def ragged(rows: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(b"".join(rows), np.uint8), np.concatenate(([0], np.cumsum([len(r) for r in rows], dtype=np.int64)))
+
+
 class Book(dict):
     """Piece to number, in the order of meeting."""
 
@@ -55,12 +69,7 @@ class Encoder:
 
     def of(self, numbers: np.ndarray) -> np.ndarray:
         """All ids of a text."""
-        begin = self.starts[numbers]
-        lens = self.starts[numbers + 1] - begin
-        ends = np.cumsum(lens)
-        if not len(ends):
-            return np.empty(0, np.int32)
-        return self.ids[np.repeat(begin - ends + lens, lens) + np.arange(ends[-1])]
+        return gather(self.ids, self.starts, numbers)
 
 
 def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[str]]]:
