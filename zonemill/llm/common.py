@@ -73,9 +73,9 @@ def with_rank(df: DataFrame, keys: list[str], order: list[str], salts: int, name
     return out.withColumn(name, F.col("_start") + F.col("_r")).drop("_salt", "_r", "_start")
 
 
-def deal_by_rank(df: DataFrame, keys: list[str], order: list[str], spans: DataFrame, salts: int) -> DataFrame:
+def deal_by_rank(df: DataFrame, keys: list[str], order: list[str], spans: DataFrame, salts: int, rank: str | None = None) -> DataFrame:
     """Gives each row the columns of the span of ``spans`` (keys, lo, hi, ...) in which its rank within its keys lies
-    (lo inclusive, hi exclusive), and ``nth``, the rank less lo. Spans of a key may not overlap in what they add; a rank
+    (lo inclusive, hi exclusive), and, if named, the rank itself. Spans of a key may not overlap in what they add; a rank
     in no span loses its row, so callers cover all ranks. Spans are first cut to the salted parts of the ranking, which
     keeps a hot key out of any single task."""
     salted, starts = _salted(df, keys, order, salts)
@@ -83,10 +83,12 @@ def deal_by_rank(df: DataFrame, keys: list[str], order: list[str], spans: DataFr
         starts.join(spans, keys)
         .filter((F.col("_start") < F.col("hi")) & (F.col("_start") + F.col("_n") > F.col("lo")))
         .withColumns({"_lo": F.col("lo") - F.col("_start"), "_hi": F.col("hi") - F.col("_start")})
-        .drop("_n", "_start", "lo", "hi")
+        .drop("_n", "lo", "hi")
     )
     out = salted.join(cut, [*keys, "_salt"]).filter((F.col("_r") >= F.col("_lo")) & (F.col("_r") < F.col("_hi")))
-    return out.withColumn("nth", F.col("_r") - F.col("_lo")).drop("_salt", "_r", "_lo", "_hi")
+    if rank:
+        out = out.withColumn(rank, F.col("_start") + F.col("_r"))
+    return out.drop("_salt", "_r", "_lo", "_hi", "_start")
 
 
 def words_of(text: Column) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_replay, token_count
+from . import bpe_replay, packing, token_count
 from .common import documents
 from .quality import judge
 from .sharding import shard_documents
@@ -26,6 +26,10 @@ def _pattern() -> str:
     return public_tokenizers.PATTERN
 
 
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(documents(spark, sf_dir), _tokenizer("word_bpe_49k.json"))
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_replay.round_trip_digests(documents(spark, sf_dir), _tokenizer("byte_bpe_multi_50k.tiktoken"), _pattern())
 
@@ -46,7 +50,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_byte_bpe, op5_token_counts, op9_quality_rules, op10_sharding)}
+    return {f.__name__: f for f in (op1_packing, op4_byte_bpe, op5_token_counts, op9_quality_rules, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:

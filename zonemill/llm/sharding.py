@@ -88,7 +88,7 @@ def shard_documents(docs: DataFrame, n_shards: int = 40, rounds: int = 8) -> Dat
     room = meta.sparkSession.createDataFrame(rest, "one int, lo long, hi long, shard int")
     single = meta.join(groups.select("grp"), "grp", "left_anti").withColumns({"one": F.lit(0), "group_rows": F.lit(1).cast("long")})
     single = deal_by_rank(single, ["one"], ["doc_id", "grp"], room, salts_for(total)).drop("one")
-    dealt = keep(linked.select(*single.columns).unionByName(single).drop("nth"), "shard-dealt")
+    dealt = keep(linked.select(*single.columns).unionByName(single), "shard-dealt")
     out = with_rank(dealt, ["shard"], ["doc_id", "grp"], salts_for(total, n_shards), "slot")
     return out.select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "group_rows"
