@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_replay, packing, simhash, token_count
+from . import bpe_replay, packing, simhash, substrings, token_count
 from .common import documents
 from .quality import judge
 from .sharding import shard_documents
@@ -34,6 +34,10 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.removal_digests(documents(spark, sf_dir))
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_replay.round_trip_digests(documents(spark, sf_dir), _tokenizer("byte_bpe_multi_50k.tiktoken"), _pattern())
 
@@ -54,7 +58,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_simhash, op4_byte_bpe, op5_token_counts, op9_quality_rules, op10_sharding)}
+    return {f.__name__: f for f in (op1_packing, op2_simhash, op3_substring_dedup, op4_byte_bpe, op5_token_counts, op9_quality_rules, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
