@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_replay, packing, simhash, substrings, token_count, topk, toxicity
+from . import bpe_replay, packing, pii, simhash, substrings, token_count, topk, toxicity
 from .common import documents
 from .quality import judge
 from .sharding import shard_documents
@@ -51,6 +51,11 @@ def op6_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, F.col("vec_id") % 20 == 0)
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return pii.find(docs, pii.fit(docs))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return toxicity.score(docs, toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
@@ -68,7 +73,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_simhash, op3_substring_dedup, op4_byte_bpe, op5_token_counts, op6_top_k, op8_toxicity, op9_quality_rules, op10_sharding)}
+    return {f.__name__: f for f in (op1_packing, op2_simhash, op3_substring_dedup, op4_byte_bpe, op5_token_counts, op6_top_k, op7_pii, op8_toxicity, op9_quality_rules, op10_sharding)}
 
 
 _OP6 = """
