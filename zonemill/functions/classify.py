@@ -103,8 +103,8 @@ def land_exclusion(tags: Column) -> Column:
 
 def street_is_relevant(near: Column, addressed: Column, has_access: Column, dense: int = 6, few: int = 3) -> Column:
     """struct(relevant, reason)."""
-    case = lambda yes, why: F.struct(F.lit(yes).alias("relevant"), F.lit(why).alias("reason"))
-    return F.when(near >= dense, case(True, "dense")).when(addressed >= few, case(True, "addressed")).when(has_access, case(True, "access")).otherwise(case(False, "no_demand"))
+    case = lambda yes, why: F.struct(F.lit(yes).alias("relevant"), F.lit(why).cast("string").alias("reason"))
+    return F.when(near >= dense, case(True, "dense_residential_buildings")).when(addressed >= few, case(True, "addressed_buildings")).when(has_access, case(True, "required_access_road")).otherwise(case(False, None))
 
 
 @dataclass(frozen=True)
@@ -172,20 +172,17 @@ def food_venue(tags: Column) -> Column:
     )
 
 
-def relation_warnings(found: Column, tags: Column, type_: str, boundary: str, levels: list[str], name: str | None = None) -> Column:
-    """What a boundary relation lacks, as an array."""
+def relation_warnings(id_: Column, found: Column, tags: Column, levels: list[str] | None = None, type_: str = "boundary", boundary: str = "administrative") -> Column:
+    """What a relation lacks to be a plausible boundary, as an array; a relation that is not there has one warning."""
+    shown = lambda c: F.coalesce(F.concat(F.lit("'"), c, F.lit("'")), F.lit("None"))
+    unlike = lambda k, v: F.when(~F.coalesce(tags[k] == v, F.lit(False)), F.concat(F.lit(f"unexpected {k}="), shown(tags[k]), F.lit(f" (expected '{v}')")))
     level = tags["admin_level"]
-    tests = [
-        F.when(~found, "relation_not_found"),
-        F.when(found & ~F.coalesce(tags["type"] == type_, F.lit(False)), "unexpected_type"),
-        F.when(found & ~F.coalesce(tags["boundary"] == boundary, F.lit(False)), "unexpected_boundary"),
-        F.when(found & level.isNull(), "missing_admin_level"),
-        F.when(found & level.isNotNull() & ~level.isin(levels), "unexpected_admin_level"),
-        F.when(found & ~truthy(tags["name"]), "missing_name"),
-    ]
-    if name is not None:
-        tests.append(F.when(found & truthy(tags["name"]) & (tags["name"] != name), "unexpected_name"))
-    return F.array_compact(F.array(*tests))
+    tests = [unlike("type", type_), unlike("boundary", boundary), F.when(level.isNull(), "missing admin_level tag")]
+    if levels:
+        tests.append(F.when(level.isNotNull() & ~level.isin(levels), F.concat(F.lit("admin_level="), shown(level), F.lit(f" outside expected set {levels}"))))
+    tests.append(F.when(~truthy(tags["name"]), "missing name tag"))
+    absent = F.array(F.concat(F.lit("relation "), id_.cast("string"), F.lit(" not present in this PBF extract")))
+    return F.when(found, F.array_compact(F.array(*tests))).otherwise(absent)
 
 
 def district_of(territory: Column, table: dict[str, tuple[str, str | None]]) -> Column:

@@ -80,7 +80,7 @@ def full_address(settlement: Column, district: Column, street: Column, number: C
 
 def address_status(street: Column, number: Column) -> Column:
     has = lambda c: F.coalesce(F.trim(c), F.lit("")) != ""
-    return F.when(has(street) & has(number), "street_and_number").when(has(number), "number_only").otherwise("none")
+    return F.when(has(number) & has(street), "verified_osm_address").when(has(number), "osm_housenumber_without_street").otherwise("unaddressed_delivery_unit")
 
 
 def house_number_order(number: Column) -> Column:
@@ -93,10 +93,10 @@ def house_number_order(number: Column) -> Column:
 def resolve_name(tags: Column, override: Column) -> Column:
     """struct(display, source, status): an override, else the first of name:ru, official_name:ru, alt_name:ru that is not
     blank, else the name itself, marked for review."""
-    tried = [("override", blank_to_null(override)), *((k, blank_to_null(tags[k])) for k in ("name:ru", "official_name:ru", "alt_name:ru"))]
+    tried = [("local_table", blank_to_null(override)), *((k, blank_to_null(tags[k])) for k in ("name:ru", "official_name:ru", "alt_name:ru"))]
     original = F.trim(F.coalesce(tags["name"], F.lit("")))
-    source = F.coalesce(*[F.when(v.isNotNull(), F.lit(k)) for k, v in tried], F.lit("original"))
-    status = F.when(source == "original", "needs_ru_review").otherwise("ok")
+    source = F.coalesce(*[F.when(v.isNotNull(), F.lit(k)) for k, v in tried], F.lit("none"))
+    status = F.when(source == "none", "needs_ru_review").otherwise("ok")
     return F.struct(F.coalesce(*[v for _, v in tried], original).alias("display"), source.alias("source"), status.alias("status"))
 
 
