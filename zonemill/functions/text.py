@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def normal_form(text: str | None) -> str | None:
@@ -14,7 +15,7 @@ def normal_form(text: str | None) -> str | None:
     return None if text is None else " ".join(unicodedata.normalize("NFKC", text).split()).casefold()
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _normal_form(text: pd.Series) -> pd.Series:
     known: dict = {}
     return text.map(lambda t: known[t] if t in known else known.setdefault(t, normal_form(t)))

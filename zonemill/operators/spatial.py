@@ -21,7 +21,8 @@ def near_pairs(left: DataFrame, right: DataFrame, radius: float, lx: str = "x",
     """Pairs (columns of left as l, of right as r, distance) at most radius apart."""
     a = left.select(F.struct(*left.columns).alias("l"), _cell(F.col(lx), radius).alias("_cx"), _cell(F.col(ly), radius).alias("_cy"))
     b = right.select(F.struct(*right.columns).alias("r"), _cell(F.col(rx), radius).alias("_x"), _cell(F.col(ry), radius).alias("_y"))
-    b = b.select("r", (F.col("_x") + F.explode(F.array(*map(F.lit, (-1, 0, 1))))).alias("_cx"), "_y").select("r", "_cx", (F.col("_y") + F.explode(F.array(*map(F.lit, (-1, 0, 1))))).alias("_cy"))
+    steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    b = b.select("r", "_x", "_y", F.explode(steps).alias("o")).select("r", (F.col("_x") + F.col("o.i")).alias("_cx"), (F.col("_y") + F.col("o.j")).alias("_cy"))
     d = G.distance(F.col(f"l.{lx}"), F.col(f"l.{ly}"), F.col(f"r.{rx}"), F.col(f"r.{ry}"))
     return a.join(b, ["_cx", "_cy"]).select("l", "r", d.alias("distance")).filter(F.col("distance") <= radius)
 

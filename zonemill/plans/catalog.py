@@ -1,9 +1,547 @@
-"""Queries over whole tables and their SQL."""
+"""Queries over whole tables, one or more for each family of operators, and the same results in SQL for DuckDB.
 
+The tables hold no map, so roles are played by what is there: orders are units with a cost, customers units with places,
+suppliers origins, nations streets, embeddings points in a plane, parts tagged map objects.
+"""
 
-def queries():
-    return {}
+from __future__ import annotations
 
+from collections.abc import Callable
 
-def oracle_sql():
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import classify, geometry, text
+from ..operators import addresses, audit, bands, graph, spatial
+from ..sources import matrix
+from ..streaming import counters
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+
+def _query(sql: str | None = None):
+    def add(f):
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
+
+
+def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+# Parts as map objects: the same expressions on both sides.
+_OBJECT = {
+    "kind": "CASE p_partkey % 3 WHEN 0 THEN 'n' WHEN 1 THEN 'w' ELSE 'r' END",
+    "building": "CASE p_size % 11 WHEN 0 THEN 'house' WHEN 1 THEN 'yes' WHEN 2 THEN 'warehouse' WHEN 3 THEN 'garage' WHEN 4 THEN 'ruins' WHEN 5 THEN 'construction' WHEN 6 THEN 'apartments' WHEN 7 THEN 'weird' WHEN 8 THEN 'school' WHEN 9 THEN 'yes' END",
+    "abandoned": "CASE WHEN p_partkey % 17 = 0 THEN 'yes' WHEN p_partkey % 17 = 1 THEN 'no' END",
+    "highway": "CASE p_size % 8 WHEN 0 THEN 'residential' WHEN 1 THEN 'primary' WHEN 2 THEN 'service' WHEN 3 THEN 'track' WHEN 4 THEN 'footway' WHEN 5 THEN 'corridor' WHEN 6 THEN 'tertiary' END",
+    "name": "CASE p_partkey % 6 WHEN 0 THEN NULL WHEN 1 THEN concat('strada ', p_brand) WHEN 2 THEN concat('Podul ', p_brand) WHEN 3 THEN lower(p_brand) WHEN 4 THEN concat('Bridge street ', p_brand) ELSE p_brand END",
+    "addr:housenumber": "CASE WHEN p_partkey % 3 <> 1 THEN CAST(p_size AS VARCHAR(10)) END",
+    "addr:street": "CASE WHEN p_partkey % 4 <> 0 THEN p_brand END",
+    "landuse": "CASE p_size % 5 WHEN 0 THEN 'meadow' WHEN 1 THEN '' END",
+    "natural": "CASE p_size % 3 WHEN 0 THEN 'wood' END",
+    "name:ru": "CASE WHEN p_partkey % 7 = 0 THEN concat(' R', p_brand) WHEN p_partkey % 7 = 1 THEN '  ' END",
+}
+_OBJECT_SQL = "SELECT p_partkey AS id, " + ", ".join(f'{v} AS "{k}"' for k, v in _OBJECT.items()) + " FROM part"
+
+
+def _objects(spark: SparkSession, d: str) -> DataFrame:
+    keys = [k for k in _OBJECT if k != "kind"]
+    values = F.array(*[F.struct(F.lit(k).alias("k"), F.expr(_OBJECT[k]).alias("v")) for k in keys])
+    tags = F.map_from_entries(F.filter(values, lambda e: e["v"].isNotNull()))
+    return _t(spark, d, "part").select(F.col("p_partkey").alias("id"), F.expr(_OBJECT["kind"]).alias("kind"), tags.alias("tags"))
+
+
+@_query(f"""
+WITH o AS ({_OBJECT_SQL}),
+k AS (SELECT count(*) AS c FROM o WHERE "addr:housenumber" IS NOT NULL AND "addr:street" IS NOT NULL GROUP BY lower("addr:street"), lower("addr:housenumber"))
+SELECT count(*) FILTER (kind = 'w' AND highway IS NOT NULL) AS highway_ways,
+ count(*) FILTER (kind = 'w' AND highway IN ('residential', 'primary')) AS car_highway_ways,
+ count(*) FILTER (kind = 'w' AND highway IS NOT NULL AND coalesce(name, '') <> '') AS named_highway_ways,
+ count(DISTINCT name) FILTER (kind = 'w' AND highway IS NOT NULL AND coalesce(name, '') <> '') AS unique_road_names,
+ count(building) AS buildings, count(*) FILTER (building IS NOT NULL AND "addr:housenumber" IS NOT NULL) AS buildings_with_housenumber,
+ count(*) FILTER (kind = 'n' AND "addr:housenumber" IS NOT NULL AND building IS NULL) AS address_nodes,
+ count("addr:street") AS objects_with_addr_street, 0 AS objects_with_addr_place, count("name:ru") AS objects_with_name_ru, 0 AS objects_with_name_ro, 0 AS objects_with_alt_name, 0 AS objects_with_old_name,
+ count(*) FILTER ("addr:street" IS NOT NULL AND "addr:housenumber" IS NULL) AS address_objects_without_housenumber,
+ count(*) FILTER ("addr:housenumber" IS NOT NULL AND "addr:street" IS NULL) AS housenumber_without_street_or_place,
+ (SELECT count(*) FROM k WHERE c > 1) AS duplicate_address_groups, (SELECT coalesce(sum(c - 1), 0) FROM k WHERE c > 1) AS duplicate_address_objects
+FROM o""")
+def audit_counters(spark, d):
+    return audit.source_audit(_objects(spark, d), ["residential", "primary"])
+
+
+@_query("""
+WITH k AS (SELECT count(*) AS c FROM documents WHERE text IS NOT NULL GROUP BY lower(trim(regexp_replace(text, '[\\x09-\\x0D\\x20]+', ' ', 'g'))))
+SELECT count(*) AS duplicate_groups, coalesce(sum(c - 1), 0) AS duplicate_objects FROM k WHERE c > 1""")
+def duplicate_groups(spark, d):
+    docs = _t(spark, d, "documents").filter("text IS NOT NULL")
+    return audit.duplicates(docs, text.normalize_plain(F.col("text")))
+
+
+@_query()
+def duplicate_groups_exact(spark, d):
+    """The same with the full normal form, which SQL lacks."""
+    return audit.duplicates(_t(spark, d, "documents").filter("text IS NOT NULL"), text.normalize_text(F.col("text")))
+
+
+@_query(f"""
+SELECT id, CASE WHEN building IS NULL THEN 'unknown' WHEN coalesce(abandoned, 'no') NOT IN ('no', '') OR building = 'ruins' THEN 'abandoned_or_ruin'
+ WHEN building = 'construction' THEN 'construction' WHEN building = 'garage' THEN 'outbuilding' WHEN building IN ('warehouse', 'school') THEN 'non_residential'
+ WHEN building IN ('house', 'apartments') THEN 'confirmed_residential' WHEN building = 'yes' AND "addr:housenumber" IS NOT NULL THEN 'confirmed_residential'
+ WHEN building = 'yes' THEN 'probable_residential' ELSE 'unknown' END AS building_class,
+ CASE WHEN coalesce(landuse, '') <> '' THEN 'farmland' WHEN "natural" IS NOT NULL THEN 'forest_or_park' ELSE 'empty_land' END AS land
+FROM ({_OBJECT_SQL}) o""")
+def classify_case(spark, d):
+    o = _objects(spark, d)
+    return o.select("id", classify.classify_building(F.col("tags")).alias("building_class"), classify.land_exclusion(F.col("tags")).alias("land"))
+
+
+@_query(f"""
+WITH o AS (SELECT id, coalesce(trim(name), '') AS n, coalesce(highway, '') AS h FROM ({_OBJECT_SQL}) x),
+w AS (SELECT *, n LIKE 'strada %' OR n LIKE '%street%' AS word, (contains(lower(n), 'podul') OR contains(lower(n), 'bridge')) AS b, n <> '' AND n = lower(n) AND regexp_matches(n, '[a-z]') AS informal FROM o)
+SELECT id, CASE WHEN b AND NOT word THEN 'bridge' WHEN h = 'primary' THEN 'intercity' WHEN informal THEN 'informal' WHEN h = 'service' THEN 'service' WHEN h = 'track' THEN 'track'
+ WHEN h = 'footway' AND word THEN 'address_street' WHEN h = 'footway' THEN 'path' WHEN h IN ('residential', 'tertiary') THEN 'address_street' ELSE 'other' END AS road_class,
+ CASE WHEN (b AND NOT word) OR h = 'primary' OR informal THEN false ELSE (h = 'footway' AND word) OR h IN ('residential', 'tertiary') END AS is_address,
+ CASE WHEN (b AND NOT word) OR h = 'primary' THEN false WHEN informal OR h IN ('service', 'track') THEN true WHEN h = 'footway' THEN word WHEN h IN ('residential', 'tertiary') THEN false ELSE true END AS review
+FROM w""")
+def classify_roads(spark, d):
+    return _objects(spark, d).select("id", classify.classify_road(F.col("tags")).alias("r")).select("id", "r.*")
+
+
+_TIER_INPUT = "SELECT l_suppkey AS street, count(DISTINCT l_orderkey) % 7 AS addresses, count(*) % 13 AS residential, sum(CASE WHEN l_quantity > 49 THEN 1 ELSE 0 END) % 3 AS apartments, max(l_linenumber) > 6 AND l_suppkey % 5 = 0 AS external, l_suppkey % 4 AS pois, l_suppkey % 3 <> 0 AS connected FROM lineitem GROUP BY l_suppkey"
+
+
+@_query(f"""
+WITH s AS ({_TIER_INPUT}), t AS (SELECT *, CASE WHEN apartments >= 1 THEN 'A' WHEN addresses >= 5 THEN 'A' WHEN residential >= 8 THEN 'A' WHEN external THEN 'A' WHEN pois >= 1 THEN 'A'
+ WHEN residential BETWEEN 3 AND 7 AND connected THEN 'B' ELSE 'C' END AS tier,
+ CASE WHEN apartments >= 1 THEN 'apartment_building' WHEN addresses >= 5 THEN 'confirmed_addresses>=5' WHEN residential >= 8 THEN 'residential_buildings>=8' WHEN external THEN 'verified_external_evidence'
+ WHEN pois >= 1 THEN 'active_civic_or_commercial_poi' WHEN residential BETWEEN 3 AND 7 AND connected THEN 'low_density_connected_to_core' WHEN residential <= 2 THEN 'at_most_2_probable_residences' ELSE 'uncertain_or_disconnected_evidence' END AS reason FROM s)
+SELECT street, tier, reason, CASE tier WHEN 'A' THEN 'standard' WHEN 'B' THEN 'low_density' ELSE 'no_delivery' END AS status, CASE tier WHEN 'A' THEN 1.0 WHEN 'B' THEN 0.3 ELSE 0.0 END::DOUBLE AS weight FROM t""")
+def tier_assign(spark, d):
+    _t(spark, d, "lineitem").createOrReplaceTempView("lineitem")
+    s = spark.sql(_TIER_INPUT)
+    tier = classify.assign_tier(*map(F.col, ("addresses", "residential", "apartments", "external", "pois", "connected")))
+    return s.select("street", tier.alias("t")).select("street", "t.*", classify.service_status(F.col("t.tier")).alias("status"), classify.tier_weight(F.col("t.tier")).alias("weight"))
+
+
+@_query("""
+WITH r AS (SELECT unnest(generate_series(0, 40)) AS id)
+SELECT r.id, n_name AS name, n_nationkey IS NOT NULL AS found FROM r LEFT JOIN nation ON n_nationkey = r.id""")
+def requested_left(spark, d):
+    found = _t(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("id"), F.col("n_name").alias("name"))
+    return audit.requested(spark.range(41), found)
+
+
+@_query(f"""
+WITH o AS (SELECT id, trim(coalesce(name, '')) AS n, trim(coalesce("name:ru", '')) AS r FROM ({_OBJECT_SQL}) x)
+SELECT id, CASE WHEN n = 'Brand#1' THEN 'Fixed' WHEN r <> '' THEN r ELSE n END AS display, CASE WHEN n = 'Brand#1' THEN 'local_table' WHEN r <> '' THEN 'name:ru' ELSE 'none' END AS source,
+ CASE WHEN n = 'Brand#1' OR r <> '' THEN 'ok' ELSE 'needs_ru_review' END AS status FROM o""")
+def resolve_names(spark, d):
+    table = spark.createDataFrame([("Brand#1", "Fixed")], "n string, fixed string")
+    o = _objects(spark, d).withColumn("n", F.trim(F.coalesce(F.col("tags")["name"], F.lit("")))).join(table, "n", "left")
+    return o.select("id", text.resolve_name(F.col("tags"), F.col("fixed")).alias("r")).select("id", "r.*")
+
+
+@_query(f"""
+WITH o AS ({_OBJECT_SQL}), s AS (SELECT o.*, p_brand FROM o JOIN part ON id = p_partkey)
+SELECT p_brand AS street, arg_min(name, id) FILTER (coalesce(name, '') <> '') AS name, arg_min("name:ru", id) FILTER (coalesce("name:ru", '') <> '') AS ru,
+ bool_or(id % 2 = 0) AS is_address, bool_or(id % 50 = 0) AS review, min(id) AS min_id, count(*) AS segments,
+ CASE min(CASE highway WHEN 'residential' THEN 1 WHEN 'tertiary' THEN 2 WHEN 'service' THEN 3 ELSE 4 END) WHEN 1 THEN 'residential' WHEN 2 THEN 'tertiary' WHEN 3 THEN 'service' END AS road_class
+FROM s GROUP BY p_brand""")
+def name_priority_merge(spark, d):
+    o = _objects(spark, d).join(_t(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("street")), "id")
+    t = F.col("tags")
+    rows = o.select("id", "street", t["name"].alias("name"), t["name:ru"].alias("ru"), (F.col("id") % 2 == 0).alias("is_address"), (F.col("id") % 50 == 0).alias("review"), t["highway"].alias("road_class"))
+    return audit.merge_segments(rows, ["street"], ["name", "ru"], ["residential", "tertiary", "service"])
+
+
+_MATRIX = """(SELECT c_custkey AS unit, s_suppkey, CASE WHEN (c_custkey * 7 + s_suppkey) % 11 = 0 THEN NULL ELSE CAST((c_custkey * 13 + s_suppkey * 31) % 1000 AS DOUBLE) END AS dist, CAST(1 + s_suppkey % 3 AS DOUBLE) AS w
+ FROM customer CROSS JOIN supplier WHERE s_suppkey <= 5)"""
+
+
+@_query(f"SELECT unit, round(sum(dist * w) / sum(CASE WHEN dist IS NOT NULL THEN w END), 6) AS expected, max(dist) AS worst, count(dist) AS reached FROM {_MATRIX} m GROUP BY unit")
+def expected_cost(spark, d):
+    for t in ("customer", "supplier"):
+        _t(spark, d, t).createOrReplaceTempView(t)
+    out = bands.expected_cost(spark.sql(f"SELECT * FROM {_MATRIX} m"), ["unit"], "dist", "w")
+    return out.withColumn("expected", F.round("expected", 6))
+
+
+_ORDER = "o_orderkey, o_totalprice AS cost, CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 1.0 WHEN '2' THEN 1.0 WHEN '3' THEN 0.3 WHEN '4' THEN 0.3 ELSE 0.0 END"
+_WIDTH = 5000.0
+
+
+def _units(spark: SparkSession, d: str) -> DataFrame:
+    o = _t(spark, d, "orders")
+    weight = F.expr("CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 1.0D WHEN '2' THEN 1.0D WHEN '3' THEN 0.3D WHEN '4' THEN 0.3D ELSE 0.0D END")
+    return o.select("o_orderkey", "o_custkey", F.col("o_totalprice").alias("cost"), weight.alias("weight"))
+
+
+def _bins(spark: SparkSession, d: str) -> DataFrame:
+    """Bins with values and weights rounded, so that both engines cut the same numbers."""
+    b = bands.make_bins(_units(spark, d), F.col("cost"), F.col("weight"), _WIDTH)
+    return b.withColumns({"value": F.round("value", 4), "weight": F.round("weight", 4)})
+
+
+_UNITS_SQL = f"SELECT o_custkey, {_ORDER}::DOUBLE AS weight FROM orders"
+_BINS_SQL = f"""u AS ({_UNITS_SQL}),
+raw AS (SELECT CAST(floor(cost / CAST({_WIDTH} AS DOUBLE)) AS BIGINT) AS bin, sum(cost * weight) AS wx, sum(weight) AS w, count(*) AS n FROM u WHERE cost IS NOT NULL GROUP BY 1),
+b AS (SELECT bin, round(CASE WHEN w > 0 THEN wx / w ELSE (bin + 0.5) * CAST({_WIDTH} AS DOUBLE) END, 4) AS value, round(w, 4) AS weight, n FROM raw),
+bins AS (SELECT *, row_number() OVER o AS place, sum(weight) OVER o AS w, sum(weight * value) OVER o AS wx, sum(weight * value * value) OVER o AS wxx FROM b WINDOW o AS (ORDER BY bin ROWS UNBOUNDED PRECEDING))"""
+
+
+@_query(f"WITH {_BINS_SQL} SELECT bin, place, value, weight, n AS count, round(w, 2) AS w, round(wx, 0) AS wx FROM bins")
+def bins_prefix(spark, d):
+    p = bands.prefix_sums(_bins(spark, d))
+    return p.select("bin", "place", "value", "weight", "count", F.round("w", 2).alias("w"), F.round("wx", 0).alias("wx"))
+
+
+def _bands_sql(k: int) -> str:
+    ends = " UNION ALL ".join(f"SELECT {b - 1} AS band, {0 if b == 1 else f'end{b - 1}'} AS start_place, end{b} AS end_place FROM cuts" for b in range(1, k + 1))
+    return f"WITH {_BINS_SQL}, cuts AS ({bands.cuts_sql(k)}), e AS ({ends}) SELECT band, CAST(start_place AS INTEGER) AS start_place, CAST(end_place AS INTEGER) AS end_place, value AS edge, {k} AS n_bands FROM e JOIN bins ON place = end_place"
+
+
+def _bands_query(k: int):
+    def run(spark, d):
+        return bands.band_table(_bins(spark, d), k)
+
+    run.__name__ = f"ordered_bands_k{k}"
+    return run
+
+
+for _k in (2, 3, 4):
+    _query(_bands_sql(_k))(_bands_query(_k))
+
+
+@_query(f"""
+WITH {_BINS_SQL}, cuts AS ({bands.cuts_sql(4)}), e AS (SELECT 0 AS band, end1 AS p FROM cuts UNION ALL SELECT 1, end2 FROM cuts UNION ALL SELECT 2, end3 FROM cuts UNION ALL SELECT 3, end4 FROM cuts),
+edges AS (SELECT band, value AS edge FROM e JOIN bins ON place = p),
+a AS (SELECT u.*, coalesce((SELECT min(band) FROM edges WHERE cost <= edge), 3) AS band FROM u),
+r AS (SELECT *, row_number() OVER (PARTITION BY band ORDER BY cost) - 1 AS i, count(*) OVER (PARTITION BY band) AS n, sum(weight) OVER () AS total, sum(cost * weight) OVER (PARTITION BY band) / sum(weight) OVER (PARTITION BY band) AS mean FROM a)
+SELECT CAST(band AS INTEGER) AS band, count(*) AS units, round(sum(weight), 4) AS weight, min(cost) AS min_value, max(cost) AS max_value, round(sum(weight) / max(total), 6) AS weight_share,
+ round(sqrt(sum(weight * (cost - mean) * (cost - mean)) / sum(weight)), 3) AS dispersion,
+ max(CASE WHEN i = least(floor(n * 50 / 100), n - 1) THEN cost END) AS p50, max(CASE WHEN i = least(floor(n * 75 / 100), n - 1) THEN cost END) AS p75, max(CASE WHEN i = least(floor(n * 90 / 100), n - 1) THEN cost END) AS p90
+FROM r GROUP BY band""")
+def assign_zone_metrics(spark, d):
+    """Four ordered price bands and what lies in each: the flagship."""
+    rows = bands.assign_by_table(_units(spark, d), "cost", bands.band_table(_bins(spark, d), 4))
+    m = bands.band_metrics(rows, "cost", "weight")
+    return m.withColumns({"weight": F.round("weight", 4), "weight_share": F.round("weight_share", 6), "dispersion": F.round("dispersion", 3)})
+
+
+@_query("SELECT true AS monotonic")
+def bands_monotonic(spark, d):
+    return bands.is_monotonic(assign_zone_metrics(spark, d))
+
+
+_STREET_SQL = f"WITH u AS ({_UNITS_SQL}), s AS (SELECT concat(c_nationkey, '-', c_mktsegment) AS street, CAST(floor(cost / 50000.0::DOUBLE) AS BIGINT) AS place, weight, o_orderkey % 40 AS house FROM u JOIN customer ON c_custkey = o_custkey)"
+
+
+def _street_units(spark: SparkSession, d: str) -> DataFrame:
+    c = _t(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), F.concat(F.col("c_nationkey").cast("string"), F.lit("-"), F.col("c_mktsegment")).alias("street"))
+    return _units(spark, d).join(c, "o_custkey").select("street", F.floor(F.col("cost") / F.lit(50000.0)).alias("place"), "weight", (F.col("o_orderkey") % 40).alias("house"))
+
+
+@_query(_STREET_SQL + ", e AS (SELECT street, min(place) AS lo, max(place) AS hi FROM s GROUP BY street) SELECT cut, count(*) AS n FROM (SELECT unnest(generate_series(lo + 1, hi)) AS cut FROM e) x GROUP BY cut")
+def split_counts(spark, d):
+    return bands.split_counts(_street_units(spark, d))
+
+
+@_query(_STREET_SQL + """, t AS (SELECT street, min(place) AS lo, max(place) AS hi, sum(weight) AS total FROM s GROUP BY street HAVING sum(weight) > 0), c AS (SELECT street, total, unnest(generate_series(lo + 1, hi)) AS cut FROM t),
+x AS (SELECT c.street, c.cut, any_value(total) AS total, sum(CASE WHEN s.place < c.cut THEN weight ELSE 0 END) AS below FROM c JOIN s ON s.street = c.street GROUP BY c.street, c.cut)
+SELECT cut, round(sum(least(below, total - below)), 4) AS cost FROM x GROUP BY cut""")
+def split_penalty(spark, d):
+    return bands.split_demand(_street_units(spark, d)).withColumn("cost", F.round("cost", 4))
+
+
+@_query(_STREET_SQL + """, b AS (SELECT *, CAST(floor(place / 3) AS INTEGER) AS band FROM s), h AS (SELECT street, house, count(DISTINCT band) AS nb FROM b GROUP BY street, house),
+x AS (SELECT street, bool_and(nb = 1) AS ranges_are_exact FROM h GROUP BY street)
+SELECT b.street, CAST(count(DISTINCT band) AS INTEGER) AS bands, count(*) AS units, round(sum(weight), 4) AS weight, any_value(ranges_are_exact) AS ranges_are_exact FROM b JOIN x ON x.street = b.street GROUP BY b.street HAVING count(DISTINCT band) > 1""")
+def split_streets(spark, d):
+    rows = _street_units(spark, d).withColumn("band", F.floor(F.col("place") / 3).cast("int"))
+    return bands.split_streets(rows, ["street"], "house", "weight").withColumn("weight", F.round("weight", 4))
+
+
+@_query("""
+WITH n AS (SELECT DISTINCT c_nationkey AS street, c_custkey % 89 AS v FROM customer), f AS (SELECT *, CASE WHEN v - lag(v) OVER (PARTITION BY street ORDER BY v) IN (1, 2) THEN 0 ELSE 1 END AS new FROM n),
+r AS (SELECT *, sum(new) OVER (PARTITION BY street ORDER BY v) AS run FROM f), p AS (SELECT street, run, min(v) AS a, max(v) AS b, count(*) AS c FROM r GROUP BY street, run)
+SELECT street, string_agg(CASE WHEN c = 1 THEN CAST(a AS VARCHAR) ELSE concat(a, '-', b) END, ', ' ORDER BY run) AS ranges FROM p GROUP BY street""")
+def house_ranges(spark, d):
+    rows = _t(spark, d, "customer").select(F.col("c_nationkey").alias("street"), (F.col("c_custkey") % 89).cast("string").alias("number"))
+    return bands.house_ranges(rows, ["street"], "number")
+
+
+_PLACES = "SELECT DISTINCT r_name AS settlement, CASE WHEN n_nationkey % 2 = 0 THEN n_name END AS district, lower(concat(c_mktsegment, ' ', c_custkey % 40)) AS street_norm FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey"
+
+
+def _places(spark: SparkSession, d: str) -> DataFrame:
+    for t in ("customer", "nation", "region"):
+        _t(spark, d, t).createOrReplaceTempView(t)
+    return spark.sql(_PLACES.replace("lower(", "(")).withColumnRenamed("street_norm", "street")
+
+
+@_query(f"""
+WITH p AS ({_PLACES}), k AS (SELECT street_norm, count(*) AS n, count(DISTINCT settlement) AS s FROM p GROUP BY street_norm)
+SELECT p.settlement, p.district, p.street_norm, CASE WHEN n = 1 THEN NULL WHEN p.district IS NOT NULL THEN p.district WHEN s > 1 THEN p.settlement ELSE concat(p.settlement, ', другой район') END AS qualifier FROM p JOIN k USING (street_norm)""")
+def street_qualifier(spark, d):
+    return addresses.street_qualifiers(_places(spark, d))
+
+
+@_query(f"SELECT DISTINCT upper(street_norm) AS street, concat_ws(', ', settlement, district) AS place, settlement, district, street_norm FROM ({_PLACES}) p WHERE contains(street_norm, 'mach')")
+def search_variants(spark, d):
+    return addresses.search(_places(spark, d).withColumn("street", F.upper("street")), " MACH ")
+
+
+@_query("""
+WITH b AS (SELECT lower(c_mktsegment) AS street_norm, CAST(c_custkey % 300 AS VARCHAR) AS number, CASE WHEN c_mktsegment = 'BUILDING' THEN 1 ELSE c_nationkey % 4 END AS zone FROM customer),
+s AS (SELECT street_norm, count(DISTINCT zone) AS n, min(zone) AS z FROM b GROUP BY 1), e AS (SELECT street_norm, number, count(DISTINCT zone) AS n, min(zone) AS z FROM b GROUP BY 1, 2),
+r AS (SELECT o_orderkey AS request_id, CASE o_orderkey % 4 WHEN 0 THEN 'building' WHEN 1 THEN 'machinery' WHEN 2 THEN 'furniture' ELSE 'nowhere' END AS street_norm, CAST(o_orderkey % 350 AS VARCHAR) AS number FROM orders)
+SELECT request_id, CASE WHEN e.n = 1 THEN 'exact_address' WHEN s.n = 1 THEN 'street_only' WHEN s.n > 1 THEN 'ambiguous_street' ELSE 'not_found' END AS status,
+ CAST(CASE WHEN e.n = 1 THEN e.z WHEN s.n = 1 THEN s.z END AS INTEGER) AS zone FROM r LEFT JOIN s USING (street_norm) LEFT JOIN e USING (street_norm, number)""")
+def zone_lookup(spark, d):
+    c = _t(spark, d, "customer")
+    banded = c.select(F.lower("c_mktsegment").alias("street_norm"), (F.col("c_custkey") % 300).cast("string").alias("number"), F.expr("CASE WHEN c_mktsegment = 'BUILDING' THEN 1 ELSE c_nationkey % 4 END").alias("zone"))
+    k = F.col("o_orderkey") % 4
+    street = F.when(k == 0, "building").when(k == 1, "machinery").when(k == 2, "furniture").otherwise("nowhere")
+    requests = _t(spark, d, "orders").select(F.col("o_orderkey").alias("request_id"), street.alias("street_norm"), (F.col("o_orderkey") % 350).cast("string").alias("number"))
+    return addresses.zone_lookup(banded, requests).drop("candidates")
+
+
+@_query("""
+WITH g AS (SELECT user_id, max(value) - min(value) AS spread, count(*) AS n, min(value) AS least FROM events GROUP BY user_id)
+SELECT user_id, round(spread, 6) AS spread, n, least, CASE WHEN spread > 100 THEN 'disputed' WHEN n > 1 THEN 'merged' ELSE 'single' END AS status FROM g""")
+def quarantine_spread(spark, d):
+    return audit.spread_groups(_t(spark, d, "events"), "user_id", F.col("value"), 100, []).withColumn("spread", F.round("spread", 6))
+
+
+_SPOTS = "SELECT event_id AS uid, concat(user_id, '-', event_type) AS k, value / 40000 AS lon, (event_id % 97) / 80000.0::DOUBLE AS lat, value AS km FROM events"
+
+
+@_query(f"""
+WITH u AS ({_SPOTS}), g AS (SELECT k, greatest((max(lon) - min(lon)) * 76000, (max(lat) - min(lat)) * 111000) AS spread, min(km) AS least FROM u GROUP BY k)
+SELECT uid, round(CASE WHEN k IS NULL THEN km ELSE least END, 6) AS km FROM u JOIN g USING (k) WHERE spread <= 150""")
+def quarantine_kept(spark, d):
+    e = _t(spark, d, "events")
+    u = e.select(F.col("event_id").alias("uid"), F.concat(F.col("user_id").cast("string"), F.lit("-"), F.col("event_type")).alias("k"), (F.col("value") / 40000).alias("lon"), ((F.col("event_id") % 97) / F.lit(80000.0)).alias("lat"), F.col("value").alias("km"))
+    kept, _, _ = addresses.quarantine(u, "k", "lon", "lat", "km", 0.05)
+    return kept.select("uid", F.round("km", 6).alias("km"))
+
+
+@_query("SELECT text, arg_min(doc_id, struct_pack(s := source, i := doc_id)) AS doc_id, min(source) AS source FROM documents GROUP BY text")
+def dedupe_first(spark, d):
+    rows = _t(spark, d, "documents").select("text", "doc_id", "source")
+    return audit.first_of(rows, ["text"], ["source", "doc_id"])
+
+
+# Points in a plane: the first two components of embeddings, in thousandths.
+_POINT = "SELECT vec_id AS id, CAST(embedding[{a}] AS DOUBLE) * 1000 AS x, CAST(embedding[{b}] AS DOUBLE) * 1000 AS y, label FROM embeddings"
+_POINTS_SQL = _POINT.format(a=1, b=2)
+
+
+def _points(spark: SparkSession, d: str) -> DataFrame:
+    e = _t(spark, d, "embeddings")
+    return e.select(F.col("vec_id").alias("id"), (F.col("embedding")[0].cast("double") * 1000).alias("x"), (F.col("embedding")[1].cast("double") * 1000).alias("y"), "label")
+
+
+_DIST = "sqrt((p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y))"
+
+
+@_query(f"""
+WITH p AS ({_POINTS_SQL}), j AS (SELECT p.id, q.id AS site, {_DIST} AS d, row_number() OVER (PARTITION BY p.id ORDER BY {_DIST}, q.id) AS r FROM p JOIN p q ON q.id % 10 = 0 AND {_DIST} <= 40 WHERE p.id % 10 <> 0)
+SELECT p.id, site, round(d, 6) AS distance FROM p LEFT JOIN (SELECT * FROM j WHERE r = 1) j ON j.id = p.id WHERE p.id % 10 <> 0""")
+def nearest_join(spark, d):
+    p = _points(spark, d)
+    sites = p.filter("id % 10 = 0").select(F.col("id").alias("site"), "x", "y")
+    return spatial.nearest(p.filter("id % 10 <> 0"), sites, "id", "site", 40).withColumn("distance", F.round("distance", 6))
+
+
+@_query(f"WITH p AS ({_POINTS_SQL}) SELECT p.id, count(q.id) AS n FROM p LEFT JOIN p q ON q.id % 10 <> 0 AND {_DIST} <= 25 WHERE p.id % 10 = 0 GROUP BY p.id")
+def radius_count(spark, d):
+    p = _points(spark, d)
+    return spatial.radius_count(p.filter("id % 10 = 0"), p.filter("id % 10 <> 0"), "id", 25)
+
+
+_RINGS = [(i, i * 60 - 300, (i * 37) % 200 - 100, 90) for i in range(10)]
+
+
+def _rings(spark: SparkSession) -> DataFrame:
+    rows = [(i, i, [(float(x - h), float(y)), (float(x), float(y + h)), (float(x + h), float(y)), (float(x), float(y - h)), (float(x - h), float(y))]) for i, x, y, h in _RINGS]
+    return spark.createDataFrame(rows, "ring_id int, nth int, ring array<struct<x:double,y:double>>")
+
+
+_RINGS_SQL = " UNION ALL ".join(f"SELECT {i} AS ring_id, {x} AS cx, {y} AS cy, {h} AS h" for i, x, y, h in _RINGS)
+
+
+@_query(f"WITH p AS ({_POINTS_SQL}), r AS ({_RINGS_SQL}) SELECT id, ring_id FROM p JOIN r ON abs(x - cx) + abs(y - cy) <= h")
+def point_in_polygon(spark, d):
+    return spatial.containing(_points(spark, d), _rings(spark), "id", "ring_id", 50)
+
+
+@_query(f"WITH p AS ({_POINTS_SQL}), r AS ({_RINGS_SQL}) SELECT id, min(ring_id) AS ring_id FROM p LEFT JOIN r ON abs(x - cx) + abs(y - cy) <= h GROUP BY id")
+def first_container(spark, d):
+    return spatial.first_container(_points(spark, d), _rings(spark), "id", "ring_id", "nth", 50).select("id", "ring_id")
+
+
+@_query(f"WITH p AS ({_POINTS_SQL}), r AS ({_RINGS_SQL}) SELECT id FROM p WHERE NOT EXISTS (SELECT 1 FROM r WHERE abs(x - cx) + abs(y - cy) <= h)")
+def outside_polygons(spark, d):
+    return spatial.inside(_points(spark, d), _rings(spark), "id", "ring_id", 50, "left_anti").select("id")
+
+
+@_query(f"""
+WITH p AS ({_POINTS_SQL}), s AS (SELECT label AS site, round(avg(x), 6) AS x, round(avg(y), 6) AS y FROM p GROUP BY label),
+j AS (SELECT p.id, q.site, row_number() OVER (PARTITION BY p.id ORDER BY {_DIST}, q.site) AS r FROM p CROSS JOIN s q) SELECT id, site FROM j WHERE r = 1""")
+def nearest_site(spark, d):
+    p = _points(spark, d)
+    sites = p.groupBy(F.col("label").alias("site")).agg(F.round(F.avg("x"), 6).alias("x"), F.round(F.avg("y"), 6).alias("y"))
+    return spatial.nearest_site(p, sites, "id", "site")
+
+
+_STREETS = [(i, "C" if i % 4 == 0 else "A", -400 + i * 80, (i * 53) % 160 - 80) for i in range(10)]
+_STREETS_SQL = " UNION ALL ".join(f"SELECT {i} AS street_id, '{t}' AS tier, {x} AS sx, {y} AS sy" for i, t, x, y in _STREETS)
+
+
+@_query(f"""
+WITH p AS ({_POINTS_SQL}), s AS ({_STREETS_SQL}), dd AS (SELECT p.id, street_id, tier, sqrt((x - greatest(sx, least(sx + 60, x))) ** 2 + (y - sy) ** 2) AS d FROM p CROSS JOIN s),
+a AS (SELECT id, min(struct_pack(d := d, s := street_id)) FILTER (tier <> 'C' AND d <= 60) AS sv, min(d) FILTER (tier = 'C' AND d <= 40) AS thin FROM dd GROUP BY id)
+SELECT a.id, sv.s AS street_id, round(sv.d, 6) AS d_served, round(thin, 6) AS d_thin, CASE WHEN thin IS NOT NULL AND (sv IS NULL OR thin < sv.d) THEN 'tier_c' WHEN label % 5 = 0 THEN 'outside_area' WHEN sv IS NULL THEN 'no_street' ELSE 'serviceable' END AS outcome
+FROM a JOIN p ON p.id = a.id""")
+def street_attribution(spark, d):
+    u = _points(spark, d).withColumn("in_area", F.col("label") % 5 != 0)
+    lines = spark.createDataFrame([(i, t, [(float(x), float(y)), (float(x + 60), float(y))]) for i, t, x, y in _STREETS], "street_id int, tier string, line array<struct<x:double,y:double>>")
+    out = spatial.attribute_units(u, lines, "id", far=60, fringe=40)
+    return out.select("id", "street_id", F.round("d_served", 6).alias("d_served"), F.round("d_thin", 6).alias("d_thin"), "outcome")
+
+
+@_query(f"""
+WITH p AS ({_POINTS_SQL}), s AS ({_STREETS_SQL}), h AS (SELECT street_id, p.label FROM p JOIN s ON sqrt((x - greatest(sx, least(sx + 60, x))) ** 2 + (y - sy) ** 2) <= 30)
+SELECT s.street_id, count(label) AS buildings, count(*) FILTER (label % 2 = 0) AS addresses FROM s LEFT JOIN h USING (street_id) GROUP BY s.street_id""")
+def corridor_counts(spark, d):
+    lines = spark.createDataFrame([(i, [(float(x), float(y)), (float(x + 60), float(y))]) for i, _, x, y in _STREETS], "street_id int, line array<struct<x:double,y:double>>")
+    return spatial.corridor_counts(lines, _points(spark, d), "street_id", "id", {"buildings": F.col("label").isNotNull(), "addresses": F.col("label") % 2 == 0}, 30)
+
+
+@_query(f"""
+WITH RECURSIVE p AS ({_POINTS_SQL}), e AS (SELECT p.id AS a, q.id AS b FROM p JOIN p q ON {_DIST} <= 6), r(id, root) AS (SELECT id, id FROM p UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.id)
+SELECT id, min(root) AS cluster FROM r GROUP BY id""")
+def components(spark, d):
+    return graph.radius_components(_points(spark, d), "id", 6)
+
+
+@_query()
+def kmeans_seeded(spark, d):
+    p = _points(spark, d)
+    return graph.seeded_kmeans(p.withColumn("weight", F.lit(1.0) + F.col("label") % 3), 5)
+
+
+_EDGES = "SELECT s_suppkey AS a, CASE WHEN s_suppkey % 10 = 0 THEN s_suppkey // 2 + 1 ELSE s_suppkey - 1 END AS b, CAST(1 + s_nationkey AS DOUBLE) AS w FROM supplier WHERE s_suppkey % 37 <> 0"
+
+
+@_query(f"""
+WITH RECURSIVE e AS (SELECT a, b, w FROM ({_EDGES}) x UNION SELECT b, a, w FROM ({_EDGES}) y),
+r(node, dist, depth) AS (SELECT CAST(1 AS BIGINT), CAST(0 AS DOUBLE), 0 UNION SELECT e.b, r.dist + e.w, r.depth + 1 FROM r JOIN e ON e.a = r.node WHERE r.depth < 24 AND r.dist + e.w < 150)
+SELECT CAST(node AS BIGINT) AS node, min(dist) AS dist FROM r GROUP BY node HAVING min(dist) < 40""")
+def shortest_path(spark, d):
+    s = _t(spark, d, "supplier").filter("s_suppkey % 37 <> 0")
+    e = s.select(F.col("s_suppkey").alias("a"), F.expr("CASE WHEN s_suppkey % 10 = 0 THEN s_suppkey div 2 + 1 ELSE s_suppkey - 1 END").cast("long").alias("b"), (F.lit(1.0) + F.col("s_nationkey")).alias("w"))
+    return graph.shortest_paths(e, spark.range(1, 2).withColumnRenamed("id", "node")).filter("dist < 40")
+
+
+@_query("""
+WITH m AS (SELECT o_orderstatus, CAST(count(*) AS DOUBLE) AS n, round(sum(o_totalprice), 2) AS total, max(o_totalprice) AS largest FROM orders GROUP BY 1), u AS (UNPIVOT m ON n, total, largest INTO NAME metric VALUE value),
+w AS (SELECT metric, max(value) FILTER (o_orderstatus = 'F') AS first_value, max(value) FILTER (o_orderstatus = 'O') AS second_value FROM u GROUP BY metric)
+SELECT metric, round(first_value, 1) AS first_value, round(second_value, 1) AS second_value, round(second_value - first_value, 1) AS delta FROM w""")
+def report_delta(spark, d):
+    m = _t(spark, d, "orders").groupBy("o_orderstatus").agg(F.count(F.lit(1)).cast("double").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"), F.max("o_totalprice").alias("largest"))
+    out = audit.metric_deltas(m, "o_orderstatus", ["n", "total", "largest"], "F", "O")
+    return out.select("metric", *[F.round(c, 1).alias(c) for c in ("first_value", "second_value", "delta")])
+
+
+@_query("SELECT CASE WHEN grouping(c_mktsegment) = 1 THEN 'TOTAL' ELSE c_mktsegment END AS c_mktsegment, sum(1) AS n, round(sum(c_acctbal), 2) AS balance FROM customer GROUP BY ROLLUP (c_mktsegment)")
+def rollup_totals(spark, d):
+    c = _t(spark, d, "customer").select("c_mktsegment", F.lit(1).alias("n"), F.col("c_acctbal").alias("balance"))
+    return audit.roll_up(c, "c_mktsegment", ["n", "balance"]).withColumn("balance", F.round("balance", 2))
+
+
+@_query("SELECT coalesce(event_type, 'unknown') AS event_type, count(*) AS n FROM events GROUP BY 1")
+def count_by(spark, d):
+    return audit.count_by(_t(spark, d, "events"), "event_type")
+
+
+@_query("""
+WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL)
+SELECT event_type, min(CASE WHEN i = least(floor(n * 50 / 100), n - 1) THEN value END) AS p50, min(CASE WHEN i = least(floor(n * 90 / 100), n - 1) THEN value END) AS p90 FROM r GROUP BY event_type""")
+def nearest_rank(spark, d):
+    return audit.nearest_rank(_t(spark, d, "events"), "value", ["event_type"], [50, 90])
+
+
+@_query("""
+WITH s AS (SELECT c_nationkey AS id, count(*) AS n FROM customer GROUP BY 1) SELECT CASE WHEN n < 40 THEN 'thin' WHEN id % 7 = 0 THEN 'listed' WHEN n > 70 THEN 'dense' ELSE 'kept' END AS label, count(*) AS n FROM s GROUP BY 1""")
+def ordered_reasons(spark, d):
+    s = _t(spark, d, "customer").groupBy(F.col("c_nationkey").alias("id")).agg(F.count(F.lit(1)).alias("n"))
+    label = audit.first_reason([("thin", F.col("n") < 40), ("listed", F.col("id") % 7 == 0), ("dense", F.col("n") > 70)], "kept")
+    return s.groupBy(label.alias("label")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@_query(f"""
+WITH p AS ({_POINTS_SQL}), g AS (SELECT unnest(generate_series(-60, 60)) AS cx), c AS (SELECT a.cx, b.cx AS cy FROM g a CROSS JOIN g b)
+SELECT DISTINCT cx, cy FROM c JOIN p ON sqrt(((cx + 0.5) * 10 - x) ** 2 + ((cy + 0.5) * 10 - y) ** 2) <= 20""")
+def disc_cells(spark, d):
+    return spatial.disc_cells(_points(spark, d), 20, 10)
+
+
+@_query()
+def area_parts(spark, d):
+    """Footprint of the points, its parts, and which have too few points."""
+    p = _points(spark, d)
+    parts = spatial.cell_components(spatial.footprint(p, 12, 10, 10))
+    kept, review = spatial.drop_small(parts, p, 10)
+    n = kept.groupBy("part").agg((F.count(F.lit(1)) * 100.0).alias("area"), F.lit(True).alias("kept"))
+    return n.unionByName(parts.join(review, "part").groupBy("part").agg((F.count(F.lit(1)) * 100.0).alias("area"), F.lit(False).alias("kept")))
+
+
+@_query(f"""
+WITH p AS ({_POINTS_SQL}), r AS ({_RINGS_SQL}) SELECT ring_id, round(2.0 * h * h, 6) AS area, CAST(cx AS DOUBLE) AS x, CAST(cy AS DOUBLE) AS y, count(p.id) AS left_of FROM r LEFT JOIN p ON p.x < cx GROUP BY ring_id, h, cx, cy""")
+def ring_measures(spark, d):
+    r = _rings(spark).select("ring_id", F.round(geometry.area(F.col("ring")), 6).alias("area"), geometry.centroid(F.col("ring")).alias("c"))
+    r = r.select("ring_id", "area", F.round("c.x", 6).alias("x"), F.round("c.y", 6).alias("y"))
+    p = _points(spark, d).withColumnRenamed("x", "px")
+    side = geometry.side_of_line(F.col("px"), F.lit(0.0), F.col("x"), F.lit(0.0), F.col("x"), F.lit(1.0))
+    # The rings are a stated list of ten.
+    hits = p.crossJoin(F.broadcast(r)).filter(side == 1).groupBy("ring_id").agg(F.count(F.lit(1)).alias("left_of"))
+    return r.join(hits, "ring_id", "left").withColumn("left_of", F.coalesce("left_of", F.lit(0)))
+
+
+@_query("SELECT c_custkey AS unit_id, CAST(s_suppkey AS VARCHAR) AS origin_id, round(sqrt((c_acctbal - s_acctbal) ** 2 + (c_nationkey - s_nationkey) ** 2), 6) AS dist_m FROM customer CROSS JOIN supplier WHERE s_suppkey <= 3")
+def straight_matrix(spark, d):
+    o = _t(spark, d, "supplier").filter("s_suppkey <= 3").select(F.col("s_suppkey").cast("string").alias("origin_id"), F.lit(1.0).alias("weight"), F.col("s_acctbal").alias("x"), F.col("s_nationkey").cast("double").alias("y"))
+    u = _t(spark, d, "customer").select(F.col("c_custkey").alias("unit_id"), F.col("c_acctbal").alias("x"), F.col("c_nationkey").cast("double").alias("y"))
+    return matrix.straight(o, u).select("unit_id", "origin_id", F.round("dist_m", 6).alias("dist_m"))
+
+
+@_query()
+def band_sweep(spark, d):
+    """Bands for several k and cut penalties at once."""
+    b = bands.prefix_sums(_bins(spark, d))
+    cuts = bands.split_counts(_street_units(spark, d).withColumn("place", F.col("place") * 10))
+    share = cuts.select(F.col("cut").cast("int").alias("place"), (F.col("n") / 1000).alias("split_share"))
+    return bands.sweep(b.join(share, "place", "left").fillna(0.0, ["split_share"]), [3, 4, 5], [0.0, 0.3, 1.0])
+
+
+@_query("SELECT date_trunc('hour', ts) AS start, date_trunc('hour', ts) + INTERVAL 1 HOUR AS \"end\", event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2, 3")
+def event_counts(spark, d):
+    """The batch form of the streaming counters, an extension."""
+    out = counters.event_counts(_t(spark, d, "events")).withColumn("total", F.round("total", 4))
+    return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("start", "end")})
