@@ -152,8 +152,9 @@ def _blobs(doc_ids: np.ndarray, owner: np.ndarray, place: np.ndarray, hashes: np
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], [x.split()[0] for x in _BLOB.split(", ")])
 
 
-def _answers(width: int, earlier: bool):
-    """Reads all of a partition's blobs and tells which places repeat: (doc_id, places)."""
+def _answers(width: int, earlier: bool, buckets: int):
+    """Reads all of a partition's blobs and tells which places repeat: one value for each bucket of documents, so that the
+    rows are as many as buckets, not as documents and places."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, docs, places, blob, silent, told_docs, told_places, n = [], [], [], [], [], [], [], 0
@@ -186,17 +187,36 @@ def _answers(width: int, earlier: bool):
         else:
             yes = np.empty(0, bool)
         d, p = np.concatenate((d[yes], *told_docs)), np.concatenate((p[yes], *told_places))
-        order = np.lexsort((p, d))
-        d, p = d[order], p[order].astype("<i4")
-        begin = np.flatnonzero(np.concatenate(([True], d[1:] != d[:-1]))) if len(d) else np.empty(0, np.int64)
-        ends = np.append(begin[1:], len(d))
-        for a in range(0, len(begin), 5000):
-            part = [p[i:j].tobytes() for i, j in zip(begin[a : a + 5000], ends[a : a + 5000], strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(d[begin[a : a + 5000]]), pa.array(part, pa.binary())], ["doc_id", "places"])
+        to = ((d.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)) % np.uint64(buckets)
+        order = np.lexsort((p, d, to))
+        d, p, to = d[order], p[order], to[order].astype(np.int64)
+        cut = np.searchsorted(to, np.arange(buckets + 1))
+        rows = [(k, d[i:j].astype("<i8").tobytes(), p[i:j].astype("<i4").tobytes()) for k, i, j in zip(range(buckets), cut, cut[1:], strict=False) if j > i]
+        for a in range(0, len(rows), 64):
+            cols = zip(*rows[a : a + 64], strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int32(), pa.binary(), pa.binary()), strict=True)], ["bucket", "docs", "places"])
 
     return run
 
 
+def _by_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All answers for a bucket of documents to one row for each of them."""
+    docs, places = [], []
+    for batch in batches:
+        docs += [np.frombuffer(x, "<i8") for x in batch.column("docs").to_pylist()]
+        places += [np.frombuffer(x, "<i4") for x in batch.column("places").to_pylist()]
+    if not docs:
+        return
+    d, p = np.concatenate(docs), np.concatenate(places)
+    order = np.argsort(d, kind="stable")
+    d, p = d[order], p[order]
+    begin = np.flatnonzero(np.concatenate(([True], d[1:] != d[:-1])))
+    ends = np.append(begin[1:], len(d))
+    for a in range(0, len(begin), 5000):
+        part = [p[i:j].tobytes() for i, j in zip(begin[a : a + 5000], ends[a : a + 5000], strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(d[begin[a : a + 5000]]), pa.array(part, pa.binary())], ["doc_id", "places"])
+
+
 def _blocks(batches: Iterator[pa.RecordBatch], extra: str | None = None) -> Iterator[tuple[np.ndarray, list, list]]:
     ids, texts, more, size = [], [], [], 0
     for batch in batches:
@@ -220,13 +240,16 @@ def _buckets(docs: DataFrame) -> int:
 
 
 def _settle(sent: DataFrame, buckets: int, width: int, earlier: bool, name: str) -> DataFrame:
-    """Deals the blobs out and keeps the answers, one row for each document. What the phase shuffled is then released."""
-    told = sent.repartition(buckets, "bucket").mapInArrow(_answers(width, earlier), "doc_id long, places binary")
-    out = keep(told.groupBy("doc_id").agg(F.collect_list("places").alias("places")), name)
-    del told, sent
+    """Deals the blobs out and keeps the answers, one row for each document."""
+    told = sent.repartition(buckets, "bucket").mapInArrow(_answers(width, earlier, buckets), "bucket int, docs binary, places binary")
+    return keep(told.repartition(buckets, "bucket").mapInArrow(_by_document, "doc_id long, places binary"), name)
+
+
+def _release(kept: DataFrame) -> DataFrame:
+    """Between two phases: what the ended one shuffled lies on disk until the driver collects its garbage."""
     gc.collect()
-    out.sparkSession.sparkContext._jvm.System.gc()  # else the shuffle files lie on disk until the driver next collects
-    return out
+    kept.sparkSession.sparkContext._jvm.System.gc()
+    return kept
 
 
 def _rows(docs: DataFrame) -> DataFrame:
@@ -251,11 +274,10 @@ def _candidates(docs: DataFrame, n: int) -> DataFrame:
     return _settle(_rows(docs).mapInArrow(send, _BLOB), buckets, 5, False, "substring-candidates")
 
 
-def _marked(places: list[bytes], n_words: int) -> np.ndarray:
+def _marked(places: bytes | None, n_words: int) -> np.ndarray:
     on = np.zeros(n_words + 1, bool)
-    for p in places or ():
-        at = np.frombuffer(p, "<i4")
-        on[at[at < n_words]] = True
+    at = np.frombuffer(places or b"", "<i4")
+    on[at[at < n_words]] = True
     return on
 
 
@@ -285,7 +307,8 @@ def _level(docs: DataFrame, before: DataFrame, length: int, half: int | None, ea
 
 def later_windows(docs: DataFrame, n: int = 13) -> DataFrame:
     """(doc_id, places): starts of windows of n words that also begin in a document with a smaller doc_id."""
-    return _level(docs, _candidates(docs, n), n, (n + 1) // 2, True, "substring-later")
+    first = _release(_candidates(docs, n))
+    return _release(_level(docs, first, n, (n + 1) // 2, True, "substring-later"))
 
 
 def repeat_levels(docs: DataFrame, n: int = 13) -> DataFrame:
@@ -300,7 +323,7 @@ def repeat_levels(docs: DataFrame, n: int = 13) -> DataFrame:
     return found.groupBy("doc_id").agg(F.max("longest").alias("longest"))
 
 
-def _covered(places: list[bytes] | None, n_words: int, n: int) -> np.ndarray:
+def _covered(places: bytes | None, n_words: int, n: int) -> np.ndarray:
     change = np.zeros(n_words + 1, np.int32)
     at = np.flatnonzero(_marked(places, n_words))
     np.add.at(change, at, 1)
@@ -338,7 +361,7 @@ def remove_repeats(docs: DataFrame, n: int = 13) -> DataFrame:
     it. Texts that lose nothing stay as they are, to the character. All columns are kept."""
     at = docs.columns.index("text")
 
-    def cut(text: str, places: list[bytes]) -> str:
+    def cut(text: str, places: bytes) -> str:
         parts = _SPLIT.split(text.encode())
         first = 0 if parts[0] else 2
         words = [i for i in range(first, len(parts), 2) if parts[i]]
