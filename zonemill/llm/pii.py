@@ -77,11 +77,13 @@ def _passes(kind: int, text: str) -> bool:
     if kind == 0:
         return bool(re.fullmatch(r"[\w.%+-]+ ?(?:@|\(at\)|\[at\]) ?[\w-]+(?: ?(?:\.|\(dot\)|\[dot\]) ?[\w-]+)+", text)) and ("@" in text or bool(d))
     if kind == 1:
-        parts = re.split(r" ?\. ?|-| ", text)
+        parts = re.split(r" ?\. ?|-", text)
         return len(parts) == 4 and all(p.isascii() and p.isdigit() and len(p) <= 3 and int(p) <= 255 for p in parts)
     if kind == 2:
         return 13 <= len(d) <= 19 and bool(re.fullmatch(r"[0-9](?:[ ./-]{0,2}[0-9])+", text)) and luhn(d)
-    return 9 <= len(d) <= 15 and bool(re.fullmatch(r"\+?(?:[0-9(][0-9 ()./-]*[0-9])", text)) and bool(re.search(r"[ ()./-]", text))
+    # Figures in a row are no phone number: it shows a plus, 00, an area code in brackets, or three groups and one mark.
+    shape = r"(?:\+|00)[0-9(][0-9 ()./-]*[0-9]|\(?[0-9]{2,5}\)[ -]?[0-9][0-9 .-]*[0-9]|[0-9]{2,4}([-.])[0-9]{2,4}(?:\1[0-9]{2,4})+"
+    return 9 <= len(d) <= 15 and bool(re.fullmatch(shape, text))
 
 
 def _made_up(rng: np.random.Generator, kind: int) -> str:
