@@ -22,6 +22,10 @@ from pyspark.sql import functions as F
 from .common import keep
 
 SEGMENTS = (1, 4, 16)
+#: Queries that meet a block of candidates at once.
+FEW = 64
+#: From this share of pairs on a product of whole blocks is cheaper than one of single pairs.
+DENSE = 0.02
 
 
 def summaries(x: np.ndarray, segments: int) -> np.ndarray:
@@ -55,28 +59,53 @@ class Best:
         self.filled = np.zeros((len(ids), k), bool)
 
     def add(self, ids: np.ndarray, vectors: np.ndarray) -> None:
+        """Meets a block of candidates, a few queries at a time, so that no array outgrows their pairs."""
         slack = 1e-9 * (1 + np.linalg.norm(self.vectors, axis=1).max(initial=0) * np.linalg.norm(vectors, axis=1).max(initial=0))
-        floor = np.where(self.filled[:, -1], self.score[:, -1].astype(np.float64), -np.inf) - slack
-        q = c = None
-        for level, segments in zip(self.levels, SEGMENTS, strict=True):
-            own = summaries(vectors, segments)
-            if q is None:
-                q, c = np.nonzero(level @ own.T >= floor[:, None])
-            else:
-                on = np.einsum("ij,ij->i", level[q], own[c]) >= floor[q]
-                q, c = q[on], c[on]
-        on = self.ids[q] != ids[c]
+        own = [summaries(vectors, s) for s in SEGMENTS]
+        for a in range(0, len(self.ids), FEW):
+            rows = np.arange(a, min(a + FEW, len(self.ids)))
+            bound = self.levels[0][rows] @ own[0].T
+            done = None
+            if not self.filled[rows, -1].all():
+                # The most promising by the coarsest bound first: their scores give a k-th one.
+                few = min(2 * self.k, len(ids))
+                done = np.zeros(bound.shape, bool)
+                np.put_along_axis(done, np.argpartition(-bound, few - 1, axis=1)[:, :few], True, axis=1)
+                self._meet(rows, *np.nonzero(done), ids, vectors)
+            floor = self._floor(rows, slack)
+            on = bound >= floor[:, None]
+            if done is not None:
+                on &= ~done
+            for level, mine in zip(self.levels[1:], own[1:], strict=True):
+                if on.mean() > DENSE:
+                    on &= level[rows] @ mine.T >= floor[:, None]
+                else:
+                    q, c = np.nonzero(on)
+                    on[q, c] = np.einsum("ij,ij->i", level[rows[q]], mine[c]) >= floor[q]
+            if on.mean() > DENSE and float(np.abs(self.vectors[rows]).max()) * float(np.abs(vectors).max()) * vectors.shape[1] < 2**53:
+                on &= self.vectors[rows] @ vectors.T >= floor[:, None]  # whole numbers below 2**53: exact in any order
+            self._meet(rows, *np.nonzero(on), ids, vectors)
+
+    def _floor(self, rows: np.ndarray, slack: float) -> np.ndarray:
+        return np.where(self.filled[rows, -1], self.score[rows, -1].astype(np.float64), -np.inf) - slack
+
+    def _meet(self, rows: np.ndarray, q: np.ndarray, c: np.ndarray, ids: np.ndarray, vectors: np.ndarray) -> None:
+        """Exact scores of pairs (place in rows, candidate), merged into the best."""
+        on = self.ids[rows[q]] != ids[c]
         q, c = q[on], c[on]
-        score = np.concatenate([exact(self.vectors[q[a : a + 65536]], vectors[c[a : a + 65536]]) for a in range(0, len(q), 65536)]) if len(q) else np.empty(0, np.int64)
-        old = np.nonzero(self.filled)
+        if not len(q):
+            return
+        score = np.concatenate([exact(self.vectors[rows[q[a : a + 65536]]], vectors[c[a : a + 65536]]) for a in range(0, len(q), 65536)])
+        old = np.nonzero(self.filled[rows])
         q = np.concatenate((old[0], q))
-        score, vec = np.concatenate((self.score[old], score)), np.concatenate((self.vec[old], ids[c]))
+        score, vec = np.concatenate((self.score[rows][old], score)), np.concatenate((self.vec[rows][old], ids[c]))
         order = np.lexsort((vec, ~score, q))  # ~ turns the order without leaving 64 bits
         q, score, vec = q[order], score[order], vec[order]
         rank = np.arange(len(q)) - np.searchsorted(q, q)
         top = rank < self.k
-        self.filled[:] = False
-        self.score[q[top], rank[top]], self.vec[q[top], rank[top]], self.filled[q[top], rank[top]] = score[top], vec[top], True
+        self.filled[rows] = False
+        at = (rows[q[top]], rank[top])
+        self.score[at], self.vec[at], self.filled[at] = score[top], vec[top], True
 
 
 def _blocked(vectors: DataFrame, rows: int, dealt: int) -> DataFrame:
