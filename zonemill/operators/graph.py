@@ -115,14 +115,14 @@ def snapped_edges(lines: DataFrame, line: str = "line", snap: float = 1.0) -> Da
     return s.filter("a <> b").groupBy("a", "b").agg(F.min("w").alias("w"))
 
 
-def shortest_paths(edges: DataFrame, sources: DataFrame, rounds: int = 10_000) -> DataFrame:
-    """(node, dist): the least sum of weights from any source over undirected edges(a, b, w), for every node reached. Each
-    round relaxes only the nodes that the last one brought nearer."""
+def shortest_paths(edges: DataFrame, sources: DataFrame, limit: float = float("inf"), rounds: int = 10_000) -> DataFrame:
+    """(node, dist): the least sum of weights (none negative) from any source over undirected edges(a, b, w), for every node
+    reached within less than ``limit``. Each round relaxes only the nodes that the last one brought nearer."""
     both = cut_lineage(edges.select("a", "b", "w").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "w")))
     known = cut_lineage(sources.select(F.col("node"), F.lit(0.0).alias("dist")).distinct())
     front = known
     for _ in range(rounds):
-        reach = front.join(both, front["node"] == both["a"]).groupBy(F.col("b").alias("node")).agg(F.min(F.col("dist") + F.col("w")).alias("new"))
+        reach = front.join(both, front["node"] == both["a"]).groupBy(F.col("b").alias("node")).agg(F.min(F.col("dist") + F.col("w")).alias("new")).filter(F.col("new") < limit)
         merged = cut_lineage(known.join(reach, "node", "full").select("node", F.least("dist", "new").alias("d"), (F.col("dist").isNull() | (F.col("new") < F.col("dist"))).alias("moved")))
         known = merged.select("node", F.col("d").alias("dist"))
         front = merged.filter("moved").select("node", F.col("d").alias("dist"))

@@ -456,7 +456,7 @@ SELECT CAST(node AS BIGINT) AS node, min(dist) AS dist FROM r GROUP BY node HAVI
 def shortest_path(spark, d):
     s = _t(spark, d, "supplier").filter("s_suppkey % 37 <> 0")
     e = s.select(F.col("s_suppkey").alias("a"), F.expr("CASE WHEN s_suppkey % 10 = 0 THEN s_suppkey div 2 + 1 ELSE s_suppkey - 1 END").cast("long").alias("b"), (F.lit(1.0) + F.col("s_nationkey")).alias("w"))
-    return graph.shortest_paths(e, spark.range(1, 2).withColumnRenamed("id", "node")).filter("dist < 40")
+    return graph.shortest_paths(e, spark.range(1, 2).withColumnRenamed("id", "node"), limit=40)
 
 
 @_query("""
