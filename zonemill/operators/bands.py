@@ -145,6 +145,7 @@ def assign_by_table(rows: DataFrame, value: str, bands: DataFrame, keys: list[st
 
 def band_metrics(rows: DataFrame, value: str, weight: str, keys: list[str] | None = None, percents: list[int] | None = None) -> DataFrame:
     """A row for each band: units, weight and its share, least, nearest-rank percentiles and greatest value, deviation."""
+    few = not keys  # then there is one row of sums for each band
     keys = [*(keys or []), "band"]
     v, w = F.col(value), F.col(weight)
     counted = (w > 0) & v.isNotNull()
@@ -154,7 +155,7 @@ def band_metrics(rows: DataFrame, value: str, weight: str, keys: list[str] | Non
     )
     # The deviation in two passes, as a difference of squares would lose digits.
     means = sums.select(*keys, (F.col("_wx") / F.col("_w")).alias("_mean"))
-    squares = rows.join(F.broadcast(means), keys).groupBy(*keys).agg(F.sum(F.when(counted, w * (v - F.col("_mean")) * (v - F.col("_mean")))).alias("_ss"))
+    squares = rows.join(F.broadcast(means) if few else means, keys).groupBy(*keys).agg(F.sum(F.when(counted, w * (v - F.col("_mean")) * (v - F.col("_mean")))).alias("_ss"))
     out = sums.join(squares, keys).join(nearest_rank(rows, value, keys, percents or [50, 75, 90]), keys)
     total = Window.partitionBy(*keys[:-1])
     out = out.withColumns({"weight_share": F.col("weight") / F.sum("weight").over(total), "dispersion": F.sqrt(F.col("_ss") / F.col("_w"))})
