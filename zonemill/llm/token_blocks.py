@@ -13,7 +13,8 @@ import numpy as np
 import pyarrow as pa
 import regex
 
-BLOCK_BYTES, BOOK_PIECES = 12 << 20, 250_000
+#: New pieces are encoded so many at a time, as the arrays for them are a multiple of the pieces themselves.
+BLOCK_BYTES, BOOK_PIECES, PIECES_AT_ONCE = 8 << 20, 200_000, 50_000
 
 
 @functools.cache
@@ -61,8 +62,8 @@ class Encoder:
         """Encodes the pieces that are new, and returns them."""
         known = len(self.starts) - 1
         new = list(self.book)[known:]
-        if new:
-            ids, starts = self.encode(new)
+        for a in range(0, len(new), PIECES_AT_ONCE):
+            ids, starts = self.encode(new[a : a + PIECES_AT_ONCE])
             self.ids = np.concatenate((self.ids, ids.astype(np.int32)))
             self.starts = np.concatenate((self.starts, self.starts[-1] + starts[1:]))
         return new

@@ -61,8 +61,11 @@ class Model:
     bias: float
 
     def words(self, words: list[str]) -> np.ndarray:
-        bucket, starts = subwords(words)
-        return (np.add.reduceat(self.weight[bucket], starts[:-1]) / np.diff(starts)).astype(np.float32)
+        out = np.empty(len(words), np.float32)
+        for a in range(0, len(words), 10_000):
+            bucket, starts = subwords(words[a : a + 10_000])
+            out[a : a + 10_000] = np.add.reduceat(self.weight[bucket], starts[:-1]) / np.diff(starts)
+        return out
 
     def logit(self, distinct: np.ndarray) -> float:
         """distinct: the numbers of a text's different words."""
@@ -112,9 +115,16 @@ def train_joint(texts: list[str], toxic: np.ndarray, epochs: int = 12, batch: in
     for t in texts:
         words = np.unique([seen.setdefault(w.strip(_STRIP), len(seen)) for w in split(t)] or [seen.setdefault("", len(seen))])
         bags.append((words, np.full(len(words), 1 / (len(words) + NEUTRAL), np.float32)))
-    bucket, starts = subwords(list(seen))
-    used, local = np.unique(bucket, return_inverse=True)
-    n_sub = np.diff(starts)
+    known, local, n_sub = list(seen), [], []
+    for a in range(0, len(known), 10_000):
+        part, at = subwords(known[a : a + 10_000])
+        local.append(part.astype(np.int32)), n_sub.append(np.diff(at))
+    local, n_sub = np.concatenate(local), np.concatenate(n_sub)
+    starts = np.concatenate(([0], np.cumsum(n_sub)))
+    used = np.flatnonzero(np.bincount(local, minlength=BUCKETS))
+    place_of = np.zeros(BUCKETS, np.int32)
+    place_of[used] = np.arange(len(used))
+    local = place_of[local]
     # Each batch with its own words and their subwords, so that a step touches nothing else.
     place = np.empty(len(toxic))
     for c in (0, 1):
@@ -127,8 +137,8 @@ def train_joint(texts: list[str], toxic: np.ndarray, epochs: int = 12, batch: in
         sub = gather(local, starts, word)
         weigh = np.where(toxic[ids] == 1, 0.5 / max(1, (toxic[ids] == 1).sum()), 0.5 / max(1, (toxic[ids] == 0).sum()))
         parts.append((
-            sub, np.repeat(np.arange(len(word)), n_sub[word]), np.concatenate(([0], np.cumsum(n_sub[word])[:-1])), (1 / n_sub[word]).astype(np.float32)[:, None],
-            at, np.concatenate([bags[i][1] for i in ids])[:, None], np.repeat(np.arange(len(ids)), lens), np.concatenate(([0], np.cumsum(lens)[:-1])),
+            sub, np.repeat(np.arange(len(word), dtype=np.int32), n_sub[word]), np.concatenate(([0], np.cumsum(n_sub[word])[:-1])), (1 / n_sub[word]).astype(np.float32)[:, None],
+            at.astype(np.int32), np.concatenate([bags[i][1] for i in ids])[:, None], np.repeat(np.arange(len(ids)), lens), np.concatenate(([0], np.cumsum(lens)[:-1])),
             np.stack((toxic[ids] == 0, toxic[ids] == 1), axis=1), weigh[:, None],
         ))
     table = rng.normal(0, 0.02, (len(used), DIM)).astype(np.float32)
@@ -199,6 +209,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             logits = np.array([model.logit(numbers[np.unique(p)]) for p in parts])
             scores = 1 / (1 + np.exp(-np.clip(logits, -60, 60)))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(scores)], ["doc_id", "score"])
+            del numbers, parts
             if len(coder.book) > BOOK_PIECES:
                 coder.empty()
 
