@@ -116,8 +116,13 @@ def fit(docs: DataFrame, sample: int = 300, longest: int = 100_000, made_up: int
     """Trains on at most ``sample`` documents with a digit or @ and at most ``longest`` characters, those with the least
     hash of doc_id; without any on made-up spans alone."""
     found = docs.filter(F.col("text").rlike("[0-9@]") & (F.length("text") <= longest))
-    rows = found.select("doc_id", "text").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(sample).collect()
-    return train([r["text"] for r in rows], made_up, steps, seed)
+    # Ids first: a limit over texts would send so many texts of every task to the driver.
+    ids = [r["doc_id"] for r in found.filter("doc_id IS NOT NULL").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).collect()]
+    if not ids:
+        return train([], made_up, steps, seed)
+    picked = docs.sparkSession.createDataFrame([(int(i),) for i in ids], "_id long")  # ``sample`` rows at most
+    rows = found.join(F.broadcast(picked), docs["doc_id"] == F.col("_id")).groupBy("_id").agg(F.min("text").alias("text")).collect()
+    return train([r["text"] for r in sorted(rows, key=lambda r: r["_id"])], made_up, steps, seed)
 
 
 def train(texts: list[str], made_up: int = 1200, steps: int = 240, seed: int = 11) -> Tagger:

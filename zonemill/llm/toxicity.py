@@ -189,7 +189,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1500, clean_factor:
     spark = docs.sparkSession
     sample = spark.createDataFrame(picked, "_id long, _toxic int")  # (1 + clean_factor) * per_class rows at most
     found = docs.join(F.broadcast(sample), docs["doc_id"] == F.col("_id")).filter(F.length("text") <= longest)
-    rows = sorted((r["_id"], r["_toxic"], r["text"]) for r in found.select("_id", "_toxic", "text").collect())
+    rows = sorted((r["_id"], r["_toxic"], r["text"]) for r in found.groupBy("_id", "_toxic").agg(F.min("text").alias("text")).collect())
     return train([r[2] for r in rows], np.array([r[1] for r in rows]))
 
 
