@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 #: What separates words: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
+_DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,10 +33,15 @@ def shared_folder(spark: SparkSession) -> str:
 
 def keep(df: DataFrame, name: str) -> DataFrame:
     """Writes the rows as Parquet into the shared folder and reads them back: lineage ends here, and the files survive
-    the loss of any executor."""
+    the loss of any executor. What the write shuffled is dropped at its end."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_DROP_SHUFFLES, "false")
+    spark.conf.set(_DROP_SHUFFLES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_DROP_SHUFFLES, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -169,7 +169,8 @@ def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, words: int = 3) -> DataFrame:
-    """docs without those that are linked to a document with a smaller doc_id; of rows that repeat a doc_id one stays."""
+    """docs without those that are linked to a document with a smaller doc_id; of rows that repeat a doc_id one stays, and
+    rows without one all stay."""
     first = near_duplicates(docs, words).filter("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
     one = docs.join(first, docs["doc_id"] == F.col("_id"), "left_semi")
-    return one.dropDuplicates(["doc_id"])
+    return one.dropDuplicates(["doc_id"]).unionByName(docs.filter("doc_id IS NULL"))
