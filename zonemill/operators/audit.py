@@ -57,7 +57,7 @@ def merge_segments(segments: DataFrame, keys: list[str], fields: list[str], clas
     rank = F.coalesce(F.array_position(F.array(*map(F.lit, classes)), F.col("road_class")), F.lit(0))
     rank = F.when(rank == 0, len(classes) + 1).otherwise(rank)
     lowest = [F.min_by(F.when(F.coalesce(F.col(f), F.lit("")) != "", F.col(f)), F.when(F.coalesce(F.col(f), F.lit("")) != "", F.col("id"))).alias(f) for f in fields]
-    return segments.groupBy(*keys).agg(*lowest, F.bool_or("is_address").alias("is_address"), F.bool_or("review").alias("review"), F.min("id").alias("min_id"), F.count(F.lit(1)).alias("segments"), F.min_by("road_class", rank).alias("road_class"))
+    return segments.groupBy(*keys).agg(*lowest, F.bool_or("is_address").alias("is_address"), F.bool_or("review").alias("review"), F.min("id").alias("min_id"), F.count(F.lit(1)).alias("segments"), F.min_by(F.when(rank <= len(classes), F.col("road_class")), rank).alias("road_class"))
 
 
 def street_stats(streets: DataFrame) -> DataFrame:

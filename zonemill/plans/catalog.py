@@ -193,13 +193,13 @@ def _units(spark: SparkSession, d: str) -> DataFrame:
 def _bins(spark: SparkSession, d: str) -> DataFrame:
     """Bins with values and weights rounded, so that both engines cut the same numbers."""
     b = bands.make_bins(_units(spark, d), F.col("cost"), F.col("weight"), _WIDTH)
-    return b.withColumns({"value": F.round("value", 4), "weight": F.round("weight", 4)})
+    return b.withColumns({"value": F.round("value", 7), "weight": F.round("weight", 4)})
 
 
 _UNITS_SQL = f"SELECT o_custkey, {_ORDER}::DOUBLE AS weight FROM orders"
 _BINS_SQL = f"""u AS ({_UNITS_SQL}),
 raw AS (SELECT CAST(floor(cost / CAST({_WIDTH} AS DOUBLE)) AS BIGINT) AS bin, sum(cost * weight) AS wx, sum(weight) AS w, count(*) AS n FROM u WHERE cost IS NOT NULL GROUP BY 1),
-b AS (SELECT bin, round(CASE WHEN w > 0 THEN wx / w ELSE (bin + 0.5) * CAST({_WIDTH} AS DOUBLE) END, 4) AS value, round(w, 4) AS weight, n FROM raw),
+b AS (SELECT bin, round(CASE WHEN w > 0 THEN wx / w ELSE (bin + 0.5) * CAST({_WIDTH} AS DOUBLE) END, 7) AS value, round(w, 4) AS weight, n FROM raw),
 bins AS (SELECT *, row_number() OVER o AS place, sum(weight) OVER o AS w, sum(weight * value) OVER o AS wx, sum(weight * value * value) OVER o AS wxx FROM b WINDOW o AS (ORDER BY bin ROWS UNBOUNDED PRECEDING))"""
 
 
