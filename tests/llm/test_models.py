@@ -178,3 +178,17 @@ def test_sharding(spark, docs, copies):
     assert (groups == 1).mean() > 0.9
     assert sharding.shard_documents(docs([])).count() == 0
     assert sharding.shard_documents(docs([(1, "a"), (2, "a")])).count() == 2
+
+
+def test_sharding_lays_large_groups_over_the_fewest_shards(spark, docs):
+    rows = [(i, "half") for i in range(4000)] + [(10_000 + i, "tenth") for i in range(800)] + [(20_000 + i, f"own {i}") for i in range(3200)]
+    got = sharding.shard_documents(docs(rows)).toPandas()
+    assert (got.shard.value_counts() == 200).all()
+    shards = got[got.group_rows > 1].groupby("group_rows").shard.nunique()
+    assert shards.to_dict() == {4000: 20, 800: 4}
+
+
+def test_sharding_admits_one_group_to_all_the_room(spark):
+    state = spark.createDataFrame([("a", 0, 900), ("a", 1, 800), ("a", 2, 700)], "grp string, shard int, n long")
+    got = {r.shard: (r.n, r.moved) for r in sharding._round(state, [5000, 0, 0], 64).collect()}
+    assert got == {0: (2400, 1500)}

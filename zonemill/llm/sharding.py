@@ -2,9 +2,11 @@
 
 Documents with equal texts are linked. Labels are shards. The state of the propagation is the number of a group's
 documents in each shard (documents of a group are interchangeable), so a group with any share of all rows is at most
-``n_shards`` state rows. In a round every group looks at its neighbours' shards, and its documents outside the
-fullest of its shards that still has room ask to move there; moves are admitted up to that shard's quota. The rounds end
-when nothing moves. Documents without links have no edge to cut; they fill what the quotas leave, which makes the law
+``n_shards`` state rows. Groups larger than a shard (fewer than there are shards) are laid over the fewest shards at
+once. In a round every other group looks at its neighbours' shards, and its documents outside the fullest of its shards
+that still has room ask to move there; moves are admitted up to that shard's quota, all of which one group may take. Rows
+only move to shards where their group has as many or more, so the sum of squared counts grows with every move, and the
+rounds end, when nothing moves. Documents without links have no edge to cut; they fill what the quotas leave, which makes the law
 exact: shard sizes in rows differ by one at most.
 """
 
@@ -25,22 +27,43 @@ def _round(state: DataFrame, free: list[int], parts: int) -> DataFrame:
     # Of equal counts the one with the larger hash attracts, but those in a full shard go to the one with room.
     stronger = F.struct(F.col("to.n"), F.col("to.tie")) > F.struct("n", tie)
     asks = (F.col("to.shard") != F.col("shard")) & (stronger | ((room <= 0) & (F.col("to.n") >= F.col("n"))))
-    asked = asked.withColumn("want", F.when(asks, F.col("n")).otherwise(F.lit(0)))
-    # A shard's room is shared among parts, so that no task ranks all that asks for it.
-    asked = asked.withColumns({"target": F.col("to.shard"), "part": F.pmod(F.xxhash64("grp"), F.lit(parts))})
+    wanting = asked.filter(asks).withColumns({"target": F.col("to.shard"), "part": F.pmod(F.xxhash64("grp"), F.lit(parts))})
+    # What asks for a shard is counted in parts with prefix sums, so that no task ranks all of it and no room is left over.
+    sums = wanting.groupBy("target", "part").agg(F.sum("n").alias("asked"))
+    earlier = Window.partitionBy("target").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("target", "part", F.coalesce(F.sum("asked").over(earlier), F.lit(0)).alias("before"))
     queue = Window.partitionBy("target", "part").orderBy(F.col("to.n").desc(), "grp", "shard")
-    ahead = F.sum("want").over(queue.rowsBetween(Window.unboundedPreceding, 0)) - F.col("want")
+    ahead = F.sum("n").over(queue.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
     rooms = F.element_at(F.array(*[F.lit(x).cast("long") for x in free]), F.col("target") + 1)
-    share = F.floor(rooms / parts) + F.when(F.col("part") < rooms % parts, 1).otherwise(0)
-    wanting = asked.filter("want > 0").withColumn("go", F.greatest(F.lit(0), F.least(F.col("want"), share - ahead)))
-    moves = wanting.filter("go > 0")
+    wanting = wanting.withColumn("ahead", ahead).join(sums, ["target", "part"])
+    moves = wanting.withColumn("go", F.least(F.col("n"), rooms - F.col("before") - F.col("ahead"))).filter("go > 0")
     changed = state.withColumn("moved", F.lit(0).cast("long")).unionByName(
         moves.select("grp", "shard", (-F.col("go")).alias("n"), F.lit(0).cast("long").alias("moved"))
     ).unionByName(moves.select("grp", F.col("target").alias("shard"), F.col("go").alias("n"), F.col("go").alias("moved")))
     return changed.groupBy("grp", "shard").agg(F.sum("n").alias("n"), F.sum("moved").alias("moved")).filter("n > 0")
 
 
-def shard_documents(docs: DataFrame, n_shards: int = 40, rounds: int = 8) -> DataFrame:
+def _over_fewest(sizes: list[int], rooms: list[int]) -> tuple[list[tuple[int, int, int]], list[int]]:
+    """Lays groups larger than a shard over shards: (group, shard, rows), and the room that is left. Whole shards first;
+    then the rests, large ones first, each into the shard with most room, and on into the next if it holds no more."""
+    rooms, out, rests = list(rooms), [], []
+    empty = sorted((s for s, r in enumerate(rooms) if r), key=lambda s: (-rooms[s], s))
+    for g, rest in sorted(enumerate(sizes), key=lambda x: (-x[1], x[0])):
+        while (s := next((s for s in empty if rooms[s] <= rest), None)) is not None:
+            empty.remove(s)
+            out.append((g, s, rooms[s]))
+            rest, rooms[s] = rest - rooms[s], 0
+        rests.append((rest, g))
+    for rest, g in sorted(rests, reverse=True):
+        while rest:
+            s = max(range(len(rooms)), key=lambda s: (rooms[s], -s))
+            n = min(rest, rooms[s])
+            out.append((g, s, n))
+            rest, rooms[s] = rest - n, rooms[s] - n
+    return out, rooms
+
+
+def shard_documents(docs: DataFrame, n_shards: int = 40) -> DataFrame:
     """Returns doc_id, size, text_crc32, law ('rows'), shard, slot, grown_shard (null under this law), group_rows.
 
     A null text counts as empty; documents with null and empty texts form one group. Rows that repeat are separate
@@ -66,12 +89,16 @@ def shard_documents(docs: DataFrame, n_shards: int = 40, rounds: int = 8) -> Dat
         .filter("group_rows > 1"),
         "shard-groups",
     )
-    state = groups.select("grp", F.inline("labels")).withColumn("moved", F.lit(0).cast("long"))
+    # No more groups than shards are larger than one.
+    large = groups.filter(F.col("group_rows") > max(1, total // n_shards)).select("grp", "group_rows").orderBy("grp").collect()
+    laid, quotas = _over_fewest([r["group_rows"] for r in large], quotas)
+    fixed = meta.sparkSession.createDataFrame([(large[g]["grp"], s, n) for g, s, n in laid], "grp string, shard int, n long")
+    small = groups.join(F.broadcast(fixed.select("grp").distinct()), "grp", "left_anti")
+    state = small.select("grp", F.inline("labels")).withColumn("moved", F.lit(0).cast("long"))
     state, loads = _fit(state, quotas)
-    for _ in range(rounds):
+    while True:
         free = [q - loads.get(s, (0, 0))[0] for s, q in enumerate(quotas)]
-        parts = max(1, min(64, min((f for f in free if f > 0), default=1) // 1000))
-        later = keep(_round(state.drop("moved"), free, parts), "shard-state")
+        later = keep(_round(state.drop("moved"), free, salts_for(total, n_shards)), "shard-state")
         loads = _loads(later)
         forget(state)
         state = later
@@ -79,6 +106,7 @@ def shard_documents(docs: DataFrame, n_shards: int = 40, rounds: int = 8) -> Dat
             break
     # Linked documents, by rank in their group, then the others into the room that is left.
     w = Window.partitionBy("grp").orderBy("shard").rowsBetween(Window.unboundedPreceding, 0)
+    state = state.select("grp", "shard", "n").unionByName(fixed)
     spans = state.withColumn("hi", F.sum("n").over(w)).select("grp", (F.col("hi") - F.col("n")).alias("lo"), "hi", "shard")
     linked = meta.join(groups.select("grp", "group_rows"), "grp")
     linked = deal_by_rank(linked, ["grp"], ["doc_id"], spans, salts_for(total, max(1, total // 50)))
