@@ -192,3 +192,18 @@ def test_sharding_admits_one_group_to_all_the_room(spark):
     state = spark.createDataFrame([("a", 0, 900), ("a", 1, 800), ("a", 2, 700)], "grp string, shard int, n long")
     got = {r.shard: (r.n, r.moved) for r in sharding._round(state, [5000, 0, 0], 64).collect()}
     assert got == {0: (2400, 1500)}
+
+
+def test_sharding_keeps_pairs_together_when_all_rows_are_linked(spark, docs):
+    got = sharding.shard_documents(docs([(i, f"pair {i % 1200}") for i in range(2400)])).toPandas()
+    assert (got.shard.value_counts() == 60).all()
+    assert (got.groupby("text_crc32").shard.nunique() == 1).all()
+
+
+def test_sharding_deals_whole_groups():
+    assert sharding._whole([(50, 2), (33, 3)], [100, 100], True)[2] == 0
+    for tight in (False, True):
+        spans, left, lost = sharding._whole([(7, 20), (3, 11), (2, 400)], [101, 100, 100, 100], tight)
+        rows = sum(size * (hi - lo) for size, lo, hi, _ in spans)
+        assert min(left) >= 0 and rows + sum(left) == 401 and rows + lost == 973 and max(left) < 2
+        assert sum(hi - lo for size, lo, hi, _ in spans if size == 7) == 20

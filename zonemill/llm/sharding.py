@@ -3,7 +3,8 @@
 Documents with equal texts are linked. Labels are shards. The state of the propagation is the number of a group's
 documents in each shard (documents of a group are interchangeable), so a group with any share of all rows is at most
 ``n_shards`` state rows. Groups larger than a shard (fewer than there are shards) are laid over the fewest shards at
-once. In a round every other group looks at its neighbours' shards, and its documents outside the fullest of its shards
+once, and every other group starts whole on one shard, dealt by size, so that full tables need no exchange. Only groups
+that no shard has room for are cut, and fewer of them are left than there are shards. In a round every other group looks at its neighbours' shards, and its documents outside the fullest of its shards
 that still has room ask to move there; moves are admitted up to that shard's quota, all of which one group may take. Rows
 only move to shards where their group has as many or more, so the sum of squared counts grows with every move, and the
 rounds end, when nothing moves. Documents without links have no edge to cut; they fill what the quotas leave, which makes the law
@@ -12,6 +13,9 @@ exact: shard sizes in rows differ by one at most.
 
 from __future__ import annotations
 
+from collections import Counter
+
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,6 +67,57 @@ def _over_fewest(sizes: list[int], rooms: list[int]) -> tuple[list[tuple[int, in
     return out, rooms
 
 
+def _whole(sizes: list[tuple[int, int]], rooms: list[int], tight: bool) -> tuple[list[tuple[int, int, int, int]], list[int], int]:
+    """Deals (size, count) of groups, from large to small, to shards that hold them whole: spans of ranks (size, lo, hi,
+    shard), the room that is left, and the rows of groups that fit nowhere. Tight: into the shard with least room that holds
+    the group; else into the one with most."""
+    left, spans, lost = np.array(rooms, np.int64), [], 0
+    for size, count in sorted(sizes, reverse=True):
+        take = left // size
+        if take.sum() > count and tight:
+            order = np.argsort(left, kind="stable")
+            ahead = np.cumsum(take[order]) - take[order]
+            take[order] = np.clip(count - ahead, 0, take[order])
+        elif take.sum() > count:
+            # The highest level to which the shards can be filled; those that reach it exactly may keep a group less.
+            low, high = 0, int(left.max())
+            while high - low > 1:
+                mid = (low + high) // 2
+                low, high = (mid, high) if (np.maximum(left - mid, 0) // size).sum() >= count else (low, mid)
+            take = np.maximum(left - low, 0) // size
+            exact = np.flatnonzero((take > 0) & ((left - low) % size == 0))
+            take[exact[: take.sum() - count]] -= 1
+        left -= take * size
+        ends = np.cumsum(take)
+        spans += [(size, int(ends[s] - take[s]), int(ends[s]), int(s)) for s in np.flatnonzero(take)]
+        lost += (count - int(take.sum())) * size
+    return spans, left.tolist(), lost
+
+
+def _start(groups: DataFrame, quotas: list[int], salts: int) -> DataFrame:
+    """(grp, shard, n) of groups no larger than a shard. The driver gets the histogram of sizes, of which there are at most
+    as many as the root of twice the rows, and the groups that fit nowhere whole, fewer than shards."""
+    spark = groups.sparkSession
+    sizes = [(r["group_rows"], r["count"]) for r in groups.groupBy("group_rows").count().collect()]
+    spans, rooms, lost = min((_whole(sizes, quotas, tight) for tight in (False, True)), key=lambda x: x[2])
+    placed = Counter()
+    for size, lo, hi, _ in spans:
+        placed[size] += hi - lo
+    spans += [(size, placed[size], count, -1) for size, count in sizes if placed[size] < count]
+    spans = spark.createDataFrame(spans, "group_rows long, lo long, hi long, shard int")
+    dealt = keep(deal_by_rank(groups, ["group_rows"], ["grp"], spans, salts), "shard-start")
+    cut = []
+    for r in dealt.filter("shard < 0").orderBy(F.col("group_rows").desc(), "grp").collect() if lost else []:
+        rest = r["group_rows"]
+        while rest:
+            s = max(range(len(rooms)), key=lambda s: (rooms[s], -s))
+            n = min(rest, rooms[s])
+            cut.append((r["grp"], s, n))
+            rest, rooms[s] = rest - n, rooms[s] - n
+    whole = dealt.filter("shard >= 0").select("grp", "shard", F.col("group_rows").alias("n"))
+    return whole.unionByName(spark.createDataFrame(cut, "grp string, shard int, n long"))
+
+
 def shard_documents(docs: DataFrame, n_shards: int = 40) -> DataFrame:
     """Returns doc_id, size, text_crc32, law ('rows'), shard, slot, grown_shard (null under this law), group_rows.
 
@@ -81,21 +136,14 @@ def shard_documents(docs: DataFrame, n_shards: int = 40) -> DataFrame:
     )
     total = meta.count()
     quotas = [total // n_shards + (s < total % n_shards) for s in range(n_shards)]
-    first = meta.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(n_shards)).cast("int"))
-    counts = first.groupBy("grp", "shard").agg(F.count(F.lit(1)).alias("n"))
-    groups = keep(
-        counts.groupBy("grp")
-        .agg(F.sum("n").alias("group_rows"), F.collect_list(F.struct("shard", "n")).alias("labels"))
-        .filter("group_rows > 1"),
-        "shard-groups",
-    )
+    groups = keep(meta.groupBy("grp").agg(F.count(F.lit(1)).alias("group_rows")).filter("group_rows > 1"), "shard-groups")
     # No more groups than shards are larger than one.
     large = groups.filter(F.col("group_rows") > max(1, total // n_shards)).select("grp", "group_rows").orderBy("grp").collect()
     laid, quotas = _over_fewest([r["group_rows"] for r in large], quotas)
     fixed = meta.sparkSession.createDataFrame([(large[g]["grp"], s, n) for g, s, n in laid], "grp string, shard int, n long")
     small = groups.join(F.broadcast(fixed.select("grp").distinct()), "grp", "left_anti")
-    state = small.select("grp", F.inline("labels")).withColumn("moved", F.lit(0).cast("long"))
-    state, loads = _fit(state, quotas)
+    state = keep(_start(small, quotas, salts_for(total)).withColumn("moved", F.lit(0).cast("long")), "shard-state")
+    loads = _loads(state)
     while True:
         free = [q - loads.get(s, (0, 0))[0] for s, q in enumerate(quotas)]
         later = keep(_round(state.drop("moved"), free, salts_for(total, n_shards)), "shard-state")
@@ -126,35 +174,3 @@ def shard_documents(docs: DataFrame, n_shards: int = 40) -> DataFrame:
 def _loads(state: DataFrame) -> dict[int, tuple[int, int]]:
     """Linked rows and moved rows by shard: as many rows as there are shards."""
     return {r.shard: (r.n, r.moved) for r in state.groupBy("shard").agg(F.sum("n").alias("n"), F.sum("moved").alias("moved")).collect()}
-
-
-def _fit(state: DataFrame, quotas: list[int]) -> tuple[DataFrame, dict[int, tuple[int, int]]]:
-    """The first labels, dealt by hash, may exceed a quota when nearly all rows are linked. The surplus goes, in the
-    order of a running count, to the shards with room."""
-    loads = _loads(state)
-    over = [loads.get(s, (0, 0))[0] - q for s, q in enumerate(quotas)]
-    if max(over) <= 0:
-        return keep(state, "shard-state"), loads
-    spill, room, at = [], [], 0
-    for s, x in enumerate(over):
-        if x > 0:
-            spill.append((s, at, quotas[s]))
-            at += x
-    at = 0
-    for s, x in enumerate(over):
-        if x < 0:
-            room.append((at, at - x, s))
-            at -= x
-    spark = state.sparkSession
-    order = Window.partitionBy("shard").orderBy("grp").rowsBetween(Window.unboundedPreceding, 0)
-    running = state.withColumn("end", F.sum("n").over(order))
-    cut = running.join(F.broadcast(spark.createDataFrame(spill, "shard int, base long, quota long")), "shard", "left")
-    stay = F.when(F.col("quota").isNull(), F.col("n")).otherwise(F.greatest(F.lit(0), F.least(F.col("n"), F.col("quota") - F.col("end") + F.col("n"))))
-    cut = cut.withColumn("stay", stay)
-    begin = F.col("base") + F.greatest(F.col("end") - F.col("n"), F.col("quota")) - F.col("quota")
-    out = cut.filter("n > stay").select("grp", begin.alias("a"), (begin + F.col("n") - F.col("stay")).alias("b"))
-    out = out.join(F.broadcast(spark.createDataFrame(room, "lo long, hi long, shard int")), (F.col("a") < F.col("hi")) & (F.col("b") > F.col("lo")))
-    out = out.select("grp", "shard", (F.least("b", "hi") - F.greatest("a", "lo")).alias("n"))
-    fitted = cut.select("grp", "shard", F.col("stay").alias("n")).unionByName(out)
-    fitted = keep(fitted.groupBy("grp", "shard").agg(F.sum("n").alias("n")).filter("n > 0").withColumn("moved", F.lit(0).cast("long")), "shard-state")
-    return fitted, _loads(fitted)
