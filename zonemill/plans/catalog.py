@@ -459,6 +459,13 @@ def shortest_path(spark, d):
     return graph.shortest_paths(e, spark.range(1, 2).withColumnRenamed("id", "node"), limit=40)
 
 
+@_query()
+def shortest_path_all(spark, d):
+    """From node 1 to every node that edges of all suppliers reach, without a limit, which the SQL above cannot follow."""
+    e = _t(spark, d, "supplier").select(F.col("s_suppkey").alias("a"), F.expr("CASE WHEN s_suppkey % 10 = 0 THEN s_suppkey div 2 + 1 ELSE s_suppkey - 1 END").cast("long").alias("b"), (F.lit(1.0) + F.col("s_nationkey")).alias("w"))
+    return graph.shortest_paths(e, spark.range(1, 2).withColumnRenamed("id", "node"))
+
+
 @_query("""
 WITH m AS (SELECT o_orderstatus, CAST(count(*) AS DOUBLE) AS n, round(sum(o_totalprice), 2) AS total, max(o_totalprice) AS largest FROM orders GROUP BY 1), u AS (UNPIVOT m ON n, total, largest INTO NAME metric VALUE value),
 w AS (SELECT metric, max(value) FILTER (o_orderstatus = 'F') AS first_value, max(value) FILTER (o_orderstatus = 'O') AS second_value FROM u GROUP BY metric)
