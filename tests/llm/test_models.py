@@ -207,3 +207,13 @@ def test_sharding_deals_whole_groups():
         rows = sum(size * (hi - lo) for size, lo, hi, _ in spans)
         assert min(left) >= 0 and rows + sum(left) == 401 and rows + lost == 973 and max(left) < 2
         assert sum(hi - lo for size, lo, hi, _ in spans if size == 7) == 20
+
+
+def test_toxicity_rejects_rows_not_ids(spark, docs):
+    rng = random.Random(12)
+    text = lambda bad: " ".join(rng.choice(["vile", "scum", "filth"] if bad and rng.random() < 0.5 else ["tree", "lake", "road", "hill", "bird"]) for _ in range(30))
+    rows = [(i, text(i % 2)) for i in range(300)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(300)], "doc_id long, toxic int")
+    extra = [(None, text(1)), (None, text(0)), (900, text(1)), (900, text(0))]
+    kept = sorted(((r.doc_id, r.text) for r in toxicity.reject(docs(rows + extra), labels).collect() if r.doc_id is None or r.doc_id == 900), key=str)
+    assert kept == sorted([extra[1], extra[3]], key=str)

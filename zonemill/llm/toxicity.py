@@ -193,31 +193,47 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1500, clean_factor:
     return train([r[2] for r in rows], np.array([r[1] for r in rows]))
 
 
+def _scores(model: Model, coder: Encoder, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, np.ndarray]]:
+    """(doc_ids, scores) of the rows in their order."""
+    for ids, texts in blocks(batches):
+        parts = [coder.number(t) for t in texts]
+        coder.settle()
+        numbers = coder.ids.view(np.float32)
+        logits = np.array([model.logit(numbers[np.unique(p)]) for p in parts])
+        yield ids, 1 / (1 + np.exp(-np.clip(logits, -60, 60)))
+        del numbers, parts
+        if len(coder.book) > BOOK_PIECES:
+            coder.empty()
+
+
+def _coder(model: Model) -> Encoder:
+    def values(new: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        return model.words(new).view(np.int32), np.arange(len(new) + 1)
+
+    return Encoder(split, values)
+
+
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, score, predicted for every row, from the whole text alone. A null text is empty, and an empty
     text has the score of no words. Repeated rows are scored each; an empty table gives an empty result."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def values(new: list[str]) -> tuple[np.ndarray, np.ndarray]:
-            return model.words(new).view(np.int32), np.arange(len(new) + 1)
-
-        coder = Encoder(split, values)
-        for ids, texts in blocks(batches):
-            parts = [coder.number(t) for t in texts]
-            coder.settle()
-            numbers = coder.ids.view(np.float32)
-            logits = np.array([model.logit(numbers[np.unique(p)]) for p in parts])
-            scores = 1 / (1 + np.exp(-np.clip(logits, -60, 60)))
+        for ids, scores in _scores(model, _coder(model), batches):
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(scores)], ["doc_id", "score"])
-            del numbers, parts
-            if len(coder.book) > BOOK_PIECES:
-                coder.empty()
 
     scored = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
     return scored.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def reject(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs without those whose score is 0.5 or more."""
-    bad = score(docs, fit(docs, labels)).filter("predicted = 1").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(bad, docs["doc_id"] == F.col("_id"), "left_anti")
+    """docs without those rows whose own score is 0.5 or more, whatever their doc_id."""
+    model = fit(docs, labels)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = _coder(model)
+        for batch in batches:
+            if batch.num_rows:
+                scores = np.concatenate([x for _, x in _scores(model, coder, iter([batch]))])
+                yield batch.filter(pa.array(scores < 0.5))
+
+    return docs.mapInArrow(run, docs.schema)
