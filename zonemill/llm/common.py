@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: What separates words: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
@@ -54,14 +60,53 @@ def forget(df: DataFrame) -> None:
         folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
-def salts_for(rows: int, keys: int = 1) -> int:
-    """How many parts a key's rows are ranked in: at least 1,024 groups in all, and some 50,000 rows in a group at most."""
-    return max(-(-1024 // keys), rows // 50_000, 16)
+@functools.cache
+def _libc() -> ctypes.CDLL | None:
+    """The C library, told once for each worker to map arrays of 1 MB and more, which go back when they are freed."""
+    try:
+        libc = ctypes.CDLL("libc.so.6")
+        libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
+        return libc
+    except (OSError, AttributeError):
+        return None
+
+
+def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
+    """mapInArrow whose tasks give back at their end what memory they have freed, as workers live on between tasks."""
+
+    def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        libc = _libc()
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        if libc:
+            libc.malloc_trim(0)
+
+    return df.mapInArrow(tidy, schema)
+
+
+def part_rows(total: int) -> int:
+    """How many rows of one key are ranked in one group: so few that a key with all rows has 1,024 groups, and 50,000 at most."""
+    return max(1, min(50_000, total // 1024))
+
+
+def salts_for(rows: int, total: int) -> int:
+    """How many parts a key with ``rows`` of the ``total`` rows is ranked in."""
+    return max(1, -(-rows // part_rows(total)))
+
+
+def unused(name: str, *frames: DataFrame) -> str:
+    """A column name that none of the frames has."""
+    taken = {c.lower() for f in frames for c in f.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
-def _salted(df: DataFrame, keys: list[str], order: list[str], salts: int) -> tuple[DataFrame, DataFrame]:
+def _salted(df: DataFrame, keys: list[str], order: list[str], salts: int | Column) -> tuple[DataFrame, DataFrame]:
     """Rows with ``_salt`` and ``_r`` (rank from 0 in key and salt), and per key and salt the ranks before it."""
-    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(salts)).cast("int"))
+    salts = salts if isinstance(salts, Column) else F.lit(salts)
+    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*order), salts).cast("int"))
     # Dealt by key and salt here: rows that already lie by key would else be ranked where they lie, a hot key in one task.
     salted = salted.repartition(*keys, "_salt")
     sizes = salted.groupBy(*keys, "_salt").agg(F.count(F.lit(1)).alias("_n"))
@@ -71,15 +116,15 @@ def _salted(df: DataFrame, keys: list[str], order: list[str], salts: int) -> tup
     return salted.withColumn("_r", F.row_number().over(here).cast("long") - 1), starts
 
 
-def with_rank(df: DataFrame, keys: list[str], order: list[str], salts: int, name: str = "rank") -> DataFrame:
+def with_rank(df: DataFrame, keys: list[str], order: list[str], salts: int | Column, name: str = "rank") -> DataFrame:
     """Adds each row's rank from 0 within its keys (which may not be null), gapless. A key with any share of all rows
-    is ranked in ``salts`` parts, so that no task holds all of it."""
+    is ranked in ``salts`` parts (a column: as many as its own count asks for), so that no task holds all of it."""
     salted, starts = _salted(df, keys, order, salts)
     out = salted.join(starts.drop("_n"), [*keys, "_salt"])
     return out.withColumn(name, F.col("_start") + F.col("_r")).drop("_salt", "_r", "_start")
 
 
-def deal_by_rank(df: DataFrame, keys: list[str], order: list[str], spans: DataFrame, salts: int, rank: str | None = None) -> DataFrame:
+def deal_by_rank(df: DataFrame, keys: list[str], order: list[str], spans: DataFrame, salts: int | Column, rank: str | None = None) -> DataFrame:
     """Gives each row the columns of the span of ``spans`` (keys, lo, hi, ...) in which its rank within its keys lies
     (lo inclusive, hi exclusive), and, if named, the rank itself. Spans of a key may not overlap in what they add; a rank
     in no span loses its row, so callers cover all ranks. Spans are first cut to the salted parts of the ranking, which

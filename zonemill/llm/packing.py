@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe_arrays import ByteBPE
-from .common import deal_by_rank, keep, salts_for
+from .common import deal_by_rank, keep, map_arrow, salts_for
 from .token_blocks import BOOK_PIECES, Encoder, blocks
 
 
@@ -81,13 +81,16 @@ def pack(pieces: DataFrame, size: int = 2048, key: str = "doc_id") -> DataFrame:
     """Adds sequence_id and offset to pieces (``key``, start, length, ...), each length between 1 and size. Pieces that
     fill a sequence have one of their own; sequence ids are gapless from 0. An empty table stays empty."""
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
-    total = sum(counts.values())
+    every, total = dict(counts), sum(counts.values())
     table = spans_of([((size,), counts.pop(size))] if size in counts else [])
     first = table[0][2] if table else 0
     table += spans_of(pack_lengths(counts, size), first)
     spans = pieces.sparkSession.createDataFrame(table, "length long, lo long, hi long, first_sequence long, offset long")
     spans = spans.withColumn("span_lo", F.col("lo"))
-    dealt = deal_by_rank(pieces, ["length"], [key, "start"], spans, salts_for(total, max(1, len(counts))), rank="piece_rank")
+    # One row for each length, so ``size`` rows at most.
+    salts = pieces.sparkSession.createDataFrame([(x, salts_for(n, total)) for x, n in every.items()], "length long, _salts int")
+    pieces = pieces.join(F.broadcast(salts), "length")
+    dealt = deal_by_rank(pieces, ["length"], [key, "start"], spans, F.col("_salts"), rank="piece_rank").drop("_salts")
     return dealt.withColumn("sequence_id", F.col("first_sequence") + F.col("piece_rank") - F.col("span_lo")).drop("first_sequence", "span_lo", "piece_rank")
 
 
@@ -156,7 +159,7 @@ def cut(docs: DataFrame, file: str, size: int = 2048, end_id: int = 1) -> DataFr
             if len(coder.book) > BOOK_PIECES:
                 coder.empty()
 
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
+    return map_arrow(docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text"), run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
 
 
 def pack_documents(docs: DataFrame, file: str, size: int = 2048, end_id: int = 1) -> DataFrame:

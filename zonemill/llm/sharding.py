@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import deal_by_rank, forget, keep, salts_for, with_rank
+from .common import deal_by_rank, forget, keep, part_rows, salts_for, with_rank
 
 
 def _round(state: DataFrame, free: list[int], parts: int) -> DataFrame:
@@ -94,18 +94,20 @@ def _whole(sizes: list[tuple[int, int]], rooms: list[int], tight: bool) -> tuple
     return spans, left.tolist(), lost
 
 
-def _start(groups: DataFrame, quotas: list[int], salts: int) -> DataFrame:
+def _start(groups: DataFrame, quotas: list[int], total: int) -> DataFrame:
     """(grp, shard, n) of groups no larger than a shard. The driver gets the histogram of sizes, of which there are at most
     as many as the root of twice the rows, and the groups that fit nowhere whole, fewer than shards."""
     spark = groups.sparkSession
     sizes = [(r["group_rows"], r["count"]) for r in groups.groupBy("group_rows").count().collect()]
+    salts = spark.createDataFrame([(size, salts_for(count, total)) for size, count in sizes], "group_rows long, _salts int")
+    groups = groups.join(F.broadcast(salts), "group_rows")
     spans, rooms, lost = min((_whole(sizes, quotas, tight) for tight in (False, True)), key=lambda x: x[2])
     placed = Counter()
     for size, lo, hi, _ in spans:
         placed[size] += hi - lo
     spans += [(size, placed[size], count, -1) for size, count in sizes if placed[size] < count]
     spans = spark.createDataFrame(spans, "group_rows long, lo long, hi long, shard int")
-    dealt = keep(deal_by_rank(groups, ["group_rows"], ["grp"], spans, salts), "shard-start")
+    dealt = keep(deal_by_rank(groups, ["group_rows"], ["grp"], spans, F.col("_salts")), "shard-start")
     cut = []
     for r in dealt.filter("shard < 0").orderBy(F.col("group_rows").desc(), "grp").collect() if lost else []:
         rest = r["group_rows"]
@@ -142,11 +144,11 @@ def shard_documents(docs: DataFrame, n_shards: int = 40) -> DataFrame:
     laid, quotas = _over_fewest([r["group_rows"] for r in large], quotas)
     fixed = meta.sparkSession.createDataFrame([(large[g]["grp"], s, n) for g, s, n in laid], "grp string, shard int, n long")
     small = groups.join(F.broadcast(fixed.select("grp").distinct()), "grp", "left_anti")
-    state = keep(_start(small, quotas, salts_for(total)).withColumn("moved", F.lit(0).cast("long")), "shard-state")
+    state = keep(_start(small, quotas, total).withColumn("moved", F.lit(0).cast("long")), "shard-state")
     loads = _loads(state)
     while True:
         free = [q - loads.get(s, (0, 0))[0] for s, q in enumerate(quotas)]
-        later = keep(_round(state.drop("moved"), free, salts_for(total, n_shards)), "shard-state")
+        later = keep(_round(state.drop("moved"), free, salts_for(total // n_shards + 1, total)), "shard-state")
         loads = _loads(later)
         forget(state)
         state = later
@@ -157,15 +159,17 @@ def shard_documents(docs: DataFrame, n_shards: int = 40) -> DataFrame:
     state = state.select("grp", "shard", "n").unionByName(fixed)
     spans = state.withColumn("hi", F.sum("n").over(w)).select("grp", (F.col("hi") - F.col("n")).alias("lo"), "hi", "shard")
     linked = meta.join(groups.select("grp", "group_rows"), "grp")
-    linked = deal_by_rank(linked, ["grp"], ["doc_id"], spans, salts_for(total, max(1, total // 50)))
+    # A group is ranked in as many parts as its own rows ask for.
+    own = F.ceil(F.col("group_rows") / part_rows(total)).cast("int")
+    linked = deal_by_rank(linked, ["grp"], ["doc_id"], spans, own)
     free = [q - loads.get(s, (0, 0))[0] for s, q in enumerate(quotas)]
     ends = [sum(free[: s + 1]) for s in range(n_shards)]
     rest = [(0, e - f, e, s) for s, (f, e) in enumerate(zip(free, ends, strict=True)) if f > 0]
     room = meta.sparkSession.createDataFrame(rest, "one int, lo long, hi long, shard int")
     single = meta.join(groups.select("grp"), "grp", "left_anti").withColumns({"one": F.lit(0), "group_rows": F.lit(1).cast("long")})
-    single = deal_by_rank(single, ["one"], ["doc_id", "grp"], room, salts_for(total)).drop("one")
+    single = deal_by_rank(single, ["one"], ["doc_id", "grp"], room, salts_for(total, total)).drop("one")
     dealt = keep(linked.select(*single.columns).unionByName(single), "shard-dealt")
-    out = with_rank(dealt, ["shard"], ["doc_id", "grp"], salts_for(total, n_shards), "slot")
+    out = with_rank(dealt, ["shard"], ["doc_id", "grp"], salts_for(total // n_shards + 1, total), "slot")
     return out.select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "group_rows"
     )
