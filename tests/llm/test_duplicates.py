@@ -160,3 +160,14 @@ def test_top_k(spark):
         best = sorted((-int(sum(a * b for a, b in zip(good[q], v, strict=True))), i) for i, v in good.items() if i != q and len(v) == len(good[q]))[:20]
         assert sorted(got[q]) == [(n + 1, i, -s) for n, (s, i) in enumerate(best)]
     assert topk.top_k(df.filter("vec_id < 0"), F.col("vec_id") % 20 == 0).count() == 0
+
+
+def test_repeated_passages_with_any_id(spark, docs):
+    text, top = " ".join(f"w{i}" for i in range(30)), 2**63 - 1
+    for low, high in ((-9, -2), (2, 9), (-(2**63), top)):
+        df = docs([(low, text), (high, text)]).repartition(2)
+        assert {r.doc_id: r.n_removed for r in substrings.removal_digests(df).collect()} == {low: 0, high: 30}
+    other = text + " and more"
+    rows = [(5, text), (5, other), (None, text), (8, other), (8, "short")]
+    got = {(r.doc_id, r.n_words): r.n_removed for r in substrings.removal_digests(docs(rows)).collect()}
+    assert got == {(5, 30): 0, (5, 32): 0, (None, 30): 0, (8, 32): 32, (8, 1): 0}

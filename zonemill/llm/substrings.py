@@ -21,14 +21,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep
+from .common import keep, map_arrow, unused
 from .token_blocks import BLOCK_BYTES, Book
 
 _WORDS = 300_000
-_LAST = np.iinfo(np.int64).max
+#: Buckets in a shuffle partition, answers held at once, bytes of input for a partition, and those that no known input reaches.
+_SUB, _ANSWERS, _PART_BYTES, _KNOWN_BYTES = 4, 1 << 22, 32 << 20, 1 << 55
 _SPLIT = re.compile(rb"([\x20\x09-\x0D]+)")
 
 
@@ -102,25 +103,32 @@ def _values(data: bytes, width: int) -> np.ndarray:
     return out.view("<u8").reshape(-1)
 
 
-_BLOB = "bucket int, docs binary, hash binary, doc binary, place binary, told_doc binary, told_place binary"
+_BLOB = "bucket int, ids binary, keys binary, hash binary, doc binary, place binary, told_doc binary, told_place binary"
+_FOUND = "bucket int, ids binary, keys binary, places binary"
 
 
-def _blobs(doc_ids: np.ndarray, owner: np.ndarray, place: np.ndarray, hashes: np.ndarray, width: int, buckets: int, earlier: bool) -> pa.RecordBatch:
+def _first_of(h: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1]))) if len(h) else np.empty(0, np.int64)
+
+
+def _blobs(doc_ids: np.ndarray, keys: np.ndarray, owner: np.ndarray, place: np.ndarray, hashes: np.ndarray, width: int, buckets: int, earlier: bool) -> pa.RecordBatch:
     """What a block sends: windows (their text's number in the block, place in the text, hash) by bucket.
 
     earlier: told are the windows that a smaller doc_id of the block has too; asked are those of the block's smallest.
-    Otherwise told are the windows of two or more documents, which also send one entry without an asker.
+    Otherwise told are the windows of two or more doc_ids, which also send one entry without an asker: its text's number is
+    the one behind the last.
     """
-    order = np.lexsort((doc_ids[owner], hashes))
+    order = np.argsort(hashes, kind="stable")
     owner, place, hashes = owner[order], place[order], hashes[order]
-    ids = doc_ids[owner]
-    begin = np.flatnonzero(np.concatenate(([True], hashes[1:] != hashes[:-1]))) if len(hashes) else np.empty(0, np.int64)
+    ids, begin = doc_ids[owner], _first_of(hashes)
     lens = np.diff(np.append(begin, len(hashes)))
+    low = np.minimum.reduceat(ids, begin) if len(begin) else ids
+    silent = np.zeros(len(ids), bool)
     if earlier:
-        told, silent = ids > np.repeat(ids[begin], lens), np.zeros(len(ids), bool)
+        told = ids > np.repeat(low, lens)
     else:
-        several = ids[begin] != ids[begin + lens - 1] if len(begin) else np.empty(0, bool)
-        told, silent = np.repeat(several, lens), np.zeros(len(ids), bool)
+        several = low != (np.maximum.reduceat(ids, begin) if len(begin) else ids)
+        told = np.repeat(several, lens)
         silent[begin[several]] = True
     ask = ~told | silent
     asked_doc = np.where(silent, len(doc_ids), owner)[ask]
@@ -134,136 +142,157 @@ def _blobs(doc_ids: np.ndarray, owner: np.ndarray, place: np.ndarray, hashes: np
     t_to = ((t_doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + doc_ids[t_doc].astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
     by = np.lexsort((t_place, t_doc, t_to))
     t_to, t_doc, t_place = t_to[by], t_doc[by], t_place[by]
-    cols: list[list] = [[] for _ in range(7)]
+    cols: list[list] = [[] for _ in range(8)]
     cut, t_cut = np.searchsorted(to, np.arange(buckets + 1)), np.searchsorted(t_to, np.arange(buckets + 1))
     for b in range(buckets):
         i, j, k, m = cut[b], cut[b + 1], t_cut[b], t_cut[b + 1]
         if i == j and k == m:
             continue
         near, far = np.unique(np.concatenate((asked_doc[i:j], t_doc[k:m])), return_inverse=True)
-        names = np.append(doc_ids, _LAST)[near]
-        if len(near) and near[-1] == len(doc_ids):
-            names[-1] = -1 - len(names)  # the entry without an asker
-        row = (b, names.astype("<i8").tobytes(), _planes(h[i:j], width), _planes(far[: j - i], 4), _planes(p[i:j], 4), _planes(far[j - i :], 4), _planes(t_place[k:m], 4))
+        near = near[near < len(doc_ids)]
+        row = (b, doc_ids[near].astype("<i8").tobytes(), keys[near].astype("<i8").tobytes(), _planes(h[i:j], width), _planes(far[: j - i], 4), _planes(p[i:j], 4), _planes(far[j - i :], 4), _planes(t_place[k:m], 4))
         for c, x in zip(cols, row, strict=True):
             c.append(x)
-    kinds = [pa.int32()] + [pa.binary()] * 6
+    kinds = [pa.int32()] + [pa.binary()] * 7
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], [x.split()[0] for x in _BLOB.split(", ")])
 
 
-def _answers(width: int, earlier: bool, buckets: int):
-    """Reads all of a partition's blobs and tells which places repeat: one value for each bucket of documents, so that the
-    rows are as many as buckets, not as documents and places."""
+def _repeats(rows: list[dict], width: int, earlier: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """doc_id, text key and place of what repeats among the blobs of one bucket, and of what they tell."""
+    parts: list[list] = [[] for _ in range(8)]
+    for r in rows:
+        ids, keys = np.frombuffer(r["ids"], "<i8"), np.frombuffer(r["keys"], "<i8")
+        doc, told = _values(r["doc"], 4).astype(np.int64), _values(r["told_doc"], 4).astype(np.int64)
+        silent = doc == len(ids)
+        ids, keys = np.append(ids, 0), np.append(keys, 0)
+        found = (_values(r["hash"], width), ids[doc], keys[doc], _values(r["place"], 4).astype(np.int32), silent, ids[told], keys[told], _values(r["told_place"], 4).astype(np.int32))
+        for c, x in zip(parts, found, strict=True):
+            c.append(x)
+    h, d, k, p, s, *told = (np.concatenate(c) for c in parts)
+    order = np.argsort(h, kind="stable")
+    h, d, k, p, s = h[order], d[order], k[order], p[order], s[order]
+    begin = _first_of(h)
+    if len(begin):
+        lens, low = np.diff(np.append(begin, len(h))), np.minimum.reduceat(d, begin)
+        yes = d > np.repeat(low, lens) if earlier else np.repeat((low != np.maximum.reduceat(d, begin)) | np.logical_or.reduceat(s, begin), lens) & ~s
+        d, k, p = d[yes], k[yes], p[yes]
+    return tuple(np.concatenate(x) for x in zip((d, k, p), told, strict=True))
+
+
+def _answers(width: int, earlier: bool, doc_buckets: int):
+    """Reads a partition's blobs bucket by bucket (they are sorted) and tells which places repeat: a value for each bucket of
+    documents, so that the rows are as many as buckets, not as documents and places."""
+
+    def packed(found: list[tuple]) -> Iterator[pa.RecordBatch]:
+        d, k, p = (np.concatenate(x) for x in zip(*found, strict=True))
+        to = ((d.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)) % np.uint64(doc_buckets)
+        order = np.lexsort((p, k, d, to))
+        d, k, p, to = d[order], k[order], p[order], to[order].astype(np.int64)
+        cut = np.searchsorted(to, np.arange(doc_buckets + 1))
+        rows = [(b, d[i:j].astype("<i8").tobytes(), k[i:j].astype("<i8").tobytes(), p[i:j].astype("<i4").tobytes()) for b, i, j in zip(range(doc_buckets), cut, cut[1:], strict=False) if j > i]
+        for a in range(0, len(rows), 64):
+            cols = zip(*rows[a : a + 64], strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(cols, [pa.int32()] + [pa.binary()] * 3, strict=True)], [x.split()[0] for x in _FOUND.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, docs, places, blob, silent, told_docs, told_places, n = [], [], [], [], [], [], [], 0
+        now, held, found, n = None, [], [], 0
         for batch in batches:
-            for r in batch.to_pylist():
-                names = np.frombuffer(r["docs"], "<i8")
-                doc = _values(r["doc"], 4).astype(np.int64)
-                none = names[-1] == -1 - len(names) if len(names) else False
-                docs.append(names[doc])
-                silent.append(doc == len(names) - 1 if none else np.zeros(len(doc), bool))
-                hashes.append(_values(r["hash"], width))
-                places.append(_values(r["place"], 4).astype(np.int32))
-                blob.append(np.full(len(doc), n, np.int32))
-                told_docs.append(names[_values(r["told_doc"], 4).astype(np.int64)])
-                told_places.append(_values(r["told_place"], 4).astype(np.int32))
-                n += 1
-        if not n:
-            return
-        h, d, p, s, b = (np.concatenate(x) for x in (hashes, docs, places, silent, blob))
-        hashes, docs, places = [], [], []
-        order = np.lexsort((d, h)) if earlier else np.argsort(h, kind="stable")
-        h, d, p, s, b = h[order], d[order], p[order], s[order], b[order]
-        begin = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1]))) if len(h) else np.empty(0, np.int64)
-        lens = np.diff(np.append(begin, len(h)))
-        if earlier:
-            yes = d > np.repeat(d[begin], lens)
-        elif len(begin):
-            several = (np.minimum.reduceat(b, begin) != np.maximum.reduceat(b, begin)) | np.logical_or.reduceat(s, begin)
-            yes = np.repeat(several, lens) & ~s
-        else:
-            yes = np.empty(0, bool)
-        d, p = np.concatenate((d[yes], *told_docs)), np.concatenate((p[yes], *told_places))
-        to = ((d.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)) % np.uint64(buckets)
-        order = np.lexsort((p, d, to))
-        d, p, to = d[order], p[order], to[order].astype(np.int64)
-        cut = np.searchsorted(to, np.arange(buckets + 1))
-        rows = [(k, d[i:j].astype("<i8").tobytes(), p[i:j].astype("<i4").tobytes()) for k, i, j in zip(range(buckets), cut, cut[1:], strict=False) if j > i]
-        for a in range(0, len(rows), 64):
-            cols = zip(*rows[a : a + 64], strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int32(), pa.binary(), pa.binary()), strict=True)], ["bucket", "docs", "places"])
+            for i in range(batch.num_rows):
+                r = {name: batch.column(k)[i].as_py() for k, name in enumerate(batch.schema.names)}
+                if r["bucket"] != now and held:
+                    found.append(_repeats(held, width, earlier))
+                    held, n = [], n + len(found[-1][0])
+                    if n > _ANSWERS:
+                        yield from packed(found)
+                        found, n = [], 0
+                now = r["bucket"]
+                held.append(r)
+        if held:
+            found.append(_repeats(held, width, earlier))
+        if found:
+            yield from packed(found)
 
     return run
 
 
 def _by_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """All answers for a bucket of documents to one row for each of them."""
-    docs, places = [], []
+    cols: list[list] = [[], [], []]
     for batch in batches:
-        docs += [np.frombuffer(x, "<i8") for x in batch.column("docs").to_pylist()]
-        places += [np.frombuffer(x, "<i4") for x in batch.column("places").to_pylist()]
-    if not docs:
+        for c, name, kind in zip(cols, ("ids", "keys", "places"), ("<i8", "<i8", "<i4"), strict=True):
+            c += [np.frombuffer(x, kind) for x in batch.column(name).to_pylist()]
+    if not cols[0]:
         return
-    d, p = np.concatenate(docs), np.concatenate(places)
-    order = np.argsort(d, kind="stable")
-    d, p = d[order], p[order]
-    begin = np.flatnonzero(np.concatenate(([True], d[1:] != d[:-1])))
+    d, k, p = (np.concatenate(c) for c in cols)
+    cols.clear()
+    order = np.lexsort((k, d))
+    d, k, p = d[order], k[order], p[order]
+    begin = np.flatnonzero(np.concatenate(([True], (d[1:] != d[:-1]) | (k[1:] != k[:-1]))))
     ends = np.append(begin[1:], len(d))
     for a in range(0, len(begin), 5000):
         part = [p[i:j].tobytes() for i, j in zip(begin[a : a + 5000], ends[a : a + 5000], strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array(d[begin[a : a + 5000]]), pa.array(part, pa.binary())], ["doc_id", "places"])
+        at = begin[a : a + 5000]
+        yield pa.RecordBatch.from_arrays([pa.array(d[at]), pa.array(k[at]), pa.array(part, pa.binary())], ["doc_id", "key", "places"])
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], extra: str | None = None) -> Iterator[tuple[np.ndarray, list, list]]:
-    ids, texts, more, size = [], [], [], 0
+def _blocks(batches: Iterator[pa.RecordBatch], extra: str | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, list, list]]:
+    """(doc_ids, text keys, texts, extra values) of at most some BLOCK_BYTES; a longer text stands alone."""
+    ids, keys, texts, more, size = [], [], [], [], 0
     for batch in batches:
-        cols = [batch.column("doc_id"), batch.column("text"), batch.column(extra) if extra else None]
+        cols = [batch.column("doc_id"), batch.column("key"), batch.column("text"), batch.column(extra) if extra else None]
         for i in range(batch.num_rows):
-            t = cols[1][i].as_py()
+            t = cols[2][i].as_py()
             if texts and size + len(t or "") > BLOCK_BYTES:
-                yield np.array(ids, np.int64), texts, more
-                ids, texts, more, size = [], [], [], 0
-            doc_id = cols[0][i].as_py()
-            ids.append(_LAST if doc_id is None else doc_id)
+                yield np.array(ids, np.int64), np.array(keys, np.int64), texts, more
+                ids, keys, texts, more, size = [], [], [], [], 0
+            ids.append(cols[0][i].as_py())
+            keys.append(cols[1][i].as_py())
             texts.append(t)
-            more.append(cols[2][i].as_py() if extra else None)
+            more.append(cols[3][i].as_py() if extra else None)
             size += len(t or "")
     if texts:
-        yield np.array(ids, np.int64), texts, more
+        yield np.array(ids, np.int64), np.array(keys, np.int64), texts, more
 
 
-def _buckets(docs: DataFrame) -> int:
-    return max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+def _partitions(docs: DataFrame) -> int:
+    """Partitions of the shuffles between blocks: as the session has them, and more where the input's files ask for it. An
+    input of unknown size counts as 2^63 bytes with the planner; it gets what the session has."""
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // _PART_BYTES if size < _KNOWN_BYTES else 0)
 
 
-def _settle(sent: DataFrame, buckets: int, width: int, earlier: bool, name: str) -> DataFrame:
+def _settle(sent: DataFrame, parts: int, width: int, earlier: bool, name: str) -> DataFrame:
     """Deals the blobs out and keeps the answers, one row for each document."""
-    told = sent.repartition(buckets, "bucket").mapInArrow(_answers(width, earlier, buckets), "bucket int, docs binary, places binary")
-    return keep(told.repartition(buckets, "bucket").mapInArrow(_by_document, "doc_id long, places binary"), name)
+    told = map_arrow(sent.repartition(parts, "bucket").sortWithinPartitions("bucket"), _answers(width, earlier, parts), _FOUND)
+    return keep(map_arrow(told.repartition(parts, "bucket"), _by_document, "doc_id long, key long, places binary"), name)
+
+
+def _key(docs: DataFrame) -> Column:
+    return F.xxhash64(F.coalesce(docs["text"], F.lit("")))
 
 
 def _rows(docs: DataFrame) -> DataFrame:
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"])
+    """A row is known by its doc_id and its text's key. Rows without a doc_id neither take nor lose words."""
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"], _key(docs).alias("key"))
 
 
 def _candidates(docs: DataFrame, n: int) -> DataFrame:
-    """First level: (doc_id, places) of half-length windows that two documents hold."""
-    half, buckets = (n + 1) // 2, _buckets(docs)
+    """First level: (doc_id, key, places) of half-length windows that two documents hold."""
+    half, parts = (n + 1) // 2, _partitions(docs)
+    buckets = parts * _SUB
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = _Hasher()
-        for ids, texts, _ in _blocks(batches):
+        for ids, keys, texts, _ in _blocks(batches):
             words, starts = hasher.block(texts)
             _, least, hashes = _least(words, starts, n, half)
             least = least[np.concatenate(([True], np.diff(least) > 0))] if len(least) else least
             # Equal on 40 bits is enough to go on.
             h = hashes[least] >> np.uint64(24) << np.uint64(24)
             owner = np.searchsorted(starts, least, "right") - 1
-            yield _blobs(ids, owner, least - starts[owner], h, 5, buckets, earlier=False)
+            yield _blobs(ids, keys, owner, least - starts[owner], h, 5, buckets, earlier=False)
 
-    return _settle(_rows(docs).mapInArrow(send, _BLOB), buckets, 5, False, "substring-candidates")
+    return _settle(map_arrow(_rows(docs).filter("doc_id IS NOT NULL"), send, _BLOB), parts, 5, False, "substring-candidates")
 
 
 def _marked(places: bytes | None, n_words: int) -> np.ndarray:
@@ -274,13 +303,14 @@ def _marked(places: bytes | None, n_words: int) -> np.ndarray:
 
 
 def _level(docs: DataFrame, before: DataFrame, length: int, half: int | None, earlier: bool, name: str) -> DataFrame:
-    """(doc_id, places) of windows of ``length`` words that repeat. before: places of the level before; half: its length if
+    """(doc_id, key, places) of windows of ``length`` words that repeat. before: places of the level before; half: its length if
     these are least half-length windows, else the places are all starts of windows of length // 2 words that repeat."""
-    buckets = _buckets(docs)
+    parts = _partitions(docs)
+    buckets = parts * _SUB
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = _Hasher()
-        for ids, texts, places in _blocks(batches, "places"):
+        for ids, keys, texts, places in _blocks(batches, "places"):
             words, starts = hasher.block(texts)
             on = np.concatenate([_marked(p, n)[:n] for p, n in zip(places, np.diff(starts).tolist(), strict=True)]) if len(ids) else np.empty(0, bool)
             if half:
@@ -291,14 +321,14 @@ def _level(docs: DataFrame, before: DataFrame, length: int, half: int | None, ea
                 at = at[on[at] & on[at + length // 2]]
             hashes = _windows(words, length)
             owner = np.searchsorted(starts, at, "right") - 1
-            yield _blobs(ids, owner, at - starts[owner], hashes[at] if len(at) else hashes[:0], 8, buckets, earlier)
+            yield _blobs(ids, keys, owner, at - starts[owner], hashes[at] if len(at) else hashes[:0], 8, buckets, earlier)
 
-    sent = _rows(docs).join(before, "doc_id").select("doc_id", "text", "places").mapInArrow(send, _BLOB)
-    return _settle(sent, buckets, 8, earlier, name)
+    sent = map_arrow(_rows(docs).join(before, ["doc_id", "key"]).select("doc_id", "key", "text", "places"), send, _BLOB)
+    return _settle(sent, parts, 8, earlier, name)
 
 
 def later_windows(docs: DataFrame, n: int = 13) -> DataFrame:
-    """(doc_id, places): starts of windows of n words that also begin in a document with a smaller doc_id."""
+    """(doc_id, key, places): starts of windows of n words that also begin in a document with a smaller doc_id."""
     return _level(docs, _candidates(docs, n), n, (n + 1) // 2, True, "substring-later")
 
 
@@ -326,8 +356,8 @@ def removal_digests(docs: DataFrame, n: int = 13) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 (of the kept words joined by one space) for every row.
 
     Removed is each word inside a window of n words that also begins in a document with a smaller doc_id, judged on the
-    input. A null or short text loses nothing. Rows that repeat a document keep alike; a null doc_id is smaller than none
-    and such rows keep all words. Rows with one doc_id must have one text."""
+    input. A null or short text loses nothing. Rows that repeat a document keep alike. Rows with one doc_id and different
+    texts are judged each, and take no words from each other. Rows without a doc_id keep all words and take none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -343,8 +373,8 @@ def removal_digests(docs: DataFrame, n: int = 13) -> DataFrame:
             cols = [pa.array(c, k) for c, k in zip(out, (pa.int64(), pa.int64(), pa.string()), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *cols], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    joined = _rows(docs).join(later_windows(docs, n), "doc_id", "left")
-    return joined.select("doc_id", "text", "places").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    joined = _rows(docs).join(later_windows(docs, n), ["doc_id", "key"], "left")
+    return map_arrow(joined.select("doc_id", "text", "places"), run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def remove_repeats(docs: DataFrame, n: int = 13) -> DataFrame:
@@ -367,6 +397,7 @@ def remove_repeats(docs: DataFrame, n: int = 13) -> DataFrame:
             cols = [pa.array(texts, pa.string()) if i == at else batch.column(i) for i in range(batch.num_columns - 1)]
             yield pa.RecordBatch.from_arrays(cols, names=batch.schema.names[:-1])
 
-    later = later_windows(docs, n).select(F.col("doc_id").alias("_id"), F.col("places").alias("_places"))
-    joined = docs.join(later, docs["doc_id"].cast("long") == F.col("_id"), "left").drop("_id")
-    return joined.mapInArrow(run, docs.schema)
+    _id, key, places = (unused(x, docs) for x in ("_id", "_key", "_places"))
+    later = later_windows(docs, n).toDF(_id, key, places)
+    joined = docs.join(later, (docs["doc_id"].cast("long") == later[_id]) & (_key(docs) == later[key]), "left").drop(_id, key)
+    return map_arrow(joined, run, docs.schema)
