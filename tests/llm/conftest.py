@@ -10,7 +10,7 @@ def docs(spark):
         if clash:
             from pyspark.sql import functions as F
 
-            for name in ("fp", "places", "length", "rank", "shard", "_salt", "grp", "bucket", "score", "stratum", "start"):
+            for name in ("fp", "places", "length", "rank", "shard", "_salt", "grp", "bucket", "score", "stratum", "start", "_id", "_key", "_places", "_toxic", "key", "node", "size", "least", "bands", "_n", "_r"):
                 df = df.withColumn(name, F.lit("x"))
         return df
 

@@ -38,6 +38,11 @@ def tagger():
     return pii.train(["Then the ordering of it was there, and more came on after that 12 times in 1999. " * 4] * 20, steps=200)
 
 
+def test_base_spans_of_long_numbers():
+    assert pii.base_spans("0" * 5000 + ".1.1.1") == [(0, 1, 5006)]
+    assert pii.base_spans("1" * 5000 + ".1.1.1") == []
+
+
 def test_tagger_finds_other_forms(tagger):
     rng = np.random.default_rng(1)
     hits = Counter()

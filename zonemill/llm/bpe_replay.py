@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .bpe_arrays import PairTable
+from .common import map_arrow
 from .token_blocks import BOOK_PIECES, Encoder, blocks, gather, ragged, splitter
 
 
@@ -146,7 +147,7 @@ def _run(docs: DataFrame, file: str, pattern: str, schema: str, row) -> DataFram
             if len(coder.book) > BOOK_PIECES:
                 coder.empty()
 
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
+    return map_arrow(docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text"), run, schema)
 
 
 def encode(docs: DataFrame, file: str, pattern: str) -> DataFrame:
@@ -164,7 +165,7 @@ def decode(encoded: DataFrame, file: str) -> DataFrame:
             out = [b"".join([tokens[i] for i in ids or ()]) for ids in batch.column("token_ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.binary())], ["doc_id", "bytes"])
 
-    return encoded.select("doc_id", "token_ids").mapInArrow(run, "doc_id long, bytes binary")
+    return map_arrow(encoded.select("doc_id", "token_ids"), run, "doc_id long, bytes binary")
 
 
 def round_trip_digests(docs: DataFrame, file: str, pattern: str) -> DataFrame:

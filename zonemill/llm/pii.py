@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import map_arrow
 from .tagger import PAD, Tagger, numbers
 
 KINDS = ("email", "ip", "card", "phone")
@@ -60,7 +61,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
         at = text.find("@", max(at + 1, done))
     if _DIGIT.search(text):
         for m in _IP.finditer(text):
-            if all(len(x.lstrip("0")) <= 3 and int(x) <= 255 for x in m[0].split(".")):
+            if all(len(d := x.lstrip("0")) <= 3 and int(d or 0) <= 255 for x in m[0].split(".")):
                 out.append((m.start(), 1, m.end()))
         for m in _CARD.finditer(text):
             if m.end() - m.start() >= 14 and 14 <= len(d := _digits(m[0])) <= 19 and luhn(d):
@@ -115,13 +116,13 @@ def _tagged(text: str, spans: list[tuple[int, int, int]]) -> np.ndarray:
 def fit(docs: DataFrame, sample: int = 300, longest: int = 100_000, made_up: int = 1200, steps: int = 240, seed: int = 11) -> Tagger:
     """Trains on at most ``sample`` documents with a digit or @ and at most ``longest`` characters, those with the least
     hash of doc_id; without any on made-up spans alone."""
-    found = docs.filter(F.col("text").rlike("[0-9@]") & (F.length("text") <= longest))
+    found = docs.select("doc_id", "text").filter(F.col("text").rlike("[0-9@]") & (F.length("text") <= longest))
     # Ids first: a limit over texts would send so many texts of every task to the driver.
     ids = [r["doc_id"] for r in found.filter("doc_id IS NOT NULL").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).collect()]
     if not ids:
         return train([], made_up, steps, seed)
     picked = docs.sparkSession.createDataFrame([(int(i),) for i in ids], "_id long")  # ``sample`` rows at most
-    rows = found.join(F.broadcast(picked), docs["doc_id"] == F.col("_id")).groupBy("_id").agg(F.min("text").alias("text")).collect()
+    rows = found.join(F.broadcast(picked), F.col("doc_id") == F.col("_id")).groupBy("_id").agg(F.min("text").alias("text")).collect()
     return train([r["text"] for r in sorted(rows, key=lambda r: r["_id"])], made_up, steps, seed)
 
 
@@ -240,7 +241,7 @@ def find(docs: DataFrame, model: Tagger) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, len(texts)), *cols], names)
 
     schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
+    return map_arrow(docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text"), run, schema)
 
 
 def mask(docs: DataFrame, model: Tagger) -> DataFrame:
@@ -265,4 +266,4 @@ def mask(docs: DataFrame, model: Tagger) -> DataFrame:
             cols = [pa.array(texts, pa.string()) if i == at else batch.column(i) for i in range(batch.num_columns)]
             yield pa.RecordBatch.from_arrays(cols, names=batch.schema.names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_arrow(docs, run, docs.schema)

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep
+from .common import keep, map_arrow, unused
 from .components import components
 
 SEED, THRESHOLD = 42, 3
@@ -52,7 +52,7 @@ def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
             fps = np.array([fingerprint(text[i].as_py(), words) for i in range(len(text))], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
 
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
+    return map_arrow(docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text"), run, "doc_id long, fp long")
 
 
 def anchors(fps: np.ndarray) -> np.ndarray:
@@ -139,7 +139,7 @@ def links(distinct: DataFrame) -> DataFrame:
                 on = all_ >= 0
                 yield pa.RecordBatch.from_arrays([pa.array(all_[on]), pa.array(np.repeat(own, on.sum(axis=1)).view(np.int64))], ["anchor", "fp"])
 
-    rows = distinct.select("fp").mapInArrow(spread, "anchor long, fp long")
+    rows = map_arrow(distinct.select("fp"), spread, "anchor long, fp long")
     counts = rows.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > CHUNK)
     hot = keep(counts.select("anchor", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks")), "hot-anchors")
     if hot.isEmpty():
@@ -151,7 +151,7 @@ def links(distinct: DataFrame) -> DataFrame:
         rows = rows.select("anchor", "fp", "chunks", F.coalesce(own, F.lit(0)).alias("own"), other.alias("other"))
         split = F.xxhash64("anchor", F.least("own", "other"), F.greatest("own", "other"))
         keyed = rows.select(F.when(F.col("chunks").isNull(), F.col("anchor")).otherwise(split).alias("key"), "fp")
-    return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_compare, "a long, b long")
+    return map_arrow(keyed.repartition("key").sortWithinPartitions("key"), _compare, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
@@ -169,8 +169,11 @@ def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, words: int = 3) -> DataFrame:
-    """docs without those that are linked to a document with a smaller doc_id; of rows that repeat a doc_id one stays, and
-    rows without one all stay."""
-    first = near_duplicates(docs, words).filter("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
-    one = docs.join(first, docs["doc_id"] == F.col("_id"), "left_semi")
-    return one.dropDuplicates(["doc_id"]).unionByName(docs.filter("doc_id IS NULL"))
+    """docs without those that are linked to a document with a smaller doc_id; of rows that repeat a doc_id one with the
+    least key of its text stays, and rows without a doc_id all stay."""
+    key = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
+    _id, text = unused("_id", docs), unused("_key", docs)
+    first = near_duplicates(docs, words).filter("doc_id = component_id").select("doc_id").distinct()
+    first = first.join(docs.select(docs["doc_id"].cast("long").alias("doc_id"), key.alias("key")), "doc_id").groupBy("doc_id").agg(F.min("key").alias("key")).toDF(_id, text)
+    one = docs.join(first, (docs["doc_id"].cast("long") == first[_id]) & (key == first[text]), "left_semi")
+    return one.dropDuplicates(["doc_id"]).unionByName(docs.filter(docs["doc_id"].isNull()))

@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .bpe_arrays import ByteBPE
+from .common import map_arrow
 from .token_blocks import BOOK_PIECES, Encoder, blocks, splitter
 
 
@@ -47,4 +48,4 @@ def count_tokens(docs: DataFrame, file: str, pattern: str, special: str = "<|end
             if len(coder.book) > BOOK_PIECES:
                 coder.empty()
 
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return map_arrow(docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text"), run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import keep
+from .common import keep, map_arrow
 
 SEGMENTS = (1, 4, 16)
 #: Queries that meet a block of candidates at once.
@@ -128,7 +128,7 @@ def _blocked(vectors: DataFrame, rows: int, dealt: int) -> DataFrame:
                     )
                     serial += 1
 
-    out = vectors.repartition(dealt, "vec_id").mapInArrow(run, "dim int, serial int, ids binary, data binary")
+    out = map_arrow(vectors.repartition(dealt, "vec_id"), run, "dim int, serial int, ids binary, data binary")
     return out.withColumn("block", F.xxhash64(F.spark_partition_id(), "serial", "ids"))
 
 
@@ -163,7 +163,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, query_rows: int = 2
     spread = max(1, int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     met = pairs.join(queries.select("block", "ids", "data"), "block").join(keys.drop("dim"), "c_block").repartition(spread, "c_block", "block")
     met = met.select("dim", "block", "ids", "data", "c_ids", "c_data")
-    found = met.mapInArrow(run, "query_id long, vec_id long, score long")
+    found = map_arrow(met, run, "query_id long, vec_id long, score long")
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")

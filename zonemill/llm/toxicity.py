@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import map_arrow
 from .token_blocks import BOOK_PIECES, Encoder, blocks, gather
 
 BUCKETS, DIM, GRAMS, SCALE, NEUTRAL = 1 << 17, 6, (3, 4, 5), 20, 24
@@ -178,7 +179,7 @@ def held_out(doc_id: Column) -> Column:
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1500, clean_factor: int = 2, longest: int = 200_000) -> Model:
     """Trains on a bounded sample: at most ``per_class`` toxic documents and ``clean_factor`` times as many clean ones, those with the least hash of
     doc_id, held-out ids and texts over ``longest`` characters left aside. Contradicting labels of a document are no label."""
-    known = labels.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("toxic").alias("low"), F.max("toxic").alias("high"))
+    known = labels.select("doc_id", "toxic").filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("toxic").alias("low"), F.max("toxic").alias("high"))
     known = known.filter((F.col("low") == F.col("high")) & F.col("low").isin(0, 1) & ~held_out(F.col("doc_id")))
     picked = []
     for c in (0, 1):
@@ -188,7 +189,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1500, clean_factor:
         return train([], np.empty(0))
     spark = docs.sparkSession
     sample = spark.createDataFrame(picked, "_id long, _toxic int")  # (1 + clean_factor) * per_class rows at most
-    found = docs.join(F.broadcast(sample), docs["doc_id"] == F.col("_id")).filter(F.length("text") <= longest)
+    found = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("_id")).filter(F.length("text") <= longest)
     rows = sorted((r["_id"], r["_toxic"], r["text"]) for r in found.groupBy("_id", "_toxic").agg(F.min("text").alias("text")).collect())
     return train([r[2] for r in rows], np.array([r[1] for r in rows]))
 
@@ -221,7 +222,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         for ids, scores in _scores(model, _coder(model), batches):
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(scores)], ["doc_id", "score"])
 
-    scored = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
+    scored = map_arrow(docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text"), run, "doc_id long, score double")
     return scored.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
@@ -236,4 +237,4 @@ def reject(docs: DataFrame, labels: DataFrame) -> DataFrame:
                 scores = np.concatenate([x for _, x in _scores(model, coder, iter([batch]))])
                 yield batch.filter(pa.array(scores < 0.5))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_arrow(docs, run, docs.schema)
