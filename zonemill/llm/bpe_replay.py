@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 
 from .bpe_arrays import PairTable
 from .common import map_arrow
-from .token_blocks import BOOK_PIECES, Encoder, blocks, gather, ragged, splitter
+from .token_blocks import Encoder, blocks, gather, ragged, splitter
 
 
 class RankFile:
@@ -144,8 +144,7 @@ def _run(docs: DataFrame, file: str, pattern: str, schema: str, row) -> DataFram
             cols = [ids, *(list(c) for c in zip(*rows, strict=True))]
             kinds = {"long": pa.int64(), "string": pa.string(), "array<int>": pa.list_(pa.int32()), "binary": pa.binary()}
             yield pa.RecordBatch.from_arrays([pa.array(c, kinds[x.split()[1]]) for c, x in zip(cols, schema.split(", "), strict=True)], names)
-            if len(coder.book) > BOOK_PIECES:
-                coder.empty()
+            coder.retire([np.concatenate(parts)])
 
     return map_arrow(docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text"), run, schema)
 

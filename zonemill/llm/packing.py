@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .bpe_arrays import ByteBPE
 from .common import deal_by_rank, keep, map_arrow, salts_for
-from .token_blocks import BOOK_PIECES, Encoder, blocks
+from .token_blocks import Encoder, blocks
 
 
 def pack_lengths(histogram: dict[int, int], size: int) -> list[tuple[tuple[int, ...], int]]:
@@ -98,44 +98,37 @@ def pack(pieces: DataFrame, size: int = 2048, key: str = "doc_id") -> DataFrame:
 #: left to the tokenizer chunk by chunk.
 _ODD = re.compile("[^\t-\r\x20-ɏ]|<\\|")
 _GAPS = re.compile("[\t-\r ]+")
-_PLAIN = re.compile("([a-zß-öø-ÿ]+)([.,]?)")
+_PLAIN = re.compile("([a-zß-öø-ÿ]+)([!-&(-/:-@[-`{-~]*)")
 
 
 @functools.cache
 def _word_coder(file: str) -> Encoder:
-    """Chunks between white space to ids: plain words by array merging, all others by the library."""
+    """Chunks between white space to ids: plain words and marks behind them by array merging, all others by the library."""
     from tokenizers import Tokenizer
 
     library, bpe = Tokenizer.from_file(file), ByteBPE(file, "</w>")
-    stops = {mark: library.encode(mark, add_special_tokens=False).ids for mark in (".", ",")}
 
     def split(text: str) -> list[str]:
         return _GAPS.split(text) if _ODD.search(text) else text.lower().split()
 
     def encode(new: list[str]) -> tuple[np.ndarray, np.ndarray]:
         found = [_PLAIN.fullmatch(x) for x in new]
-        plain = [m for m in found if m]
-        ids, starts = bpe.encode([m[1].encode() for m in plain]) if plain else (np.empty(0, np.int32), np.zeros(1, np.int64))
-        parts, at = [], 0
-        other = library.encode_batch([x for x, m in zip(new, found, strict=True) if not m], add_special_tokens=False)
-        rest = iter([e.ids for e in other])
-        ends = [stops[m[2]] if m and m[2] else () for m in found]
-        lens = np.empty(len(new), np.int64)
-        cuts = starts.tolist()
-        for k, m in enumerate(found):
+        # Marks behind a plain word (but for apostrophes) are a word of their own.
+        words: list[str] = []
+        begin = []
+        for m in found:
             if m:
-                own = ids[cuts[at] : cuts[at + 1]]
-                at += 1
-                parts.append(own)
-                lens[k] = len(own)
-                if ends[k]:
-                    parts.append(np.array(ends[k], np.int32))
-                    lens[k] += len(ends[k])
-            else:
-                own = next(rest)
-                parts.append(np.array(own, np.int32))
-                lens[k] = len(own)
-        flat = np.concatenate(parts).astype(np.int32) if parts else np.empty(0, np.int32)
+                begin.append(len(words))
+                words += m.groups() if m[2] else (m[1],)
+        plain = np.fromiter((m is not None for m in found), bool, len(found))
+        lens = np.empty(len(new), np.int64)
+        ids, starts = bpe.encode([w.encode() for w in words]) if words else (np.empty(0, np.int32), np.zeros(1, np.int64))
+        lens[plain] = np.diff(starts[np.array([*begin, len(words)])])
+        other = [e.ids for e in library.encode_batch([x for x, m in zip(new, found, strict=True) if not m], add_special_tokens=False)]
+        lens[~plain] = [len(x) for x in other]
+        mine = np.repeat(plain, lens)
+        flat = np.empty(len(mine), np.int32)
+        flat[mine], flat[~mine] = ids, [i for x in other for i in x]
         return flat, np.concatenate(([0], np.cumsum(lens)))
 
     return Encoder(split, encode)
@@ -156,8 +149,7 @@ def cut(docs: DataFrame, file: str, size: int = 2048, end_id: int = 1) -> DataFr
                 own = np.concatenate((coder.of(n), end)).astype("<u4")
                 rows += [(doc_id, s, min(size, len(own) - s), zlib.crc32(own[s : s + size].data), len(own)) for s in range(0, len(own), size)]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
-            if len(coder.book) > BOOK_PIECES:
-                coder.empty()
+            coder.retire([np.concatenate(numbers)])
 
     return map_arrow(docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text"), run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
 

@@ -1,7 +1,8 @@
 """Texts in blocks, their pieces numbered, and each distinct piece encoded once.
 
-A worker keeps the numbers of the pieces that it has met. The book is emptied once it holds more than ``BOOK_PIECES``
-pieces at the end of a block; that costs repeated work and changes no result, so memory stays bounded by the block.
+A worker keeps the numbers of the pieces that it has met. Once the book holds more than ``BOOK_PIECES`` pieces at the end of
+a block, the half of that which was met most often stays; that costs repeated work and changes no result, so memory stays
+bounded by the block.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ import pyarrow as pa
 import regex
 
 #: New pieces are encoded so many at a time, as the arrays for them are a multiple of the pieces themselves.
-BLOCK_BYTES, BOOK_PIECES, PIECES_AT_ONCE = 8 << 20, 200_000, 50_000
+BLOCK_BYTES, BOOK_PIECES, PIECES_AT_ONCE = 8 << 20, 240_000, 50_000
 
 
 @functools.cache
@@ -53,11 +54,27 @@ class Encoder:
 
     def empty(self) -> None:
         self.book, self.ids, self.starts = Book(), np.empty(0, np.int32), np.zeros(1, np.int64)
+        self.met = np.empty(0, np.int64)
 
     def number(self, text: str) -> np.ndarray:
         pieces = self.split(text)
         return np.fromiter(map(self.book.__getitem__, pieces), np.int32, len(pieces))
 
+    def retire(self, parts: list[np.ndarray]) -> None:
+        """parts: the numbers of the block's texts, which are not valid any more after this."""
+        met = np.zeros(len(self.book), np.int64)
+        met[: len(self.met)] = self.met // 2  # what was met long ago counts less
+        for p in parts:
+            met += np.bincount(p, minlength=len(met))
+        self.met = met
+        if len(met) <= BOOK_PIECES:
+            return
+        stay = np.sort(np.argpartition(-met, BOOK_PIECES // 2)[: BOOK_PIECES // 2])
+        words = list(self.book)
+        self.book = Book(zip(map(words.__getitem__, stay.tolist()), range(len(stay)), strict=True))
+        lens = np.diff(self.starts)[stay]
+        self.ids, self.starts, self.met = gather(self.ids, self.starts, stay), np.concatenate(([0], np.cumsum(lens))), met[stay]
+
     def settle(self) -> list[str]:
         """Encodes the pieces that are new, and returns them."""
         known = len(self.starts) - 1

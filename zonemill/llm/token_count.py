@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 
 from .bpe_arrays import ByteBPE
 from .common import map_arrow
-from .token_blocks import BOOK_PIECES, Encoder, blocks, splitter
+from .token_blocks import Encoder, blocks, splitter
 
 
 @functools.cache
@@ -45,7 +45,6 @@ def count_tokens(docs: DataFrame, file: str, pattern: str, special: str = "<|end
                 ],
                 ["doc_id", "n_bytes", "n_tokens", "over_limit"],
             )
-            if len(coder.book) > BOOK_PIECES:
-                coder.empty()
+            coder.retire([np.concatenate(parts)])
 
     return map_arrow(docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text"), run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_arrow
-from .token_blocks import BOOK_PIECES, Encoder, blocks, gather
+from .token_blocks import Encoder, blocks, gather
 
 BUCKETS, DIM, GRAMS, SCALE, NEUTRAL = 1 << 17, 6, (3, 4, 5), 20, 24
 _STRIP = ".,;:!?\"'()[]{}«»„“”¿¡…-"
@@ -202,9 +202,8 @@ def _scores(model: Model, coder: Encoder, batches: Iterator[pa.RecordBatch]) ->
         numbers = coder.ids.view(np.float32)
         logits = np.array([model.logit(numbers[np.unique(p)]) for p in parts])
         yield ids, 1 / (1 + np.exp(-np.clip(logits, -60, 60)))
-        del numbers, parts
-        if len(coder.book) > BOOK_PIECES:
-            coder.empty()
+        del numbers
+        coder.retire([np.concatenate(parts)])
 
 
 def _coder(model: Model) -> Encoder:
