@@ -171,3 +171,19 @@ def test_repeated_passages_with_any_id(spark, docs):
     rows = [(5, text), (5, other), (None, text), (8, other), (8, "short")]
     got = {(r.doc_id, r.n_words): r.n_removed for r in substrings.removal_digests(docs(rows)).collect()}
     assert got == {(5, 30): 0, (5, 32): 0, (None, 30): 0, (8, 32): 32, (8, 1): 0}
+
+
+def test_top_k_resolutions_prune():
+    """Directions of falling energy, as trained embeddings have them: most pairs never meet the exact product."""
+    rng = np.random.default_rng(1)
+    y = np.floor(rng.normal(0, 1, (20000, 64)) * (40 * 0.8 ** np.arange(64)) @ np.linalg.qr(rng.normal(0, 1, (64, 64)))[0])
+    ids = np.arange(len(y))
+    best = topk.Best(ids[::20], y[::20], 20, topk.rotation(y[:4096]))
+    for c in range(0, len(y), 1000):
+        d = y[c : c + 1000]
+        best.add(ids[c : c + 1000], d, [topk.summaries(d @ best.turn, h) for h in topk.HEADS])
+    share = best.met / best.met[0]
+    assert (np.diff(share) <= 0).all() and share[-1] < 0.06, share
+    scores = y[::20] @ y.T
+    scores[np.arange(1000), ids[::20]] = -np.inf
+    assert (np.sort(scores, axis=1)[:, ::-1][:, :20] == best.score).all()
