@@ -176,9 +176,9 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string")) % 5 == 0
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1500, clean_factor: int = 2, longest: int = 200_000) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1500, clean_factor: int = 2, longest: int = 200_000, most_chars: int = 60_000_000) -> Model:
     """Trains on a bounded sample: at most ``per_class`` toxic documents and ``clean_factor`` times as many clean ones, those with the least hash of
-    doc_id, held-out ids and texts over ``longest`` characters left aside. Contradicting labels of a document are no label."""
+    doc_id, held-out ids and texts over ``longest`` characters left aside, and no further ones once ``most_chars`` characters are read. Contradicting labels of a document are no label."""
     known = labels.select("doc_id", "toxic").filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("toxic").alias("low"), F.max("toxic").alias("high"))
     known = known.filter((F.col("low") == F.col("high")) & F.col("low").isin(0, 1) & ~held_out(F.col("doc_id")))
     picked = []
@@ -190,7 +190,13 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1500, clean_factor:
     spark = docs.sparkSession
     sample = spark.createDataFrame(picked, "_id long, _toxic int")  # (1 + clean_factor) * per_class rows at most
     found = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("_id")).filter(F.length("text") <= longest)
-    rows = sorted((r["_id"], r["_toxic"], r["text"]) for r in found.groupBy("_id", "_toxic").agg(F.min("text").alias("text")).collect())
+    # Texts come a partition at a time, in the order of the hash, which deals both classes alike.
+    rows, held = [], 0
+    for r in found.groupBy("_id", "_toxic").agg(F.min("text").alias("text")).orderBy(F.xxhash64("_id"), "_id").toLocalIterator():
+        if (held := held + len(r["text"])) > most_chars:
+            break
+        rows.append((r["_id"], r["_toxic"], r["text"]))
+    rows.sort()
     return train([r[2] for r in rows], np.array([r[1] for r in rows]))
 
 
