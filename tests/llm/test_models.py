@@ -6,7 +6,9 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
+import xxhash
 
 from zonemill.llm import pii, quality, sharding, toxicity
 from zonemill.llm.tagger import Tagger
@@ -55,6 +57,16 @@ def test_tagger_finds_other_forms(tagger):
     assert sum(len(a) for _, a in pii.tag_texts(tagger, calm)) <= 2
 
 
+def test_tagger_recall_on_what_the_patterns_miss():
+    texts = [t for t in pq.read_table("/root/testdata/sf0.01/documents.parquet").column("text").to_pylist() if t]
+    model = pii.train([t for t in texts[:600] if re.search("[0-9@]", t)][:300])
+    found = pii.recall_and_precision(model, pii.missed_spans(texts[600:]))
+    assert min(x for pair in found.values() for x in pair) > 0.9, found
+    text = "Then more came, write to john.smith (at) example (dot) com and that was it."
+    base, added = pii.tag_texts(model, [text])[0]
+    assert not base and [text[s:e] for s, _, e in added] == ["john.smith (at) example (dot) com"]
+
+
 def test_tagger_gradient():
     model = Tagger(3, 4, 5)
     rng = np.random.default_rng(0)
@@ -150,6 +162,57 @@ def test_binomial_bound():
     assert quality.upper_bound(5, 5, 0.05) == 1.0 and 0.163 < quality.upper_bound(10, 100, 0.05) < 0.164
 
 
+def test_quality_cutoffs_against_plain_counts(spark):
+    rng = random.Random(11)
+    rows, labels = [], {}
+    for i in range(1500):
+        lang, good = rng.choice(["en"] * 7 + ["de"] * 3 + ["fr", None]), rng.random() < 0.8
+        words = ["w%d" % rng.randrange(4000) + ("" if good or rng.random() < 0.5 else "%" * rng.randrange(9)) for _ in range(30)]
+        if rng.random() < (0.1 if good else 0.4):
+            words = [*words, "\nsame line\n", "same line\n"]
+        rows.append((i, " ".join(words) if i % 50 else "a copy that stands here with many more words in it", lang))
+        labels[i] = int(good) if i % 50 else 1
+    shares = {}
+    for i, t, _ in rows:
+        n, chars, symbols, dup, repeat = plain_measures(t)
+        lines = sum(bool(x.split()) for x in t.split("\n"))
+        shares[i] = [symbols / chars, dup / max(1, lines), repeat / n, chars / n, -chars / n]
+    texts = {}
+    for i, t, lang in rows:
+        texts.setdefault((lang or "", xxhash.xxh64_intdigest(t, 42)), []).append(i)
+    held = [(s, h % 2, shares[ids[0]], labels[ids[0]]) for (s, h), ids in texts.items() if len({labels[i] for i in ids}) == 1]
+    sizes = Counter(s for s, second, _, good in held if second and good)
+    alone, strata = quality.pooled(sizes, 0.05, 0.05)
+    assert (alone, strata) == (["de", "en"], 3)  # the others' pool is the third
+    cuts, sequences = {}, list(quality.RULES.values())
+    for s in ("de", "en", None):
+        half = [[x for x in held if (x[0] if x[0] in alone else None) == s and x[1] == second] for second in (0, 1)]
+        good, bad = [x[2] for x in half[0] if x[3]], [x[2] for x in half[0] if not x[3]]
+        cuts[s] = [None] * 5
+        for step in quality.STEPS:
+            now = []
+            for r, cs in enumerate(sequences):
+                options = []
+                for c in cs:
+                    lost = sum(x[r] > c for x in good)
+                    if lost > step * 0.05 * len(good):
+                        break
+                    options.append((sum(x[r] > c for x in bad) / len(bad) - lost / len(good), c))
+                top = max((g for g, _ in options), default=0)
+                now.append(next(c for g, c in options if g == top) if top > 0 else None)
+            test = [x[2] for x in half[1] if x[3]]
+            lost = sum(any(c is not None and x[r] > c for r, c in enumerate(now)) for x in test)
+            if quality.upper_bound(lost, len(test), 0.05 / 3) > 0.05:
+                break
+            cuts[s] = now
+    assert cuts["en"][0] is not None
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in quality.judge(df, spark.createDataFrame(list(labels.items()), "doc_id long, quality int")).collect()}
+    for i, _, lang in rows:
+        failed = [n for n, x, c in zip(quality.RULES, shares[i], cuts[lang if lang in alone else None], strict=True) if c is not None and x > c]
+        assert got[i].failed_rules == failed and got[i].kept == (not failed and not got[i].base_failed)
+
+
 def test_quality_limits_false_rejection(spark, docs):
     rng = random.Random(7)
     rows, labels = [], []
