@@ -8,8 +8,9 @@ def one(spark, rows, schema, expr):
 
 
 def test_normal_form(spark):
-    cases = [("  Ленина  ", "ленина"), ("УЛИЦА  Мира", "улица мира"), ("１０", "10"), ("Straße", "strasse"), (" x", "x"), ("", ""), (None, None)]
+    cases = [("\tRiver  Bank\n", "river bank"), ("ПЕРВАЯ\u00a0Линия", "первая линия"), ("Ｎｏ ７", "no 7"), ("Großer Weg", "grosser weg"), ("ﬁn", "fin"), ("\u3000x", "x"), ("Ё ё", "ё ё"), ("İ", "i̇"), ("", ""), (None, None)]
     assert one(spark, cases, "a string, b string", text.normalize_text(F.col("a"))) == [b for _, b in cases]
+    assert one(spark, cases, "a string, b string", text.normalize(F.col("a"))) == [b for _, b in cases]
     plain = [a for a, _ in cases if a and text.normal_form(a) is not None]
     df = spark.createDataFrame([(a,) for a in plain], "a string").filter(text.is_plain(F.col("a")))
     assert all(r.a == r.b for r in df.select(text.normalize_plain(F.col("a")).alias("a"), text.normalize_text(F.col("a")).alias("b")).collect())
@@ -17,24 +18,25 @@ def test_normal_form(spark):
 
 
 def test_building_classes(spark):
+    b = lambda value, **more: {"building": value, **{k.replace("__", ":"): v for k, v in more.items()}}
     cases = [
-        ({"building": "house"}, "confirmed_residential"), ({"building": "yes", "addr:housenumber": "1"}, "confirmed_residential"), ({"building": "yes"}, "probable_residential"),
-        ({"building": "warehouse", "addr:housenumber": "1"}, "non_residential"), ({"building": "garage"}, "outbuilding"), ({"building": "yes", "disused:shop": "x"}, "abandoned_or_ruin"),
-        ({"building": "house", "abandoned": "no"}, "confirmed_residential"), ({"building": "house", "ruins": "yes"}, "abandoned_or_ruin"), ({"building": "house", "construction": "x"}, "construction"),
-        ({"building": "pagoda"}, "unknown"), ({"shop": "x"}, "unknown"), ({"building": "house", "abandoned": ""}, "confirmed_residential"),
+        (b("bungalow"), "confirmed_residential"), (b("terrace", addr__housenumber="9"), "confirmed_residential"), (b("yes", addr__housenumber="12a"), "confirmed_residential"), (b("yes", addr__housenumber=""), "probable_residential"),
+        (b("silo", addr__housenumber="3"), "non_residential"), (b("stable"), "outbuilding"), (b("yes", abandoned__amenity="pub"), "abandoned_or_ruin"), (b("detached", disused="no"), "confirmed_residential"),
+        (b("collapsed"), "abandoned_or_ruin"), (b("dormitory", construction="minor"), "construction"), (b("construction", ruins="yes"), "abandoned_or_ruin"), (b("lighthouse"), "unknown"), ({"amenity": "fuel"}, "unknown"),
     ]
     assert one(spark, [(c,) for c, _ in cases], "t map<string,string>", classify.classify_building(F.col("t"))) == [c for _, c in cases]
+    flats = [(b("apartments"), True), (b("dormitory"), True), (b("apartments", abandoned="yes"), False), (b("apartments", construction="yes"), False), (b("house"), False), ({"shop": "kiosk"}, False)]
+    assert one(spark, [(c,) for c, _ in flats], "t map<string,string>", classify.is_apartment(F.col("t"))) == [c for _, c in flats]
 
 
 def test_road_classes(spark):
     cases = [
-        ({"name": "улица Мира", "highway": "residential"}, ("address_street", True, False)), ({"name": "Мост", "highway": "residential"}, ("bridge", False, False)),
-        ({"name": "Мостовая улица", "highway": "residential"}, ("address_street", True, False)), ({"name": "Шоссе", "highway": "trunk"}, ("intercity", False, False)),
-        ({"name": "Горка (спуск)", "highway": "residential"}, ("informal", False, True)), ({"name": "начало пути", "highway": "path"}, ("informal", False, True)),
-        ({"name": "Проезд", "highway": "service"}, ("service", False, True)), ({"name": "улица Кирова", "highway": "footway"}, ("address_street", True, True)),
-        ({"name": "Тропа", "highway": "path"}, ("path", False, False)), ({"name": "X", "highway": "raceway"}, ("other", False, True)),
+        (("Harbour lane", "tertiary"), ("address_street", True, False)), (("Old Bridge", "residential"), ("bridge", False, False)), (("Bridge road", "secondary"), ("address_street", True, False)),
+        (("Podul Mare", "service"), ("bridge", False, False)), (("E58", "trunk_link"), ("intercity", False, False)), (("Slope (steep)", "unclassified"), ("informal", False, True)), (("back way", "steps"), ("informal", False, True)),
+        (("Yard", "service"), ("service", False, True)), (("Field", "track"), ("track", False, True)), (("Аллея Роз", "path"), ("address_street", True, True)), (("Dike", "cycleway"), ("path", False, False)), (("Q", "busway"), ("other", False, True)), ((None, "pedestrian"), ("address_street", True, False)),
     ]
-    assert [tuple(r) for r in one(spark, [(c,) for c, _ in cases], "t map<string,string>", classify.classify_road(F.col("t")))] == [c for _, c in cases]
+    tags = [({k: v for k, v in (("name", n), ("highway", h)) if v},) for (n, h), _ in cases]
+    assert [tuple(r) for r in one(spark, tags, "t map<string,string>", classify.classify_road(F.col("t")))] == [c for _, c in cases]
 
 
 def test_tiers(spark):
@@ -45,14 +47,14 @@ def test_tiers(spark):
 
 
 def test_keys_and_labels(spark):
-    rows = [("Село", "Ленина", "15", "Юг"), ("Село", "", "15", None), (None, "Ленина", "1", None)]
+    rows = [("Port", "Harbour Row", "4B", "Quay"), ("Port", " ", "4B", None), (None, "Harbour Row", "2", None)]
     df = "s string, t string, n string, d string"
     c = [F.col(x) for x in "stnd"]
-    assert one(spark, rows, df, text.canonical_key(*c)) == ["село|юг|ленина|15", None, None]
-    assert one(spark, rows, df, text.canonical_key(*c, district_needed=F.lit(False)))[0] == "село||ленина|15"
-    assert one(spark, rows, df, text.canonical_key_short(*c[:3]))[0] == "село|ленина|15"
-    assert one(spark, rows, df, text.full_address(c[0], c[3], c[1], c[2]))[0] == "Село, Юг, Ленина, дом 15"
-    assert one(spark, rows, df, text.display_address(c[1], c[3])) == ["Ленина (Юг)", "", "Ленина"]
+    assert one(spark, rows, df, text.canonical_key(*c)) == ["port|quay|harbour row|4b", None, None]
+    assert one(spark, rows, df, text.canonical_key(*c, district_needed=F.lit(False)))[0] == "port||harbour row|4b"
+    assert one(spark, rows, df, text.canonical_key_short(*c[:3]))[0] == "port|harbour row|4b"
+    assert one(spark, rows, df, text.full_address(c[0], c[3], c[1], c[2]))[0] == "Port, Quay, Harbour Row, дом 4B"
+    assert one(spark, rows, df, text.display_address(c[1], c[3])) == ["Harbour Row (Quay)", "", "Harbour Row"]
 
 
 def test_relation_warnings(spark):

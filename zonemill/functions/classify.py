@@ -63,7 +63,8 @@ def classify_building(tags: Column) -> Column:
 
 
 def is_apartment(tags: Column) -> Column:
-    return F.coalesce(tags["building"].isin(APARTMENT), F.lit(False))
+    """A standing house of flats: neither ruined nor under construction."""
+    return F.coalesce(tags["building"].isin(APARTMENT) & is_customer(classify_building(tags)), F.lit(False))
 
 
 def is_anchor(building_class: Column) -> Column:

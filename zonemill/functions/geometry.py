@@ -110,5 +110,15 @@ def line_meets_ring(line: Column, ring: Column) -> Column:
     return inside | F.exists(segments(line), lambda s: F.exists(segments(ring), lambda r: segments_meet(s, r)))
 
 
+def line_to_area(line: Column, ring: Column) -> Column:
+    """Distance of a line to a closed ring's area; 0 where they meet."""
+
+    def corners(of: Column, to: Column) -> Column:
+        return F.array_min(F.transform(of, lambda p: to_line(p["x"], p["y"], to)))
+
+    ours, theirs = corners(line, ring), corners(ring, line)
+    return F.when(line_meets_ring(line, ring), 0.0).otherwise(F.least(ours, theirs))
+
+
 def spread_m(min_lon: Column, max_lon: Column, min_lat: Column, max_lat: Column, per_lon: float = 76000.0, per_lat: float = 111000.0) -> Column:
     return F.greatest((max_lon - min_lon) * per_lon, (max_lat - min_lat) * per_lat)

@@ -40,17 +40,22 @@ def normalize_plain(text: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(text, r"[\x09-\x0D\x20]+", " ")))
 
 
+def normalize(text: Column) -> Column:
+    """normal_form(): in the JVM where that is exact, else in Python, which gets no other texts."""
+    return F.coalesce(F.when(is_plain(text), normalize_plain(text)), _normal_form(F.when(~is_plain(text), text)))
+
+
 def blank_to_null(text: Column) -> Column:
     trimmed = F.trim(text)
     return F.when(trimmed != "", trimmed)
 
 
-def address_key(street: Column, number: Column, norm=normalize_plain) -> Column:
+def address_key(street: Column, number: Column, norm=normalize) -> Column:
     """Pair of normal forms; null counts as ''."""
     return F.struct(norm(F.coalesce(street, F.lit(""))).alias("street"), norm(F.coalesce(number, F.lit(""))).alias("number"))
 
 
-def canonical_key(settlement: Column, street: Column, number: Column, district: Column | None = None, district_needed: Column | None = None, norm=normalize_plain) -> Column:
+def canonical_key(settlement: Column, street: Column, number: Column, district: Column | None = None, district_needed: Column | None = None, norm=normalize) -> Column:
     """settlement|district|street|number in normal form; null unless settlement, street and number are all there. The
     district takes part only where needed, and is empty otherwise. No zone is ever part of it."""
     s, t, n = (norm(F.coalesce(x, F.lit(""))) for x in (settlement, street, number))
@@ -61,7 +66,7 @@ def canonical_key(settlement: Column, street: Column, number: Column, district:
     return F.when((s != "") & (t != "") & (n != ""), F.concat_ws("|", s, d, t, n))
 
 
-def canonical_key_short(settlement: Column, street: Column, number: Column, norm=normalize_plain) -> Column:
+def canonical_key_short(settlement: Column, street: Column, number: Column, norm=normalize) -> Column:
     """The older form without a place for the district: settlement|street|number."""
     s, t, n = (norm(F.coalesce(x, F.lit(""))) for x in (settlement, street, number))
     return F.when((s != "") & (t != "") & (n != ""), F.concat_ws("|", s, t, n))

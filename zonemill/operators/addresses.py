@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import blank_to_null, normalize_plain
+from ..functions.text import blank_to_null, normalize
 
 UNKNOWN_PLACE, OTHER_DISTRICT = "не определён", "другой район"
 
 
-def street_qualifiers(records: DataFrame, settlement: str = "settlement", district: str = "district", street: str = "street", norm=normalize_plain, other: str = OTHER_DISTRICT) -> DataFrame:
+def street_qualifiers(records: DataFrame, settlement: str = "settlement", district: str = "district", street: str = "street", norm=normalize, other: str = OTHER_DISTRICT) -> DataFrame:
     """(settlement, district, street_norm, qualifier), one row for each: null for a name of one place; else the district;
     else the settlement if the name occurs in several; else the settlement and ``other``."""
     named = records.filter(F.coalesce(F.col(street), F.lit("")) != "")
@@ -30,7 +30,7 @@ def district_needed(qualifiers: DataFrame, other: str = OTHER_DISTRICT) -> DataF
     return qualifiers.filter((F.col("qualifier") == F.col("district")) | F.col("qualifier").endswith(other)).select("street_norm").distinct()
 
 
-def search(records: DataFrame, query: str, settlement: str = "settlement", district: str = "district", street: str = "street", order: str | None = None, norm=normalize_plain) -> DataFrame:
+def search(records: DataFrame, query: str, settlement: str = "settlement", district: str = "district", street: str = "street", order: str | None = None, norm=normalize) -> DataFrame:
     """Streets whose normal form holds that of the query, one row for each settlement, district and name; an empty query
     finds nothing. ``order``: a column that says which of equal rows comes first."""
     needle = norm(F.lit(query or ""))
@@ -54,6 +54,15 @@ def zone_lookup(banded: DataFrame, requests: DataFrame) -> DataFrame:
     return r.withColumn("status", status).withColumn("zone", zone).select("request_id", "status", "zone", F.when(F.col("status") == "ambiguous_street", F.col("zones")).alias("candidates"))
 
 
+def free_text_lookup(banded: DataFrame, requests: DataFrame, norm=normalize) -> DataFrame:
+    """zone_lookup() of requests(request_id, text): a text that ends in a number after a comma or blank asks for that house,
+    any other for the street."""
+    text = norm(F.coalesce(F.col("text"), F.lit("")))
+    number = F.regexp_extract(text, r"[ ,]([0-9]+[^ ,]*)$", 1)
+    street = F.trim(F.regexp_replace(F.when(number != "", F.regexp_replace(text, r"[ ,]+[0-9]+[^ ,]*$", "")).otherwise(text), r",+$", ""))
+    return zone_lookup(banded, requests.select("request_id", street.alias("street_norm"), F.when(number != "", number).alias("number")))
+
+
 def quarantine(units: DataFrame, key: str, lon: str, lat: str, cost: str, width: float, limit_m: float = 150.0, per_lon: float = 76000.0, per_lat: float = 111000.0) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(kept, disputed, conflicts). Units of one key that lie more than limit_m apart are disputed as a whole group. Of the
     others all take the least cost of their key (other columns stay); a conflict is a key whose costs span more than width.

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import house_number_order
 from .audit import nearest_rank
 
 
@@ -48,36 +50,38 @@ def optimal_bands(bins: list[tuple[float, float]], k: int, min_share: float = 0.
     if not n:
         return []
     k = max(1, min(k, n))
-    w, wx, wxx = [0.0], [0.0], [0.0]
-    for value, weight in bins:
-        w.append(w[-1] + weight), wx.append(wx[-1] + weight * value), wxx.append(wxx[-1] + weight * value * value)
-
-    def deviation(i: int, j: int) -> float:
-        weight = w[j] - w[i]
-        if weight <= 0:
-            return 0.0
-        mean = (wx[j] - wx[i]) / weight
-        return max(wxx[j] - wxx[i] - 2 * mean * (wx[j] - wx[i]) + mean * mean * weight, 0.0)
-
-    cut = [penalty * split_at[i] * w[n] if penalty > 0 and split_at and 0 < i < n else 0.0 for i in range(n + 1)]
+    value, weight = (np.array(c, np.float64) for c in zip(*bins, strict=True))
+    w, wx, wxx = (np.concatenate(([0.0], np.cumsum(c))) for c in (weight, weight * value, weight * value * value))
+    total = w[n]
+    cut = np.zeros(n + 1)
+    if penalty > 0 and split_at:
+        cut[1:n] = penalty * np.array(split_at[1:n], np.float64) * total
+
+    def deviations(j: int) -> np.ndarray:
+        """Of the bands that end before place j, by their start."""
+        sw, sx, sxx = w[j] - w[:j], wx[j] - wx[:j], wxx[j] - wxx[:j]
+        mean = np.divide(sx, sw, out=np.zeros(j), where=sw > 0)
+        return np.where(sw > 0, np.maximum(sxx - 2 * mean * sx + mean * mean * sw, 0.0), 0.0)
+
     while True:
-        low, high = w[n] * min_share, w[n] * max_share
-        layer: list[float] = [0.0] + [math.inf] * n
+        low, high = total * min_share, total * max_share
+        layer = np.concatenate(([0.0], np.full(n, math.inf)))
         choices = []
         for band in range(1, k + 1):
-            costs, choice = [math.inf] * (n + 1), [-1] * (n + 1)
+            costs, choice = np.full(n + 1, math.inf), np.full(n + 1, -1)
             for j in range(band, n + 1):
-                for i in range(band - 1, j):
-                    if layer[i] < math.inf and low <= w[j] - w[i] <= high:
-                        cost = layer[i] + deviation(i, j) + cut[i]
-                        if cost < costs[j]:
-                            costs[j], choice[j] = cost, i
+                share = w[j] - w[:j]
+                cost = np.where((low <= share) & (share <= high), layer[:j] + deviations(j) + cut[:j], math.inf)
+                cost[: band - 1] = math.inf
+                at = int(cost.argmin())
+                if cost[at] < math.inf:
+                    costs[j], choice[j] = cost[at], at
             layer = costs
             choices.append(choice)
         if layer[n] < math.inf:
             ends = [n]
             for choice in reversed(choices):
-                ends.append(choice[ends[-1]])
+                ends.append(int(choice[ends[-1]]))
             ends.reverse()
             return list(zip(ends[:-1], ends[1:], strict=True))
         if min_share > 0.005:
@@ -88,16 +92,14 @@ def optimal_bands(bins: list[tuple[float, float]], k: int, min_share: float = 0.
             return [(0, n)]
 
 
-def band_table(bins: DataFrame, k: int, keys: list[str] | None = None, **rules) -> DataFrame:
-    """(keys, band from 0, start_place, end_place, edge, n_bands): optimal_bands() of each key's bins. The edge is the value of a
-    band's last bin. A key has as many rows as occupied bins, whatever the number of units; the keys run in parallel."""
+def _banded(bins: DataFrame, keys: list[str], setting) -> DataFrame:
+    """optimal_bands() of each key's bins; setting(rows of a key) says k and the further rules."""
     import pandas as pd
 
-    keys = keys or []
-
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("bin")
         split = pdf["split_share"].tolist() if "split_share" in pdf else None
+        k, rules = setting(pdf)
         bounds = optimal_bands(list(zip(pdf["value"], pdf["weight"], strict=True)), k, split_at=split, **rules)
         values = pdf["value"].tolist()
         rows = [(b, s, e, values[e - 1], len(bounds)) for b, (s, e) in enumerate(bounds)]
@@ -107,18 +109,28 @@ def band_table(bins: DataFrame, k: int, keys: list[str] | None = None, **rules)
         return out
 
     schema = "".join(f"{c} {bins.schema[c].dataType.simpleString()}, " for c in keys) + "band int, start_place int, end_place int, edge double, n_bands int"
-    one = bins if keys else bins.withColumn("_all", F.lit(0))
-    return one.groupBy(*(keys or ["_all"])).applyInPandas(run, schema)
+    return bins.groupBy(*keys).applyInPandas(run, schema)
 
 
-def cuts_sql(k: int, min_share: float = 0.05, source: str = "bins") -> str:
-    """SQL that finds the same partition by listing the cuts of prefix sums (place, w, wx, wxx): for tests and k up to 4."""
+def band_table(bins: DataFrame, k: int, keys: list[str] | None = None, **rules) -> DataFrame:
+    """(keys, band from 0, start_place, end_place, edge, n_bands): optimal_bands() of each key's bins. The edge is the value of a
+    band's last bin. A key has as many rows as occupied bins, whatever the number of units; the keys run in parallel."""
+    if keys:
+        return _banded(bins, keys, lambda _: (k, rules))
+    return _banded(bins.withColumn("_all", F.lit(0)), ["_all"], lambda _: (k, rules)).drop("_all")
+
+
+def cuts_sql(k: int, min_share: float = 0.05, source: str = "bins", penalty: float = 0.0) -> str:
+    """SQL that finds the same partition by listing the cuts of prefix sums (place, w, wx, wxx, and with a penalty the
+    split_share of the cut behind each place): for tests and k up to 4."""
     joins, cost, tests, last = [], [], [], ("0", "0.0", "0.0", "0.0")
     for b in range(1, k + 1):
         t = f"p{b}"
         joins.append(f"{source} {t}" if b == 1 else f"JOIN {source} {t} ON {t}.place > p{b - 1}.place")
         w, wx, wxx = (f"({t}.{c} - {last[i]})" for i, c in enumerate(("w", "wx", "wxx"), 1))
         cost.append(f"CASE WHEN {w} <= 0 THEN 0 ELSE greatest({wxx} - 2 * ({wx} / {w}) * {wx} + ({wx} / {w}) * ({wx} / {w}) * {w}, 0) END")
+        if penalty and b < k:
+            cost.append(f"{penalty} * {t}.split_share * a.w")
         tests += [f"{w} >= {min_share} * a.w", f"{w} <= a.w"]
         last = (f"{t}.place", f"{t}.w", f"{t}.wx", f"{t}.wxx")
     order = ", ".join(f"p{b}.place" for b in range(k - 1, 0, -1))
@@ -127,11 +139,11 @@ def cuts_sql(k: int, min_share: float = 0.05, source: str = "bins") -> str:
 
 
 def assign_band(value: Column, edges: list[float]) -> Column:
-    """The first band whose edge is not below the value, else the last."""
+    """The first band whose edge is not below the value, else the last; none without a value."""
     out = F.lit(len(edges) - 1)
     for i in range(len(edges) - 1, -1, -1):
         out = F.when(value <= edges[i], i).otherwise(out)
-    return out
+    return F.when(value.isNotNull(), out)
 
 
 def assign_by_table(rows: DataFrame, value: str, bands: DataFrame, keys: list[str] | None = None) -> DataFrame:
@@ -140,7 +152,7 @@ def assign_by_table(rows: DataFrame, value: str, bands: DataFrame, keys: list[st
     edges = bands.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("band", "edge"))), lambda s: s["edge"]).alias("_edges"))
     joined = rows.join(edges, keys) if keys else rows.crossJoin(F.broadcast(edges))  # one row of k numbers
     at = F.array_position(F.transform("_edges", lambda e: (F.col(value) <= e).cast("int")), F.lit(1))
-    return joined.withColumn("band", F.when(at > 0, at.cast("int") - 1).otherwise(F.size("_edges") - 1)).drop("_edges")
+    return joined.withColumn("band", F.when(at > 0, at.cast("int") - 1).when(F.col(value).isNotNull(), F.size("_edges") - 1)).drop("_edges")
 
 
 def band_metrics(rows: DataFrame, value: str, weight: str, keys: list[str] | None = None, percents: list[int] | None = None) -> DataFrame:
@@ -187,9 +199,10 @@ def split_demand(units: DataFrame, street: str = "street", bin_place: str = "pla
 
 
 def expected_cost(matrix: DataFrame, keys: list[str], value: str = "dist_m", weight: str = "weight") -> DataFrame:
-    """Per unit the weighted mean over the origins that reach it, the worst of them, and how many do. Null if none."""
-    on = F.col(value).isNotNull()
-    return matrix.groupBy(*keys).agg((F.sum(F.col(value) * F.col(weight)) / F.sum(F.when(on & (F.col(weight) > 0), F.col(weight)))).alias("expected"), F.max(value).alias("worst"), F.count(value).alias("reached"))
+    """Per unit the weighted mean over the origins that reach it, the worst of them, and how many do. Null if none, or if
+    their weights sum up to 0 or less."""
+    total = F.sum(F.when(F.col(value).isNotNull(), F.col(weight)))
+    return matrix.groupBy(*keys).agg(F.when(total > 0, F.sum(F.col(value) * F.col(weight)) / total).alias("expected"), F.max(value).alias("worst"), F.count(value).alias("reached"))
 
 
 def fixed_mix(central: Column, other: Column, share: float = 0.85) -> Column:
@@ -229,13 +242,18 @@ def composite_score(candidates: DataFrame, weights: dict[str, float]) -> DataFra
 
 
 def sweep(bins: DataFrame, ks: list[int], penalties: list[float], keys: list[str] | None = None, **rules) -> DataFrame:
-    """band_table() for every k and penalty: (k, penalty, keys, band, ...). Each scenario is a group of its own."""
-    out = None
-    for k in ks:
-        for p in penalties:
-            own = band_table(bins, k, keys, penalty=p, **rules).select(F.lit(k).alias("k"), F.lit(float(p)).alias("penalty"), "*")
-            out = own if out is None else out.unionByName(own)
-    return out
+    """band_table() for every k and penalty: (k, penalty, keys, band, ...). The bins meet the stated list of scenarios once, and
+    each scenario is a group of its own."""
+    cases = bins.sparkSession.createDataFrame([(k, float(p)) for k in ks for p in penalties], "k int, penalty double")
+    every = bins.crossJoin(F.broadcast(cases))  # as many rows as scenarios were asked for
+    return _banded(every, ["k", "penalty", *(keys or [])], lambda pdf: (int(pdf["k"].iloc[0]), {**rules, "penalty": float(pdf["penalty"].iloc[0])}))
+
+
+def model_sweep(units: DataFrame, value: str, models: dict[str, Column], width: float, ks: list[int], penalty: float = 0.0, **rules) -> DataFrame:
+    """(model, k, penalty, band, ...): bands of the same units under several models of their weight, for every k."""
+    long = units.select(F.col(value).alias("_v"), F.explode(F.array(*[F.struct(F.lit(m).alias("model"), w.cast("double").alias("w")) for m, w in models.items()])).alias("_m"))
+    bins = make_bins(long.select("_v", "_m.model", "_m.w"), F.col("_v"), F.col("w"), width, ["model"])
+    return sweep(prefix_sums(bins, ["model"]), ks, [penalty], ["model"], **rules)
 
 
 def control_drift(base: DataFrame, added: DataFrame, k: int, width: float, value: str = "value", weight: str = "weight") -> DataFrame:
@@ -248,8 +266,7 @@ def house_ranges(rows: DataFrame, keys: list[str], number: str) -> DataFrame:
     """(keys, ranges): house numbers in natural order, runs of plain numbers one or two apart written a-b, joined by ', '."""
     text = F.trim(F.col(number))
     nums = rows.filter(text != "").select(*keys, text.alias("t")).distinct()
-    digits = F.regexp_extract("t", r"([0-9]+)", 1)
-    nums = nums.withColumns({"n": F.when(digits != "", digits.cast("decimal(38,0)")).otherwise(F.lit(10**9).cast("decimal(38,0)")), "plain": F.col("t").rlike(r"^[0-9]+$") & (F.col("t").cast("decimal(38,0)") < 10**9)})
+    nums = nums.withColumns({"n": house_number_order(F.col("t"))["n"], "plain": F.col("t").rlike(r"^[0-9]+$") & (F.col("t").cast("decimal(38,0)") < 10**9)})
     w = Window.partitionBy(*keys).orderBy("n", "t")
     step = F.col("n") - F.lag("n").over(w)
     new = ~(F.col("plain") & F.coalesce(F.lag("plain").over(w), F.lit(False)) & F.coalesce(step.isin(1, 2), F.lit(False)))

@@ -7,14 +7,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .spatial import near_pairs
-
 
 def _folder(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return "file:///tmp/checkpoints"
 
@@ -47,9 +45,21 @@ def connected(edges: DataFrame, rounds: int = 100) -> DataFrame:
 
 def radius_components(points: DataFrame, key: str, radius: float) -> DataFrame:
     """(key, cluster): single-link clusters of points x, y; a cluster is named by its smallest key."""
-    pairs = near_pairs(points, points, radius).select(F.col(f"l.{key}").alias("a"), F.col(f"r.{key}").alias("b"))
-    found = connected(pairs.filter("a < b"))
-    return points.join(found, points[key] == found["node"], "left").select(points[key], F.coalesce("root", points[key]).alias("cluster"))
+    # Points of a cell this wide lie within the radius of each other: cells are the nodes, named by their least key. Of two
+    # cells one pair near enough will do, and pairs are aggregated before anything is dealt.
+    side = radius / 2**0.5 * (1 - 1e-9)
+    cell = lambda c: F.floor(F.col(c) / side).cast("long")
+    placed = cut_lineage(points.select(F.col(key).alias("_k"), "x", "y", cell("x").alias("cx"), cell("y").alias("cy")))
+    names = cut_lineage(placed.groupBy("cx", "cy").agg(F.min("_k").alias("name")))
+    named = placed.join(names, ["cx", "cy"]).select("cx", "cy", "x", "y", "name")
+    ahead = [(i, j) for i in range(3) for j in range(-2, 3) if i > 0 or j > 0]
+    steps = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in ahead]))
+    left = named.select(F.col("x").alias("ax"), F.col("y").alias("ay"), F.col("name").alias("a"), "cx", "cy", steps.alias("o"))
+    left = left.select("ax", "ay", "a", (F.col("cx") + F.col("o.i")).alias("cx"), (F.col("cy") + F.col("o.j")).alias("cy"))
+    near = left.join(named, ["cx", "cy"]).filter(F.sqrt((F.col("ax") - F.col("x")) * (F.col("ax") - F.col("x")) + (F.col("ay") - F.col("y")) * (F.col("ay") - F.col("y"))) <= radius)
+    found = connected(near.groupBy("a", F.col("name").alias("b")).agg(F.count(F.lit(1)).alias("_n")).select("a", "b"))
+    roots = names.join(found, names["name"] == found["node"], "left").select("cx", "cy", F.coalesce("root", "name").alias("cluster"))
+    return placed.join(roots, ["cx", "cy"]).select(F.col("_k").alias(key), "cluster")
 
 
 def ordered_clusters(points: DataFrame, key: str, radius: float, dense: int = 5) -> DataFrame:

@@ -85,16 +85,17 @@ def corridor_counts(streets: DataFrame, objects: DataFrame, street_key: str, obj
 
 
 def _ring_cells(rings: DataFrame, ring_key: str, size: float) -> DataFrame:
+    """(ring_key, cx, cy): cells of a ring's box, without the ring."""
     xs, ys = F.transform("ring", lambda p: p["x"]), F.transform("ring", lambda p: p["y"])
     cx = F.sequence(_cell(F.array_min(xs), size), _cell(F.array_max(xs), size))
-    return rings.select(ring_key, "ring", F.explode(cx).alias("cx"), ys.alias("_ys")).select(ring_key, "ring", "cx", F.explode(F.sequence(_cell(F.array_min("_ys"), size), _cell(F.array_max("_ys"), size))).alias("cy"))
+    return rings.select(ring_key, F.explode(cx).alias("cx"), F.array_min(ys).alias("_a"), F.array_max(ys).alias("_b")).select(ring_key, "cx", F.explode(F.sequence(_cell(F.col("_a"), size), _cell(F.col("_b"), size))).alias("cy"))
 
 
 def containing(points: DataFrame, rings: DataFrame, key: str, ring_key: str, size: float) -> DataFrame:
     """(key, ring_key): rings (closed, array of points ``ring``) that cover points x, y; the boundary is inside. size: of the
     cells that both are dealt by."""
     a = points.select(key, "x", "y", _cell(F.col("x"), size).alias("cx"), _cell(F.col("y"), size).alias("cy"))
-    hits = a.join(_ring_cells(rings, ring_key, size), ["cx", "cy"])
+    hits = a.join(_ring_cells(rings, ring_key, size), ["cx", "cy"]).join(rings.select(ring_key, "ring"), ring_key)
     return hits.filter(G.covers(F.col("ring"), F.col("x"), F.col("y"))).select(key, ring_key)
 
 
@@ -116,9 +117,11 @@ def nearest_site(points: DataFrame, sites: DataFrame, key: str, site_key: str, l
     listed = sites.select("x", "y", site_key).limit(limit + 1).collect()
     if len(listed) > limit:
         raise ValueError(f"more than {limit} sites")
-    table = F.array(*[F.struct(F.lit(float(r["x"])).alias("x"), F.lit(float(r["y"])).alias("y"), F.lit(r[site_key]).alias("k")) for r in listed])
-    best = F.array_min(F.transform(table, lambda s: F.struct(G.distance(F.col("x"), F.col("y"), s["x"], s["y"]).alias("d"), s["k"].alias("k"))))
-    return points.select(key, best["k"].alias(site_key))
+    kind = sites.schema[site_key].dataType.simpleString()
+    rows = [([(float(r["x"]), float(r["y"]), r[site_key]) for r in listed],)]
+    table = sites.sparkSession.createDataFrame(rows, f"_sites array<struct<x:double,y:double,k:{kind}>>")
+    best = F.array_min(F.transform("_sites", lambda s: F.struct(G.distance(F.col("x"), F.col("y"), s["x"], s["y"]).alias("d"), s["k"].alias("k"))))
+    return points.crossJoin(F.broadcast(table)).select(key, best["k"].alias(site_key))  # one row of at most ``limit`` sites
 
 
 def verify_zones(units: DataFrame, zones: DataFrame, key: str, size: float) -> DataFrame:
@@ -170,7 +173,7 @@ def footprint(points: DataFrame, buffer: float, closing: float, size: float) ->
 
 def ring_area_cells(rings: DataFrame, ring_key: str, size: float) -> DataFrame:
     """Cells whose centre a ring covers."""
-    cells = _ring_cells(rings, ring_key, size)
+    cells = _ring_cells(rings, ring_key, size).join(rings.select(ring_key, "ring"), ring_key)
     return cells.filter(G.covers(F.col("ring"), (F.col("cx") + 0.5) * size, (F.col("cy") + 0.5) * size)).select("cx", "cy").distinct()
 
 

@@ -53,8 +53,15 @@ _OBJECT = {
     "addr:street": "CASE WHEN p_partkey % 4 <> 0 THEN p_brand END",
     "landuse": "CASE p_size % 5 WHEN 0 THEN 'meadow' WHEN 1 THEN '' END",
     "natural": "CASE p_size % 3 WHEN 0 THEN 'wood' END",
+    "amenity": "CASE p_partkey % 9 WHEN 0 THEN 'restaurant' WHEN 1 THEN 'bar' WHEN 2 THEN 'school' WHEN 3 THEN 'parking' WHEN 4 THEN 'cafe' END",
+    "shop": "CASE p_partkey % 10 WHEN 0 THEN 'bakery' WHEN 1 THEN 'kiosk' WHEN 2 THEN 'shoes' END",
+    "takeaway": "CASE p_partkey % 8 WHEN 0 THEN 'yes' WHEN 1 THEN 'only' WHEN 2 THEN 'no' END",
     "name:ru": "CASE WHEN p_partkey % 7 = 0 THEN concat(' R', p_brand) WHEN p_partkey % 7 = 1 THEN '  ' END",
 }
+_CLASS_SQL = """CASE WHEN building IS NULL THEN 'unknown' WHEN coalesce(abandoned, 'no') NOT IN ('no', '') OR building = 'ruins' THEN 'abandoned_or_ruin'
+ WHEN building = 'construction' THEN 'construction' WHEN building = 'garage' THEN 'outbuilding' WHEN building IN ('warehouse', 'school') THEN 'non_residential'
+ WHEN building IN ('house', 'apartments') THEN 'confirmed_residential' WHEN building = 'yes' AND "addr:housenumber" IS NOT NULL THEN 'confirmed_residential'
+ WHEN building = 'yes' THEN 'probable_residential' ELSE 'unknown' END"""
 _OBJECT_SQL = "SELECT p_partkey AS id, " + ", ".join(f'{v} AS "{k}"' for k, v in _OBJECT.items()) + " FROM part"
 
 
@@ -98,10 +105,7 @@ def duplicate_groups_exact(spark, d):
 
 
 @_query(f"""
-SELECT id, CASE WHEN building IS NULL THEN 'unknown' WHEN coalesce(abandoned, 'no') NOT IN ('no', '') OR building = 'ruins' THEN 'abandoned_or_ruin'
- WHEN building = 'construction' THEN 'construction' WHEN building = 'garage' THEN 'outbuilding' WHEN building IN ('warehouse', 'school') THEN 'non_residential'
- WHEN building IN ('house', 'apartments') THEN 'confirmed_residential' WHEN building = 'yes' AND "addr:housenumber" IS NOT NULL THEN 'confirmed_residential'
- WHEN building = 'yes' THEN 'probable_residential' ELSE 'unknown' END AS building_class,
+SELECT id, {_CLASS_SQL} AS building_class,
  CASE WHEN coalesce(landuse, '') <> '' THEN 'farmland' WHEN "natural" IS NOT NULL THEN 'forest_or_park' ELSE 'empty_land' END AS land
 FROM ({_OBJECT_SQL}) o""")
 def classify_case(spark, d):
@@ -137,12 +141,10 @@ def tier_assign(spark, d):
     return s.select("street", tier.alias("t")).select("street", "t.*", classify.service_status(F.col("t.tier")).alias("status"), classify.tier_weight(F.col("t.tier")).alias("weight"))
 
 
-@_query("""
-WITH r AS (SELECT unnest(generate_series(0, 40)) AS id)
-SELECT r.id, n_name AS name, n_nationkey IS NOT NULL AS found FROM r LEFT JOIN nation ON n_nationkey = r.id""")
+@_query("SELECT o_orderkey AS id, c_name AS name, c_custkey IS NOT NULL AS found FROM orders LEFT JOIN customer ON c_custkey = o_orderkey")
 def requested_left(spark, d):
-    found = _t(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("id"), F.col("n_name").alias("name"))
-    return audit.requested(spark.range(41), found)
+    found = _t(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
+    return audit.requested(_t(spark, d, "orders").select(F.col("o_orderkey").alias("id")), found)
 
 
 @_query(f"""
@@ -168,13 +170,13 @@ def name_priority_merge(spark, d):
     return audit.merge_segments(rows, ["street"], ["name", "ru"], ["residential", "tertiary", "service"])
 
 
-_MATRIX = """(SELECT c_custkey AS unit, s_suppkey, CASE WHEN (c_custkey * 7 + s_suppkey) % 11 = 0 THEN NULL ELSE CAST((c_custkey * 13 + s_suppkey * 31) % 1000 AS DOUBLE) END AS dist, CAST(1 + s_suppkey % 3 AS DOUBLE) AS w
- FROM customer CROSS JOIN supplier WHERE s_suppkey <= 5)"""
+_MATRIX = """(SELECT c_custkey AS unit, n_nationkey, CASE WHEN (c_custkey * 7 + n_nationkey) % 11 = 0 THEN NULL ELSE CAST((c_custkey * 13 + n_nationkey * 31) % 1000 AS DOUBLE) END AS dist, CAST(n_nationkey % 4 - 1 AS DOUBLE) AS w
+ FROM customer CROSS JOIN nation)"""
 
 
-@_query(f"SELECT unit, round(sum(dist * w) / sum(CASE WHEN dist IS NOT NULL THEN w END), 6) AS expected, max(dist) AS worst, count(dist) AS reached FROM {_MATRIX} m GROUP BY unit")
+@_query(f"SELECT unit, round(CASE WHEN sum(CASE WHEN dist IS NOT NULL THEN w END) > 0 THEN sum(dist * w) / sum(CASE WHEN dist IS NOT NULL THEN w END) END, 6) AS expected, max(dist) AS worst, count(dist) AS reached FROM {_MATRIX} m GROUP BY unit")
 def expected_cost(spark, d):
-    for t in ("customer", "supplier"):
+    for t in ("customer", "nation"):
         _t(spark, d, t).createOrReplaceTempView(t)
     out = bands.expected_cost(spark.sql(f"SELECT * FROM {_MATRIX} m"), ["unit"], "dist", "w")
     return out.withColumn("expected", F.round("expected", 6))
@@ -242,9 +244,26 @@ def assign_zone_metrics(spark, d):
     return m.withColumns({"weight": F.round("weight", 4), "weight_share": F.round("weight_share", 6), "dispersion": F.round("dispersion", 3)})
 
 
-@_query("SELECT true AS monotonic")
+@_query("""
+WITH b AS (SELECT 'by cost' AS banding, least(floor(o_totalprice / 100000), 3) AS band, o_totalprice AS cost FROM orders UNION ALL SELECT 'by key', o_orderkey % 4, o_totalprice FROM orders),
+m AS (SELECT banding, band, min(cost) AS low, max(cost) AS high FROM b GROUP BY banding, band), l AS (SELECT banding, low, lag(high) OVER (PARTITION BY banding ORDER BY band) AS before FROM m)
+SELECT banding, bool_and(coalesce(before <= low, true)) AS monotonic FROM l GROUP BY banding""")
 def bands_monotonic(spark, d):
-    return bands.is_monotonic(assign_zone_metrics(spark, d))
+    """Bands of the cost keep its order; bands of the key do not."""
+    o = _t(spark, d, "orders").select(F.col("o_totalprice").alias("cost"), "o_orderkey", F.lit(1.0).alias("weight"))
+    out = None
+    for name, band in (("by cost", F.least(F.floor(F.col("cost") / 100000), F.lit(3))), ("by key", F.col("o_orderkey") % 4)):
+        m = o.groupBy(band.alias("band")).agg(F.min("cost").alias("min_value"), F.max("cost").alias("max_value"))
+        own = bands.is_monotonic(m).select(F.lit(name).alias("banding"), "monotonic")
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+@_query(f"WITH {_BINS_SQL} SELECT place, round(CASE WHEN w <= 0 THEN 0 ELSE greatest(wxx - 2 * (wx / w) * wx + (wx / w) * (wx / w) * w, 0) END / 1e6, 2) AS error FROM bins")
+def squared_errors(spark, d):
+    """Of the bands that begin with the first bin, by their end."""
+    p = bands.prefix_sums(_bins(spark, d))
+    return p.select("place", F.round(bands.squared_error(F.col("w"), F.col("wx"), F.col("wxx")) / 1e6, 2).alias("error"))
 
 
 _STREET_SQL = f"WITH u AS ({_UNITS_SQL}), s AS (SELECT concat(c_nationkey, '-', c_mktsegment) AS street, CAST(floor(cost / 50000.0::DOUBLE) AS BIGINT) AS place, weight, o_orderkey % 40 AS house FROM u JOIN customer ON c_custkey = o_custkey)"
@@ -374,30 +393,30 @@ def radius_count(spark, d):
     return spatial.radius_count(p.filter("id % 10 = 0"), p.filter("id % 10 <> 0"), "id", 25)
 
 
-_RINGS = [(i, i * 60 - 300, (i * 37) % 200 - 100, 90) for i in range(10)]
-
+# Diamonds around every supplier.
+_RINGS_SQL = "SELECT s_suppkey AS ring_id, s_acctbal / 12 - 400 AS cx, CAST(s_suppkey * 37 % 400 - 200 AS DOUBLE) AS cy, CAST(40 + s_nationkey AS DOUBLE) AS h FROM supplier"
 
-def _rings(spark: SparkSession) -> DataFrame:
-    rows = [(i, i, [(float(x - h), float(y)), (float(x), float(y + h)), (float(x + h), float(y)), (float(x), float(y - h)), (float(x - h), float(y))]) for i, x, y, h in _RINGS]
-    return spark.createDataFrame(rows, "ring_id int, nth int, ring array<struct<x:double,y:double>>")
 
-
-_RINGS_SQL = " UNION ALL ".join(f"SELECT {i} AS ring_id, {x} AS cx, {y} AS cy, {h} AS h" for i, x, y, h in _RINGS)
+def _rings(spark: SparkSession, d: str) -> DataFrame:
+    cx, cy, h = F.col("s_acctbal") / 12 - 400, (F.col("s_suppkey") * 37 % 400 - 200).cast("double"), (F.col("s_nationkey") + 40).cast("double")
+    corners = [(cx - h, cy), (cx, cy + h), (cx + h, cy), (cx, cy - h), (cx - h, cy)]
+    ring = F.array(*[F.struct(x.alias("x"), y.alias("y")) for x, y in corners])
+    return _t(spark, d, "supplier").select(F.col("s_suppkey").alias("ring_id"), F.col("s_suppkey").alias("nth"), ring.alias("ring"))
 
 
 @_query(f"WITH p AS ({_POINTS_SQL}), r AS ({_RINGS_SQL}) SELECT id, ring_id FROM p JOIN r ON abs(x - cx) + abs(y - cy) <= h")
 def point_in_polygon(spark, d):
-    return spatial.containing(_points(spark, d), _rings(spark), "id", "ring_id", 50)
+    return spatial.containing(_points(spark, d), _rings(spark, d), "id", "ring_id", 50)
 
 
 @_query(f"WITH p AS ({_POINTS_SQL}), r AS ({_RINGS_SQL}) SELECT id, min(ring_id) AS ring_id FROM p LEFT JOIN r ON abs(x - cx) + abs(y - cy) <= h GROUP BY id")
 def first_container(spark, d):
-    return spatial.first_container(_points(spark, d), _rings(spark), "id", "ring_id", "nth", 50).select("id", "ring_id")
+    return spatial.first_container(_points(spark, d), _rings(spark, d), "id", "ring_id", "nth", 50).select("id", "ring_id")
 
 
 @_query(f"WITH p AS ({_POINTS_SQL}), r AS ({_RINGS_SQL}) SELECT id FROM p WHERE NOT EXISTS (SELECT 1 FROM r WHERE abs(x - cx) + abs(y - cy) <= h)")
 def outside_polygons(spark, d):
-    return spatial.inside(_points(spark, d), _rings(spark), "id", "ring_id", 50, "left_anti").select("id")
+    return spatial.inside(_points(spark, d), _rings(spark, d), "id", "ring_id", 50, "left_anti").select("id")
 
 
 @_query(f"""
@@ -409,8 +428,14 @@ def nearest_site(spark, d):
     return spatial.nearest_site(p, sites, "id", "site")
 
 
-_STREETS = [(i, "C" if i % 4 == 0 else "A", -400 + i * 80, (i * 53) % 160 - 80) for i in range(10)]
-_STREETS_SQL = " UNION ALL ".join(f"SELECT {i} AS street_id, '{t}' AS tier, {x} AS sx, {y} AS sy" for i, t, x, y in _STREETS)
+# A street of 60 for every supplier.
+_STREETS_SQL = "SELECT s_suppkey AS street_id, CASE WHEN s_suppkey % 4 = 0 THEN 'C' ELSE 'A' END AS tier, s_acctbal / 12 - 400 AS sx, CAST(s_suppkey * 53 % 600 - 300 AS DOUBLE) AS sy FROM supplier"
+
+
+def _streets(spark: SparkSession, d: str) -> DataFrame:
+    x, y = F.col("s_acctbal") / 12 - 400, (F.col("s_suppkey") * 53 % 600 - 300).cast("double")
+    line = F.array(*[F.struct(a.alias("x"), y.alias("y")) for a in (x, x + 60)])
+    return _t(spark, d, "supplier").select(F.col("s_suppkey").alias("street_id"), F.when(F.col("s_suppkey") % 4 == 0, "C").otherwise("A").alias("tier"), line.alias("line"))
 
 
 @_query(f"""
@@ -420,8 +445,7 @@ SELECT a.id, sv.s AS street_id, round(sv.d, 6) AS d_served, round(thin, 6) AS d_
 FROM a JOIN p ON p.id = a.id""")
 def street_attribution(spark, d):
     u = _points(spark, d).withColumn("in_area", F.col("label") % 5 != 0)
-    lines = spark.createDataFrame([(i, t, [(float(x), float(y)), (float(x + 60), float(y))]) for i, t, x, y in _STREETS], "street_id int, tier string, line array<struct<x:double,y:double>>")
-    out = spatial.attribute_units(u, lines, "id", far=60, fringe=40)
+    out = spatial.attribute_units(u, _streets(spark, d), "id", far=60, fringe=40)
     return out.select("id", "street_id", F.round("d_served", 6).alias("d_served"), F.round("d_thin", 6).alias("d_thin"), "outcome")
 
 
@@ -429,8 +453,7 @@ def street_attribution(spark, d):
 WITH p AS ({_POINTS_SQL}), s AS ({_STREETS_SQL}), h AS (SELECT street_id, p.label FROM p JOIN s ON sqrt((x - greatest(sx, least(sx + 60, x))) ** 2 + (y - sy) ** 2) <= 30)
 SELECT s.street_id, count(label) AS buildings, count(*) FILTER (label % 2 = 0) AS addresses FROM s LEFT JOIN h USING (street_id) GROUP BY s.street_id""")
 def corridor_counts(spark, d):
-    lines = spark.createDataFrame([(i, [(float(x), float(y)), (float(x + 60), float(y))]) for i, _, x, y in _STREETS], "street_id int, line array<struct<x:double,y:double>>")
-    return spatial.corridor_counts(lines, _points(spark, d), "street_id", "id", {"buildings": F.col("label").isNotNull(), "addresses": F.col("label") % 2 == 0}, 30)
+    return spatial.corridor_counts(_streets(spark, d).drop("tier"), _points(spark, d), "street_id", "id", {"buildings": F.col("label").isNotNull(), "addresses": F.col("label") % 2 == 0}, 30)
 
 
 @_query(f"""
@@ -446,22 +469,16 @@ def kmeans_seeded(spark, d):
     return graph.seeded_kmeans(p.withColumn("weight", F.lit(1.0) + F.col("label") % 3), 5)
 
 
-_EDGES = "SELECT s_suppkey AS a, CASE WHEN s_suppkey % 10 = 0 THEN s_suppkey // 2 + 1 ELSE s_suppkey - 1 END AS b, CAST(1 + s_nationkey AS DOUBLE) AS w FROM supplier WHERE s_suppkey % 37 <> 0"
+_EDGES = "SELECT s_suppkey AS a, CASE WHEN s_suppkey % 10 = 0 THEN s_suppkey // 2 + 1 ELSE s_suppkey - 1 END AS b, CAST(1 + s_nationkey AS DOUBLE) AS w FROM supplier"
 
 
 @_query(f"""
 WITH RECURSIVE e AS (SELECT a, b, w FROM ({_EDGES}) x UNION SELECT b, a, w FROM ({_EDGES}) y),
-r(node, dist, depth) AS (SELECT CAST(1 AS BIGINT), CAST(0 AS DOUBLE), 0 UNION SELECT e.b, r.dist + e.w, r.depth + 1 FROM r JOIN e ON e.a = r.node WHERE r.depth < 24 AND r.dist + e.w < 150)
-SELECT CAST(node AS BIGINT) AS node, min(dist) AS dist FROM r GROUP BY node HAVING min(dist) < 40""")
+r(node, dist) USING KEY (node) AS (SELECT CAST(1 AS BIGINT), CAST(0 AS DOUBLE) UNION
+ SELECT e.b, min(r.dist + e.w) FROM r JOIN e ON e.a = r.node LEFT JOIN recurring.r AS k ON k.node = e.b WHERE k.node IS NULL OR r.dist + e.w < k.dist GROUP BY e.b)
+SELECT CAST(node AS BIGINT) AS node, dist FROM r""")
 def shortest_path(spark, d):
-    s = _t(spark, d, "supplier").filter("s_suppkey % 37 <> 0")
-    e = s.select(F.col("s_suppkey").alias("a"), F.expr("CASE WHEN s_suppkey % 10 = 0 THEN s_suppkey div 2 + 1 ELSE s_suppkey - 1 END").cast("long").alias("b"), (F.lit(1.0) + F.col("s_nationkey")).alias("w"))
-    return graph.shortest_paths(e, spark.range(1, 2).withColumnRenamed("id", "node"), limit=40)
-
-
-@_query()
-def shortest_path_all(spark, d):
-    """From node 1 to every node that edges of all suppliers reach, without a limit, which the SQL above cannot follow."""
+    """From node 1 to every node that edges of all suppliers reach."""
     e = _t(spark, d, "supplier").select(F.col("s_suppkey").alias("a"), F.expr("CASE WHEN s_suppkey % 10 = 0 THEN s_suppkey div 2 + 1 ELSE s_suppkey - 1 END").cast("long").alias("b"), (F.lit(1.0) + F.col("s_nationkey")).alias("w"))
     return graph.shortest_paths(e, spark.range(1, 2).withColumnRenamed("id", "node"))
 
@@ -509,7 +526,22 @@ def disc_cells(spark, d):
     return spatial.disc_cells(_points(spark, d), 20, 10)
 
 
-@_query()
+def _parts_sql(cells: str) -> str:
+    """Four-neighbour parts of cells (cx, cy): (cx, cy, part), named by the least cell."""
+    return f"""cell AS (SELECT cx, cy, ((cx + 1073741824) << 31) | (cy + 1073741824) AS id FROM ({cells}) c),
+step AS (SELECT a.id AS a, b.id AS b FROM cell a JOIN cell b ON abs(a.cx - b.cx) + abs(a.cy - b.cy) = 1),
+lab(node, root) USING KEY (node) AS (SELECT id, id FROM cell UNION SELECT s.b, min(l.root) FROM lab l JOIN step s ON s.a = l.node JOIN recurring.lab k ON k.node = s.b WHERE l.root < k.root GROUP BY s.b)"""
+
+
+_FOOTPRINT_SQL = f"""p AS ({_POINTS_SQL}), g AS (SELECT unnest(generate_series(-70, 70)) AS cx), grid AS (SELECT a.cx, b.cx AS cy FROM g a CROSS JOIN g b),
+disc AS (SELECT DISTINCT cx, cy FROM grid JOIN p ON sqrt(((cx + 0.5) * 10 - x) ** 2 + ((cy + 0.5) * 10 - y) ** 2) <= 12),
+plus AS (SELECT * FROM (VALUES (0, 0), (1, 0), (-1, 0), (0, 1), (0, -1)) v(i, j)), wide AS (SELECT DISTINCT cx + i AS cx, cy + j AS cy FROM disc, plus),
+foot AS (SELECT cx, cy FROM (SELECT cx + i AS cx, cy + j AS cy FROM wide, plus) s GROUP BY cx, cy HAVING count(*) = 5)"""
+
+
+@_query(f"""
+WITH RECURSIVE {_FOOTPRINT_SQL}, {_parts_sql("SELECT * FROM foot")}, n AS (SELECT root, count(DISTINCT p.id) AS pts FROM lab JOIN cell ON cell.id = node LEFT JOIN p ON floor(x / 10) = cx AND floor(y / 10) = cy GROUP BY root)
+SELECT lab.root AS part, count(*) * 100.0::DOUBLE AS area, any_value(pts) >= 5 AS kept FROM lab JOIN n ON n.root = lab.root GROUP BY lab.root""")
 def area_parts(spark, d):
     """Footprint of the points, its parts, and which have too few points."""
     p = _points(spark, d)
@@ -519,32 +551,47 @@ def area_parts(spark, d):
     return n.unionByName(parts.join(review, "part").groupBy("part").agg((F.count(F.lit(1)) * 100.0).alias("area"), F.lit(False).alias("kept")))
 
 
-@_query(f"""
-WITH p AS ({_POINTS_SQL}), r AS ({_RINGS_SQL}) SELECT ring_id, round(2.0 * h * h, 6) AS area, CAST(cx AS DOUBLE) AS x, CAST(cy AS DOUBLE) AS y, count(p.id) AS left_of FROM r LEFT JOIN p ON p.x < cx GROUP BY ring_id, h, cx, cy""")
+@_query(f"SELECT ring_id, round(2.0 * h * h, 4) AS area, round(cx, 4) AS x, round(cy, 4) AS y, round(4 * sqrt(2) * h, 4) AS length FROM ({_RINGS_SQL}) r")
 def ring_measures(spark, d):
-    r = _rings(spark).select("ring_id", F.round(geometry.area(F.col("ring")), 6).alias("area"), geometry.centroid(F.col("ring")).alias("c"))
-    r = r.select("ring_id", "area", F.round("c.x", 6).alias("x"), F.round("c.y", 6).alias("y"))
-    p = _points(spark, d).withColumnRenamed("x", "px")
-    side = geometry.side_of_line(F.col("px"), F.lit(0.0), F.col("x"), F.lit(0.0), F.col("x"), F.lit(1.0))
-    # The rings are a stated list of ten.
-    hits = p.crossJoin(F.broadcast(r)).filter(side == 1).groupBy("ring_id").agg(F.count(F.lit(1)).alias("left_of"))
-    return r.join(hits, "ring_id", "left").withColumn("left_of", F.coalesce("left_of", F.lit(0)))
+    r = _rings(spark, d).select("ring_id", F.round(geometry.area(F.col("ring")), 4).alias("area"), geometry.centroid(F.col("ring")).alias("c"), F.round(geometry.length(F.col("ring")), 4).alias("length"))
+    return r.select("ring_id", "area", F.round("c.x", 4).alias("x"), F.round("c.y", 4).alias("y"), "length")
+
+
+@_query(f"SELECT id, CAST(sign(2 * y - 3 * x) AS INTEGER) AS side FROM ({_POINTS_SQL}) p")
+def line_sides(spark, d):
+    return _points(spark, d).select("id", geometry.side_of_line(F.col("x"), F.col("y"), F.lit(0.0), F.lit(0.0), F.lit(2.0), F.lit(3.0)).alias("side"))
 
 
-@_query("SELECT c_custkey AS unit_id, CAST(s_suppkey AS VARCHAR) AS origin_id, round(sqrt((c_acctbal - s_acctbal) ** 2 + (c_nationkey - s_nationkey) ** 2), 6) AS dist_m FROM customer CROSS JOIN supplier WHERE s_suppkey <= 3")
+@_query("SELECT c_custkey AS unit_id, CAST(n_nationkey AS VARCHAR) AS origin_id, round(sqrt((c_acctbal - 100 * n_nationkey) ** 2 + (c_nationkey - n_regionkey) ** 2), 6) AS dist_m FROM customer CROSS JOIN nation")
 def straight_matrix(spark, d):
-    o = _t(spark, d, "supplier").filter("s_suppkey <= 3").select(F.col("s_suppkey").cast("string").alias("origin_id"), F.lit(1.0).alias("weight"), F.col("s_acctbal").alias("x"), F.col("s_nationkey").cast("double").alias("y"))
+    """From every nation to every customer."""
+    o = _t(spark, d, "nation").select(F.col("n_nationkey").cast("string").alias("origin_id"), F.lit(1.0).alias("weight"), (F.col("n_nationkey") * 100.0).alias("x"), F.col("n_regionkey").cast("double").alias("y"))
     u = _t(spark, d, "customer").select(F.col("c_custkey").alias("unit_id"), F.col("c_acctbal").alias("x"), F.col("c_nationkey").cast("double").alias("y"))
     return matrix.straight(o, u).select("unit_id", "origin_id", F.round("dist_m", 6).alias("dist_m"))
 
 
-@_query()
+_CUT_SHARE_SQL = _STREET_SQL + ", ends AS (SELECT street, min(place) AS lo, max(place) AS hi FROM s GROUP BY street), cut_n AS (SELECT cut, count(*) AS n FROM (SELECT unnest(generate_series(lo * 10 + 1, hi * 10)) AS cut FROM ends) x GROUP BY cut)"
+
+
+def _sweep_sql() -> str:
+    """The cuts of every scenario, listed, as cuts_sql() does, with the cost of a cut."""
+    shares = f"shared AS (SELECT b.*, coalesce(cut_n.n, 0) / 1000.0::DOUBLE AS own_share FROM bins b LEFT JOIN cut_n ON cut = place), costed AS (SELECT *, lead(own_share) OVER (ORDER BY place) AS split_share FROM shared)"
+    parts = []
+    for k in (2, 3):
+        for p in (0.0, 0.3, 1.0):
+            ends = " UNION ALL ".join(f"SELECT {i} AS band, {0 if i == 0 else f'end{i}'} AS start_place, end{i + 1} AS end_place FROM c" for i in range(k))
+            parts.append(f"SELECT {k} AS k, {p}::DOUBLE AS penalty, band, CAST(start_place AS INTEGER) AS start_place, CAST(end_place AS INTEGER) AS end_place, value AS edge, {k} AS n_bands FROM (WITH c AS ({bands.cuts_sql(k, source='costed', penalty=p)}) {ends}) e JOIN bins ON place = end_place")
+    head = _CUT_SHARE_SQL + ", " + _BINS_SQL.split(",\n", 1)[1] + ", " + shares
+    return head + " " + " UNION ALL ".join(parts)
+
+
+@_query(_sweep_sql())
 def band_sweep(spark, d):
     """Bands for several k and cut penalties at once."""
     b = bands.prefix_sums(_bins(spark, d))
     cuts = bands.split_counts(_street_units(spark, d).withColumn("place", F.col("place") * 10))
     share = cuts.select(F.col("cut").cast("int").alias("place"), (F.col("n") / 1000).alias("split_share"))
-    return bands.sweep(b.join(share, "place", "left").fillna(0.0, ["split_share"]), [3, 4, 5], [0.0, 0.3, 1.0])
+    return bands.sweep(b.join(share, "place", "left").fillna(0.0, ["split_share"]), [2, 3], [0.0, 0.3, 1.0])
 
 
 @_query("SELECT date_trunc('hour', ts) AS start, date_trunc('hour', ts) + INTERVAL 1 HOUR AS \"end\", event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2, 3")
@@ -552,3 +599,6 @@ def event_counts(spark, d):
     """The batch form of the streaming counters, an extension."""
     out = counters.event_counts(_t(spark, d, "events")).withColumn("total", F.round("total", 4))
     return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("start", "end")})
+
+
+from . import catalog_rules  # noqa: E402, F401  (adds its queries to those above)

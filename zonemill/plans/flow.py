@@ -35,7 +35,7 @@ def tariff_bands(units: DataFrame, matrix: DataFrame, settings: BandSettings = B
     reached = costed.filter("expected_km IS NOT NULL")
     qualifiers = addresses.street_qualifiers(reached)
     needed = addresses.district_needed(qualifiers).withColumn("_needed", F.lit(True))
-    keyed = reached.withColumn("street_norm", text.normalize_plain(F.coalesce("street", F.lit("")))).join(needed, "street_norm", "left")
+    keyed = reached.withColumn("street_norm", text.normalize(F.coalesce("street", F.lit("")))).join(needed, "street_norm", "left")
     key = text.canonical_key(F.col("settlement"), F.col("street"), F.col("housenumber"), F.col("district"), F.coalesce("_needed", F.lit(False)))
     keyed = keyed.withColumn("canonical_key", key).drop("_needed")
     kept, disputed, conflicts = addresses.quarantine(keyed, "canonical_key", "lon", "lat", "expected_km", s.width_km, s.spread_limit_m)

@@ -31,14 +31,14 @@ def extract(nodes: DataFrame, ways: DataFrame, lon0: float, lat0: float) -> tupl
 
 
 def merge_addresses(units: DataFrame, footprints: DataFrame, size: float = 50.0) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(kept, merged, rejected). Address nodes on a residential building are merged into it; those inside a non-residential one
-    are rejected with its class (of several the lowest id)."""
+    """(kept, merged, rejected). Address nodes on a residential building are merged into it; those inside any other one, unknown
+    ones too, are rejected with its class (of several the lowest id)."""
     address = units.filter("unit_type = 'address'")
     home = footprints.filter(classify.is_anchor(F.col("building_class")))
     on_home = spatial.containing(address, home, "uid", "osm_id", size).select("uid").distinct()
     merged = address.join(on_home, "uid", "left_semi")
     rest = address.join(on_home, "uid", "left_anti")
-    other = footprints.filter("building_class IN ('non_residential', 'outbuilding', 'abandoned_or_ruin', 'construction')").select(F.col("osm_id").alias("shape"), "building_class", "ring")
+    other = footprints.filter(~classify.is_anchor(F.col("building_class"))).select(F.col("osm_id").alias("shape"), "building_class", "ring")
     hits = spatial.containing(rest, other, "uid", "shape", size).join(other.select("shape", F.col("building_class").alias("reason")), "shape")
     reasons = hits.groupBy("uid").agg(F.min_by("reason", "shape").alias("reason"))
     rejected = rest.join(reasons, "uid")

@@ -5,8 +5,9 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import subprocess
 import urllib.request
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass, fields
 from datetime import UTC, datetime
 from pathlib import Path
 from typing import Any
@@ -100,6 +101,7 @@ def load_config(path: str | Path, keys: list[str]) -> dict:
     return value
 
 
+# The field names of a manifest, as files that are exchanged hold them.
 @dataclass(frozen=True)
 class Manifest:
     """Where a file came from."""
@@ -113,6 +115,36 @@ class Manifest:
     last_modified: str | None
     local_path: str
 
+    def to_json(self) -> str:
+        return to_json(asdict(self))
+
+    @classmethod
+    def from_json(cls, text: str) -> Manifest:
+        """From a manifest's text; size, etag and date may lack."""
+        value = json.loads(text)
+        try:
+            return cls(**{f.name: value.get(f.name) if f.name in ("content_length", "etag", "last_modified") else value[f.name] for f in fields(cls)})
+        except KeyError as error:
+            raise ConfigError(f"manifest lacks {error}") from error
+
+
+def tool_versions(commands: dict[str, list[str]]) -> dict[str, str | None]:
+    """The first line that each command says of its version; None where it is not there."""
+    out: dict[str, str | None] = {}
+    for name, command in commands.items():
+        try:
+            said = subprocess.run(command, capture_output=True, text=True, timeout=30, check=False)
+            out[name] = next(iter((said.stdout or said.stderr).splitlines()), None)
+        except (OSError, subprocess.SubprocessError):
+            out[name] = None
+    return out
+
+
+def chosen_ids(given: list[int] | None, config: str | Path, key: str) -> list[int]:
+    """Ids given by hand replace those of the configuration; either way each once, in order."""
+    found = given if given else [c["id"] if isinstance(c, dict) else c for c in load_config(config, [key])[key]]
+    return list(dict.fromkeys(int(i) for i in found))
+
 
 def latest_manifest(manifests: DataFrame, local_path: str) -> DataFrame:
     """Of manifests(file, local_path, ...) the one of the last file name for a path, back slashes read as slashes."""

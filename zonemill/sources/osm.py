@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import SpatialAuditUnavailable
+from ..functions.geometry import covers
 
 _TAG = "tag array<struct<_k:string,_v:string>>"
 _SCHEMA = {
@@ -77,5 +78,24 @@ def boundary_ring(members: DataFrame, relation_id: int) -> list[tuple[float, flo
     return ring
 
 
+def usable_area(features: list[dict], relation_id: int) -> dict:
+    """The one outline among GeoJSON features of a relation; none, several, or an empty one is an error, and so is any other
+    kind beside it."""
+    kinds = [f.get("geometry", {}).get("type") for f in features]
+    areas = [f for f, k in zip(features, kinds, strict=True) if k in ("Polygon", "MultiPolygon")]
+    if len(areas) != 1 or not areas[0]["geometry"].get("coordinates"):
+        raise SpatialAuditUnavailable(f"relation {relation_id}: {len(areas)} outlines among {kinds}")
+    return areas[0]
+
+
+def clip(points: DataFrame, ring: list[tuple[float, float]], lon: str = "lon", lat: str = "lat") -> DataFrame:
+    """Objects inside a boundary_ring(); its edge is inside."""
+    line = F.array(*[F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x, y in ring])
+    west, south = (min(p[i] for p in ring) for i in (0, 1))
+    east, north = (max(p[i] for p in ring) for i in (0, 1))
+    boxed = points.filter(F.col(lon).between(west, east) & F.col(lat).between(south, north))
+    return boxed.filter(covers(line, F.col(lon), F.col(lat)))
+
+
 def in_box(points: DataFrame, west: float, south: float, east: float, north: float) -> DataFrame:
     return points.filter(F.col("lon").between(west, east) & F.col("lat").between(south, north))
