@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep, map_arrow, unused
+from .common import forget, keep, map_arrow, unused
 from .token_blocks import BLOCK_BYTES, Book
 
 _WORDS = 300_000
@@ -329,7 +329,10 @@ def _level(docs: DataFrame, before: DataFrame, length: int, half: int | None, ea
 
 def later_windows(docs: DataFrame, n: int = 13) -> DataFrame:
     """(doc_id, key, places): starts of windows of n words that also begin in a document with a smaller doc_id."""
-    return _level(docs, _candidates(docs, n), n, (n + 1) // 2, True, "substring-later")
+    first = _candidates(docs, n)
+    later = _level(docs, first, n, (n + 1) // 2, True, "substring-later")
+    forget(first)
+    return later
 
 
 def repeat_levels(docs: DataFrame, n: int = 13) -> DataFrame:
