@@ -62,10 +62,10 @@ def forget(df: DataFrame) -> None:
 
 @functools.cache
 def _libc() -> ctypes.CDLL | None:
-    """The C library, told once for each worker to map arrays of 1 MB and more, which go back when they are freed."""
+    """The C library, told once for each worker to map arrays of 8 MB and more, which go back when they are freed."""
     try:
         libc = ctypes.CDLL("libc.so.6")
-        libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
+        libc.mallopt(-3, 8 << 20)  # M_MMAP_THRESHOLD
         return libc
     except (OSError, AttributeError):
         return None
