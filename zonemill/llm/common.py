@@ -62,20 +62,22 @@ def forget(df: DataFrame) -> None:
 
 @functools.cache
 def _libc() -> ctypes.CDLL | None:
-    """The C library, told once for each worker to map arrays of 1 MB and more, which go back when they are freed."""
     try:
         libc = ctypes.CDLL("libc.so.6")
-        libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
-        return libc
+        return libc if libc.mallopt and libc.malloc_trim else None
     except (OSError, AttributeError):
         return None
 
 
-def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
-    """mapInArrow whose tasks give back at their end what memory they have freed, as workers live on between tasks."""
+def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType, lean: bool = False) -> DataFrame:
+    """mapInArrow whose tasks give back at their end what memory they have freed, as workers live on between tasks. lean:
+    arrays of 1 MB and more are mapped and go back as soon as they are freed, which costs time; else those of 32 MB."""
 
     def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         libc = _libc()
+        if libc:
+            libc.mallopt(-3, 1 << 20 if lean else 32 << 20)  # M_MMAP_THRESHOLD
+            libc.mallopt(-1, 1 << 20 if lean else 64 << 20)  # M_TRIM_THRESHOLD
         yield from run(batches)
         gc.collect()
         pa.default_memory_pool().release_unused()

@@ -263,8 +263,8 @@ def _partitions(docs: DataFrame) -> int:
 
 def _settle(sent: DataFrame, parts: int, width: int, earlier: bool, name: str) -> DataFrame:
     """Deals the blobs out and keeps the answers, one row for each document."""
-    told = map_arrow(sent.repartition(parts, "bucket").sortWithinPartitions("bucket"), _answers(width, earlier, parts), _FOUND)
-    return keep(map_arrow(told.repartition(parts, "bucket"), _by_document, "doc_id long, key long, places binary"), name)
+    told = map_arrow(sent.repartition(parts, "bucket").sortWithinPartitions("bucket"), _answers(width, earlier, parts), _FOUND, lean=True)
+    return keep(map_arrow(told.repartition(parts, "bucket"), _by_document, "doc_id long, key long, places binary", lean=True), name)
 
 
 def _key(docs: DataFrame) -> Column:
@@ -292,7 +292,7 @@ def _candidates(docs: DataFrame, n: int) -> DataFrame:
             owner = np.searchsorted(starts, least, "right") - 1
             yield _blobs(ids, keys, owner, least - starts[owner], h, 5, buckets, earlier=False)
 
-    return _settle(map_arrow(_rows(docs).filter("doc_id IS NOT NULL"), send, _BLOB), parts, 5, False, "substring-candidates")
+    return _settle(map_arrow(_rows(docs).filter("doc_id IS NOT NULL"), send, _BLOB, lean=True), parts, 5, False, "substring-candidates")
 
 
 def _marked(places: bytes | None, n_words: int) -> np.ndarray:
@@ -323,7 +323,7 @@ def _level(docs: DataFrame, before: DataFrame, length: int, half: int | None, ea
             owner = np.searchsorted(starts, at, "right") - 1
             yield _blobs(ids, keys, owner, at - starts[owner], hashes[at] if len(at) else hashes[:0], 8, buckets, earlier)
 
-    sent = map_arrow(_rows(docs).join(before, ["doc_id", "key"]).select("doc_id", "key", "text", "places"), send, _BLOB)
+    sent = map_arrow(_rows(docs).join(before, ["doc_id", "key"]).select("doc_id", "key", "text", "places"), send, _BLOB, lean=True)
     return _settle(sent, parts, 8, earlier, name)
 
 
