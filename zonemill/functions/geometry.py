@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -92,6 +94,54 @@ def side_of_line(px: Column, py: Column, x1: Column, y1: Column, x2: Column, y2:
     return F.signum((x2 - x1) * (py - y1) - (y2 - y1) * (px - x1)).cast("int")
 
 
+def extend_line(line: Column, by: float) -> Column:
+    """A line of two points or more, longer by ``by`` at either end in the direction of its end segments. An end segment
+    without length does not grow."""
+
+    def beyond(end: Column, inner: Column) -> Column:
+        d = distance(end["x"], end["y"], inner["x"], inner["y"])
+        t = F.when(d > 0, by / d).otherwise(0.0)
+        return F.struct((end["x"] + (end["x"] - inner["x"]) * t).alias("x"), (end["y"] + (end["y"] - inner["y"]) * t).alias("y"))
+
+    at = lambda i: F.element_at(line, i)
+    return F.when(F.size(line) >= 2, F.concat(F.array(beyond(at(1), at(2))), line, F.array(beyond(at(-1), at(-2))))).otherwise(line)
+
+
+def corners_kept(x: np.ndarray, y: np.ndarray, tolerance: float) -> np.ndarray:
+    """Places of the points that stay when a line is thinned: both ends, and between two points that stay the farthest from
+    their segment, as long as one is farther than the tolerance. A ring that would lose its area stays as it is."""
+    n = len(x)
+    stays = np.zeros(n, bool)
+    stays[[0, -1]] = True
+    spans = [(0, n - 1)]
+    while spans:
+        a, b = spans.pop()
+        if b - a < 2:
+            continue
+        px, py, dx, dy = x[a + 1 : b] - x[a], y[a + 1 : b] - y[a], x[b] - x[a], y[b] - y[a]
+        square = dx * dx + dy * dy
+        t = np.clip((px * dx + py * dy) / square, 0, 1) if square > 0 else np.zeros(b - a - 1)
+        away = np.hypot(px - t * dx, py - t * dy)
+        if away.max() > tolerance:
+            far = a + 1 + int(away.argmax())
+            stays[far] = True
+            spans += [(a, far), (far, b)]
+    ring = n > 3 and x[0] == x[-1] and y[0] == y[-1]
+    return np.arange(n) if ring and stays.sum() < 4 else np.flatnonzero(stays)
+
+
+def simplify(line: Column, tolerance: float = 2.0) -> Column:
+    """A line or ring without the points that lie within the tolerance of what is left; null stays null. The search for the
+    farthest point recurses, so the places come from Arrow batches; the points are taken in the JVM."""
+
+    @F.pandas_udf("array<int>")
+    def places(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([None if a is None else corners_kept(np.asarray(a, float), np.asarray(b, float), tolerance) if len(a) else [] for a, b in zip(x, y, strict=True)], dtype=object)
+
+    kept = places(F.transform(line, lambda p: p["x"]), F.transform(line, lambda p: p["y"]))
+    return F.transform(kept, lambda i: F.get(line, i))
+
+
 def segments_meet(a: Column, b: Column) -> Column:
     """Whether two segments (structs of x1, y1, x2, y2) share a point."""
     def turn(s: Column, x: Column, y: Column) -> Column:

@@ -174,6 +174,15 @@ def band_metrics(rows: DataFrame, value: str, weight: str, keys: list[str] | Non
     return out.drop("_w", "_wx", "_ss")
 
 
+def zone_summary(rows: DataFrame, km: str, minutes: str, weight: str, street: Column, addressed: Column) -> DataFrame:
+    """band_metrics() of kilometres with the least, the percentiles and the greatest of minutes, units with an address, and the
+    sorted names of a band's streets (null names left out)."""
+    names = ("min_value", "p50", "p75", "p90", "max_value")
+    time = band_metrics(rows, minutes, weight).select("band", *[F.col(c).alias(f"minutes_{c.removesuffix('_value')}") for c in names])
+    more = rows.groupBy("band").agg(F.count_if(addressed).alias("address_units"), F.sort_array(F.collect_set(street)).alias("streets"))
+    return band_metrics(rows, km, weight).join(time, "band").join(more, "band")
+
+
 def is_monotonic(metrics: DataFrame) -> DataFrame:
     """One row: whether each band ends at or before the least value of the next (empty bands are not in the rows)."""
     w = Window.partitionBy(F.lit(0)).orderBy("band")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -62,26 +62,36 @@ def radius_components(points: DataFrame, key: str, radius: float) -> DataFrame:
     return placed.join(roots, ["cx", "cy"]).select(F.col("_k").alias(key), "cluster")
 
 
+def global_rank(rows: DataFrame, order: list[Column | str], name: str) -> DataFrame:
+    """rows with their place from 1 in one order over all of them. Rows are dealt by ranges of the order and numbered range
+    by range behind the counts of the ranges before, so that no task ranks them all."""
+    dealt = cut_lineage(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    counts = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))  # a row for each task of the write
+    before = Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    here = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    return dealt.withColumn("_r", here).join(F.broadcast(starts), "_part").withColumn(name, F.col("_start") + F.col("_r")).drop("_part", "_r", "_start")
+
+
 def ordered_clusters(points: DataFrame, key: str, radius: float, dense: int = 5) -> DataFrame:
     """(cluster, n, nth, is_dense): clusters by size, then by smallest key."""
     n = radius_components(points, key, radius).groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
-    return n.withColumns({"nth": F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.col("n").desc(), "cluster")), "is_dense": F.col("n") >= dense})
+    return global_rank(n, [F.col("n").desc(), F.col("cluster")], "nth").select("cluster", "n", "nth", (F.col("n") >= dense).alias("is_dense"))
 
 
 def delivery_origins(points: DataFrame, key: str, radius: float, outer_total: float, landmark: tuple[float, float] | None = None, least: int = 3) -> DataFrame:
     """(cluster, role, x, y, weight, n): the largest cluster is central and takes 1 - outer_total; the others of at least
     ``least`` points share outer_total by size, and the one nearest to the landmark is named bam."""
     own = points.join(radius_components(points, key, radius), key)
-    c = own.groupBy("cluster").agg(F.avg("x").alias("x"), F.avg("y").alias("y"), F.count(F.lit(1)).alias("n"))
-    one = Window.partitionBy(F.lit(0))  # clusters, not points
-    c = c.withColumn("nth", F.row_number().over(one.orderBy(F.col("n").desc(), "cluster"))).filter((F.col("nth") == 1) | (F.col("n") >= least))
-    outer = F.col("nth") > 1
+    c = cut_lineage(own.groupBy("cluster").agg(F.avg("x").alias("x"), F.avg("y").alias("y"), F.count(F.lit(1)).alias("n")))
+    size = F.struct(-F.col("n"), F.col("cluster"))  # larger first, then by smallest key
+    c = c.crossJoin(F.broadcast(c.agg(F.min_by("cluster", size).alias("_first")))).filter((F.col("cluster") == F.col("_first")) | (F.col("n") >= least))
+    outer = F.col("cluster") != F.col("_first")
     away = F.sqrt(F.pow(F.col("x") - (landmark or (0, 0))[0], 2) + F.pow(F.col("y") - (landmark or (0, 0))[1], 2))
-    c = c.withColumn("nearest", F.min(F.when(outer, F.struct(away, "nth"))).over(one)["nth"])
-    role = F.when(~outer, "central").when(F.lit(landmark is not None) & (F.col("nth") == F.col("nearest")), "bam").otherwise("outer_other")
-    total = F.sum(F.when(outer, F.col("n"))).over(one)
-    weight = F.when(outer, F.round(outer_total * F.col("n") / total, 6)).otherwise(F.when(total.isNull(), 1.0).otherwise(1 - outer_total))
-    return c.select("cluster", role.alias("role"), "x", "y", weight.alias("weight"), "n")
+    of_all = c.filter(outer).agg(F.sum("n").alias("_total"), F.min_by("cluster", F.struct(away, size)).alias("_near"))  # one row
+    role = F.when(~outer, "central").when(F.lit(landmark is not None) & (F.col("cluster") == F.col("_near")), "bam").otherwise("outer_other")
+    weight = F.when(outer, F.round(outer_total * F.col("n") / F.col("_total"), 6)).otherwise(F.when(F.col("_total").isNull(), 1.0).otherwise(1 - outer_total))
+    return c.crossJoin(F.broadcast(of_all)).select("cluster", role.alias("role"), "x", "y", weight.alias("weight"), "n")
 
 
 def seeded_kmeans(points: DataFrame, k: int, key: str = "id", rounds: int = 100) -> DataFrame:

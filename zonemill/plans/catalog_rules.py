@@ -411,7 +411,7 @@ _CLUSTER_SQL = f"""p AS ({_POINTS_SQL}), e AS (SELECT p.id AS a, q.id AS b FROM
 lab(node, root) USING KEY (node) AS (SELECT id, id FROM p UNION SELECT e.b, min(l.root) FROM lab l JOIN e ON e.a = l.node JOIN recurring.lab k ON k.node = e.b WHERE l.root < k.root GROUP BY e.b)"""
 
 
-@_query(f"WITH RECURSIVE {_CLUSTER_SQL}, c AS (SELECT root AS cluster, count(*) AS n FROM lab GROUP BY root) SELECT cluster, n, CAST(row_number() OVER (ORDER BY n DESC, cluster) AS INTEGER) AS nth, n >= 5 AS is_dense FROM c")
+@_query(f"WITH RECURSIVE {_CLUSTER_SQL}, c AS (SELECT root AS cluster, count(*) AS n FROM lab GROUP BY root) SELECT cluster, n, row_number() OVER (ORDER BY n DESC, cluster) AS nth, n >= 5 AS is_dense FROM c")
 def ordered_clusters(spark, d):
     return graph.ordered_clusters(_points(spark, d), "id", 12)
 
@@ -592,3 +592,31 @@ SELECT count(*) FILTER (building IS NOT NULL AND (kind = 'n' OR (kind = 'w' AND
  count(*) FILTER (building = 'apartments' AND c = 'confirmed_residential' AND (kind = 'n' OR (kind = 'w' AND id % 7 + 1 >= 4))) AS apartments FROM k""")
 def raw_counts(spark, d):
     return scan.raw_counts(_objects(spark, d), _ways(spark, d))
+
+
+@_query(f"""
+WITH s AS ({_STREETS_SQL}) SELECT street_id, sx - 25 AS x1, sx + 85 AS x2, sy AS y1, sy AS y2, CAST(4 AS INTEGER) AS points FROM s""")
+def extended_lines(spark, d):
+    line = geometry.extend_line(F.col("line"), 25.0)
+    at = lambda i, c: F.element_at("longer", i)[c]
+    s = _streets(spark, d).select("street_id", line.alias("longer"))
+    return s.select("street_id", at(1, "x").alias("x1"), at(-1, "x").alias("x2"), at(1, "y").alias("y1"), at(-1, "y").alias("y2"), F.size("longer").alias("points"))
+
+
+_ZONED = """SELECT o_totalprice AS km, sqrt(o_totalprice) AS minutes, CAST(1 + o_orderkey % 3 AS DOUBLE) AS weight, CASE WHEN o_custkey % 50 > 0 THEN concat('street ', CAST(o_custkey % 50 AS VARCHAR(10))) END AS street,
+ o_orderkey % 4 > 0 AS addressed, CAST(CASE WHEN o_totalprice <= 60000 THEN 0 WHEN o_totalprice <= 150000 THEN 1 WHEN o_totalprice <= 250000 THEN 2 ELSE 3 END AS INTEGER) AS band FROM orders"""
+
+
+@_query(f"""
+WITH z AS ({_ZONED}),
+r AS (SELECT *, row_number() OVER (PARTITION BY band ORDER BY km) - 1 AS i, row_number() OVER (PARTITION BY band ORDER BY minutes) - 1 AS j, count(*) OVER (PARTITION BY band) AS n, sum(weight) OVER () AS total, sum(km * weight) OVER (PARTITION BY band) / sum(weight) OVER (PARTITION BY band) AS mean FROM z)
+SELECT band, count(*) AS units, sum(weight) AS weight, min(km) AS min_value, max(km) AS max_value, round(sum(weight) / max(total), 6) AS weight_share, round(sqrt(sum(weight * (km - mean) * (km - mean)) / sum(weight)), 3) AS dispersion,
+ max(CASE WHEN i = least(floor(n * 50 / 100), n - 1) THEN km END) AS p50, max(CASE WHEN i = least(floor(n * 75 / 100), n - 1) THEN km END) AS p75, max(CASE WHEN i = least(floor(n * 90 / 100), n - 1) THEN km END) AS p90,
+ round(min(minutes), 6) AS minutes_min, round(max(minutes), 6) AS minutes_max, round(max(CASE WHEN j = least(floor(n * 50 / 100), n - 1) THEN minutes END), 6) AS minutes_p50,
+ round(max(CASE WHEN j = least(floor(n * 75 / 100), n - 1) THEN minutes END), 6) AS minutes_p75, round(max(CASE WHEN j = least(floor(n * 90 / 100), n - 1) THEN minutes END), 6) AS minutes_p90,
+ count(*) FILTER (addressed) AS address_units, array_to_string(list_sort(list(DISTINCT street) FILTER (street IS NOT NULL)), ', ') AS streets FROM r GROUP BY band""")
+def zone_summary(spark, d):
+    _t(spark, d, "orders").createOrReplaceTempView("orders")
+    out = bands.zone_summary(spark.sql(_ZONED), "km", "minutes", "weight", F.col("street"), F.col("addressed"))
+    digits = {"weight_share": 6, "dispersion": 3} | {f"minutes_{c}": 6 for c in ("min", "p50", "p75", "p90", "max")}
+    return out.withColumns({c: F.round(c, n) for c, n in digits.items()}).withColumn("streets", F.array_join("streets", ", "))
