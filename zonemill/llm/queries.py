@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_replay, packing, pii, simhash, substrings, token_count, topk, toxicity
+from . import bpe_replay, divergence, lexical, packing, pii, secret_scan, simhash, substrings, token_count, topk, toxicity
 from .common import documents
 from .quality import judge
 from .sharding import shard_documents
@@ -72,8 +72,21 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(documents(spark, sf_dir)).drop("group_rows")
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(documents(spark, sf_dir))
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_simhash, op3_substring_dedup, op4_byte_bpe, op5_token_counts, op6_top_k, op7_pii, op8_toxicity, op9_quality_rules, op10_sharding)}
+    first = (op1_packing, op2_simhash, op3_substring_dedup, op4_byte_bpe, op5_token_counts, op6_top_k, op7_pii, op8_toxicity, op9_quality_rules, op10_sharding)
+    return {f.__name__: f for f in (*first, op11_source_divergence, op12_lexical_search, op13_secret_scan)}
 
 
 _OP6 = """
@@ -90,5 +103,50 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """
 
 
+_OP11 = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS row_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM documents
+), t AS (SELECT row_id, lang, source, unnest(terms) AS term FROM d),
+kept AS (SELECT lang, term FROM t GROUP BY ALL HAVING count(DISTINCT row_id) >= 30),
+c AS (SELECT lang, source, term, count(*) AS n FROM t JOIN kept USING (lang, term) GROUP BY ALL),
+g AS (SELECT DISTINCT lang, source FROM d),
+v AS (SELECT lang, count(*) AS v FROM kept GROUP BY ALL),
+ln AS (SELECT lang, term, sum(n) AS n FROM c GROUP BY ALL),
+lp AS (SELECT lang, term, 1 + (1000000000::HUGEINT * (n + 5)) // (sum(n) OVER (PARTITION BY lang) + 5 * v) AS q FROM ln JOIN v USING (lang)),
+gn AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, v FROM g JOIN kept k USING (lang) JOIN v USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+gp AS (SELECT lang, source, term, n, 1 + (1000000000::HUGEINT * (n + 5)) // (sum(n) OVER (PARTITION BY lang, source) + 5 * v) AS p FROM gn),
+r AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(s.value, 0) AS BIGINT) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN (SELECT x.lang, x.source AS s1, y.source AS s2, sum(abs(x.p - y.p)) AS value FROM gp x JOIN gp y USING (lang, term) GROUP BY ALL) s
+    ON s.lang = a.lang AND s.s1 = a.source AND s.s2 = b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, CAST(p - q AS BIGINT) FROM gp JOIN lp USING (lang, term) WHERE n > 0 AND p > q
+), k AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM r)
+SELECT lang, source, part, item, value, rank FROM k WHERE part = 'pair' OR rank <= 50
+"""
+
+_OP12 = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS row_id, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM documents
+), s AS (SELECT count(*) FILTER (len(terms) > 0) AS n_docs, sum(len(terms)) AS n_all FROM d),
+p AS (SELECT row_id, doc_id, len(terms) AS n, unnest(terms) AS term FROM d),
+f AS (SELECT row_id, doc_id, n, term, count(*) AS tf FROM p GROUP BY ALL),
+w AS (SELECT term, CAST(floor(1000 * ln((2.0::DOUBLE * n_docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM f, s GROUP BY term, n_docs),
+q AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM benchmark WHERE item_id IS NOT NULL
+), r AS (
+  SELECT item_id, row_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * n_docs) // n_all)))) AS BIGINT) AS score
+  FROM q JOIN w USING (term) JOIN f USING (term), s GROUP BY ALL
+), k AS (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM r WHERE score > 0 AND doc_id IS NOT NULL)
+SELECT item_id, rank, doc_id, score FROM k WHERE rank <= 10
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op6_top_k": _OP6}
+    return {"op6_top_k": _OP6, "op11_source_divergence": _OP11, "op12_lexical_search": _OP12}
