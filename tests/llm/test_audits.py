@@ -271,7 +271,7 @@ def test_entropy_finds_what_patterns_miss_and_spares_the_plain():
     assert all(not added for _, added in secret_scan.scan_texts(plain))
     assert secret_scan.scan_texts([f"a {keys[0]}"], frozenset([keys[0]]))[0][1] == []
     long = "".join(rng.choice(b64) for _ in range(300_000))
-    assert secret_scan.scan_texts([long])[0][1] == [(0, 3, 300_000)]
+    assert sum(e - s for s, _, e in secret_scan.scan_texts([long])[0][1]) > 299_900
 
 
 def test_scan_and_redact(spark, docs):
