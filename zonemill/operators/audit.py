@@ -80,8 +80,8 @@ def metric_deltas(rows: DataFrame, candidate: str, metrics: list[str], first, se
 
 
 def count_by(rows: DataFrame, key: str, missing: str = "unknown") -> DataFrame:
-    """Frequencies, most frequent first, then by key."""
-    return rows.groupBy(F.coalesce(F.col(key).cast("string"), F.lit(missing)).alias(key)).agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), key)
+    """Frequencies, most frequent first, then by key. Null and '' count as missing."""
+    return rows.groupBy(F.coalesce(F.nullif(F.col(key).cast("string"), F.lit("")), F.lit(missing)).alias(key)).agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), key)
 
 
 def summarise(units: DataFrame, types: list[str], key: str = "unit_type") -> DataFrame:
@@ -115,9 +115,9 @@ def difference(left: DataFrame, right: DataFrame, key: list[str]) -> DataFrame:
     return left.join(right.select(*key), key, "left_anti")
 
 
-def disjoint(allow: DataFrame, deny: DataFrame) -> bool:
-    """Whether two lists share nothing."""
-    return allow.intersect(deny).isEmpty()
+def disjoint(allow: DataFrame, deny: DataFrame) -> DataFrame:
+    """One row, ``disjoint``: whether two lists share nothing."""
+    return allow.distinct().join(deny.distinct(), allow.columns, "left_semi").agg((F.count(F.lit(1)) == 0).alias("disjoint"))
 
 
 def spread_groups(rows: DataFrame, key: str, value: Column, limit: float, others: list[Column]) -> DataFrame:

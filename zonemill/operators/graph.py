@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import heapq
 import uuid
+from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -24,6 +27,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_table(df: DataFrame) -> None:
+    """Deletes a table that cut_lineage() wrote and that no later plan reads."""
+    spark = df.sparkSession
+    for file in df.inputFiles()[:1]:
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(file).getParent()
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def connected(edges: DataFrame, rounds: int = 100) -> DataFrame:
     """edges(a, b) of longs. (node, root): the smallest node that each node on an edge reaches. Every round takes the least
     label among the neighbours and then the label of that label, which halves long chains."""
@@ -37,27 +48,76 @@ def connected(edges: DataFrame, rounds: int = 100) -> DataFrame:
         jump = low.select(F.col("node").alias("low"), F.col("low").alias("far"))
         later = cut_lineage(low.join(jump, "low", "left").select("node", F.col("root").alias("was"), F.least("low", "far").alias("root")))
         changed = later.filter("root <> was").limit(1).count()
+        for old in (labels, low):
+            drop_table(old)
         labels = later.select("node", "root")
         if not changed:
+            drop_table(both)
             return labels
     raise RuntimeError(f"connected: no end after {rounds} rounds")
 
 
+#: Pairs of cells with more pairs of points than this are refined instead of being compared; sub-cells halve DEEP times.
+MANY, DEEP = 4096, 6
+
+
+def _linked_cells(placed: DataFrame, side: float, radius: float) -> DataFrame:
+    """(a, b): names of two different cells in which two points lie within the radius. placed: x, y, cx, cy, name.
+
+    Cells with few points are compared point by point. Two full cells descend together: of two sub-cells that are near as a
+    whole one is witness enough for their cells, those that are too far as a whole are dropped, and only what lies between is
+    refined, so a cell's work follows the edge of the radius and not the square of its points."""
+    ahead = [(i, j) for i in range(3) for j in range(-2, 3) if i > 0 or j > 0]
+    steps = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in ahead]))
+    sizes = placed.groupBy("cx", "cy", "name").agg(F.count(F.lit(1)).alias("n"))
+    left = sizes.select(F.col("name").alias("a"), F.col("n").alias("na"), "cx", "cy", steps.alias("o"))
+    left = left.select("a", "na", (F.col("cx") + F.col("o.i")).alias("cx"), (F.col("cy") + F.col("o.j")).alias("cy"))
+    pairs = cut_lineage(left.join(sizes, ["cx", "cy"]).select("a", F.col("name").alias("b"), (F.col("na") * F.col("n")).alias("work")))
+    points = placed.select("name", "x", "y")
+
+    def compare(pairs: DataFrame, points: DataFrame, own: list[str]) -> DataFrame:
+        first = points.select(*[F.col(c).alias(f"a{c}") for c in own], F.col("name").alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay"))
+        second = points.select(*[F.col(c).alias(f"b{c}") for c in own], F.col("name").alias("b"), F.col("x").alias("bx"), F.col("y").alias("by"))
+        met = pairs.join(first, ["a", *[f"a{c}" for c in own]]).join(second, ["b", *[f"b{c}" for c in own]])
+        dx, dy = F.col("ax") - F.col("bx"), F.col("ay") - F.col("by")
+        return met.filter(F.sqrt(dx * dx + dy * dy) <= radius).groupBy("a", "b").agg(F.count(F.lit(1)).alias("_n")).select("a", "b")
+
+    found = compare(pairs.filter(F.col("work") <= MANY).select("a", "b"), points, [])
+    full = pairs.filter(F.col("work") > MANY).select("a", "b")
+    if full.isEmpty():
+        return found
+    hot = cut_lineage(placed.join(full.select(F.col("a").alias("name")).union(full.select("b")).distinct(), "name", "left_semi"))
+    finest = side / 2**DEEP
+    hot = hot.withColumns({"sx": F.floor(F.col("x") / finest).cast("long"), "sy": F.floor(F.col("y") / finest).cast("long")})
+    at = lambda k: hot.select("name", F.shiftright("sx", k).alias("sx"), F.shiftright("sy", k).alias("sy")).distinct()
+    open_ = full
+    for k in range(DEEP - 1, -1, -1):
+        wide = finest * 2**k
+        one, two = at(k).toDF("a", "asx", "asy"), at(k).toDF("b", "bsx", "bsy")
+        up = lambda df, p: df.withColumns({f"{p}ux": F.shiftright(f"{p}sx", 1), f"{p}uy": F.shiftright(f"{p}sy", 1)})
+        keys = [["a"], ["b"]] if k == DEEP - 1 else [["a", "aux", "auy"], ["b", "bux", "buy"]]
+        met = open_.join(up(one, "a"), keys[0]).join(up(two, "b"), keys[1])
+        dx, dy = F.abs(F.col("asx") - F.col("bsx")), F.abs(F.col("asy") - F.col("bsy"))
+        least = F.hypot(F.greatest(dx - 1, F.lit(0)) * wide, F.greatest(dy - 1, F.lit(0)) * wide)
+        most = F.hypot((dx + 1) * wide, (dy + 1) * wide)
+        # A little is left to the exact test at either bound, against rounding.
+        met = met.select("a", "b", "asx", "asy", "bsx", "bsy", (most <= radius * (1 - 1e-9)).alias("near"), least.alias("least")).filter(F.col("least") <= radius * (1 + 1e-9))
+        met = cut_lineage(met)
+        sure = met.filter("near").select("a", "b").distinct()
+        found = found.unionByName(sure)
+        open_ = met.join(sure, ["a", "b"], "left_anti").select("a", "b", *([F.col(c).alias(c.replace("s", "u")) for c in ("asx", "asy", "bsx", "bsy")] if k else ("asx", "asy", "bsx", "bsy")))
+    return found.unionByName(compare(open_, hot.select("name", "x", "y", "sx", "sy").distinct(), ["sx", "sy"]))
+
+
 def radius_components(points: DataFrame, key: str, radius: float) -> DataFrame:
     """(key, cluster): single-link clusters of points x, y; a cluster is named by its smallest key."""
-    # Points of a cell this wide lie within the radius of each other: cells are the nodes, named by their least key. Of two
-    # cells one pair near enough will do, and pairs are aggregated before anything is dealt.
+    # Points of a cell this wide lie within the radius of each other: cells are the nodes, named by their least key.
     side = radius / 2**0.5 * (1 - 1e-9)
     cell = lambda c: F.floor(F.col(c) / side).cast("long")
     placed = cut_lineage(points.select(F.col(key).alias("_k"), "x", "y", cell("x").alias("cx"), cell("y").alias("cy")))
     names = cut_lineage(placed.groupBy("cx", "cy").agg(F.min("_k").alias("name")))
     named = placed.join(names, ["cx", "cy"]).select("cx", "cy", "x", "y", "name")
-    ahead = [(i, j) for i in range(3) for j in range(-2, 3) if i > 0 or j > 0]
-    steps = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in ahead]))
-    left = named.select(F.col("x").alias("ax"), F.col("y").alias("ay"), F.col("name").alias("a"), "cx", "cy", steps.alias("o"))
-    left = left.select("ax", "ay", "a", (F.col("cx") + F.col("o.i")).alias("cx"), (F.col("cy") + F.col("o.j")).alias("cy"))
-    near = left.join(named, ["cx", "cy"]).filter(F.sqrt((F.col("ax") - F.col("x")) * (F.col("ax") - F.col("x")) + (F.col("ay") - F.col("y")) * (F.col("ay") - F.col("y"))) <= radius)
-    found = connected(near.groupBy("a", F.col("name").alias("b")).agg(F.count(F.lit(1)).alias("_n")).select("a", "b"))
+    found = connected(_linked_cells(named, side, radius))
     roots = names.join(found, names["name"] == found["node"], "left").select("cx", "cy", F.coalesce("root", "name").alias("cluster"))
     return placed.join(roots, ["cx", "cy"]).select(F.col("_k").alias(key), "cluster")
 
@@ -135,19 +195,81 @@ def snapped_edges(lines: DataFrame, line: str = "line", snap: float = 1.0) -> Da
     return s.filter("a <> b").groupBy("a", "b").agg(F.min("w").alias("w"))
 
 
-def shortest_paths(edges: DataFrame, sources: DataFrame, limit: float = float("inf"), rounds: int = 10_000) -> DataFrame:
+def cell_block(node: Column, wide: int = 64) -> Column:
+    """Block of a node that snapped_edges() named: a square of ``wide`` cells a side."""
+    x, y = F.shiftright(node, 31), node.bitwiseAND(F.lit(2**31 - 1))
+    return F.shiftleft((x / wide).cast("long"), 31).bitwiseOR((y / wide).cast("long"))
+
+
+def range_block(node: Column, wide: int = 4096) -> Column:
+    """Block of a node among ids that lie near each other where edges do."""
+    return F.floor(node / wide).cast("long")
+
+
+def _within_block(rows: pd.DataFrame) -> pd.DataFrame:
+    """Dijkstra inside one block. rows: kind 0 an edge (a, b, w, to: the block of b), 1 a distance known before, 2 one that just came
+    in. Gives what got nearer: nodes of the block, and nodes beyond its border with the block that they lie in."""
+    block = rows["block"].iloc[0]
+    known, fresh, edges = {}, {}, {}
+    for kind, a, b, w, to in rows[["kind", "a", "b", "w", "to"]].itertuples(index=False):
+        if kind == 0:
+            edges.setdefault(a, []).append((b, w, to))
+        elif kind == 1:
+            known[a] = min(w, known.get(a, float("inf")))
+        else:
+            fresh[a] = min(w, fresh.get(a, float("inf")))
+    best, heap, out = dict(known), [], {}
+    for a, w in fresh.items():
+        if w < best.get(a, float("inf")):
+            best[a] = out[a] = w
+            heap.append((w, a))
+    heapq.heapify(heap)
+    beyond: dict = {}
+    while heap:
+        d, a = heapq.heappop(heap)
+        if d > best[a]:
+            continue
+        for b, w, to in edges.get(a, ()):
+            if to != block:
+                if d + w < beyond.get(b, (float("inf"),))[0]:
+                    beyond[b] = (d + w, to)
+            elif d + w < best.get(b, float("inf")):
+                best[b] = out[b] = d + w
+                heapq.heappush(heap, (d + w, b))
+    found = [(block, a, d, True) for a, d in out.items()] + [(to, b, d, False) for b, (d, to) in beyond.items()]
+    return pd.DataFrame(found, columns=["block", "node", "dist", "own"])
+
+
+def shortest_paths(edges: DataFrame, sources: DataFrame, limit: float = float("inf"), block: Callable[[Column], Column] = range_block, rounds: int = 10_000) -> DataFrame:
     """(node, dist): the least sum of weights (none negative) from any source over undirected edges(a, b, w), for every node
-    reached within less than ``limit``. Each round relaxes only the nodes that the last one brought nearer."""
-    both = cut_lineage(edges.select("a", "b", "w").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "w")))
-    known = cut_lineage(sources.select(F.col("node"), F.lit(0.0).alias("dist")).distinct())
-    front = known
+    reached within less than ``limit``.
+
+    Nodes lie in blocks, so chosen that few edges leave one and that one task holds a block's edges. A round settles whole
+    blocks: those that heard of a shorter way run Dijkstra inside, and only what they offer to nodes of other blocks is
+    exchanged. Rounds append what changed and rewrite nothing, and there are as many as blocks on the way, not edges."""
+    both = edges.select("a", "b", "w").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "w"))
+    arcs = cut_lineage(both.select(block(F.col("a")).alias("block"), F.lit(0).alias("kind"), F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"), F.col("w").cast("double").alias("w"), block(F.col("b")).alias("to")))
+    front = cut_lineage(sources.select(F.col("node").cast("long").alias("node"), block(F.col("node")).alias("block"), F.lit(0.0).alias("dist")).distinct())
+    known: DataFrame | None = None
+    tables = [arcs]
+    shown = lambda df, kind: df.select("block", F.lit(kind).alias("kind"), F.col("node").alias("a"), F.col("node").alias("b"), F.col("dist").alias("w"), F.col("block").alias("to"))
     for _ in range(rounds):
-        reach = front.join(both, front["node"] == both["a"]).groupBy(F.col("b").alias("node")).agg(F.min(F.col("dist") + F.col("w")).alias("new")).filter(F.col("new") < limit)
-        merged = cut_lineage(known.join(reach, "node", "full").select("node", F.least("dist", "new").alias("d"), (F.col("dist").isNull() | (F.col("new") < F.col("dist"))).alias("moved")))
-        known = merged.select("node", F.col("d").alias("dist"))
-        front = merged.filter("moved").select("node", F.col("d").alias("dist"))
+        active = front.select("block").distinct()
+        rows = arcs.join(active, "block", "left_semi").unionByName(shown(front, 2))
+        if known is not None:
+            rows = rows.unionByName(shown(known.join(active, "block", "left_semi"), 1))
+        changes = cut_lineage(rows.groupBy("block").applyInPandas(_within_block, "block long, node long, dist double, own boolean").filter(F.col("dist") < limit))
+        tables += [front, changes]
+        own = changes.filter("own").select("block", "node", "dist")
+        known = own if known is None else known.unionByName(own)
+        offers = changes.filter("NOT own").groupBy("block", "node").agg(F.min("dist").alias("dist"))
+        best = known.join(offers.select("node"), "node", "left_semi").groupBy("node").agg(F.min("dist").alias("had"))
+        front = cut_lineage(offers.join(best, "node", "left").filter("had IS NULL OR dist < had").select("node", "block", "dist"))
         if front.isEmpty():
-            return known
+            out = cut_lineage(known.groupBy("node").agg(F.min("dist").alias("dist")))
+            for table in [*tables, front]:
+                drop_table(table)
+            return out
     raise RuntimeError(f"shortest_paths: no end after {rounds} rounds")
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from .cover import SHIFT, covering, nearest_lines, ring_cover
 
 
 def _cell(x: Column, size: float) -> Column:
@@ -77,6 +78,13 @@ def attribute_units(units: DataFrame, streets: DataFrame, key: str = "uid", stre
     return out.withColumn("outcome", label)
 
 
+def unattached(units: DataFrame, served: DataFrame, key: str, street_key: str, threshold: float, size: float) -> DataFrame:
+    """(key, street_key, nearest_road_m): units farther than ``threshold`` from every serviceable street, with the nearest one
+    wherever it is; both null without any street. size: of the finest cells that units and streets are dealt by."""
+    near = nearest_lines(units, served, key, street_key, size).filter(F.col("distance").isNull() | (F.col("distance") > threshold))
+    return near.select(key, street_key, F.round("distance", 1).alias("nearest_road_m"))
+
+
 def corridor_counts(streets: DataFrame, objects: DataFrame, street_key: str, object_key: str, counts: dict[str, Column], radius: float = 60.0) -> DataFrame:
     """Per street (several lines may share a key) how many different objects within radius meet each condition."""
     hits = near_lines(objects, streets, object_key, street_key, radius).select(object_key, street_key).distinct().join(objects, object_key)
@@ -84,19 +92,12 @@ def corridor_counts(streets: DataFrame, objects: DataFrame, street_key: str, obj
     return streets.select(street_key).distinct().join(sums, street_key, "left").fillna(0, list(counts))
 
 
-def _ring_cells(rings: DataFrame, ring_key: str, size: float) -> DataFrame:
-    """(ring_key, cx, cy): cells of a ring's box, without the ring."""
-    xs, ys = F.transform("ring", lambda p: p["x"]), F.transform("ring", lambda p: p["y"])
-    cx = F.sequence(_cell(F.array_min(xs), size), _cell(F.array_max(xs), size))
-    return rings.select(ring_key, F.explode(cx).alias("cx"), F.array_min(ys).alias("_a"), F.array_max(ys).alias("_b")).select(ring_key, "cx", F.explode(F.sequence(_cell(F.col("_a"), size), _cell(F.col("_b"), size))).alias("cy"))
-
-
-def containing(points: DataFrame, rings: DataFrame, key: str, ring_key: str, size: float) -> DataFrame:
-    """(key, ring_key): rings (closed, array of points ``ring``) that cover points x, y; the boundary is inside. size: of the
-    cells that both are dealt by."""
-    a = points.select(key, "x", "y", _cell(F.col("x"), size).alias("cx"), _cell(F.col("y"), size).alias("cy"))
-    hits = a.join(_ring_cells(rings, ring_key, size), ["cx", "cy"]).join(rings.select(ring_key, "ring"), ring_key)
-    return hits.filter(G.covers(F.col("ring"), F.col("x"), F.col("y"))).select(key, ring_key)
+def containing(points: DataFrame, rings: DataFrame, key: str, ring_key: str, size: float, edges: bool = False) -> DataFrame:
+    """(key, ring_key): areas that cover points x, y; their edges belong to them. rings: closed, array of points ``ring``; the
+    insides of several rings of one ring_key count even-odd, so holes and exclaves may be rows of their own. Points meet the cells of a
+    quad-tree cover (see cover.py) whose border cells are as small as ``size``. edges: adds on_edge."""
+    out = covering(points, rings, key, ring_key, size)
+    return out if edges else out.drop("on_edge")
 
 
 def inside(points: DataFrame, rings: DataFrame, key: str, ring_key: str, size: float, how: str = "left_semi") -> DataFrame:
@@ -172,9 +173,15 @@ def footprint(points: DataFrame, buffer: float, closing: float, size: float) ->
 
 
 def ring_area_cells(rings: DataFrame, ring_key: str, size: float) -> DataFrame:
-    """Cells whose centre a ring covers."""
-    cells = _ring_cells(rings, ring_key, size).join(rings.select(ring_key, "ring"), ring_key)
-    return cells.filter(G.covers(F.col("ring"), (F.col("cx") + 0.5) * size, (F.col("cy") + 0.5) * size)).select("cx", "cy").distinct()
+    """(cx, cy): cells whose centre an area covers. Inner cells of the cover hold their centres without a test; those of
+    border cells are tested."""
+    cover = ring_cover(rings, ring_key, size)
+    wide, off = F.pow(F.lit(2.0), F.col("level")), SHIFT
+    # Centres of cells of the plain grid that lie in a cell of the shifted one.
+    span = lambda c: F.sequence(F.ceil(F.col(c) * wide + off - 0.5).cast("long"), F.ceil((F.col(c) + 1) * wide + off - 0.5).cast("long") - 1)
+    centres = cover.select(F.explode(span("cx")).alias("cx"), span("cy").alias("_ys")).select("cx", F.explode("_ys").alias("cy")).distinct()
+    at = centres.select(F.struct("cx", "cy").alias("_at"), ((F.col("cx") + 0.5) * size).alias("x"), ((F.col("cy") + 0.5) * size).alias("y"))
+    return containing(at, rings, "_at", ring_key, size).select("_at.cx", "_at.cy").distinct()
 
 
 def overlay(a: DataFrame, b: DataFrame, how: str) -> DataFrame:
@@ -188,17 +195,45 @@ def area_of(cells: DataFrame, size: float) -> DataFrame:
     return cells.distinct().agg((F.count(F.lit(1)) * float(size * size)).alias("area"))
 
 
-def clip_to_side(cells: DataFrame, line: tuple[float, float, float, float], keep_left: bool, size: float) -> tuple[DataFrame, bool]:
-    """Cells on one side of a line (x1, y1, x2, y2) extended without end, and whether any was cut off."""
-    side = G.side_of_line((F.col("cx") + 0.5) * size, (F.col("cy") + 0.5) * size, *map(F.lit, line))
-    keep = (side >= 0) if keep_left else (side <= 0)
-    return cells.filter(keep), not cells.filter(~keep).isEmpty()
-
-
-def clip_direction(cells: DataFrame, x: float, y: float, direction: str, size: float) -> DataFrame:
-    """Cells north, south, east or west of a point."""
-    cx, cy = (F.col("cx") + 0.5) * size, (F.col("cy") + 0.5) * size
-    return cells.filter({"north": cy >= y, "south": cy <= y, "east": cx >= x, "west": cx <= x}[direction])
+def _middle(size: float) -> tuple[Column, Column]:
+    return (F.col("cx") + 0.5) * size, (F.col("cy") + 0.5) * size
+
+
+def side_of_polyline(x: Column, y: Column, line: list[tuple[float, float]]) -> Column:
+    """1 left of a directed polyline whose end segments go on without end, -1 right of it, 0 on it: by the nearest segment, at a
+    corner by the one that the point lies more squarely beside."""
+    best = None
+    for n, ((x1, y1), (x2, y2)) in enumerate(zip(line, line[1:], strict=False)):
+        dx, dy = x2 - x1, y2 - y1
+        square = dx * dx + dy * dy
+        t = ((x - x1) * dx + (y - y1) * dy) / square
+        t = t if len(line) == 2 else F.least(t, F.lit(1.0)) if n == 0 else F.greatest(t, F.lit(0.0)) if n == len(line) - 2 else F.least(F.greatest(t, F.lit(0.0)), F.lit(1.0))
+        cross = dx * (y - y1) - dy * (x - x1)
+        away = G.distance(x, y, x1 + t * dx, y1 + t * dy)
+        own = F.struct(F.round(away, 9).alias("away"), (-F.abs(cross) / square**0.5).alias("beside"), F.signum(cross).cast("int").alias("side"))
+        best = own if best is None else F.least(best, own)
+    return best["side"]
+
+
+def clip_to_side(cells: DataFrame, line: list[tuple[float, float]], keep: tuple[float, float], size: float) -> DataFrame:
+    """cells with column applied. Kept are those on the side of a polyline on which the point ``keep`` lies, as seen from the straight line
+    between its ends; the polyline is extended without end. Where that divides nothing, with all cells on one side or the
+    point on that line, all cells stay and applied is false: a limit that could not be drawn is a question to its owner."""
+    steps = [p for n, p in enumerate(line) if n == 0 or p != line[n - 1]]
+    (ax, ay), (bx, by) = (steps or [(0.0, 0.0)])[0], (steps or [(0.0, 0.0)])[-1]
+    cross = (bx - ax) * (keep[1] - ay) - (by - ay) * (keep[0] - ax)
+    if cross == 0 or len(steps) < 2:
+        return cells.withColumn("applied", F.lit(False))
+    sided = cells.withColumn("_mine", side_of_polyline(*_middle(size), steps) == (1 if cross > 0 else -1))
+    both = sided.agg(F.coalesce(F.max("_mine") & ~F.min("_mine"), F.lit(False)).alias("applied"))  # one row
+    return sided.crossJoin(F.broadcast(both)).filter(F.col("_mine") | ~F.col("applied")).drop("_mine")
+
+
+def clip_direction(cells: DataFrame, x: float, y: float, direction: str, size: float) -> tuple[DataFrame, DataFrame]:
+    """(kept, removed): what lies beyond a point to the north, south, east or west is removed."""
+    cx, cy = _middle(size)
+    beyond = {"north": cy >= y, "south": cy <= y, "east": cx >= x, "west": cx <= x}[direction]
+    return cells.filter(~beyond), cells.filter(beyond)
 
 
 def draw_bands(area: DataFrame, units: DataFrame, size: float, reach: float = 120.0) -> DataFrame:

@@ -395,8 +395,8 @@ def units_without_orders(spark, d):
 @_query("SELECT 'disjoint' AS lists, NOT EXISTS (SELECT 1 FROM nation JOIN region ON n_name = r_name) AS disjoint UNION ALL SELECT 'shared', NOT EXISTS (SELECT 1 FROM orders JOIN customer ON c_custkey = o_custkey)")
 def disjoint_lists(spark, d):
     one = lambda t, c: _t(spark, d, t).select(F.col(c).cast("string").alias("k"))
-    found = [("disjoint", audit.disjoint(one("nation", "n_name"), one("region", "r_name"))), ("shared", audit.disjoint(one("orders", "o_custkey"), one("customer", "c_custkey")))]
-    return spark.createDataFrame(found, "lists string, disjoint boolean")
+    first, second = audit.disjoint(one("nation", "n_name"), one("region", "r_name")), audit.disjoint(one("orders", "o_custkey"), one("customer", "c_custkey"))
+    return first.select(F.lit("disjoint").alias("lists"), "disjoint").unionByName(second.select(F.lit("shared").alias("lists"), "disjoint"))
 
 
 @_query("SELECT n_nationkey AS id, n_name AS name FROM nation WHERE EXISTS (SELECT 1 FROM supplier WHERE s_nationkey = n_nationkey)")
@@ -443,13 +443,20 @@ def overlays(spark, d):
 
 
 @_query(f"""
-WITH {_FOOTPRINT_SQL}, c AS (SELECT cx, cy, (cx + 0.5) * 10 AS x, (cy + 0.5) * 10 AS y FROM disc)
-SELECT count(*) FILTER (2 * y - 3 * x >= 0) AS left_cells, bool_or(2 * y - 3 * x < 0) AS clipped, count(*) FILTER (y >= 33) AS north, count(*) FILTER (x <= -12) AS west FROM c""")
+WITH {_FOOTPRINT_SQL}, c AS (SELECT cx, cy, (cx + 0.5) * 10 AS x, (cy + 0.5) * 10 AS y FROM disc), s AS (SELECT bool_or(2 * y - 3 * x < 0) AND bool_or(2 * y - 3 * x > 0) AS applied FROM c)
+SELECT count(*) FILTER (2 * y - 3 * x > 0) AS left_cells, bool_and(applied) AS applied, count(*) FILTER (y < 33) AS not_north, count(*) FILTER (y >= 33) AS north, count(*) FILTER (x > -12) AS not_west, count(*) FILTER (x <= -12) AS west,
+ count(*) AS whole FROM c CROSS JOIN s""")
 def clipped_areas(spark, d):
+    """One row: what a line leaves on the side of a point, what two directions keep and take off, and an area that a far line
+    does not divide."""
     c = spatial.disc_cells(_points(spark, d), 12, 10)
-    left, clipped = spatial.clip_to_side(c, (0.0, 0.0, 2.0, 3.0), True, 10)
-    n = [x.agg(F.count(F.lit(1)).alias(k)) for x, k in ((left, "left_cells"), (spatial.clip_direction(c, 0.0, 33.0, "north", 10), "north"), (spatial.clip_direction(c, -12.0, 0.0, "west", 10), "west"))]
-    return n[0].crossJoin(n[1]).crossJoin(n[2]).select("left_cells", F.lit(clipped).alias("clipped"), "north", "west")  # one row each
+    count = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
+    left = spatial.clip_to_side(c, [(0.0, 0.0), (2.0, 3.0)], (-5.0, 5.0), 10)
+    out = left.agg(F.count(F.lit(1)).alias("left_cells"), F.bool_and("applied").alias("applied"))
+    for direction, x, y in (("north", 0.0, 33.0), ("west", -12.0, 0.0)):
+        kept, removed = spatial.clip_direction(c, x, y, direction, 10)
+        out = out.crossJoin(count(kept, f"not_{direction}")).crossJoin(count(removed, direction))  # one row each
+    return out.crossJoin(count(spatial.clip_to_side(c, [(9000.0, 0.0), (9000.0, 5.0)], (9500.0, 0.0), 10), "whole"))
 
 
 _DRAWN = "SELECT cx, cy, arg_min(label % 4, struct_pack(d := d, u := id)) AS band FROM (SELECT cx, cy, id, label, sqrt(((cx + 0.5) * 10 - x) ** 2 + ((cy + 0.5) * 10 - y) ** 2) AS d FROM foot JOIN p ON sqrt(((cx + 0.5) * 10 - x) ** 2 + ((cy + 0.5) * 10 - y) ** 2) <= 9) n GROUP BY cx, cy"

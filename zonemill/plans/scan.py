@@ -66,7 +66,9 @@ def raw_counts(objects: DataFrame, ways: DataFrame) -> DataFrame:
 
 
 def apartments(objects: DataFrame) -> DataFrame:
-    """Houses of flats with what their tags say of their size."""
+    """Houses of flats with what their tags say of their size: flats and levels as whole numbers (of "5.0" or "5.5" 5; null
+    where there is no number), entrances as they are written."""
     t = F.col("tags")
-    number = lambda k: F.expr(f"try_cast(trim(tags['{k}']) AS int)")
-    return objects.filter(classify.is_apartment(t)).select("kind", "id", number("building:flats").alias("flats"), number("building:levels").alias("levels"))
+    number = lambda k: F.expr(f"try_cast(floor(try_cast(trim(tags['{k}']) AS double)) AS int)")
+    entrances = F.coalesce(F.nullif(t["building:entrances"], F.lit("")), t["entrance"])
+    return objects.filter(classify.is_apartment(t)).select("kind", "id", number("addr:flats").alias("flats"), number("building:levels").alias("levels"), entrances.alias("entrances"))

@@ -44,3 +44,17 @@ def straight(origins: DataFrame, units: DataFrame, limit: int = 1000) -> DataFra
 def sanity(matrix: DataFrame) -> DataFrame:
     """One row: pairs, unreachable ones, and those shorter than nothing or without a duration."""
     return matrix.agg(F.count(F.lit(1)).alias("pairs"), F.count_if(F.col("dist_m").isNull()).alias("unreachable"), F.count_if((F.col("dist_m") < 0) | (F.col("dist_m").isNotNull() & F.col("dur_s").isNull())).alias("broken"))
+
+
+def probe_report(probes: DataFrame, matrix: DataFrame, differs_m: float = 1.0, longer_m: float = 900.0) -> DataFrame:
+    """What a sound routing graph must show, probe by probe: probe, expects, km, minutes, back_km, holds.
+
+    probes: probe, expects, from_id, to_id; matrix: origin_id, unit_id, dist_m, dur_s, one row a pair. A probe that expects
+    ``way`` holds where there is one; ``two_ways`` where there is one in both directions and they differ by more than
+    ``differs_m``; ``detour`` where the way is longer than ``longer_m``, as one over a bridge is."""
+    there = matrix.select(F.col("origin_id").alias("from_id"), F.col("unit_id").alias("to_id"), "dist_m", "dur_s")
+    back = matrix.select(F.col("origin_id").alias("to_id"), F.col("unit_id").alias("from_id"), F.col("dist_m").alias("back_m"))
+    met = probes.join(there, ["from_id", "to_id"], "left").join(back, ["from_id", "to_id"], "left")
+    holds = F.when(F.col("expects") == "way", F.col("dist_m").isNotNull()).when(F.col("expects") == "two_ways", F.abs(F.col("dist_m") - F.col("back_m")) > differs_m).when(F.col("expects") == "detour", F.col("dist_m") > longer_m)
+    km = lambda c: F.round(F.col(c) / 1000, 3)
+    return met.select("probe", "expects", km("dist_m").alias("km"), F.round(F.col("dur_s") / 60, 2).alias("minutes"), km("back_m").alias("back_km"), F.coalesce(holds, F.lit(False)).alias("holds"))

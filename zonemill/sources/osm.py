@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import SpatialAuditUnavailable
-from ..functions.geometry import covers
+from ..operators.graph import cut_lineage
+from ..operators.outlines import require_areas
+from ..operators.spatial import containing
 
 _TAG = "tag array<struct<_k:string,_v:string>>"
 _SCHEMA = {
@@ -57,44 +59,34 @@ def member_lines(relations: DataFrame, ways: DataFrame) -> DataFrame:
     return m.select("relation_id", "pos", F.col("m.ref").alias("way_id"), F.col("m.role").alias("role")).join(lines, "way_id", "left")
 
 
-def boundary_ring(members: DataFrame, relation_id: int) -> list[tuple[float, float]]:
-    """The outer ring of one relation, its member lines joined end to end. A boundary is a few lines; anything but exactly
-    one closed ring is an error, and no box stands in for it."""
-    rows = members.filter((F.col("relation_id") == relation_id) & F.coalesce(F.col("role"), F.lit("")).isin("outer", "")).orderBy("pos").collect()
-    lines = [[(p["lon"], p["lat"]) for p in r["coords"]] for r in rows if r["coords"]]
-    if not lines or len(lines) < len(rows):
-        raise SpatialAuditUnavailable(f"relation {relation_id}: members without geometry")
-    ring = lines.pop(0)
-    while lines and ring[0] != ring[-1]:
-        for i, line in enumerate(lines):
-            if ring[-1] in (line[0], line[-1]):
-                ring += (line if line[0] == ring[-1] else line[::-1])[1:]
-                lines.pop(i)
-                break
-        else:
-            break
-    if lines or ring[0] != ring[-1] or len(ring) < 4:
-        raise SpatialAuditUnavailable(f"relation {relation_id}: not exactly one closed ring")
-    return ring
+def outline_members(members: DataFrame) -> DataFrame:
+    """Members that bound their relation's area (outer, inner or without a role) as (relation_id, line)."""
+    rim = members.filter(F.coalesce(F.col("role"), F.lit("")).isin("outer", "inner", ""))
+    return rim.select("relation_id", F.transform("coords", lambda p: F.struct(p["lon"].cast("double").alias("x"), p["lat"].cast("double").alias("y"))).alias("line"))
+
+
+def boundary(members: DataFrame, relation_id: int) -> DataFrame:
+    """(relation_id, chain, ring): all rings of one relation, holes and exclaves included. Missing members, open lines and
+    relations without any are an error, and no box stands in for them."""
+    return require_areas(outline_members(members.filter(F.col("relation_id") == relation_id)))
 
 
 def usable_area(features: list[dict], relation_id: int) -> dict:
-    """The one outline among GeoJSON features of a relation; none, several, or an empty one is an error, and so is any other
-    kind beside it."""
-    kinds = [f.get("geometry", {}).get("type") for f in features]
+    """The one outline among GeoJSON features of a relation. None, several, an empty one, or a feature of another kind beside it
+    is an error."""
+    kinds = [(f.get("geometry") or {}).get("type") for f in features]
     areas = [f for f, k in zip(features, kinds, strict=True) if k in ("Polygon", "MultiPolygon")]
-    if len(areas) != 1 or not areas[0]["geometry"].get("coordinates"):
+    if len(areas) != 1 or len(kinds) != 1 or not areas[0]["geometry"].get("coordinates"):
         raise SpatialAuditUnavailable(f"relation {relation_id}: {len(areas)} outlines among {kinds}")
     return areas[0]
 
 
-def clip(points: DataFrame, ring: list[tuple[float, float]], lon: str = "lon", lat: str = "lat") -> DataFrame:
-    """Objects inside a boundary_ring(); its edge is inside."""
-    line = F.array(*[F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x, y in ring])
-    west, south = (min(p[i] for p in ring) for i in (0, 1))
-    east, north = (max(p[i] for p in ring) for i in (0, 1))
-    boxed = points.filter(F.col(lon).between(west, east) & F.col(lat).between(south, north))
-    return boxed.filter(covers(line, F.col(lon), F.col(lat)))
+def clip(points: DataFrame, rings: DataFrame, lon: str = "lon", lat: str = "lat", size: float = 0.001) -> DataFrame:
+    """Objects inside a boundary(), whose edge is inside and whose holes are not. size: of the smallest border cells, in degrees."""
+    key = F.monotonically_increasing_id()
+    named = cut_lineage(points.withColumn("_at", key))
+    at = named.select("_at", F.col(lon).alias("x"), F.col(lat).alias("y")).filter("x IS NOT NULL AND y IS NOT NULL")
+    return named.join(containing(at, rings, "_at", "relation_id", size).select("_at").distinct(), "_at", "left_semi").drop("_at")
 
 
 def in_box(points: DataFrame, west: float, south: float, east: float, north: float) -> DataFrame:
