@@ -1,50 +1,95 @@
 """Sharding by balanced label propagation.
 
-Documents with equal texts are linked. Labels are shards. The state of the propagation is the number of a group's
-documents in each shard (documents of a group are interchangeable), so a group with any share of all rows is at most
-``n_shards`` state rows. Groups larger than a shard (fewer than there are shards) are laid over the fewest shards at
-once, and every other group starts whole on one shard, dealt by size, so that full tables need no exchange. Only groups
-that no shard has room for are cut, and fewer of them are left than there are shards. In a round every other group looks at its neighbours' shards, and its documents outside the fullest of its shards
-that still has room ask to move there; moves are admitted up to that shard's quota, all of which one group may take. Rows
-only move to shards where their group has as many or more, so the sum of squared counts grows with every move, and the
-rounds end, when nothing moves. Documents without links have no edge to cut; they fill what the quotas leave, which makes the law
-exact: shard sizes in rows differ by one at most.
+Documents with equal texts are linked. Labels are shards. A plain deal by hash gives every document its first label, which cuts
+most links. Then labels move along the links in rounds: joined with the labels of its documents' neighbours, a group asks for the shard
+that most of them carry, provided that its quota has room for all of the group, and else for another with room. Documents of a
+group are interchangeable, so the state is their number in each shard, at most ``n_shards`` rows however large the group is.
+What asks for a shard is admitted up to its quota, larger groups first, and the rest asks again. Communities of a quarter of a
+shard or more settle first, then those down to a sixteenth, and so on, as a small one always finds room that a large one has left. A
+round ends with fewer cut links, as an admitted group has none; the rounds end when nothing is admitted any more.
+
+A group larger than a shard (fewer than there are shards) must be cut and is laid over the fewest shards beforehand; a group that no
+shard had room for is cut at the end. Documents without links have no edge to cut; they fill what the quotas leave, which makes
+the law exact: shard sizes in rows differ by one at most.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+import logging
+from dataclasses import dataclass
 
-import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import deal_by_rank, forget, keep, part_rows, salts_for, with_rank
 
 
-def _round(state: DataFrame, free: list[int], parts: int) -> DataFrame:
-    """One round: (grp, shard, n) with the admitted moves done, and the rows moved in column ``moved``."""
-    room = F.element_at(F.array(*[F.lit(x).cast("long") for x in free]), F.col("shard") + 1)
-    group = Window.partitionBy("grp")
-    tie = F.xxhash64("grp", "shard")
-    asked = state.withColumn("to", F.max(F.when(room > 0, F.struct("n", tie.alias("tie"), "shard"))).over(group))
-    # Of equal counts the one with the larger hash attracts, but those in a full shard go to the one with room.
-    stronger = F.struct(F.col("to.n"), F.col("to.tie")) > F.struct("n", tie)
-    asks = (F.col("to.shard") != F.col("shard")) & (stronger | ((room <= 0) & (F.col("to.n") >= F.col("n"))))
-    wanting = asked.filter(asks).withColumns({"target": F.col("to.shard"), "part": F.pmod(F.xxhash64("grp"), F.lit(parts))})
-    # What asks for a shard is counted in parts with prefix sums, so that no task ranks all of it and no room is left over.
-    sums = wanting.groupBy("target", "part").agg(F.sum("n").alias("asked"))
-    earlier = Window.partitionBy("target").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select("target", "part", F.coalesce(F.sum("asked").over(earlier), F.lit(0)).alias("before"))
-    queue = Window.partitionBy("target", "part").orderBy(F.col("to.n").desc(), "grp", "shard")
-    ahead = F.sum("n").over(queue.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
-    rooms = F.element_at(F.array(*[F.lit(x).cast("long") for x in free]), F.col("target") + 1)
-    wanting = wanting.withColumn("ahead", ahead).join(sums, ["target", "part"])
-    moves = wanting.withColumn("go", F.least(F.col("n"), rooms - F.col("before") - F.col("ahead"))).filter("go > 0")
-    changed = state.withColumn("moved", F.lit(0).cast("long")).unionByName(
-        moves.select("grp", "shard", (-F.col("go")).alias("n"), F.lit(0).cast("long").alias("moved"))
-    ).unionByName(moves.select("grp", F.col("target").alias("shard"), F.col("go").alias("n"), F.col("go").alias("moved")))
-    return changed.groupBy("grp", "shard").agg(F.sum("n").alias("n"), F.sum("moved").alias("moved")).filter("n > 0")
+_log = logging.getLogger(__name__)
+
+
+@dataclass
+class Round:
+    """What a round did: rows that changed their shard, groups settled, and links still cut after it."""
+
+    moved: int
+    settled: int
+    cut: int
+
+
+def _links_cut(state: DataFrame) -> int:
+    """Pairs of linked documents in different shards. state: grp, size, shard, n."""
+    per = state.groupBy("grp", "size").agg(F.sum(F.col("n") * F.col("n")).alias("same"))
+    return per.agg(F.coalesce(F.sum((F.col("size") * F.col("size") - F.col("same")) / 2), F.lit(0)).cast("long")).first()[0]
+
+
+def _round(state: DataFrame, rooms: list[int], least: int, parts: int, turn: int) -> DataFrame:
+    """(grp, size, to, moved): the groups of at least ``least`` documents that are admitted, the shard they gather in, and how many of
+    their documents move there. state: grp, size, shard, n."""
+    spark = state.sparkSession
+    room = spark.createDataFrame(list(enumerate(rooms)), "shard int, room long")  # a row a shard
+    tie = F.xxhash64("grp", "shard", F.lit(turn))
+    fits = F.when(F.col("room") >= F.col("size"), F.struct("n", tie.alias("tie"), "shard"))
+    own = state.filter(F.col("size") >= least).join(F.broadcast(room), "shard").groupBy("grp", "size").agg(F.max(fits).alias("best"))
+    every = F.array(*[F.struct(F.lit(s).alias("shard"), F.lit(r).cast("long").alias("room")) for s, r in enumerate(rooms)])
+    others = own.withColumn("others", F.filter(every, lambda r: r["room"] >= F.col("size")))
+    other = F.get("others", F.pmod(F.xxhash64("grp", F.lit(turn)), F.greatest(F.size("others"), F.lit(1))).cast("int"))["shard"]
+    asks = others.select("grp", "size", F.coalesce("best.shard", other).alias("to")).filter("to IS NOT NULL")
+    asks = asks.withColumns({"level": F.floor(F.log2("size")).cast("int"), "part": F.pmod(F.xxhash64("grp"), F.lit(parts)).cast("int")})
+    # The queue of a shard goes by size classes and is counted in parts with prefix sums, so that no task ranks all of it.
+    sums = asks.groupBy("to", "level", "part").agg(F.sum("size").alias("asked"))
+    earlier = Window.partitionBy("to").orderBy(F.col("level").desc(), "part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("to", "level", "part", F.coalesce(F.sum("asked").over(earlier), F.lit(0)).alias("before"))
+    queue = Window.partitionBy("to", "level", "part").orderBy(F.col("size").desc(), "grp").rowsBetween(Window.unboundedPreceding, 0)
+    asks = asks.withColumn("until", F.sum("size").over(queue)).join(sums, ["to", "level", "part"])
+    goes = asks.join(F.broadcast(room.withColumnRenamed("shard", "to")), "to").filter(F.col("before") + F.col("until") <= F.col("room"))
+    there = state.select("grp", F.col("shard").alias("to"), "n")
+    return goes.select("grp", "size", "to").join(there, ["grp", "to"], "left").select("grp", "size", "to", (F.col("size") - F.coalesce("n", F.lit(0))).alias("moved"))
+
+
+def propagate(state: DataFrame, rooms: list[int], total: int) -> tuple[DataFrame, DataFrame, list[Round]]:
+    """(settled, left, rounds). state: grp, size, shard, n, all groups no larger than a shard; rooms: documents that each shard takes.
+    settled: grp, shard, n (all of the group); left: the state of groups that no shard has room for."""
+    spark, rooms, parts = state.sparkSession, list(rooms), salts_for(total // max(1, len(rooms)) + 1, total)
+    settled, rounds = None, [Round(0, 0, _links_cut(state))]
+    least = max(2, max(rooms, default=0) // 4)
+    while True:
+        found = keep(_round(state, rooms, least, parts, len(rounds)), "shard-moves")
+        per = found.groupBy("to").agg(F.sum("size").alias("n"), F.sum("moved").alias("moved"), F.count(F.lit(1)).alias("groups")).collect()  # a row a shard
+        if not per and least == 2:
+            forget(found)
+            break
+        for r in per:
+            rooms[r["to"]] -= r["n"]
+        least = max(2, least // 4)
+        if per:
+            own = found.select("grp", F.col("to").alias("shard"), F.col("size").alias("n"))
+            settled = own if settled is None else settled.unionByName(own)
+            later = keep(state.join(found.select("grp"), "grp", "left_anti"), "shard-state")
+            forget(state)
+            state = later
+            rounds.append(Round(sum(r["moved"] for r in per), sum(r["groups"] for r in per), _links_cut(state)))
+    none = spark.createDataFrame([], "grp string, shard int, n long")
+    return (none if settled is None else keep(settled, "shard-settled")), state, rounds
 
 
 def _over_fewest(sizes: list[int], rooms: list[int]) -> tuple[list[tuple[int, int, int]], list[int]]:
@@ -67,59 +112,6 @@ def _over_fewest(sizes: list[int], rooms: list[int]) -> tuple[list[tuple[int, in
     return out, rooms
 
 
-def _whole(sizes: list[tuple[int, int]], rooms: list[int], tight: bool) -> tuple[list[tuple[int, int, int, int]], list[int], int]:
-    """Deals (size, count) of groups, from large to small, to shards that hold them whole: spans of ranks (size, lo, hi,
-    shard), the room that is left, and the rows of groups that fit nowhere. Tight: into the shard with least room that holds
-    the group; else into the one with most."""
-    left, spans, lost = np.array(rooms, np.int64), [], 0
-    for size, count in sorted(sizes, reverse=True):
-        take = left // size
-        if take.sum() > count and tight:
-            order = np.argsort(left, kind="stable")
-            ahead = np.cumsum(take[order]) - take[order]
-            take[order] = np.clip(count - ahead, 0, take[order])
-        elif take.sum() > count:
-            # The highest level to which the shards can be filled; those that reach it exactly may keep a group less.
-            low, high = 0, int(left.max())
-            while high - low > 1:
-                mid = (low + high) // 2
-                low, high = (mid, high) if (np.maximum(left - mid, 0) // size).sum() >= count else (low, mid)
-            take = np.maximum(left - low, 0) // size
-            exact = np.flatnonzero((take > 0) & ((left - low) % size == 0))
-            take[exact[: take.sum() - count]] -= 1
-        left -= take * size
-        ends = np.cumsum(take)
-        spans += [(size, int(ends[s] - take[s]), int(ends[s]), int(s)) for s in np.flatnonzero(take)]
-        lost += (count - int(take.sum())) * size
-    return spans, left.tolist(), lost
-
-
-def _start(groups: DataFrame, quotas: list[int], total: int) -> DataFrame:
-    """(grp, shard, n) of groups no larger than a shard. The driver gets the histogram of sizes, of which there are at most
-    as many as the root of twice the rows, and the groups that fit nowhere whole, fewer than shards."""
-    spark = groups.sparkSession
-    sizes = [(r["group_rows"], r["count"]) for r in groups.groupBy("group_rows").count().collect()]
-    salts = spark.createDataFrame([(size, salts_for(count, total)) for size, count in sizes], "group_rows long, _salts int")
-    groups = groups.join(F.broadcast(salts), "group_rows")
-    spans, rooms, lost = min((_whole(sizes, quotas, tight) for tight in (False, True)), key=lambda x: x[2])
-    placed = Counter()
-    for size, lo, hi, _ in spans:
-        placed[size] += hi - lo
-    spans += [(size, placed[size], count, -1) for size, count in sizes if placed[size] < count]
-    spans = spark.createDataFrame(spans, "group_rows long, lo long, hi long, shard int")
-    dealt = keep(deal_by_rank(groups, ["group_rows"], ["grp"], spans, F.col("_salts")), "shard-start")
-    cut = []
-    for r in dealt.filter("shard < 0").orderBy(F.col("group_rows").desc(), "grp").collect() if lost else []:
-        rest = r["group_rows"]
-        while rest:
-            s = max(range(len(rooms)), key=lambda s: (rooms[s], -s))
-            n = min(rest, rooms[s])
-            cut.append((r["grp"], s, n))
-            rest, rooms[s] = rest - n, rooms[s] - n
-    whole = dealt.filter("shard >= 0").select("grp", "shard", F.col("group_rows").alias("n"))
-    return whole.unionByName(spark.createDataFrame(cut, "grp string, shard int, n long"))
-
-
 def shard_documents(docs: DataFrame, n_shards: int = 40) -> DataFrame:
     """Returns doc_id, size, text_crc32, law ('rows'), shard, slot, grown_shard (null under this law), group_rows.
 
@@ -144,25 +136,24 @@ def shard_documents(docs: DataFrame, n_shards: int = 40) -> DataFrame:
     laid, quotas = _over_fewest([r["group_rows"] for r in large], quotas)
     fixed = meta.sparkSession.createDataFrame([(large[g]["grp"], s, n) for g, s, n in laid], "grp string, shard int, n long")
     small = groups.join(F.broadcast(fixed.select("grp").distinct()), "grp", "left_anti")
-    state = keep(_start(small, quotas, total).withColumn("moved", F.lit(0).cast("long")), "shard-state")
-    loads = _loads(state)
-    while True:
-        free = [q - loads.get(s, (0, 0))[0] for s, q in enumerate(quotas)]
-        later = keep(_round(state.drop("moved"), free, salts_for(total // n_shards + 1, total)), "shard-state")
-        loads = _loads(later)
-        forget(state)
-        state = later
-        if not sum(x[1] for x in loads.values()):
-            break
+    start = meta.join(small, "grp").groupBy("grp", F.col("group_rows").alias("size"), F.pmod(F.xxhash64("doc_id", "grp"), F.lit(n_shards)).cast("int").alias("shard")).agg(F.count(F.lit(1)).alias("n"))
+    settled, left, rounds = propagate(keep(start, "shard-state"), quotas, total)
+    for n, r in enumerate(rounds):
+        _log.info("round %d: %d rows moved, %d groups settled, %d links cut", n, r.moved, r.settled, r.cut)
+    loads = {r["shard"]: r["n"] for r in settled.groupBy("shard").agg(F.sum("n").alias("n")).collect()}  # a row a shard
+    free = [q - loads.get(s, 0) for s, q in enumerate(quotas)]
+    # What is left of a size class is more than any shard's room, so there are at most about twice as many as shards of each class.
+    rest = left.select("grp", "size").distinct().orderBy(F.col("size").desc(), "grp").collect()
+    late, free = _over_fewest([r["size"] for r in rest], free)
+    last = meta.sparkSession.createDataFrame([(rest[g]["grp"], s, n) for g, s, n in late], "grp string, shard int, n long")
     # Linked documents, by rank in their group, then the others into the room that is left.
     w = Window.partitionBy("grp").orderBy("shard").rowsBetween(Window.unboundedPreceding, 0)
-    state = state.select("grp", "shard", "n").unionByName(fixed)
+    state = settled.unionByName(fixed).unionByName(last)
     spans = state.withColumn("hi", F.sum("n").over(w)).select("grp", (F.col("hi") - F.col("n")).alias("lo"), "hi", "shard")
     linked = meta.join(groups.select("grp", "group_rows"), "grp")
     # A group is ranked in as many parts as its own rows ask for.
     own = F.ceil(F.col("group_rows") / part_rows(total)).cast("int")
     linked = deal_by_rank(linked, ["grp"], ["doc_id"], spans, own)
-    free = [q - loads.get(s, (0, 0))[0] for s, q in enumerate(quotas)]
     ends = [sum(free[: s + 1]) for s in range(n_shards)]
     rest = [(0, e - f, e, s) for s, (f, e) in enumerate(zip(free, ends, strict=True)) if f > 0]
     room = meta.sparkSession.createDataFrame(rest, "one int, lo long, hi long, shard int")
@@ -173,8 +164,3 @@ def shard_documents(docs: DataFrame, n_shards: int = 40) -> DataFrame:
     return out.select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "group_rows"
     )
-
-
-def _loads(state: DataFrame) -> dict[int, tuple[int, int]]:
-    """Linked rows and moved rows by shard: as many rows as there are shards."""
-    return {r.shard: (r.n, r.moved) for r in state.groupBy("shard").agg(F.sum("n").alias("n"), F.sum("moved").alias("moved")).collect()}
