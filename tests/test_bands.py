@@ -1,6 +1,10 @@
 import itertools
+import math
 import random
+import time
 
+import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -106,3 +110,93 @@ def test_qualifiers_and_search(spark):
     assert [r[0] for r in addresses.district_needed(q).collect()] == ["улица мира"]
     assert [r["place"] for r in addresses.search(df, "ЛЕНИНА").collect()] == ["Город", "Село"]
     assert addresses.search(df, " ").count() == 0
+
+
+def plain_bands(bins, k, min_share=0.05, split_at=None, penalty=0.0, max_share=1.0):
+    """The quadratic loop over all starts of every end."""
+    n = len(bins)
+    k = max(1, min(k, n))
+    value, weight = (np.array(c, float) for c in zip(*bins, strict=True))
+    w, wx, wxx = (np.concatenate(([0.0], np.cumsum(c))) for c in (weight, weight * value, weight * value * value))
+    cut = np.zeros(n + 1)
+    if penalty > 0 and split_at:
+        cut[1:n] = penalty * np.array(split_at[1:n], float) * w[n]
+    while True:
+        layer, choices = [0.0] + [math.inf] * n, []
+        for band in range(1, k + 1):
+            costs, choice = [math.inf] * (n + 1), [-1] * (n + 1)
+            for j in range(band, n + 1):
+                for i in range(band - 1, j):
+                    share = w[j] - w[i]
+                    if w[n] * min_share <= share <= w[n] * max_share:
+                        mean = (wx[j] - wx[i]) / share if share > 0 else 0.0
+                        dev = max(wxx[j] - wxx[i] - 2 * mean * (wx[j] - wx[i]) + mean * mean * share, 0.0) if share > 0 else 0.0
+                        if layer[i] + dev + cut[i] < costs[j]:
+                            costs[j], choice[j] = layer[i] + dev + cut[i], i
+            layer = costs
+            choices.append(choice)
+        if layer[n] < math.inf:
+            ends = [n]
+            for choice in reversed(choices):
+                ends.append(choice[ends[-1]])
+            ends.reverse()
+            return list(zip(ends[:-1], ends[1:], strict=True)), layer[n]
+        if min_share > 0.005:
+            min_share /= 2
+        elif max_share < 1:
+            max_share = min(1.0, max_share * 1.25)
+        else:
+            return [(0, n)], None
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 400), st.sampled_from([0, 0, 1, 2, 3, 7, 40])), min_size=1, max_size=40), st.integers(1, 5), st.sampled_from([0.0, 0.05, 0.15]), st.sampled_from([0.3, 0.5, 1.0]), st.sampled_from([0.0, 2.0]))
+def test_divided_programme_equals_the_quadratic_loop(rows, k, low, high, penalty):
+    bins = [(float(v), float(w)) for v, w in sorted({v: w for v, w in rows}.items())]
+    split = [float(i * 7 % 5) for i in range(len(bins) + 1)]
+    got = bands.optimal_bands(bins, k, low, split, penalty, high)
+    want, _ = plain_bands(bins, k, low, split, penalty, high)
+    if got != want:  # equal costs, apart from rounding
+        def cost(bounds):
+            return cost_of(bins, bounds) + penalty * sum(split[i] for i, _ in bounds[1:]) * sum(w for _, w in bins)
+
+        assert len(got) == len(want) and math.isclose(cost(got), cost(want), rel_tol=1e-9, abs_tol=1e-6)
+
+
+def test_a_hundred_thousand_bins_take_seconds():
+    rng = np.random.default_rng(0)
+    bins = [(i * 0.05 + r, float(w)) for i, (r, w) in enumerate(zip(rng.random(100_000) * 0.05, rng.integers(0, 30, 100_000), strict=True))]
+    start = time.process_time()
+    got = bands.optimal_bands(bins, 5, 0.05)
+    assert time.process_time() - start < 60 and [j - i for i, j in got] == pytest.approx([20_000] * 5, rel=0.02)
+
+
+def test_nearest_rank_with_outliers(spark):
+    rows = [("a", 1.7e9 + i * 1e-3) for i in range(999)] + [("a", 0.0), ("a", 1e300), ("b", None), ("c", 5.0), ("c", 5.0), (None, 2.0)]
+    got = {r.k: (r.p50, r.p90) for r in audit.nearest_rank(spark.createDataFrame(rows, "k string, v double"), "v", ["k"], [50, 90]).collect()}
+    own = sorted(v for k, v in rows if k == "a")
+    assert got == {"a": (own[500], own[900]), "c": (5.0, 5.0), None: (2.0, 2.0)}
+
+
+def test_cuts_by_differences(spark):
+    rng = random.Random(2)
+    rows = [(f"s{rng.randrange(12)}", rng.randrange(30), rng.choice([0.0, 0.1, 0.3, 1.0])) for _ in range(120)]
+    df = spark.createDataFrame(rows, "street string, place long, weight double")
+    own = {s: [(p, w) for t, p, w in rows if t == s] for s in {r[0] for r in rows}}
+    counts, demand = {}, {}
+    for cut in range(1, 30):
+        over = [v for v in own.values() if min(v)[0] < cut <= max(v)[0]]
+        if over:
+            counts[cut] = len(over)
+        torn = [min(sum(w for p, w in v if p < cut), sum(w for p, w in v if p >= cut)) for v in over if sum(w for _, w in v) > 0]
+        if torn:
+            demand[cut] = sum(torn)
+    assert {r.cut: r.n for r in bands.split_counts(df).collect()} == counts
+    got = {r.cut: r.cost for r in bands.split_demand(df).collect()}
+    assert got.keys() == demand.keys() and all(got[c] == pytest.approx(demand[c], abs=1e-9) for c in got)
+
+
+def test_level_weights(spark):
+    df = spark.createDataFrame([(1.0, 9), (0.5, None), (1.0, 0)], "w double, levels int")
+    models = bands.level_weights(F.col("w"), F.col("levels"))
+    assert [tuple(r) for r in df.select(*[c.alias(n) for n, c in models.items()]).collect()] == [(1.0, 9.0, 5.0), (0.5, 0.5, 0.5), (1.0, 1.0, 1.0)]

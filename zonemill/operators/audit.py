@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import functools
+import operator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import address_key, normalize
+from .graph import cut_lineage
 
 
 def source_audit(objects: DataFrame, car_values: list[str], norm=normalize) -> DataFrame:
@@ -149,22 +153,20 @@ def first_reason(tests: list[tuple[str, Column]], otherwise: str) -> Column:
 def nearest_rank(rows: DataFrame, value: str, keys: list[str], percents: list[int]) -> DataFrame:
     """Nearest-rank percentiles: the value at place min(int(n * p / 100), n - 1) from 0.
 
-    No task ranks all values of a key. Values are first counted in buckets that follow their order, fine both in steps of the
-    key's range and in steps of magnitude (some 4,000 a key at most); only those of the bucket in which a percentile lies
-    are counted and ranked."""
-    known = rows.filter(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"))
-    ends = known.groupBy(*keys).agg(F.min("_v").cast("double").alias("_low"), F.max("_v").cast("double").alias("_high"))
-    v = F.col("_v").cast("double")
-    step = F.when(F.col("_high") > F.col("_low"), F.floor((v - F.col("_low")) / (F.col("_high") - F.col("_low")) * 1024)).otherwise(0)
-    size = F.signum(v) * F.floor(F.log2(1 + F.abs(v)) * 32)
-    placed = known.join(ends, keys).select(*keys, "_v", F.struct(step.alias("s"), size.alias("m")).alias("_b"))
-    counts = placed.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_n"))
+    No task ranks all values of a key. Equal values are counted first, then dealt by ranges of key and value; a range's
+    counts say which ranks lie in it, and only ranges that hold a percentile are ranked. Ranges follow a sample of the values as
+    they are, so outliers do not crowd the others together."""
+    counts = rows.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    dealt = cut_lineage(counts.repartitionByRange(*keys, "_v").withColumn("_part", F.spark_partition_id()))
+    parts = dealt.groupBy(*keys, "_part").agg(F.sum("_n").alias("_in"))  # a row for each key and range
     w = Window.partitionBy(*keys)
-    counts = counts.withColumns({"_hi": F.sum("_n").over(w.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)), "_all": F.sum("_n").over(w)})
+    parts = parts.withColumns({"_hi": F.sum("_in").over(w.orderBy("_part").rowsBetween(Window.unboundedPreceding, 0)), "_all": F.sum("_in").over(w)})
     wanted = F.explode(F.array(*[F.struct(F.lit(p).alias("p"), F.least(F.floor(F.col("_all") * p / 100), F.col("_all") - 1).alias("at")) for p in percents]))
-    found = counts.withColumn("_w", wanted).filter((F.col("_w.at") < F.col("_hi")) & (F.col("_w.at") >= F.col("_hi") - F.col("_n")))
-    found = found.select(*keys, "_b", F.col("_w.p").alias("_p"), (F.col("_w.at") - F.col("_hi") + F.col("_n")).alias("_at"))
-    inside = placed.join(found, [*keys, "_b"]).groupBy(*keys, "_p", "_at", "_v").agg(F.count(F.lit(1)).alias("_n"))
+    found = parts.withColumn("_w", wanted).filter((F.col("_w.at") < F.col("_hi")) & (F.col("_w.at") >= F.col("_hi") - F.col("_in")))
+    found = found.select(*keys, "_part", F.col("_w.p").alias("_p"), (F.col("_w.at") - F.col("_hi") + F.col("_in")).alias("_at"))
+    right = found.toDF(*[f"_r_{k}" for k in keys], "_part_", "_p", "_at")
+    on = functools.reduce(operator.and_, [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys], F.col("_part") == F.col("_part_"))
+    inside = dealt.join(right, on)
     upto = F.sum("_n").over(Window.partitionBy(*keys, "_p").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
     hit = inside.withColumn("_hi", upto).filter("_hi > _at").groupBy(*keys, "_p").agg(F.min("_v").alias("_v"))
     return hit.groupBy(*keys).agg(*[F.max(F.when(F.col("_p") == p, F.col("_v"))).alias(f"p{p}") for p in percents])

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import house_number_order
 from .audit import nearest_rank
+from .graph import cut_lineage
 
 
 def make_bins(rows: DataFrame, value: Column, weight: Column, width: float, keys: list[str] | None = None) -> DataFrame:
@@ -41,6 +42,53 @@ def squared_error(w: Column, wx: Column, wxx: Column) -> Column:
     return F.when(w <= 0, F.lit(0.0)).otherwise(F.greatest(wxx - 2 * mean * wx + mean * mean * w, F.lit(0.0)))
 
 
+def _first(holds, ends: np.ndarray) -> np.ndarray:
+    """For each end the least start from 0 to the end for which ``holds`` (false, then true as starts grow) holds, or end + 1."""
+    lo, hi = np.zeros(len(ends), np.int64), ends + 1
+    while (open_ := lo < hi).any():
+        mid = (lo + hi) // 2
+        yes = holds(np.minimum(mid, ends)) & (mid <= ends)
+        hi, lo = np.where(open_ & yes, mid, hi), np.where(open_ & ~yes, mid + 1, lo)
+    return lo
+
+
+def _least_starts(layer: np.ndarray, cost, cut: np.ndarray, first: np.ndarray, last: np.ndarray, band: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each end from ``band`` on the least of layer[start] + cost(start, end) + cut[start] over the starts from first[end] to last[end],
+    and the earliest start that has it (-1 without any).
+
+    Costs of bands obey the quadrangle inequality and the stretches of starts move on with the end, so earliest best starts
+    never go back. The middle end of a stretch of ends is settled first and parts the starts of those before and behind it:
+    all middles of one depth at once, with about as many pairs as ends at each of the log(n) depths."""
+    n = len(layer) - 1
+    reached = np.flatnonzero(layer < math.inf)  # starts outside their stretch would say nothing and part nothing
+    if len(reached):
+        first, last = np.maximum(first, reached[0]), np.minimum(last, reached[-1])
+    best, choice = np.full(n + 1, math.inf), np.full(n + 1, -1, np.int64)
+    spans = np.array([[band, n, 0, n]]) if n >= band else np.empty((0, 4), np.int64)
+    while len(spans):
+        a, b, lo, hi = spans.T
+        mid = (a + b) // 2
+        begin = np.maximum(lo, first[mid])
+        count = np.maximum(np.minimum(hi, last[mid]) - begin + 1, 0)
+        some = count > 0
+        at = mid[some]
+        size = count[some]
+        head = np.cumsum(size) - size
+        start = np.repeat(begin[some] - head, size) + np.arange(size.sum())
+        value = layer[start] + cost(start, np.repeat(at, size)) + cut[start]
+        if len(at):
+            least = np.minimum.reduceat(value, head)
+            place = np.where(value == np.repeat(least, size), start, n + 1)
+            best[at] = least
+            choice[at] = np.where(least < math.inf, np.minimum.reduceat(place, head), -1)
+        known = choice[mid]
+        left = np.stack((a, mid - 1, lo, np.where(known >= 0, known, hi)), axis=1)
+        right = np.stack((mid + 1, b, np.where(known >= 0, known, lo), hi), axis=1)
+        spans = np.concatenate((left, right))
+        spans = spans[spans[:, 0] <= spans[:, 1]]
+    return best, choice
+
+
 def optimal_bands(bins: list[tuple[float, float]], k: int, min_share: float = 0.05, split_at: list[float] | None = None, penalty: float = 0.0, max_share: float = 1.0) -> list[tuple[int, int]]:
     """The exact partition of ordered bins (value, weight) into k bands of least squared deviation plus cut costs, as
     (start, end) places. Every band's weight lies between the two shares of the whole; of equal costs the earliest last cut
@@ -57,26 +105,21 @@ def optimal_bands(bins: list[tuple[float, float]], k: int, min_share: float = 0.
     if penalty > 0 and split_at:
         cut[1:n] = penalty * np.array(split_at[1:n], np.float64) * total
 
-    def deviations(j: int) -> np.ndarray:
-        """Of the bands that end before place j, by their start."""
-        sw, sx, sxx = w[j] - w[:j], wx[j] - wx[:j], wxx[j] - wxx[:j]
-        mean = np.divide(sx, sw, out=np.zeros(j), where=sw > 0)
+    def cost(start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Deviation of the bands from place start to end."""
+        sw, sx, sxx = w[end] - w[start], wx[end] - wx[start], wxx[end] - wxx[start]
+        mean = np.divide(sx, sw, out=np.zeros(len(sw)), where=sw > 0)
         return np.where(sw > 0, np.maximum(sxx - 2 * mean * sx + mean * mean * sw, 0.0), 0.0)
 
     while True:
         low, high = total * min_share, total * max_share
+        ends = np.arange(n + 1)
+        # The starts that give a band ending at a place a weight between the shares: a stretch that moves on with the place.
+        first, last = _first(lambda i: w[ends] - w[i] <= high, ends), _first(lambda i: w[ends] - w[i] < low, ends) - 1
         layer = np.concatenate(([0.0], np.full(n, math.inf)))
         choices = []
         for band in range(1, k + 1):
-            costs, choice = np.full(n + 1, math.inf), np.full(n + 1, -1)
-            for j in range(band, n + 1):
-                share = w[j] - w[:j]
-                cost = np.where((low <= share) & (share <= high), layer[:j] + deviations(j) + cut[:j], math.inf)
-                cost[: band - 1] = math.inf
-                at = int(cost.argmin())
-                if cost[at] < math.inf:
-                    costs[j], choice[j] = cost[at], at
-            layer = costs
+            layer, choice = _least_starts(layer, cost, cut, np.maximum(first, band - 1), np.minimum(last, ends - 1), band)
             choices.append(choice)
         if layer[n] < math.inf:
             ends = [n]
@@ -174,13 +217,65 @@ def band_metrics(rows: DataFrame, value: str, weight: str, keys: list[str] | Non
     return out.drop("_w", "_wx", "_ss")
 
 
-def zone_summary(rows: DataFrame, km: str, minutes: str, weight: str, street: Column, addressed: Column) -> DataFrame:
-    """band_metrics() of kilometres with the least, the percentiles and the greatest of minutes, units with an address, and the
-    sorted names of a band's streets (null names left out)."""
+def zone_summary(rows: DataFrame, km: str, minutes: str, weight: str, street: Column, addressed: Column) -> tuple[DataFrame, DataFrame]:
+    """(zones, streets). zones: band_metrics() of kilometres with the least, the percentiles and the greatest of minutes and the units with
+    an address. streets: a row for each band and name of a street in it (null names left out). The banded rows are kept once
+    and both measures are taken from them together, as one long table."""
+    short = cut_lineage(rows.select("band", F.col(km).alias("_km"), F.col(minutes).alias("_min"), F.col(weight).alias("_weight"), street.alias("street"), addressed.alias("_addressed")))
+    measure = lambda name, c: F.struct(F.lit(name).alias("measure"), F.col(c).cast("double").alias("value"))
+    long = short.select("band", "_weight", F.inline(F.array(measure("km", "_km"), measure("minutes", "_min"))))
+    every = band_metrics(long, "value", "_weight", ["measure"])
     names = ("min_value", "p50", "p75", "p90", "max_value")
-    time = band_metrics(rows, minutes, weight).select("band", *[F.col(c).alias(f"minutes_{c.removesuffix('_value')}") for c in names])
-    more = rows.groupBy("band").agg(F.count_if(addressed).alias("address_units"), F.sort_array(F.collect_set(street)).alias("streets"))
-    return band_metrics(rows, km, weight).join(time, "band").join(more, "band")
+    time = every.filter("measure = 'minutes'").select("band", *[F.col(c).alias(f"minutes_{c.removesuffix('_value')}") for c in names])
+    more = short.groupBy("band").agg(F.count_if("_addressed").alias("address_units"))
+    zones = every.filter("measure = 'km'").drop("measure").join(time, "band").join(more, "band")
+    return zones, short.filter("street IS NOT NULL").select("band", "street").distinct()
+
+
+def level_weights(weight: Column, levels: Column, cap: int = 5) -> dict[str, Column]:
+    """Models of a unit's weight for houses of flats: as one unit, times their levels (1 at least; 1 where unknown), and times the
+    levels up to a cap."""
+    floors = F.greatest(F.coalesce(levels, F.lit(1)), F.lit(1))
+    return {"one_unit": weight, "levels": weight * floors, f"levels_capped_{cap}": weight * F.least(floors, F.lit(cap))}
+
+
+def scenario_statistics(rows: DataFrame, table: DataFrame, keys: list[str], value: str, weight: str, street: str, addressed: Column) -> tuple[DataFrame, DataFrame]:
+    """(zones, totals) of every scenario of a table of bands (keys, band, edge), as sweep() and model_sweep() give them.
+
+    zones: keys, band, units, unit_share, weight, weight_share, dispersion; empty bands included. totals: keys, split_streets, split_addresses
+    and split_weight (addressed units on streets that lie in two zones or more), dispersion (by weight), largest_share, smallest_share,
+    balance, monotonic. The scenarios are a stated list, and rows meet them once; what leaves a task is one row for each scenario, band and
+    street. Deviations are taken around the middle of a band's edges, so one pass does and digits are not lost."""
+    edges = table.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("band", "edge"))), lambda e: e["edge"]).alias("_edges"))
+    v, w = F.col("_v"), F.col("_w")
+    short = rows.filter(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("_v"), F.col(weight).cast("double").alias("_w"), F.col(street).alias("_street"), addressed.alias("_addressed"))
+    met = short.crossJoin(F.broadcast(edges))  # as many rows as scenarios were asked for
+    at = F.array_position(F.transform("_edges", lambda e: (v <= e).cast("int")), F.lit(1)).cast("int")
+    met = met.withColumn("band", F.when(at > 0, at - 1).otherwise(F.size("_edges") - 1))
+    middle = (F.element_at("_edges", F.col("band") + 1) + F.when(F.col("band") > 0, F.get("_edges", F.col("band") - 1)).otherwise(F.col("_edges")[0])) / 2
+    counted, off = F.when(w > 0, w), v - middle
+    sums = met.groupBy(*keys, "band", "_street").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(w).alias("w"), F.sum(counted).alias("s0"), F.sum(counted * off).alias("s1"), F.sum(counted * off * off).alias("s2"),
+        F.count_if("_addressed").alias("a"), F.sum(F.when(F.col("_addressed"), w)).alias("aw"), F.min(v).alias("lo"), F.max(v).alias("hi"),
+    )
+    sums = cut_lineage(sums)
+    per = sums.groupBy(*keys, "band").agg(*[F.sum(c).alias(c) for c in ("n", "w", "s0", "s1", "s2")], F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    spread = F.sqrt(F.greatest(F.col("s2") / F.col("s0") - F.pow(F.col("s1") / F.col("s0"), 2), F.lit(0.0)))
+    every = edges.select(*keys, F.explode(F.sequence(F.lit(0), F.size("_edges") - 1)).alias("band"))
+    zones = every.join(per, [*keys, "band"], "left").fillna(0, ["n"]).fillna(0.0, ["w"])
+    own = Window.partitionBy(*keys)
+    share = lambda c: F.when(F.sum(c).over(own) > 0, F.col(c) / F.sum(c).over(own)).otherwise(0.0)
+    before = F.max("hi").over(own.orderBy("band").rowsBetween(Window.unboundedPreceding, -1))
+    zones = cut_lineage(zones.withColumns({"unit_share": share("n"), "weight_share": share("w"), "dispersion": spread, "_rises": F.coalesce(before <= F.col("lo"), F.lit(True))}))
+    split = sums.filter("_street IS NOT NULL").groupBy(*keys, "_street").agg(F.count_distinct("band").alias("b"), F.sum("a").alias("a"), F.sum("aw").alias("aw")).filter("b > 1")
+    split = split.groupBy(*keys).agg(F.count(F.lit(1)).alias("split_streets"), F.sum("a").alias("split_addresses"), F.sum("aw").alias("split_weight"))
+    total = zones.groupBy(*keys).agg(
+        (F.sum(F.coalesce("dispersion", F.lit(0.0)) * F.col("w")) / F.greatest(F.sum("w"), F.lit(1e-9))).alias("dispersion"), F.max("weight_share").alias("largest_share"),
+        F.min("weight_share").alias("smallest_share"), F.bool_and("_rises").alias("monotonic"),
+    )
+    total = total.withColumn("balance", F.when(F.col("largest_share") > 0, F.col("smallest_share") / F.col("largest_share")).otherwise(0.0))
+    total = total.join(split, keys, "left").fillna(0, ["split_streets", "split_addresses"]).fillna(0.0, ["split_weight"])
+    return zones.select(*keys, "band", F.col("n").alias("units"), "unit_share", F.col("w").alias("weight"), "weight_share", "dispersion"), total
 
 
 def is_monotonic(metrics: DataFrame) -> DataFrame:
@@ -189,22 +284,36 @@ def is_monotonic(metrics: DataFrame) -> DataFrame:
     return metrics.withColumn("_before", F.lag("max_value").over(w)).agg(F.coalesce(F.bool_and(F.coalesce(F.col("_before") <= F.col("min_value"), F.lit(True))), F.lit(True)).alias("monotonic"))
 
 
+def _run_over_cuts(changes: DataFrame) -> DataFrame:
+    """(cut, n, amount) from changes (at, n, amount) of what lies over a cut: each place's changes summed, then summed up to each
+    place, and every place filled in from one change to the next. Rows are as many as bins, however many streets there are."""
+    per = changes.groupBy("at").agg(F.sum("n").alias("n"), F.sum("amount").alias("amount"))
+    order = Window.partitionBy(F.lit(0)).orderBy("at")  # bins are few by construction
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    run = per.select("at", F.lead("at").over(order).alias("_next"), F.sum("n").over(upto).alias("n"), F.sum("amount").over(upto).alias("amount")).filter("n > 0")
+    return run.select(F.explode(F.sequence("at", F.col("_next") - 1)).alias("cut"), "n", "amount")
+
+
 def split_counts(units: DataFrame, street: str = "street", bin_place: str = "place") -> DataFrame:
-    """(cut, n): how many streets a cut before a bin's place would split."""
+    """(cut, n): how many streets a cut before a bin's place would split. A street changes the count where it begins and ends."""
     ends = units.groupBy(street).agg(F.min(bin_place).alias("lo"), F.max(bin_place).alias("hi")).filter("hi > lo")
-    return ends.select(F.explode(F.sequence(F.col("lo") + 1, F.col("hi"))).alias("cut")).groupBy("cut").agg(F.count(F.lit(1)).alias("n"))
+    change = lambda at, n: F.struct(at.alias("at"), F.lit(n).cast("long").alias("n"), F.lit(0).cast("long").alias("amount"))
+    return _run_over_cuts(ends.select(F.inline(F.array(change(F.col("lo") + 1, 1), change(F.col("hi") + 1, -1))))).select("cut", "n")
 
 
 def split_demand(units: DataFrame, street: str = "street", bin_place: str = "place", weight: str = "weight") -> DataFrame:
     """(cut, cost): the weight that a cut before a bin's place tears off, the smaller side of every street it runs through.
-    Units are summed by street and place first; a street has as many rows as bins then."""
+    A street changes the cost at its own places only. Changes are summed as decimals of twelve places, so that what a street
+    adds it takes back without a rest."""
     bins = units.groupBy(street, bin_place).agg(F.sum(weight).alias("_w"))
     w = Window.partitionBy(street)
     at = w.orderBy(bin_place)
     run = bins.withColumns({"_below": F.sum("_w").over(at.rowsBetween(Window.unboundedPreceding, 0)), "_total": F.sum("_w").over(w), "_next": F.lead(bin_place).over(at)})
     run = run.filter("_total > 0 AND _next IS NOT NULL")
-    cuts = run.select(F.explode(F.sequence(F.col(bin_place) + 1, F.col("_next"))).alias("cut"), F.least("_below", F.col("_total") - F.col("_below")).alias("c"))
-    return cuts.groupBy("cut").agg(F.sum("c").alias("cost"))
+    torn = F.least("_below", F.col("_total") - F.col("_below")).cast("decimal(28,12)")
+    change = lambda place, sign: F.struct(place.alias("at"), F.lit(sign).cast("long").alias("n"), (torn * sign).cast("decimal(28,12)").alias("amount"))
+    cuts = _run_over_cuts(run.select(F.inline(F.array(change(F.col(bin_place) + 1, 1), change(F.col("_next") + 1, -1)))))
+    return cuts.select("cut", F.col("amount").cast("double").alias("cost"))
 
 
 def expected_cost(matrix: DataFrame, keys: list[str], value: str = "dist_m", weight: str = "weight") -> DataFrame:

@@ -52,17 +52,25 @@ def line_cells(line: Column, size: float, reach: float) -> Column:
     return F.array_distinct(F.flatten(F.transform(G.segments(line), box)))
 
 
-def near_lines(points: DataFrame, lines: DataFrame, key: str, line_key: str, radius: float, size: float | None = None) -> DataFrame:
-    """(key, line_key, distance): lines (array of points ``line``) within radius of points x, y."""
+def _near_segments(points: DataFrame, lines: DataFrame, key: str, line_key: str, radius: float, size: float | None = None) -> DataFrame:
+    """(key, line_key, distance) of every segment of a line within radius of a point x, y. A segment travels to its own cells
+    alone, never the whole line; a pair of a long segment's cells and a point meets once, as the point lies in one cell."""
     size = size or 2 * radius
     a = points.select(key, "x", "y", _cell(F.col("x"), size).alias("cx"), _cell(F.col("y"), size).alias("cy"))
-    b = lines.select(line_key, "line", F.inline(line_cells(F.col("line"), size, radius)))
-    d = G.to_line(F.col("x"), F.col("y"), F.col("line"))
+    segs = lines.select(line_key, F.inline(G.segments(F.col("line"))))
+    ends = F.array(F.struct(F.col("x1").alias("x"), F.col("y1").alias("y")), F.struct(F.col("x2").alias("x"), F.col("y2").alias("y")))
+    b = segs.select(line_key, "x1", "y1", "x2", "y2", F.inline(line_cells(ends, size, radius)))
+    d = G.to_segment(F.col("x"), F.col("y"), F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"))
     return a.join(b, ["cx", "cy"]).select(key, line_key, d.alias("distance")).filter(F.col("distance") <= radius)
 
 
+def near_lines(points: DataFrame, lines: DataFrame, key: str, line_key: str, radius: float, size: float | None = None) -> DataFrame:
+    """(key, line_key, distance): lines (array of points ``line``) within radius of points x, y, each once."""
+    return _near_segments(points, lines, key, line_key, radius, size).groupBy(key, line_key).agg(F.min("distance").alias("distance"))
+
+
 def nearest_line(points: DataFrame, lines: DataFrame, key: str, line_key: str, radius: float) -> DataFrame:
-    best = near_lines(points, lines, key, line_key, radius).groupBy(key).agg(F.min(F.struct("distance", line_key)).alias("b"))
+    best = _near_segments(points, lines, key, line_key, radius).groupBy(key).agg(F.min(F.struct("distance", line_key)).alias("b"))
     return points.select(key).join(best.select(key, F.col(f"b.{line_key}").alias(line_key), F.col("b.distance").alias("distance")), key, "left")
 
 
@@ -87,7 +95,7 @@ def unattached(units: DataFrame, served: DataFrame, key: str, street_key: str, t
 
 def corridor_counts(streets: DataFrame, objects: DataFrame, street_key: str, object_key: str, counts: dict[str, Column], radius: float = 60.0) -> DataFrame:
     """Per street (several lines may share a key) how many different objects within radius meet each condition."""
-    hits = near_lines(objects, streets, object_key, street_key, radius).select(object_key, street_key).distinct().join(objects, object_key)
+    hits = _near_segments(objects, streets, object_key, street_key, radius).select(object_key, street_key).distinct().join(objects, object_key)
     sums = hits.groupBy(street_key).agg(*[F.count_if(c).alias(n) for n, c in counts.items()])
     return streets.select(street_key).distinct().join(sums, street_key, "left").fillna(0, list(counts))
 

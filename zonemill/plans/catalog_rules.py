@@ -124,10 +124,8 @@ WITH u AS ({_UNIT_SQL}) SELECT housenumber, CAST(row_number() OVER (ORDER BY CAS
 FROM (SELECT DISTINCT coalesce(housenumber, '') AS housenumber FROM u) n""")
 def house_order(spark, d):
     """House numbers in natural order, those without digits last: as many as there are different ones."""
-    from pyspark.sql import Window
-
     numbers = _places(spark, d).select(F.coalesce("housenumber", F.lit("")).alias("housenumber")).distinct()
-    return numbers.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(text.house_number_order(F.col("housenumber"))))).select("housenumber", "place")
+    return graph.global_rank(numbers, [text.house_number_order(F.col("housenumber"))], "place").select("housenumber", F.col("place").cast("int").alias("place"))
 
 
 @_query("""
@@ -624,6 +622,14 @@ SELECT band, count(*) AS units, sum(weight) AS weight, min(km) AS min_value, max
  count(*) FILTER (addressed) AS address_units, array_to_string(list_sort(list(DISTINCT street) FILTER (street IS NOT NULL)), ', ') AS streets FROM r GROUP BY band""")
 def zone_summary(spark, d):
     _t(spark, d, "orders").createOrReplaceTempView("orders")
-    out = bands.zone_summary(spark.sql(_ZONED), "km", "minutes", "weight", F.col("street"), F.col("addressed"))
+    out, streets = bands.zone_summary(spark.sql(_ZONED), "km", "minutes", "weight", F.col("street"), F.col("addressed"))
+    out = out.join(streets.groupBy("band").agg(F.sort_array(F.collect_list("street")).alias("streets")), "band", "left")
     digits = {"weight_share": 6, "dispersion": 3} | {f"minutes_{c}": 6 for c in ("min", "p50", "p75", "p90", "max")}
     return out.withColumns({c: F.round(c, n) for c, n in digits.items()}).withColumn("streets", F.array_join("streets", ", "))
+
+
+@_query(f"WITH z AS ({_ZONED}) SELECT DISTINCT band, street FROM z WHERE street IS NOT NULL")
+def zone_streets(spark, d):
+    """A row for each street of a band, however many a band has."""
+    _t(spark, d, "orders").createOrReplaceTempView("orders")
+    return bands.zone_summary(spark.sql(_ZONED), "km", "minutes", "weight", F.col("street"), F.col("addressed"))[1]

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import chains, cover, graph, outlines, spatial
+from ..operators import bands, chains, graph, outlines, spatial
 from ..sources import matrix
 from . import scan
-from .catalog import _FOOTPRINT_SQL, _OBJECT_SQL, _POINTS_SQL, _RINGS_SQL, _STREETS_SQL, _objects, _points, _query, _streets, _t
+from .catalog import _FOOTPRINT_SQL, _OBJECT_SQL, _POINTS_SQL, _QUERIES, _RINGS_SQL, _STREETS_SQL, _UNITS_SQL, _objects, _points, _query, _streets, _sweep_sql, _t, _units
 from .catalog_rules import _DRAWN, _drawn
 
 # Drawn bands as polygons. Cells of one band that share a side belong to one part; what encloses no cell of the band but lies
@@ -159,3 +159,33 @@ def apartment_sizes(spark, d):
     }
     more = F.filter(F.array(*[F.struct(F.lit(k).alias("k"), v.alias("v")) for k, v in tags.items()]), lambda e: e["v"].isNotNull())
     return scan.apartments(_objects(spark, d).withColumn("tags", F.map_concat("tags", F.map_from_entries(more))))
+
+
+# Statistics of scenarios.
+
+_SCENARIO_SQL = f"""WITH sw AS ({_sweep_sql()}), st AS (SELECT o_orderkey, o_custkey % 50 AS street, o_orderkey % 3 <> 0 AS addressed, cost, weight FROM ({_UNITS_SQL}) u),
+z AS (SELECT k, penalty, o_orderkey, any_value(street) AS street, any_value(addressed) AS addressed, any_value(weight) AS weight, any_value(cost) AS cost, coalesce(min(band) FILTER (cost <= edge), k - 1) AS band FROM st CROSS JOIN sw GROUP BY k, penalty, o_orderkey),
+m AS (SELECT k, penalty, band, count(*) AS units, sum(weight) AS weight, sum(cost * weight) / sum(weight) AS mean, min(cost) AS lo, max(cost) AS hi FROM z GROUP BY ALL),
+v AS (SELECT k, penalty, band, sqrt(sum(z.weight * (cost - mean) ** 2) / sum(z.weight)) AS dispersion FROM z JOIN m USING (k, penalty, band) GROUP BY ALL),
+zone AS (SELECT *, units / sum(units) OVER (PARTITION BY k, penalty) AS unit_share, weight / sum(weight) OVER (PARTITION BY k, penalty) AS weight_share FROM m JOIN v USING (k, penalty, band))"""
+
+
+def _scenarios(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    rows = _units(spark, d).select("o_orderkey", (F.col("o_custkey") % 50).alias("street"), "cost", "weight")
+    return bands.scenario_statistics(rows, _QUERIES["band_sweep"](spark, d), ["k", "penalty"], "cost", "weight", "street", F.col("o_orderkey") % 3 != 0)
+
+
+@_query(f"{_SCENARIO_SQL} SELECT k, penalty, band, units, round(unit_share, 6) AS unit_share, round(weight, 4) AS weight, round(weight_share, 6) AS weight_share, round(dispersion, 2) AS dispersion FROM zone")
+def scenario_zones(spark, d):
+    zones = _scenarios(spark, d)[0]
+    return zones.withColumns({c: F.round(c, n) for c, n in (("unit_share", 6), ("weight", 4), ("weight_share", 6), ("dispersion", 2))})
+
+
+@_query(f"""{_SCENARIO_SQL}, x AS (SELECT k, penalty, street, count(*) FILTER (addressed) AS a, sum(weight) FILTER (addressed) AS aw FROM z GROUP BY ALL HAVING count(DISTINCT band) > 1),
+s AS (SELECT k, penalty, count(*) AS split_streets, sum(a) AS split_addresses, sum(aw) AS split_weight FROM x GROUP BY ALL)
+SELECT zone.k, zone.penalty, coalesce(any_value(split_streets), 0) AS split_streets, CAST(coalesce(any_value(split_addresses), 0) AS BIGINT) AS split_addresses, round(coalesce(any_value(split_weight), 0), 4) AS split_weight,
+ round(sum(dispersion * weight) / sum(weight), 2) AS dispersion, round(max(weight_share), 6) AS largest_share, round(min(weight_share), 6) AS smallest_share, round(min(weight_share) / max(weight_share), 6) AS balance, true AS monotonic
+FROM zone LEFT JOIN s ON s.k = zone.k AND s.penalty = zone.penalty GROUP BY zone.k, zone.penalty""")
+def scenario_totals(spark, d):
+    total = _scenarios(spark, d)[1]
+    return total.withColumns({c: F.round(c, n) for c, n in (("split_weight", 4), ("dispersion", 2), ("largest_share", 6), ("smallest_share", 6), ("balance", 6))})
