@@ -130,14 +130,17 @@ def shard_documents(docs: DataFrame, n_shards: int = 40) -> DataFrame:
     )
     total = meta.count()
     quotas = [total // n_shards + (s < total % n_shards) for s in range(n_shards)]
-    groups = keep(meta.groupBy("grp").agg(F.count(F.lit(1)).alias("group_rows")).filter("group_rows > 1"), "shard-groups")
+    # The plain deal, counted before anything is joined, so that a group of any size is a row a shard from here on.
+    first = F.pmod(F.xxhash64("doc_id", "grp"), F.lit(n_shards)).cast("int")
+    dealt = keep(meta.groupBy("grp", first.alias("shard")).agg(F.count(F.lit(1)).alias("n")), "shard-start")
+    groups = keep(dealt.groupBy("grp").agg(F.sum("n").alias("group_rows")).filter("group_rows > 1"), "shard-groups")
     # No more groups than shards are larger than one.
     large = groups.filter(F.col("group_rows") > max(1, total // n_shards)).select("grp", "group_rows").orderBy("grp").collect()
     laid, quotas = _over_fewest([r["group_rows"] for r in large], quotas)
     fixed = meta.sparkSession.createDataFrame([(large[g]["grp"], s, n) for g, s, n in laid], "grp string, shard int, n long")
     small = groups.join(F.broadcast(fixed.select("grp").distinct()), "grp", "left_anti")
-    start = meta.join(small, "grp").groupBy("grp", F.col("group_rows").alias("size"), F.pmod(F.xxhash64("doc_id", "grp"), F.lit(n_shards)).cast("int").alias("shard")).agg(F.count(F.lit(1)).alias("n"))
-    settled, left, rounds = propagate(keep(start, "shard-state"), quotas, total)
+    start = keep(dealt.join(small, "grp").select("grp", F.col("group_rows").alias("size"), "shard", "n"), "shard-state")
+    settled, left, rounds = propagate(start, quotas, total)
     for n, r in enumerate(rounds):
         _log.info("round %d: %d rows moved, %d groups settled, %d links cut", n, r.moved, r.settled, r.cut)
     loads = {r["shard"]: r["n"] for r in settled.groupBy("shard").agg(F.sum("n").alias("n")).collect()}  # a row a shard
