@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from .cover import SHIFT, covering, nearest_lines, ring_cover
+from .graph import cut_lineage
 
 
 def _cell(x: Column, size: float) -> Column:
@@ -180,6 +181,34 @@ def footprint(points: DataFrame, buffer: float, closing: float, size: float) ->
     return close_gaps(disc_cells(points, buffer, size), closing, size)
 
 
+def line_area_cells(lines: DataFrame, key: str, radius: float, size: float) -> DataFrame:
+    """(key, cx, cy): cells whose centre lies within radius of a line (array of points ``line``)."""
+    segs = lines.select(key, F.inline(G.segments(F.col("line"))))
+    ends = F.array(F.struct(F.col("x1").alias("x"), F.col("y1").alias("y")), F.struct(F.col("x2").alias("x"), F.col("y2").alias("y")))
+    near = segs.select(key, "x1", "y1", "x2", "y2", F.inline(line_cells(ends, size, radius)))
+    away = G.to_segment((F.col("cx") + 0.5) * size, (F.col("cy") + 0.5) * size, F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"))
+    return near.filter(away <= radius).select(key, "cx", "cy").distinct()
+
+
+def composed_footprint(homes: DataFrame, streets: DataFrame, fields: DataFrame, street_key: str, ring_key: str, size: float, buffer: float, street_buffer: float, closing: float, vicinity: float, reach: float = 40.0) -> DataFrame:
+    """Cells of a lived-in area: discs around homes; buffers of streets that come within reach of these; residential land (rings).
+    Streets and land count in the vicinity of the homes only, as whole ones would draw in fields and long empty corridors.
+    Gaps up to twice the closing radius are filled."""
+    built = cut_lineage(disc_cells(homes, buffer, size))
+    around = cut_lineage(dilate(built, vicinity, size))
+    centres = built.select(F.struct("cx", "cy").alias("_at"), ((F.col("cx") + 0.5) * size).alias("x"), ((F.col("cy") + 0.5) * size).alias("y"))
+    near = streets.join(_near_segments(centres, streets, "_at", street_key, reach).select(street_key).distinct(), street_key, "left_semi")
+    parts = line_area_cells(near, street_key, street_buffer, size).select("cx", "cy").unionByName(ring_area_cells(fields, ring_key, size))
+    return close_gaps(built.unionByName(overlay(parts, around, "intersection")).distinct(), closing, size)
+
+
+def part_records(parts: DataFrame, points: DataFrame, size: float, least: int, least_area: float) -> DataFrame:
+    """(part, points, area, kept): each part of an area with the points in it; kept are those with enough of both."""
+    at = points.select(_cell(F.col("x"), size).alias("cx"), _cell(F.col("y"), size).alias("cy")).groupBy("cx", "cy").agg(F.count(F.lit(1)).alias("_n"))
+    per = parts.join(at, ["cx", "cy"], "left").groupBy("part").agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("points"), (F.count(F.lit(1)) * float(size * size)).alias("area"))
+    return per.withColumn("kept", (F.col("points") >= least) & (F.col("area") >= least_area))
+
+
 def ring_area_cells(rings: DataFrame, ring_key: str, size: float) -> DataFrame:
     """(cx, cy): cells whose centre an area covers. Inner cells of the cover hold their centres without a test; those of
     border cells are tested."""

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import bands, chains, graph, outlines, spatial
 from ..sources import matrix
 from . import scan
-from .catalog import _FOOTPRINT_SQL, _OBJECT_SQL, _POINTS_SQL, _QUERIES, _RINGS_SQL, _STREETS_SQL, _UNITS_SQL, _objects, _points, _query, _streets, _sweep_sql, _t, _units
+from .catalog import _FOOTPRINT_SQL, _OBJECT_SQL, _POINTS_SQL, _QUERIES, _RINGS_SQL, _STREETS_SQL, _UNITS_SQL, _objects, _parts_sql, _points, _query, _rings, _streets, _sweep_sql, _t, _units
 from .catalog_rules import _DRAWN, _drawn
 
 # Drawn bands as polygons. Cells of one band that share a side belong to one part; what encloses no cell of the band but lies
@@ -189,3 +189,32 @@ FROM zone LEFT JOIN s ON s.k = zone.k AND s.penalty = zone.penalty GROUP BY zone
 def scenario_totals(spark, d):
     total = _scenarios(spark, d)[1]
     return total.withColumns({c: F.round(c, n) for c, n in (("split_weight", 4), ("dispersion", 2), ("largest_share", 6), ("smallest_share", 6), ("balance", 6))})
+
+
+# A lived-in area of homes, streets and land.
+
+_COMPOSED_SQL = f"""{_FOOTPRINT_SQL}, s AS ({_STREETS_SQL}), land AS ({_RINGS_SQL}),
+ball AS (SELECT i, j FROM (SELECT unnest(generate_series(-2, 2)) AS i) a CROSS JOIN (SELECT unnest(generate_series(-2, 2)) AS j) b WHERE i * i + j * j <= 4),
+vic AS (SELECT DISTINCT cx + i AS cx, cy + j AS cy FROM disc, ball), mid AS (SELECT cx, cy, (cx + 0.5) * 10 AS mx, (cy + 0.5) * 10 AS my FROM vic),
+near AS (SELECT DISTINCT street_id, sx, sy FROM s JOIN disc ON sqrt(((cx + 0.5) * 10 - greatest(sx, least(sx + 60, (cx + 0.5) * 10))) ** 2 + ((cy + 0.5) * 10 - sy) ** 2) <= 40),
+road AS (SELECT DISTINCT cx, cy FROM mid JOIN near ON sqrt((mx - greatest(sx, least(sx + 60, mx))) ** 2 + (my - sy) ** 2) <= 15),
+field AS (SELECT DISTINCT mid.cx, mid.cy FROM mid JOIN land ON abs(mx - land.cx) + abs(my - land.cy) <= h),
+comp AS (SELECT cx, cy FROM disc UNION SELECT cx, cy FROM road UNION SELECT cx, cy FROM field),
+grown AS (SELECT DISTINCT cx + i AS cx, cy + j AS cy FROM comp, plus), closed AS (SELECT cx, cy FROM (SELECT cx + i AS cx, cy + j AS cy FROM grown, plus) g GROUP BY cx, cy HAVING count(*) = 5)"""
+
+
+def _composed(spark: SparkSession, d: str) -> DataFrame:
+    land = _rings(spark, d).select("ring_id", "ring")
+    return spatial.composed_footprint(_points(spark, d), _streets(spark, d), land, "street_id", "ring_id", 10, 12, 15, 10, 20)
+
+
+@_query(f"WITH {_COMPOSED_SQL} SELECT cx, cy FROM closed")
+def composed_footprint(spark, d):
+    return _composed(spark, d)
+
+
+@_query(f"""
+WITH RECURSIVE {_COMPOSED_SQL}, {_parts_sql("SELECT * FROM closed")}, n AS (SELECT root, count(p.id) AS points FROM lab JOIN cell ON cell.id = node LEFT JOIN p ON floor(x / 10) = cx AND floor(y / 10) = cy GROUP BY root)
+SELECT lab.root AS part, any_value(points) AS points, count(*) * 100.0::DOUBLE AS area, any_value(points) >= 3 AND count(*) >= 12 AS kept FROM lab JOIN n ON n.root = lab.root GROUP BY lab.root""")
+def footprint_parts(spark, d):
+    return spatial.part_records(spatial.cell_components(_composed(spark, d)), _points(spark, d), 10, 3, 1200.0)

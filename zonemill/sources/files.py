@@ -7,6 +7,7 @@ import json
 import os
 import subprocess
 import urllib.request
+from collections.abc import Iterable
 from dataclasses import asdict, dataclass, fields
 from datetime import UTC, datetime
 from pathlib import Path
@@ -160,6 +161,33 @@ def verify_files(spark: SparkSession, path: str, manifests: DataFrame) -> DataFr
     return files.join(want, F.col("path").endswith(F.col("local_path")), "left").withColumn("ok", F.coalesce(F.col("sha256") == F.col("expected"), F.lit(False)))
 
 
+def build_problems(pin: dict, record: dict, folder: str | Path, steps: Iterable[str], profile: str, releases: str) -> list[str]:
+    """What speaks against the record of a build: that it was not made by the pinned engine, from the kept files, in all steps.
+
+    folder holds the kept files and CHECKSUMS.sha256, lines of hash, two spaces, name. steps: what the recorded commands must hold;
+    profile: the kept file that the build says it used; releases: how the address of every pinned binary must begin."""
+    folder, found = Path(folder), []
+    listed = {}
+    for line in (folder / "CHECKSUMS.sha256").read_text(encoding="utf-8").splitlines():
+        digest, _, name = line.partition("  ")
+        if name:
+            listed[name] = digest
+    kept = {name: hashlib.sha256((folder / name).read_bytes()).hexdigest() if (folder / name).is_file() else None for name in {*listed, profile}}
+    found += [f"{name}: not the file that was listed" for name, digest in sorted(listed.items()) if kept[name] != digest]
+    # The field names of a pin and of a build's record.
+    built = record.get("engine", {}).get("version")
+    if built != pin.get("version"):
+        found.append(f"built by version {built}, pinned is {pin.get('version')}")
+    if record.get("profile", {}).get("sha256") != kept[profile]:
+        found.append(f"built with another {profile}")
+    if not record.get("smoke_test", {}).get("passed"):
+        found.append("the smoke test did not pass")
+    said = " ".join(record.get("commands", []))
+    found += [f"no command holds {step}" for step in steps if step not in said]
+    found += [f"{name}: not a release of the engine" for name, url in sorted(pin.get("binaries", {}).items()) if not str(url).startswith(releases)]
+    return found
+
+
 def download(url: str, path: str | Path, expected: str | None = None, force: bool = False, retries: int = 3, opener=urllib.request.urlopen) -> Manifest | None:
     """Streams to a part file, hashing on the way, and renames it at the end. A file that is there is kept if its hash is the
     expected one (then there is no new manifest), else an error unless forced."""
