@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import blank_to_null, normalize
+from .graph import cut_lineage
 
 UNKNOWN_PLACE, OTHER_DISTRICT = "не определён", "другой район"
 
@@ -42,6 +43,35 @@ def search(records: DataFrame, query: str, settlement: str = "settlement", distr
     return rows.select(F.col("street"), "place", F.col(settlement).alias("settlement"), F.col(district).alias("district"), F.col("_n").alias("street_norm")).orderBy("street_norm", "place")
 
 
+def _grams(text: Column, n: Column) -> Column:
+    """All different pieces of n characters."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1))), lambda i: F.substring(text, i, n)))
+
+
+def search_many(records: DataFrame, queries: DataFrame, settlement: str = "settlement", district: str = "district", street: str = "street", norm=normalize) -> DataFrame:
+    """search() for queries(query_id, text) all at once: query_id, street, place, settlement, district, street_norm; queries that
+    find nothing have no rows.
+
+    Every different name is posted under its pieces of one, two and three characters. A query looks up the rarest of its own
+    pieces of the longest length it has, and what stands there is tested in full, so queries and names meet only where they share
+    that piece."""
+    place = F.concat_ws(", ", blank_to_null(F.col(settlement)), blank_to_null(F.col(district)))
+    rows = records.withColumn("street_norm", norm(F.coalesce(F.col(street), F.lit("")))).filter("street_norm <> ''")
+    rows = rows.groupBy(F.col(settlement).alias("settlement"), F.col(district).alias("district"), "street_norm").agg(F.min(street).alias("street"), F.first(place).alias("place"))
+    rows = rows.withColumn("place", F.when(F.col("place") == "", UNKNOWN_PLACE).otherwise(F.col("place")))
+    lengths = F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("n")
+    posted = rows.select("street_norm").distinct().select("street_norm", lengths).filter(F.length("street_norm") >= F.col("n")).select("street_norm", F.explode(_grams(F.col("street_norm"), F.col("n"))).alias("gram"))
+    posted = cut_lineage(posted)
+    sizes = posted.groupBy("gram").agg(F.count(F.lit(1)).alias("names"))
+    asked = queries.select("query_id", norm(F.coalesce(F.col("text"), F.lit(""))).alias("needle")).filter("needle <> ''")
+    needles = asked.select("needle").distinct()
+    pieces = needles.select("needle", F.explode(_grams(F.col("needle"), F.least(F.length("needle"), F.lit(3)))).alias("gram")).join(sizes, "gram", "left")
+    # A piece that no name has ends the query: it counts as the rarest.
+    rarest = pieces.groupBy("needle").agg(F.min_by("gram", F.struct(F.coalesce("names", F.lit(0)), "gram")).alias("gram"))
+    found = rarest.join(posted, "gram").filter(F.col("street_norm").contains(F.col("needle"))).select("needle", "street_norm")
+    return asked.join(found, "needle").join(rows, "street_norm").select("query_id", "street", "place", "settlement", "district", "street_norm")
+
+
 def zone_lookup(banded: DataFrame, requests: DataFrame) -> DataFrame:
     """Answers to requests(request_id, street_norm, number): exact_address with its zone; street_only with the zone all of
     the street lies in; ambiguous_street with all zones and none chosen; not_found."""

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import bands, chains, graph, outlines, spatial
+from ..operators import addresses, bands, chains, graph, outlines, spatial
 from ..sources import matrix
+from ..streaming import counters
 from . import scan
 from .catalog import _FOOTPRINT_SQL, _OBJECT_SQL, _POINTS_SQL, _QUERIES, _RINGS_SQL, _STREETS_SQL, _UNITS_SQL, _objects, _parts_sql, _points, _query, _rings, _streets, _sweep_sql, _t, _units
 from .catalog_rules import _DRAWN, _drawn
@@ -218,3 +221,30 @@ WITH RECURSIVE {_COMPOSED_SQL}, {_parts_sql("SELECT * FROM closed")}, n AS (SELE
 SELECT lab.root AS part, any_value(points) AS points, count(*) * 100.0::DOUBLE AS area, any_value(points) >= 3 AND count(*) >= 12 AS kept FROM lab JOIN n ON n.root = lab.root GROUP BY lab.root""")
 def footprint_parts(spark, d):
     return spatial.part_records(spatial.cell_components(_composed(spark, d)), _points(spark, d), 10, 3, 1200.0)
+
+
+# Many queries at once, and bins that a stream keeps.
+
+
+@_query("""
+WITH r AS (SELECT DISTINCT lower(p_name) AS street_norm, p_brand AS settlement FROM part), q AS (SELECT p_partkey AS query_id, trim(lower(substr(p_name, 1 + p_partkey % 4, 1 + p_partkey % 6))) AS needle FROM part)
+SELECT query_id, count(*) AS names, min(street_norm) AS first_name, max(settlement) AS last_place FROM q JOIN r ON needle <> '' AND contains(street_norm, needle) GROUP BY query_id""")
+def batch_search(spark, d):
+    """A piece of every part's name looked for in all names, with how many it finds."""
+    p = _t(spark, d, "part")
+    records = p.select(F.col("p_name").alias("street"), F.col("p_brand").alias("settlement"), F.lit("").alias("district"))
+    asked = p.select(F.col("p_partkey").alias("query_id"), F.expr("substr(p_name, 1 + p_partkey % 4, 1 + p_partkey % 6)").alias("text"))
+    found = addresses.search_many(records, asked)
+    return found.groupBy("query_id").agg(F.count(F.lit(1)).alias("names"), F.min("street_norm").alias("first_name"), F.max("settlement").alias("last_place"))
+
+
+@_query("SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS day, CAST(floor(value / 25.0::DOUBLE) AS BIGINT) AS bin, count(*) AS n, round(CAST(sum(CAST(value AS DECIMAL(28, 6))) AS DOUBLE), 4) AS total FROM events WHERE value IS NOT NULL GROUP BY 1, 2")
+def streamed_bins(spark, d):
+    """Bins of the events by day, as a stream over the table leaves them in its store. An extension."""
+    events = _t(spark, d, "events")
+    folder = f"{graph._folder(spark)}/bins-{uuid.uuid4().hex}"
+    store = counters.BinStore(f"{folder}/store", 25.0)
+    stream = spark.readStream.schema(events.schema).parquet(f"{d}/events.parquet*")
+    store.start(stream, f"{folder}/checkpoint", availableNow=True).awaitTermination()
+    store.compact(spark)
+    return store.read(spark).select(F.col("day").cast("timestamp_ntz").alias("day"), "bin", "n", F.round(F.col("total").cast("double"), 4).alias("total"))
