@@ -169,7 +169,8 @@ def decode(encoded: DataFrame, file: str) -> DataFrame:
 
 def round_trip_digests(docs: DataFrame, file: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, and SHA-256 of the ids in decimal and of the bytes they decode to, in one pass: ids need not
-    be written out to be digested."""
+    be written out to be digested. A null text is empty; repeated rows are encoded each; further columns, whatever their names,
+    are ignored; an empty table gives an empty result."""
 
     def row(ranks: RankFile, ids: np.ndarray) -> tuple:
         decimal = gather(*ranks.decimal, ids)[:-1].tobytes()

@@ -155,5 +155,7 @@ def cut(docs: DataFrame, file: str, size: int = 2048, end_id: int = 1) -> DataFr
 
 
 def pack_documents(docs: DataFrame, file: str, size: int = 2048, end_id: int = 1) -> DataFrame:
-    """cut() and pack(): one row for each piece with its sequence_id and offset."""
+    """cut() and pack(): one row for each piece with its sequence_id and offset. A null text is empty and has the end id only;
+    a text of any length is cut where sequences end; repeated rows are packed each; further columns, whatever their names, are
+    ignored; an empty table gives an empty result."""
     return pack(keep(cut(docs, file, size, end_id), "pieces"), size)

@@ -253,7 +253,8 @@ def _pieces(batch: pa.RecordBatch, at: int) -> Iterator[tuple[int, list[str]]]:
 
 def find(docs: DataFrame, model: Tagger) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone (patterns), base_sha256, spans (patterns and tagger) of every whole text. A
-    null text is empty. Repeated rows are searched each; an empty table gives an empty result."""
+    null text is empty. Texts of any length are searched whole; repeated rows each; further columns, whatever their names, are
+    ignored; a null doc_id is kept; an empty table gives an empty result."""
     names = ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -272,7 +273,8 @@ def find(docs: DataFrame, model: Tagger) -> DataFrame:
 
 def mask(docs: DataFrame, model: Tagger) -> DataFrame:
     """docs with every span in text replaced by its kind in angle brackets; spans that overlap are replaced as one, by
-    the kind of the first. Other texts stay as they are; all columns are kept."""
+    the kind of the first. Other texts stay as they are, null ones too; all columns are kept, whatever their names; repeated
+    rows are masked each; an empty table gives an empty result."""
     at = docs.columns.index("text")
 
     def masked(text: str, spans: list[tuple[int, int, int]]) -> str:

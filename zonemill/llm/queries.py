@@ -27,41 +27,50 @@ def _pattern() -> str:
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of 2,048 ids; see packing.pack_documents for nulls, long texts, repeated rows and empty tables."""
     return packing.pack_documents(documents(spark, sf_dir), _tokenizer("word_bpe_49k.json"))
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with fingerprint and component; see simhash.near_duplicates for nulls, long texts, repeated rows and empty tables."""
     return simhash.near_duplicates(documents(spark, sf_dir))
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that 13-word windows of earlier documents cover; see substrings.removal_digests for nulls and the other cases."""
     return substrings.removal_digests(documents(spark, sf_dir))
 
 
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids and decoded bytes of every text, as digests; see bpe_replay.round_trip_digests for nulls and the other cases."""
     return bpe_replay.round_trip_digests(documents(spark, sf_dir), _tokenizer("byte_bpe_multi_50k.tiktoken"), _pattern())
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of every text; see token_count.count_tokens for nulls and the other cases."""
     return token_count.count_tokens(documents(spark, sf_dir), _tokenizer("byte_bpe_50k.json"), _pattern())
 
 
 def op6_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best other vectors of each whose id is divisible by 20; see topk.top_k for nulls, ties and the other cases."""
     vectors = topk.whole(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
     return topk.top_k(vectors, F.col("vec_id") % 20 == 0)
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every text; the tagger is fitted on a bounded sample. See pii.find for nulls and the other cases."""
     docs = documents(spark, sf_dir)
     return pii.find(docs, pii.fit(docs))
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of every text; fitted on labelled rows that are not held out. See toxicity.score for nulls and the other cases."""
     docs = documents(spark, sf_dir)
     return toxicity.score(docs, toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measures and verdict of every text; see quality.judge for nulls, missing labels and the other cases."""
     out = judge(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return out.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.array_join("failed_rules", ",").alias("failed_rules")
@@ -69,18 +78,22 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 40 shards by law ``rows``; see sharding.shard_documents for nulls and the other cases."""
     return shard_documents(documents(spark, sf_dir)).drop("group_rows")
 
 
 def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Divergence of all sources; see divergence.audit for nulls and the other cases."""
     return divergence.audit(documents(spark, sf_dir))
 
 
 def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents of each benchmark item; see lexical.search for nulls, ties and the other cases."""
     return lexical.search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every text; see secret_scan.scan for nulls and the other cases."""
     return secret_scan.scan(documents(spark, sf_dir))
 
 

@@ -360,7 +360,8 @@ def removal_digests(docs: DataFrame, n: int = 13) -> DataFrame:
 
     Removed is each word inside a window of n words that also begins in a document with a smaller doc_id, judged on the
     input. A null or short text loses nothing. Rows that repeat a document keep alike. Rows with one doc_id and different
-    texts are judged each, and take no words from each other. Rows without a doc_id keep all words and take none."""
+    texts are judged each, and take no words from each other. Rows without a doc_id keep all words and take none. Further columns,
+    whatever their names, are ignored; an empty table gives an empty result."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -382,7 +383,8 @@ def removal_digests(docs: DataFrame, n: int = 13) -> DataFrame:
 
 def remove_repeats(docs: DataFrame, n: int = 13) -> DataFrame:
     """docs with the words that removal_digests() counts as removed taken out of text, each with the white space before
-    it. Texts that lose nothing stay as they are, to the character. All columns are kept."""
+    it. Texts that lose nothing stay as they are, to the character, null ones too. All columns are kept, whatever their names; an
+    empty table stays empty."""
     at = docs.columns.index("text")
 
     def cut(text: str, places: bytes) -> str:

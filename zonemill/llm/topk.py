@@ -175,7 +175,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, query_rows: int = 2
     """vectors: vec_id and v (array<double> of whole numbers). Returns query_id, rank (from 1), vec_id, score of the k best
     other rows of each query, ties to the smaller vec_id; fewer than k if there are fewer. Vectors of different lengths
     do not meet. Rows that are null, empty or hold null or non-finite components take no part; an empty table gives an empty
-    result. Rows with one vec_id count as the query's own; of equal rows of a candidate one counts."""
+    result. Rows with one vec_id count as one query: their results are merged, and none of them is its candidate; of equal rows of a
+    candidate one counts. Further columns, whatever their names, are ignored."""
     good = vectors.filter("vec_id IS NOT NULL AND v IS NOT NULL AND size(v) > 0")
     good = good.filter(~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))).select(F.col("vec_id").cast("long").alias("vec_id"), "v")
     good = keep(good, "vectors")

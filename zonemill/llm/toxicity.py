@@ -221,7 +221,8 @@ def _coder(model: Model) -> Encoder:
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, score, predicted for every row, from the whole text alone. A null text is empty, and an empty
-    text has the score of no words. Repeated rows are scored each; an empty table gives an empty result."""
+    text has the score of no words. Repeated rows are scored each; further columns, whatever their names, are ignored; an empty
+    table gives an empty result."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, scores in _scores(model, _coder(model), batches):
@@ -232,7 +233,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def reject(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs without those rows whose own score is 0.5 or more, whatever their doc_id."""
+    """docs without those rows whose own score is 0.5 or more, whatever their doc_id. All columns are kept; a null text is
+    empty; without labels of both classes nothing is learned, and with none nothing goes; an empty table stays empty."""
     model = fit(docs, labels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
