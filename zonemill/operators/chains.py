@@ -7,11 +7,12 @@ no chain is ever gathered in one task to be put in order.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
-from .graph import cut_lineage, drop_table
+from .graph import cut_and_count, cut_lineage, drop_table
 
 
 def rank_chains(links: DataFrame, rounds: int = 64) -> DataFrame:
@@ -37,10 +38,10 @@ def rank_chains(links: DataFrame, rounds: int = 64) -> DataFrame:
             F.when(goes & lower, F.col("walked") + F.col("off2")).otherwise(F.col("off")).alias("off"),
             (goes & (lower | F.col("to2").isNull())).alias("moved"),
         )
-        later = cut_lineage(later)
+        later, moved = cut_and_count(later, F.col("moved"))
         drop_table(state)
         state = later
-        if state.filter("moved").isEmpty():
+        if not moved:
             cycle = F.col("to").isNotNull()
             return state.select("id", F.when(cycle, F.col("low")).otherwise(F.col("end")).alias("chain"), F.when(cycle, F.col("off")).otherwise(F.col("walked")).alias("pos"), cycle.alias("closed"))
     raise RuntimeError(f"rank_chains: no end after {rounds} rounds")
@@ -92,3 +93,31 @@ def merged_streets(lines: DataFrame, key: str, snap: float | None = None) -> Dat
     best = F.max_by("line", F.struct("length", -F.element_at("line", 1)["x"], -F.element_at("line", 1)["y"]))
     return merged.groupBy(key).agg(F.count(F.lit(1)).alias("parts"), F.sum("length").alias("length"), F.max("length").alias("longest"), best.alias("line"))
 
+
+def _loops(points: list[tuple[float, float]]) -> list[list[tuple[float, float]]]:
+    """The loops of a closed walk that meets some corners more than once: each is closed and meets no corner twice."""
+    path, place, out = [], {}, []
+    for p in points:
+        if p in place:
+            start = place[p]
+            loop = path[start:]
+            out.append([*loop, p])
+            for q in loop[1:]:
+                del place[q]
+            del path[start + 1 :]
+        else:
+            place[p] = len(path)
+            path.append(p)
+    return out
+
+
+def simple_loops(ring: Column) -> Column:
+    """A closed ring as rings that meet no corner twice; even-odd they bound the same area. Batches go through Arrow, as a walk keeps
+    what it has met."""
+
+    @F.pandas_udf("array<struct<xs:array<double>,ys:array<double>>>")
+    def parts(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([[{"xs": [p[0] for p in loop], "ys": [p[1] for p in loop]} for loop in _loops(list(zip(a, b, strict=True)))] for a, b in zip(x, y, strict=True)], dtype=object)
+
+    found = parts(F.transform(ring, lambda p: p["x"]), F.transform(ring, lambda p: p["y"]))
+    return F.transform(found, lambda r: F.zip_with(r["xs"], r["ys"], lambda a, b: F.struct(a.alias("x"), b.alias("y"))))

@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -27,6 +27,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def cut_and_count(df: DataFrame, test: Column) -> tuple[DataFrame, int]:
+    """cut_lineage(), and for how many rows a test holds, counted while they are written."""
+    seen = Observation()
+    out = cut_lineage(df.observe(seen, F.count_if(test).alias("n")))
+    return out, seen.get["n"]
+
+
 def drop_table(df: DataFrame) -> None:
     """Deletes a table that cut_lineage() wrote and that no later plan reads."""
     spark = df.sparkSession
@@ -46,8 +53,7 @@ def connected(edges: DataFrame, rounds: int = 100) -> DataFrame:
         least = labels.join(near, labels["node"] == near["a"]).select("node", "root", F.least("root", "near").alias("low"))
         low = cut_lineage(least)
         jump = low.select(F.col("node").alias("low"), F.col("low").alias("far"))
-        later = cut_lineage(low.join(jump, "low", "left").select("node", F.col("root").alias("was"), F.least("low", "far").alias("root")))
-        changed = later.filter("root <> was").limit(1).count()
+        later, changed = cut_and_count(low.join(jump, "low", "left").select("node", F.col("root").alias("was"), F.least("low", "far").alias("root")), F.col("root") != F.col("was"))
         for old in (labels, low):
             drop_table(old)
         labels = later.select("node", "root")
@@ -264,8 +270,8 @@ def shortest_paths(edges: DataFrame, sources: DataFrame, limit: float = float("i
         known = own if known is None else known.unionByName(own)
         offers = changes.filter("NOT own").groupBy("block", "node").agg(F.min("dist").alias("dist"))
         best = known.join(offers.select("node"), "node", "left_semi").groupBy("node").agg(F.min("dist").alias("had"))
-        front = cut_lineage(offers.join(best, "node", "left").filter("had IS NULL OR dist < had").select("node", "block", "dist"))
-        if front.isEmpty():
+        front, left = cut_and_count(offers.join(best, "node", "left").filter("had IS NULL OR dist < had").select("node", "block", "dist"), F.lit(True))
+        if not left:
             out = cut_lineage(known.groupBy("node").agg(F.min("dist").alias("dist")))
             for table in [*tables, front]:
                 drop_table(table)

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import addresses, bands, chains, graph, outlines, spatial
+from ..operators import addresses, bands, chains, graph, outlines, repair, spatial
 from ..sources import matrix
 from ..streaming import counters
 from . import scan
@@ -248,3 +249,26 @@ def streamed_bins(spark, d):
     store.start(stream, f"{folder}/checkpoint", availableNow=True).awaitTermination()
     store.compact(spark)
     return store.read(spark).select(F.col("day").cast("timestamp_ntz").alias("day"), "bin", "n", F.round(F.col("total").cast("double"), 4).alias("total"))
+
+
+# Rings that cross themselves, hold a spike, or go round twice. The tips of a star in a circle of radius 1 reach from an inner
+# pentagon in a circle of radius cos(72) / cos(36).
+_TIPS = "5 * cos(radians(72)) / cos(radians(36)) * (sin(radians(36)) - cos(radians(72)) / cos(radians(36)) * sin(radians(72)) / 2)"
+
+
+@_query(f"SELECT ring_id, CASE ring_id % 4 WHEN 0 THEN 2 WHEN 3 THEN 5 ELSE 1 END AS rings, round(h * h * CASE ring_id % 4 WHEN 3 THEN {_TIPS} ELSE 2.0 END, 3) AS area FROM ({_RINGS_SQL}) r")
+def repaired_rings(spark, d):
+    """Bow-ties, diamonds with a spike, diamonds told twice, and five-pointed stars, whose middle lies inside twice and so outside."""
+    cx, cy, h = F.col("s_acctbal") / 12 - 400, (F.col("s_suppkey") * 37 % 400 - 200).cast("double"), (F.col("s_nationkey") + 40).cast("double")
+    at = lambda i, j: F.struct((cx + h * i).alias("x"), (cy + h * j).alias("y"))
+    bow = [(-1, -1), (1, 1), (1, -1), (-1, 1), (-1, -1)]
+    diamond = [(-1, 0), (0, 1), (1, 0), (0, -1)]
+    spike = [*diamond[:2], (0, 3), (0, 1), *diamond[2:], diamond[0]]
+    star = [(math.sin(2 * math.pi * 2 * n / 5), math.cos(2 * math.pi * 2 * n / 5)) for n in range(5)]
+    kinds = [bow, spike, [*diamond, *diamond, diamond[0]], [*star, star[0]]]
+    k = F.col("s_suppkey") % 4
+    ring = F.when(k == 0, F.array(*[at(*p) for p in kinds[0]]))
+    for n in (1, 2, 3):
+        ring = ring.when(k == n, F.array(*[at(*p) for p in kinds[n]]))
+    found = repair.repaired(_t(spark, d, "supplier").select(F.col("s_suppkey").alias("ring_id"), ring.alias("ring")), "ring_id", 40.0)
+    return found.groupBy("ring_id").agg(F.count(F.lit(1)).cast("int").alias("rings"), F.round(F.sum(repair.signed_area(F.col("depth"), F.col("ring"))), 3).alias("area"))
