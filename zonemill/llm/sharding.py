@@ -43,17 +43,18 @@ def _links_cut(state: DataFrame) -> int:
 
 
 def _round(state: DataFrame, rooms: list[int], least: int, parts: int, turn: int) -> DataFrame:
-    """(grp, size, to, moved): the groups of at least ``least`` documents that are admitted, the shard they gather in, and how many of
-    their documents move there. state: grp, size, shard, n."""
+    """(grp, size, to, moved, mended): the groups of at least ``least`` documents that are admitted, the shard they gather in, how many of
+    their documents move there, and how many links are cut no more. state: grp, size, shard, n."""
     spark = state.sparkSession
     room = spark.createDataFrame(list(enumerate(rooms)), "shard int, room long")  # a row a shard
     tie = F.xxhash64("grp", "shard", F.lit(turn))
     fits = F.when(F.col("room") >= F.col("size"), F.struct("n", tie.alias("tie"), "shard"))
-    own = state.filter(F.col("size") >= least).join(F.broadcast(room), "shard").groupBy("grp", "size").agg(F.max(fits).alias("best"))
+    own = state.filter(F.col("size") >= least).join(F.broadcast(room), "shard").groupBy("grp", "size").agg(F.max(fits).alias("best"), F.sum(F.col("n") * F.col("n")).alias("same"))
     every = F.array(*[F.struct(F.lit(s).alias("shard"), F.lit(r).cast("long").alias("room")) for s, r in enumerate(rooms)])
     others = own.withColumn("others", F.filter(every, lambda r: r["room"] >= F.col("size")))
     other = F.get("others", F.pmod(F.xxhash64("grp", F.lit(turn)), F.greatest(F.size("others"), F.lit(1))).cast("int"))["shard"]
-    asks = others.select("grp", "size", F.coalesce("best.shard", other).alias("to")).filter("to IS NOT NULL")
+    mended = ((F.col("size") * F.col("size") - F.col("same")) / 2).cast("long")
+    asks = others.select("grp", "size", mended.alias("mended"), F.coalesce("best.shard", other).alias("to")).filter("to IS NOT NULL")
     asks = asks.withColumns({"level": F.floor(F.log2("size")).cast("int"), "part": F.pmod(F.xxhash64("grp"), F.lit(parts)).cast("int")})
     # The queue of a shard goes by size classes and is counted in parts with prefix sums, so that no task ranks all of it.
     sums = asks.groupBy("to", "level", "part").agg(F.sum("size").alias("asked"))
@@ -63,7 +64,8 @@ def _round(state: DataFrame, rooms: list[int], least: int, parts: int, turn: int
     asks = asks.withColumn("until", F.sum("size").over(queue)).join(sums, ["to", "level", "part"])
     goes = asks.join(F.broadcast(room.withColumnRenamed("shard", "to")), "to").filter(F.col("before") + F.col("until") <= F.col("room"))
     there = state.select("grp", F.col("shard").alias("to"), "n")
-    return goes.select("grp", "size", "to").join(there, ["grp", "to"], "left").select("grp", "size", "to", (F.col("size") - F.coalesce("n", F.lit(0))).alias("moved"))
+    moved = F.col("size") - F.coalesce("n", F.lit(0))
+    return goes.select("grp", "size", "to", "mended").join(there, ["grp", "to"], "left").select("grp", "size", "to", moved.alias("moved"), "mended")
 
 
 def propagate(state: DataFrame, rooms: list[int], total: int) -> tuple[DataFrame, DataFrame, list[Round]]:
@@ -74,7 +76,7 @@ def propagate(state: DataFrame, rooms: list[int], total: int) -> tuple[DataFrame
     least = max(2, max(rooms, default=0) // 4)
     while True:
         found = keep(_round(state, rooms, least, parts, len(rounds)), "shard-moves")
-        per = found.groupBy("to").agg(F.sum("size").alias("n"), F.sum("moved").alias("moved"), F.count(F.lit(1)).alias("groups")).collect()  # a row a shard
+        per = found.groupBy("to").agg(F.sum("size").alias("n"), F.sum("moved").alias("moved"), F.sum("mended").alias("mended"), F.count(F.lit(1)).alias("groups")).collect()  # a row a shard
         if not per and least == 2:
             forget(found)
             break
@@ -87,7 +89,7 @@ def propagate(state: DataFrame, rooms: list[int], total: int) -> tuple[DataFrame
             later = keep(state.join(found.select("grp"), "grp", "left_anti"), "shard-state")
             forget(state)
             state = later
-            rounds.append(Round(sum(r["moved"] for r in per), sum(r["groups"] for r in per), _links_cut(state)))
+            rounds.append(Round(sum(r["moved"] for r in per), sum(r["groups"] for r in per), rounds[-1].cut - sum(r["mended"] for r in per)))
     none = spark.createDataFrame([], "grp string, shard int, n long")
     return (none if settled is None else keep(settled, "shard-settled")), state, rounds
 
