@@ -2,7 +2,7 @@
 
 Cover. A ring's box is cut into cells that halve from level to level. A cell that no part of the ring meets is inner or
 outer as a whole: inner ones are kept as they are, outer ones dropped. A cell that the ring meets is cut on until it holds
-few segments or is as small as asked. The number of cells follows the length of the ring, not its area. Points meet the cells
+few segments and is small beside the ring, or is as small as asked. The number of cells follows the length of the ring, not its area. Points meet the cells
 by level and place: in an inner cell they are inside without a test, in a border cell only its own segments are looked at.
 
 Nearest. Points and pieces of lines lie in the cells of two trees. Starting from cells as wide as all data, pairs of cells
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as G
 from .graph import cut_lineage
 
-#: A cell with so many segments or fewer is cut no further.
+#: A cell with so many segments or fewer is cut no further, once it is a quarter of the ring's box or less.
 FEW = 8
 #: The grid's origin in parts of the finest cell: corners of cells then hardly ever lie on a ring, which parity needs.
 SHIFT = 0.3183098861837907
@@ -34,7 +34,7 @@ def ring_cells(x: np.ndarray, y: np.ndarray, size: float) -> Iterator[tuple[int,
     size * 2**level wide; odd tells whether its lower left corner is inside."""
     seg = np.stack((x[:-1], y[:-1], x[1:], y[1:]), axis=1)
     off = SHIFT * size
-    level = 0
+    level, span = 0, max(np.ptp(x), np.ptp(y))
     while max(np.ptp(np.floor((v - off) / (size * 2.0**level))) for v in (x, y)) > 1:
         level += 1
     wide = size * 2.0**level
@@ -51,7 +51,7 @@ def ring_cells(x: np.ndarray, y: np.ndarray, size: float) -> Iterator[tuple[int,
         order = np.argsort(owner, kind="stable")
         owner, which = owner[order], which[order]
         starts = np.concatenate(([0], np.cumsum(n)))
-        done = (n <= FEW) | (level == 0)
+        done = ((n <= FEW) & (wide <= span / 4)) | (level == 0)
         out = np.flatnonzero(done & ((n > 0) | odd))
         if len(out):
             yield level, cells[out, 0], cells[out, 1], n[out] == 0, odd[out], [seg[which[starts[c] : starts[c + 1]]] for c in out]
