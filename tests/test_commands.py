@@ -78,3 +78,12 @@ def test_query_command(spark, tmp_path):
     assert main(["query", "unit_types", "/root/testdata/sf0.001", "--to", str(tmp_path / "out")]) == 0
     assert spark.read.parquet(str(tmp_path / "out")).count() == 3
     assert main(["query", "none", "/root/testdata/sf0.001"]) == 2
+
+
+def test_files_against_their_manifests(spark, tmp_path):
+    (tmp_path / "data").mkdir()
+    for name, content in (("a.bin", b"abc"), ("b.bin", b"changed"), ("c.bin", b"unknown")):
+        (tmp_path / "data" / name).write_bytes(content)
+    known = [("data/a.bin", hashlib.sha256(b"abc").hexdigest()), ("data/b.bin", hashlib.sha256(b"as it was").hexdigest())]
+    got = files.verify_files(spark, str(tmp_path / "data"), spark.createDataFrame(known, "local_path string, sha256 string"))
+    assert {r.path.rsplit("/", 1)[1]: (r.ok, r.expected is not None) for r in got.collect()} == {"a.bin": (True, True), "b.bin": (False, True), "c.bin": (False, False)}

@@ -101,11 +101,6 @@ def first_of(rows: DataFrame, keys: list[str], order: list[Column | str]) -> Dat
     return rows.groupBy(*keys).agg(F.min_by(F.struct(*[c for c in rows.columns if c not in keys]), place).alias("_row")).select(*keys, "_row.*")
 
 
-def repeated_names(streets: DataFrame, name: Column, place: Column) -> DataFrame:
-    """Names that occur in two places or more."""
-    return streets.groupBy(name.alias("name_norm")).agg(F.count_distinct(place).alias("places"), F.count(F.lit(1)).alias("rows")).filter("places > 1")
-
-
 def exceptions(parts: dict[str, DataFrame], columns: list[str]) -> DataFrame:
     """The rejected sets as one ledger, each row with its reason."""
     out = None

@@ -12,8 +12,8 @@ from ..operators import addresses, bands, chains, graph, outlines, repair, spati
 from ..sources import matrix
 from ..streaming import counters
 from . import scan
-from .catalog import _FOOTPRINT_SQL, _OBJECT_SQL, _POINTS_SQL, _QUERIES, _RINGS_SQL, _STREETS_SQL, _UNITS_SQL, _objects, _parts_sql, _points, _query, _rings, _streets, _sweep_sql, _t, _units
-from .catalog_rules import _DRAWN, _drawn
+from .catalog import _FOOTPRINT_SQL, _OBJECT_SQL, _POINTS_SQL, _QUERIES, _RINGS_SQL, _STREETS_SQL, _UNITS_SQL, _WIDTH, _objects, _parts_sql, _points, _query, _rings, _streets, _sweep_sql, _t, _units
+from .catalog_rules import _COSTS_SQL, _DRAWN, _bins_of, _drawn, _ends_of
 
 # Drawn bands as polygons. Cells of one band that share a side belong to one part; what encloses no cell of the band but lies
 # inside is a hole. The number of parts less that of holes follows from the corners alone.
@@ -272,3 +272,16 @@ def repaired_rings(spark, d):
         ring = ring.when(k == n, F.array(*[at(*p) for p in kinds[n]]))
     found = repair.repaired(_t(spark, d, "supplier").select(F.col("s_suppkey").alias("ring_id"), ring.alias("ring")), "ring_id", 40.0)
     return found.groupBy("ring_id").agg(F.count(F.lit(1)).cast("int").alias("rings"), F.round(F.sum(repair.signed_area(F.col("depth"), F.col("ring"))), 3).alias("area"))
+
+
+# Edges under models of houses of flats, held against those that count each as one unit.
+
+_LEVELS = {"one_unit": "weight", "levels": "weight * greatest(o_custkey % 9, 1)", "levels_capped_5": "weight * least(greatest(o_custkey % 9, 1), 5)"}
+
+
+@_query(f"WITH {_COSTS_SQL}, " + ", ".join(_bins_of("true", w, m) for m, w in _LEVELS.items()) + ", e AS (" + " UNION ALL ".join(f"SELECT '{m}' AS model, band, edge FROM ({_ends_of(3, m)}) x" for m in _LEVELS) + ") SELECT e.model, round(max(abs(e.edge - b.edge)), 2) AS max_abs_shift FROM e JOIN e b ON b.band = e.band AND b.model = 'one_unit' GROUP BY e.model")
+def level_models(spark, d):
+    units = _units(spark, d)
+    models = bands.level_weights(F.col("weight"), (F.col("o_custkey") % 9).cast("int"))
+    edges = bands.model_sweep(units, "cost", models, _WIDTH, [3])
+    return bands.edge_shift(edges, edges.filter("model = 'one_unit'")).withColumn("max_abs_shift", F.round("max_abs_shift", 2))
