@@ -76,3 +76,26 @@ def test_geometry(spark):
     assert tuple(df.select(geometry.line_meets_ring(line, r), geometry.line_meets_ring(far, r)).first()) == (True, False)
     back = geometry.to_degrees(*geometry.to_metres(F.lit(29.5), F.lit(46.9), 29.4, 46.8), 29.4, 46.8)
     assert [round(x, 9) for x in df.select(*back).first()] == [29.5, 46.9]
+
+
+def test_simple_rings():
+    import numpy as np
+
+    from zonemill.functions.geometry import simple_corners
+
+    square = [(0, 0), (4, 0), (4, 4), (0, 4), (0, 0)]
+    sound = [square, [(0, 0), (4, 0), (0, 4), (0, 0)], [(0, 0), (2, 0), (4, 0), (4, 4), (0, 0)]]
+    broken = [square[:4], square[:2] + [(0, 0)], [(0, 0), (4, 4), (4, 0), (0, 4), (0, 0)], [(0, 0), (4, 0), (8, 0), (0, 0)], [*square[:2], (4, 9), (4, 4), *square[3:]], [*square[:2], (4, 0), *square[2:]], [(0, 0), (4, 0), (4, 4), (2, 0), (0, 4), (0, 0)], square[:-1] + square]
+    for rings, want in ((sound, True), (broken, False)):
+        for r in rings:
+            x, y = np.array(r, float).T
+            assert simple_corners(x, y) == want, r
+
+
+def test_building_rings(spark):
+    from zonemill.sources import osm
+
+    at = lambda *p: [{"lon": float(x), "lat": float(y)} for x, y in p]
+    rows = [(1, {"building": "yes"}, at((0, 0), (1, 0), (1, 1), (0, 0))), (2, {"building": "yes"}, at((0, 0), (1, 0), (1, 1))), (3, {"highway": "track"}, at((0, 0), (1, 0), (1, 1), (0, 0))), (4, {"building": "yes"}, None), (5, {"building": "yes"}, at((0, 0), (2, 2), (2, 0), (0, 2), (0, 0)))]
+    ways = spark.createDataFrame(rows, "id long, tags map<string,string>, coords array<struct<lon:double,lat:double>>")
+    assert [(r.id, len(r.ring)) for r in osm.building_rings(ways).collect()] == [(1, 4)]

@@ -10,6 +10,7 @@ from zonemill.errors import ConfigError
 from zonemill.functions import geometry
 from zonemill.operators import graph
 from zonemill.plans import report
+from zonemill.sources import files
 
 
 def test_settings(tmp_path):
@@ -69,3 +70,18 @@ def test_global_rank(spark):
     got = {r["k"]: r["nth"] for r in graph.global_rank(frame, [F.col("n").desc(), F.col("k")], "nth").collect()}
     assert got == {k: i for i, (k, _) in enumerate(sorted(rows, key=lambda r: (-r[1], r[0])), 1)}
     assert graph.global_rank(frame.filter("k < 0"), ["n", "k"], "nth").count() == 0
+
+
+def test_forms_of_disputed_addresses(spark, tmp_path):
+    from zonemill.operators import addresses
+
+    rows = [("k2", "u3", 1.0, 2.0, "B", None), ("k1", "u2", 3.0, 4.0, "A", "x"), ("k1", "u1", 5.0, 6.0, "A", "x")]
+    ledger = addresses.disputed_ledger(spark.createDataFrame(rows, "canonical_key string, uid string, lon double, lat double, settlement string, street string"), "canonical_key", "uid")
+    shown = report.disputed_features(ledger, "canonical_key", ["settlement"])["features"]
+    assert [f["properties"]["uid"] for f in shown] == ["u1", "u2", "u3"] and shown[0]["geometry"]["coordinates"] == [5.0, 6.0]
+    assert {f["properties"]["resolution"] for f in shown} == {"owner_review_required"}
+    told = report.disputed_summary(ledger, "canonical_key", ["settlement", "street"])
+    assert told["count"] == 2 and told["by_settlement"] == {"A": 1, "B": 1} and told["by_street"] == {"unknown": 1, "x": 1}
+    assert [(a["canonical_key"], [c["uid"] for c in a["candidates"]]) for a in told["addresses"]] == [("k1", ["u1", "u2"]), ("k2", ["u3"])]
+    files.write_csv(ledger, f"file://{tmp_path}/csv", ["canonical_key", "candidate", "uid"], ["canonical_key", "uid"])
+    assert spark.read.csv(f"file://{tmp_path}/csv", header=True).count() == 3

@@ -154,6 +154,40 @@ def segments_meet(a: Column, b: Column) -> Column:
     return crossing | on(a, b["x1"], b["y1"]) | on(a, b["x2"], b["y2"]) | on(b, a["x1"], a["y1"]) | on(b, a["x2"], a["y2"])
 
 
+def simple_corners(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether a closed ring of four points or more bounds an area and meets itself nowhere but at its ends."""
+    n = len(x) - 1
+    if n < 3 or x[0] != x[-1] or y[0] != y[-1]:
+        return False
+    dx, dy = np.diff(x), np.diff(y)
+    if ((dx == 0) & (dy == 0)).any() or (x[:-1] * y[1:] - x[1:] * y[:-1]).sum() == 0:
+        return False
+    # A step back over the last segment is a spike, though neighbours may share their corner.
+    bx, by = np.roll(dx, -1), np.roll(dy, -1)
+    if ((dx * by - dy * bx == 0) & (dx * bx + dy * by < 0)).any():
+        return False
+    for i in range(n - 2):  # against all later segments but the neighbours
+        j = np.arange(i + 2, n - (i == 0))
+        side = lambda k, px, py: np.sign(dx[k] * (py - y[k]) - dy[k] * (px - x[k]))
+        inside = lambda k, px, py: (np.minimum(x[k], x[k + 1]) <= px) & (px <= np.maximum(x[k], x[k + 1])) & (np.minimum(y[k], y[k + 1]) <= py) & (py <= np.maximum(y[k], y[k + 1]))
+        a, b, c, d = side(i, x[j], y[j]), side(i, x[j + 1], y[j + 1]), side(j, x[i], y[i]), side(j, x[i + 1], y[i + 1])
+        touch = ((a == 0) & inside(i, x[j], y[j])) | ((b == 0) & inside(i, x[j + 1], y[j + 1])) | ((c == 0) & inside(j, x[i], y[i])) | ((d == 0) & inside(j, x[i + 1], y[i + 1]))
+        if ((a * b < 0) & (c * d < 0) | touch).any():
+            return False
+    return True
+
+
+def is_simple(ring: Column) -> Column:
+    """simple_corners() of a ring, in Arrow batches; null is not simple. All segments are held against each other: for outlines
+    of buildings, not of countries."""
+
+    @F.pandas_udf("boolean")
+    def simple(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([a is not None and simple_corners(np.asarray(a, float), np.asarray(b, float)) for a, b in zip(x, y, strict=True)])
+
+    return simple(F.transform(ring, lambda p: p["x"].cast("double")), F.transform(ring, lambda p: p["y"].cast("double")))
+
+
 def line_meets_ring(line: Column, ring: Column) -> Column:
     """Whether a line crosses, touches or lies in a closed ring."""
     inside = covers(ring, F.element_at(line, 1)["x"], F.element_at(line, 1)["y"])

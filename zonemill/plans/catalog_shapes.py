@@ -8,10 +8,11 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import geometry
 from ..operators import addresses, bands, chains, graph, outlines, repair, spatial
 from ..sources import matrix
 from ..streaming import counters
-from . import scan
+from . import scan, village
 from .catalog import _FOOTPRINT_SQL, _OBJECT_SQL, _POINTS_SQL, _QUERIES, _RINGS_SQL, _STREETS_SQL, _UNITS_SQL, _WIDTH, _objects, _parts_sql, _points, _query, _rings, _streets, _sweep_sql, _t, _units
 from .catalog_rules import _COSTS_SQL, _DRAWN, _bins_of, _drawn, _ends_of
 
@@ -285,3 +286,29 @@ def level_models(spark, d):
     models = bands.level_weights(F.col("weight"), (F.col("o_custkey") % 9).cast("int"))
     edges = bands.model_sweep(units, "cost", models, _WIDTH, [3])
     return bands.edge_shift(edges, edges.filter("model = 'one_unit'")).withColumn("max_abs_shift", F.round("max_abs_shift", 2))
+
+
+# What must be known of places that an area of others may enclose; and which outlines are sound.
+
+
+@_query(f"""
+WITH p AS ({_POINTS_SQL}), r AS ({_RINGS_SQL}), i AS (SELECT DISTINCT id FROM p JOIN r ON abs(x - cx) + abs(y - cy) <= h)
+SELECT p.id, i.id IS NOT NULL AS enclosed, p.id % 3 = 0 AS reached, CASE WHEN p.id % 3 = 0 THEN round(p.id * 7 / 1000, 3) END AS road_km, sqrt((x - 10) ** 2 + (y + 20) ** 2) > 150 AS apart FROM p LEFT JOIN i ON i.id = p.id""")
+def enclave_flags(spark, d):
+    p = _points(spark, d).select("id", "x", "y")
+    roads = p.filter("id % 3 = 0").select("id", (F.col("id") * 7).cast("double").alias("dist_m"))
+    return village.enclave_flags(p, _rings(spark, d), roads, (10.0, -20.0), 50, 150.0)
+
+
+@_query("SELECT s_suppkey AS ring_id, s_suppkey % 5 IN (0, 4) AS simple FROM supplier")
+def simple_rings(spark, d):
+    """Diamonds, and the same with a crossing, a spike or an open end; and a triangle."""
+    cx, cy, h = F.col("s_acctbal"), F.col("s_suppkey").cast("double"), (F.col("s_nationkey") + 1).cast("double")
+    at = lambda i, j: F.struct((cx + h * i).alias("x"), (cy + h * j).alias("y"))
+    diamond = [(-1, 0), (0, 1), (1, 0), (0, -1), (-1, 0)]
+    kinds = [diamond, [(-1, -1), (1, 1), (1, -1), (-1, 1), (-1, -1)], [*diamond[:2], (0, 4), (0, 1), *diamond[2:]], diamond[:4], [(0, 0), (1, 0), (0, 1), (0, 0)]]
+    k = F.col("s_suppkey") % 5
+    ring = F.when(k == 0, F.array(*[at(*p) for p in kinds[0]]))
+    for n in range(1, 5):
+        ring = ring.when(k == n, F.array(*[at(*p) for p in kinds[n]]))
+    return _t(spark, d, "supplier").select(F.col("s_suppkey").alias("ring_id"), geometry.is_simple(ring).alias("simple"))

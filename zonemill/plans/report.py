@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import ConfigError
+from ..operators import audit
 from ..sources.files import load_config, round_coordinates
 
 
@@ -83,6 +84,23 @@ def unit_features(units: DataFrame, fields: list[str]) -> dict:
     return {"type": "FeatureCollection", "features": features}
 
 
+def disputed_features(ledger: DataFrame, key: str, fields: list[str]) -> dict:
+    """The candidates of disputed addresses (operators.addresses.disputed_ledger) as points, by key and uid; none is chosen."""
+    rows = ledger.select(key, "uid", "lon", "lat", F.struct(key, "uid", *fields).alias("fields")).orderBy(key, "uid")
+    own = {"status": "disputed", "resolution": "owner_review_required"}  # fixed values: what a reader looks for
+    features = [{"type": "Feature", "properties": own | r["fields"].asDict(), "geometry": {"type": "Point", "coordinates": [r["lon"], r["lat"]]}} for r in rows.toLocalIterator()]
+    return {"type": "FeatureCollection", "features": features}
+
+
+def disputed_summary(ledger: DataFrame, key: str, by: list[str]) -> dict:
+    """How many addresses are disputed, by each column (missing ones apart), and the candidates of each."""
+    each = ledger.select(key, *by).distinct()
+    counts = {f"by_{c}": {r[c]: r["n"] for r in audit.count_by(each, c).collect()} for c in by}
+    rest = [c for c in ledger.columns if c not in (key, *by)]
+    listed = ledger.groupBy(key, *by).agg(F.sort_array(F.collect_list(F.struct("candidate", *[c for c in rest if c != "candidate"]))).alias("candidates")).orderBy(key)
+    return {"count": each.select(key).distinct().count()} | counts | {"addresses": [r.asDict(recursive=True) for r in listed.toLocalIterator()]}
+
+
 def coverage_summary(coverage: DataFrame) -> dict:
     """Districts (see village.district_coverage; a stated, short list) by id, with how many are connected."""
     rows = [r.asDict() for r in coverage.orderBy("id").collect()]

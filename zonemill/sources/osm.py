@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import SpatialAuditUnavailable
+from ..functions.geometry import is_simple
 from ..operators.graph import cut_lineage
 from ..operators.outlines import require_areas
 from ..operators.spatial import containing
@@ -52,6 +53,13 @@ def with_locations(ways: DataFrame, nodes: DataFrame, whole: bool = False) -> Da
     return ways.join(lines.drop("_n", "_ok"), "id", "inner" if whole else "left")
 
 
+def building_rings(ways: DataFrame) -> DataFrame:
+    """Ways (id, tags, coords; see with_locations with ``whole``) that are buildings with an area: closed, of four points or more, meeting
+    themselves nowhere; with column ring. Others are dropped, as no outline can be made of them."""
+    ring = F.transform("coords", lambda p: F.struct(p["lon"].cast("double").alias("x"), p["lat"].cast("double").alias("y")))
+    return ways.filter(F.col("tags")["building"].isNotNull()).withColumn("ring", ring).filter(is_simple(F.col("ring")))
+
+
 def member_lines(relations: DataFrame, ways: DataFrame) -> DataFrame:
     """Members of kind way with their coords, in order; coords null where the way is missing or has under two nodes."""
     m = relations.select(F.col("id").alias("relation_id"), F.posexplode("members").alias("pos", "m")).filter("m.type IN ('way', 'w')")
