@@ -154,6 +154,13 @@ def segments_meet(a: Column, b: Column) -> Column:
     return crossing | on(a, b["x1"], b["y1"]) | on(a, b["x2"], b["y2"]) | on(b, a["x1"], a["y1"]) | on(b, a["x2"], a["y2"])
 
 
+def segments_apart(a: Column, b: Column) -> Column:
+    """Distance of two segments (structs of x1, y1, x2, y2); 0 where they meet."""
+    ends = lambda s: [(s["x1"], s["y1"]), (s["x2"], s["y2"])]
+    away = [to_segment(x, y, s["x1"], s["y1"], s["x2"], s["y2"]) for o, s in ((a, b), (b, a)) for x, y in ends(o)]
+    return F.when(segments_meet(a, b), 0.0).otherwise(F.least(*away))
+
+
 def simple_corners(x: np.ndarray, y: np.ndarray) -> bool:
     """Whether a closed ring of four points or more bounds an area and meets itself nowhere but at its ends."""
     n = len(x) - 1

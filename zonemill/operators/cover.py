@@ -104,17 +104,30 @@ def ring_cover(rings: DataFrame, ring_key: str, size: float) -> DataFrame:
     shown = rings.filter(F.size("ring") >= 4).select(ring_key, F.transform("ring", lambda p: p["x"].cast("double")).alias("xs"), F.transform("ring", lambda p: p["y"].cast("double")).alias("ys"))
     kind = rings.schema[ring_key].dataType
 
+    def packed(held: list, of: pa.DataType) -> pa.RecordBatch:
+        keys, parts = [k for k, _ in held], [p for _, p in held]
+        segs = [s for p in parts for s in p[5]]
+        values = pa.StructArray.from_arrays([pa.array(v) for v in np.concatenate(segs).reshape(-1, 4).T.copy()], ["x1", "y1", "x2", "y2"])
+        offsets = np.concatenate(([0], np.cumsum([len(s) for s in segs]))).astype(np.int32)
+        n = [len(p[1]) for p in parts]
+        level = np.repeat(np.array([p[0] for p in parts], np.int32), n)
+        cols = [pa.array([k for k, m in zip(keys, n, strict=True) for _ in range(m)], of), pa.array(level), *(pa.array(np.concatenate([p[i] for p in parts])) for i in (1, 2, 3, 4))]
+        return pa.RecordBatch.from_arrays([*cols, pa.ListArray.from_arrays(pa.array(offsets), values)], ["ring_key", "level", "cx", "cy", "inner", "odd", "segs"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            xs, ys = batch.column(1), batch.column(2)
+            xs, ys, of = batch.column(1), batch.column(2), batch.schema.field(0).type
+            held, size_held = [], 0
             for i in range(batch.num_rows):
                 x, y = (np.asarray(c[i].values.to_numpy(zero_copy_only=False), float) for c in (xs, ys))
-                for level, cx, cy, inner, odd, segs in ring_cells(x, y, size):
-                    flat = np.concatenate(segs).reshape(-1, 4)
-                    offsets = np.concatenate(([0], np.cumsum([len(s) for s in segs]))).astype(np.int32)
-                    values = pa.StructArray.from_arrays([pa.array(v) for v in flat.T.copy()], ["x1", "y1", "x2", "y2"])
-                    cols = [pa.array([batch.column(0)[i].as_py()] * len(cx), batch.schema.field(0).type), pa.array(np.full(len(cx), level, np.int32)), pa.array(cx), pa.array(cy), pa.array(inner), pa.array(odd), pa.ListArray.from_arrays(pa.array(offsets), values)]
-                    yield pa.RecordBatch.from_arrays(cols, ["ring_key", "level", "cx", "cy", "inner", "odd", "segs"])
+                for part in ring_cells(x, y, size):
+                    held.append((batch.column(0)[i].as_py(), part))
+                    size_held += len(part[1])
+                if size_held >= 20_000:
+                    yield packed(held, of)
+                    held, size_held = [], 0
+            if held:
+                yield packed(held, of)
 
     schema = f"ring_key {kind.simpleString()}, level int, cx long, cy long, inner boolean, odd boolean, segs array<struct<x1:double,y1:double,x2:double,y2:double>>"
     return shown.mapInArrow(run, schema).withColumnRenamed("ring_key", ring_key)

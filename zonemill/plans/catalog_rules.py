@@ -232,14 +232,14 @@ def street_evidence(spark, d):
     return streets.street_evidence(_streets(spark, d).select(F.col("street_id").alias("street"), "line"), _marks(spark, d))
 
 
-# Squares around customers with a small balance as the core.
-_CORE_SQL = "SELECT c_custkey AS ring_id, c_acctbal / 12 - 400 AS cx, CAST(c_custkey * 17 % 600 - 300 AS DOUBLE) AS cy, 15.0::DOUBLE AS h FROM customer WHERE c_nationkey = 3"
+# Small squares, one for every customer, as the core.
+_CORE_SQL = "SELECT c_custkey AS ring_id, c_acctbal / 12 - 400 AS cx, CAST(c_custkey * 17 % 600 - 300 AS DOUBLE) AS cy, 3.0::DOUBLE AS h FROM customer"
 
 
 def _core(spark: SparkSession, d: str) -> DataFrame:
-    x, y, h = F.col("c_acctbal") / 12 - 400, (F.col("c_custkey") * 17 % 600 - 300).cast("double"), F.lit(15.0)
+    x, y, h = F.col("c_acctbal") / 12 - 400, (F.col("c_custkey") * 17 % 600 - 300).cast("double"), F.lit(3.0)
     corners = [(x - h, y - h), (x + h, y - h), (x + h, y + h), (x - h, y + h), (x - h, y - h)]
-    return _t(spark, d, "customer").filter("c_nationkey = 3").select(F.col("c_custkey").alias("ring_id"), F.array(*[F.struct(a.alias("x"), b.alias("y")) for a, b in corners]).alias("ring"))
+    return _t(spark, d, "customer").select(F.col("c_custkey").alias("ring_id"), F.array(*[F.struct(a.alias("x"), b.alias("y")) for a, b in corners]).alias("ring"))
 
 
 _AWAY = "sqrt(greatest(0, sx - (cx + h), (cx - h) - (sx + 60)) ** 2 + greatest(0, abs(sy - cy) - h) ** 2)"
@@ -252,7 +252,7 @@ def connected_to_core(spark, d):
 
 @_query(f"WITH s AS ({_STREETS_SQL}), c AS ({_CORE_SQL}) SELECT street_id, c.ring_id FROM s JOIN c ON {_AWAY} = 0")
 def lines_through_areas(spark, d):
-    return streets.touching_areas(_streets(spark, d), _core(spark, d), "street_id", "ring_id", 0.0, 40.0)
+    return streets.touching_areas(_streets(spark, d), _core(spark, d), "street_id", "ring_id", 0.0, 20.0)
 
 
 @_query(f"WITH s AS ({_STREETS_SQL}), r AS ({_RINGS_SQL}) SELECT street_id, ring_id FROM s JOIN r ON abs(sx + 30 - cx) + abs(sy - cy) <= h")
