@@ -6,6 +6,7 @@ from pathlib import Path
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from zonemill.errors import SpatialAuditUnavailable
 from zonemill.operators import chains, cover, graph, outlines, spatial
@@ -245,3 +246,39 @@ def test_pairs_on_edges_and_points_without_places(spark):
     assert all((n, n) in got for n in range(200)) and max(g[0] for g in got) < 200
     settled = {(g.id, g.r) for g in spatial.containing(at, rings, "id", "r", 50.0, settle="abs(x - cx) + abs(y - cy) <= h").collect()}
     assert settled == {(p, r) for p, x, y in points[:200] for r, _, cx, cy, h in rows if abs(x - cx) + abs(y - cy) <= h}
+
+
+def test_full_cells_get_finer_and_counts_keep_nothing_twice(spark):
+    """Many lines in one of the cells asked for make finer cells; nearest partners and counts are those of plain code."""
+    rng = random.Random(7)
+    lines = [(n, [(x := rng.uniform(0, 50), y := rng.uniform(0, 50)), (x + 3, y + 1), *([(x + 5, y)] if n % 3 == 0 else [])]) for n in range(400)]
+    points = [(n, rng.uniform(-20, 70), rng.uniform(-20, 70)) for n in range(300)]
+    streets, at = spark.createDataFrame(lines, f"s long, line {LINE}"), spark.createDataFrame([*points, (999, float("nan"), 1.0)], "id long, x double, y double")
+    segs = spark.createDataFrame([(*a, *b) for _, line in lines for a, b in itertools.pairwise(line)], "x1 double, y1 double, x2 double, y2 double")
+    assert cover._fine(segs, 100.0) < 10
+
+    def away(x, y, line):
+        out = []
+        for (x1, y1), (x2, y2) in itertools.pairwise(line):
+            t = max(0.0, min(1.0, ((x - x1) * (x2 - x1) + (y - y1) * (y2 - y1)) / ((x2 - x1) ** 2 + (y2 - y1) ** 2)))
+            out.append(((x - x1 - t * (x2 - x1)) ** 2 + (y - y1 - t * (y2 - y1)) ** 2) ** 0.5)
+        return min(out)
+
+    got = {r.id: r.s for r in spatial.nearest_line(at, streets, "id", "s", 9.0).collect()}
+    want = {i: min((away(x, y, line), s) for s, line in lines) for i, x, y in points}
+    assert got == {i: s if d <= 9 else None for i, (d, s) in want.items()} | {999: None}
+    counts = spatial.corridor_counts(streets, at, "s", "id", {"n": F.lit(True), "even": F.col("id") % 2 == 0}, 6.0)
+    near = {s: [i for i, x, y in points if away(x, y, line) <= 6] for s, line in lines}
+    assert {(r.s, r.n, r.even) for r in counts.collect()} == {(s, len(v), sum(i % 2 == 0 for i in v)) for s, v in near.items()}
+
+
+def test_small_rings_are_covered_without_python(spark):
+    """Rings of few corners in few cells are cut by expressions, larger ones by a function; both hold the same points."""
+    rng = random.Random(3)
+    rows = [(n, [(x, y), (x + w, y), (x + w, y + w), (x, y + w), (x, y)]) for n in range(300) for x, y, w in [(rng.uniform(-60, 60), rng.uniform(-60, 60), rng.choice((2.0, 6.0, 40.0)))]]
+    points = [(n, rng.uniform(-70, 110), rng.uniform(-70, 110)) for n in range(500)]
+    rings, at = spark.createDataFrame(rows, f"r long, ring {LINE}"), spark.createDataFrame(points, "id long, x double, y double")
+    made = cover.ring_cover(rings.filter(F.col("ring")[1]["x"] - F.col("ring")[0]["x"] < 10), "r", 20.0)
+    assert made.filter("size(segs) = 4").select("r").distinct().count() == made.select("r").distinct().count()  # all four, uncut
+    got = {(g.id, g.r) for g in spatial.containing(at, rings, "id", "r", 20.0).collect()}
+    assert got == {(i, r) for i, x, y in points for r, ring in rows if ring[0][0] <= x <= ring[2][0] and ring[0][1] <= y <= ring[2][1]}
