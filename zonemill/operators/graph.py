@@ -202,9 +202,16 @@ def snapped_edges(lines: DataFrame, line: str = "line", snap: float = 1.0) -> Da
 
 
 def cell_block(node: Column, wide: int = 64) -> Column:
-    """Block of a node that snapped_edges() named: a square of ``wide`` cells a side."""
-    x, y = F.shiftright(node, 31), node.bitwiseAND(F.lit(2**31 - 1))
-    return F.shiftleft((x / wide).cast("long"), 31).bitwiseOR((y / wide).cast("long"))
+    """Block of a node that snapped_edges() named: a square of ``wide`` cells a side. The bits of both places alternate in its name, so
+    blocks whose names follow each other lie near each other."""
+
+    def apart(v: Column) -> Column:
+        v = (v / wide).cast("long")
+        for by, mask in ((16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F), (2, 0x3333333333333333), (1, 0x5555555555555555)):
+            v = v.bitwiseOR(F.shiftleft(v, by)).bitwiseAND(F.lit(mask))
+        return v
+
+    return F.shiftleft(apart(F.shiftright(node, 31)), 1).bitwiseOR(apart(node.bitwiseAND(F.lit(2**31 - 1))))
 
 
 def range_block(node: Column, wide: int = 4096) -> Column:
@@ -246,18 +253,42 @@ def _within_block(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(found, columns=["block", "node", "dist", "own"])
 
 
+#: Blocks that follow each other by name are settled together up to about this many arcs.
+GATHER = 1 << 18
+
+
+def _gathered(arcs: DataFrame) -> DataFrame:
+    """(block, home): blocks that follow each other share a home of about GATHER arcs; a larger block has its own. Arcs are summed up in
+    ranges of blocks, one after the other, so no task sees all blocks."""
+    counts = arcs.groupBy("block").agg(F.count(F.lit(1)).alias("n"))
+    dealt = cut_lineage(counts.repartitionByRange("block").withColumn("_part", F.spark_partition_id()))
+    before = Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = dealt.groupBy("_part").agg(F.sum("n").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))  # a row a task
+    here = F.sum("n").over(Window.partitionBy("_part").orderBy("block")) - F.col("n")
+    return dealt.withColumn("_here", here).join(F.broadcast(starts), "_part").select("block", F.floor((F.col("_start") + F.col("_here")) / GATHER).cast("long").alias("home"))
+
+
 def shortest_paths(edges: DataFrame, sources: DataFrame, limit: float = float("inf"), block: Callable[[Column], Column] = range_block, rounds: int = 10_000) -> DataFrame:
     """(node, dist): the least sum of weights (none negative) from any source over undirected edges(a, b, w), for every node
     reached within less than ``limit``.
 
     Nodes lie in blocks, so chosen that few edges leave one and that one task holds a block's edges. A round settles whole
     blocks: those that heard of a shorter way run Dijkstra inside, and only what they offer to nodes of other blocks is
-    exchanged. Rounds append what changed and rewrite nothing, and there are as many as blocks on the way, not edges."""
+    exchanged. Small blocks that follow each other are settled as one, as a round costs the start of several jobs. Rounds append
+    what changed and rewrite nothing, and there are as many as such groups of blocks on the way, not edges."""
     both = edges.select("a", "b", "w").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "w"))
     arcs = cut_lineage(both.select(block(F.col("a")).alias("block"), F.lit(0).alias("kind"), F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"), F.col("w").cast("double").alias("w"), block(F.col("b")).alias("to")))
-    front = cut_lineage(sources.select(F.col("node").cast("long").alias("node"), block(F.col("node")).alias("block"), F.lit(0.0).alias("dist")).distinct())
+    homes = cut_lineage(_gathered(arcs))
+    named = arcs.join(homes, "block").join(homes.toDF("to", "_to"), "to")
+    named = cut_lineage(named.select(F.col("home").alias("block"), "kind", "a", "b", "w", F.col("_to").alias("to")))
+    drop_table(arcs)
+    arcs = named
+    # Sources without edges are dealt to homes of their own, below those of blocks.
+    lone = -1 - F.pmod(F.xxhash64("node"), F.lit(1024))
+    first = sources.select(F.col("node").cast("long").alias("node"), block(F.col("node")).alias("block")).distinct()
+    front = cut_lineage(first.join(homes, "block", "left").select("node", F.coalesce("home", lone).alias("block"), F.lit(0.0).alias("dist")))
     known: DataFrame | None = None
-    tables = [arcs]
+    tables = [arcs, homes]
     shown = lambda df, kind: df.select("block", F.lit(kind).alias("kind"), F.col("node").alias("a"), F.col("node").alias("b"), F.col("dist").alias("w"), F.col("block").alias("to"))
     for _ in range(rounds):
         active = front.select("block").distinct()
