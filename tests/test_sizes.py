@@ -29,6 +29,15 @@ def met(monkeypatch):
     return seen
 
 
+def test_corners_meet_rings_of_their_own_key_alone(spark, met):
+    rings = diamonds(spark, [(0, 0, 40 + i % 7) for i in range(120)]).select((F.col("ring_id") / 2).cast("long").alias("relation_id"), F.col("ring_id").alias("chain"), "ring")
+    rings = rings.withColumn("relation_id", F.when(F.col("relation_id") > 0, F.col("relation_id")))
+    got = {r.chain: r.depth for r in outlines.nested(rings, size=10.0).collect()}
+    size = lambda i: 40 + i % 7
+    assert got == {i: int(size(i) < size(i ^ 1)) for i in range(120)}
+    assert sum(n for _, n in met) <= 120 * 5 * 2
+
+
 def test_small_blocks_are_settled_together(spark, monkeypatch):
     runs = []
     inner = graph.cut_lineage

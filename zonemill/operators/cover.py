@@ -107,11 +107,16 @@ def _meets(s: np.ndarray, corner: np.ndarray, wide: float) -> np.ndarray:
     return near & (np.abs(dx * (cy - y1) - dy * (cx - x1)) <= half * (np.abs(dx) + np.abs(dy)) * (1 + 1e-9))
 
 
-def ring_cover(rings: DataFrame, ring_key: str, size: float) -> DataFrame:
+def ring_cover(rings: DataFrame, ring_key: str, size: float, coarse: bool = False) -> DataFrame:
     """(ring_key, level, cx, cy, inner, odd, segs) of closed rings (array of points ``ring``); rings of fewer than four points
-    have no cells."""
+    have no cells. coarse: rings with few corners are not cut into cells narrower than they are."""
     shown = rings.filter(F.size("ring") >= 4).select(ring_key, F.transform("ring", lambda p: p["x"].cast("double")).alias("xs"), F.transform("ring", lambda p: p["y"].cast("double")).alias("ys"))
-    bounds = {f"{c}{n}": _place(f(f"{c}s"), F.lit(0), size) for c in ("x", "y") for n, f in ((0, F.array_min), (1, F.array_max))}
+    level = F.lit(0)
+    if coarse:
+        span = F.greatest(*[F.array_max(f"{c}s") - F.array_min(f"{c}s") for c in ("x", "y")])
+        level = F.when((span > size) & (F.size("xs") <= FEW + 1), F.ceil(F.log2(span / size)).cast("int")).otherwise(level)
+    shown = shown.withColumn("level", level)
+    bounds = {f"{c}{n}": _place(f(f"{c}s"), F.col("level"), size) for c in ("x", "y") for n, f in ((0, F.array_min), (1, F.array_max))}
     shown = shown.withColumns(bounds)
     small = F.coalesce((F.size("xs") <= FEW + 1) & (F.col("x1") - F.col("x0") <= 1) & (F.col("y1") - F.col("y0") <= 1), F.lit(False))
     few, shown = _small_cover(shown.filter(small), ring_key, size), shown.filter(~small).select(ring_key, "xs", "ys")
@@ -147,13 +152,14 @@ def ring_cover(rings: DataFrame, ring_key: str, size: float) -> DataFrame:
 
 
 def _small_cover(shown: DataFrame, ring_key: str, size: float) -> DataFrame:
-    """ring_cover() of rings with few corners that lie in two cells of the finest level each way at most: each cell of the box with
+    """ring_cover() of rings with few corners that lie in two cells of their level each way at most: each cell of the box with
     all segments, as looking for those that it meets would cost more than testing them."""
     n = F.size("xs") - 1
     spot = lambda i, k: F.get(F.col(f"{i}s"), k)
     segs = F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.named_struct(F.lit("x1"), spot("x", k), F.lit("y1"), spot("y", k), F.lit("x2"), spot("x", k + 1), F.lit("y2"), spot("y", k + 1)))
-    at = shown.select(ring_key, segs.alias("segs"), F.explode(F.sequence("x0", "x1")).alias("cx"), "y0", "y1").select(ring_key, "segs", "cx", F.explode(F.sequence("y0", "y1")).alias("cy"))
-    left, low = F.col("cx") * F.lit(float(size)) + SHIFT * size, F.col("cy") * F.lit(float(size)) + SHIFT * size
+    at = shown.select(ring_key, "level", segs.alias("segs"), F.explode(F.sequence("x0", "x1")).alias("cx"), "y0", "y1").select(ring_key, "level", "segs", "cx", F.explode(F.sequence("y0", "y1")).alias("cy"))
+    wide = F.lit(float(size)) * F.pow(F.lit(2.0), F.col("level"))
+    left, low = F.col("cx") * wide + SHIFT * size, F.col("cy") * wide + SHIFT * size
 
     def west(s: Column) -> Column:
         """Whether a segment crosses the cell's lower side's height west of its corner."""
@@ -161,7 +167,7 @@ def _small_cover(shown: DataFrame, ring_key: str, size: float) -> DataFrame:
         return F.when((s["y1"] > low) != (s["y2"] > low), (cross <= left).cast("int")).otherwise(0)
 
     odd = F.aggregate("segs", F.lit(0), lambda a, s: a + west(s)) % 2 == 1
-    return at.select(ring_key, F.lit(0).alias("level"), "cx", "cy", F.lit(False).alias("inner"), odd.alias("odd"), "segs")
+    return at.select(ring_key, "level", "cx", "cy", F.lit(False).alias("inner"), odd.alias("odd"), "segs")
 
 
 def _place(v: Column, level: Column, size: float) -> Column:
@@ -169,21 +175,26 @@ def _place(v: Column, level: Column, size: float) -> Column:
     return F.floor((v - SHIFT * size) / wide).cast("long")
 
 
-def covering(points: DataFrame, rings: DataFrame, key: str, ring_key: str, size: float) -> DataFrame:
+def covering(points: DataFrame, rings: DataFrame, key: str, ring_key: str, size: float, by: str | None = None) -> DataFrame:
     """(key, ring_key, on_edge): the areas that cover points x, y. A ring_key may have many rings: their insides count even-odd, and
     their edges belong to the area, and so does what lies off them by rounding alone. Points without finite places are in none.
-    size: how small a border cell gets at most."""
-    cover = cut_lineage(ring_cover(spread(rings.select(ring_key, "ring")), ring_key, size))
+    size: how small a border cell gets at most. by: a column of both sides, one value for each ring_key; points meet only areas
+    with their own value, which no null equals."""
+    cover = ring_cover(spread(rings.select(ring_key, "ring")), ring_key, size, coarse=by is not None)
+    own_by = [] if by is None else [by]
+    if by is not None:
+        cover = cover.join(rings.select(ring_key, by).distinct(), ring_key)
+    cover = cut_lineage(cover)
     levels = [r[0] for r in cover.select("level").distinct().collect()]  # at most as many as a number has bits
     if not levels:
         return points.select(key).crossJoin(rings.select(ring_key).limit(0)).withColumn("on_edge", F.lit(False))
     level = F.explode(F.array(*[F.lit(n) for n in sorted(levels)]))
     finite = (F.abs("x") < float("inf")) & (F.abs("y") < float("inf"))  # Spark holds NaN to be the largest
-    at = points.filter(finite).select(key, "x", "y", level.alias("level"))
+    at = points.filter(finite).select(key, "x", "y", *own_by, level.alias("level"))
     at = at.withColumns({"cx": _place(F.col("x"), F.col("level"), size), "cy": _place(F.col("y"), F.col("level"), size)})
     # Dealt by a stated number of parts: by their bytes alone a few tasks would get all cells, as small tables make many pairs.
     # The points of a full cell are split, each share with a copy of the cell; cells without points go.
-    cell = ["level", "cx", "cy"]
+    cell = ["level", "cx", "cy", *own_by]
     at = cut_lineage(at)
     shares = at.groupBy(*cell).agg(F.ceil(F.count(F.lit(1)) / SHARE).cast("long").alias("_n"))
     some = spread(at.join(shares, cell).withColumn("_s", F.pmod(F.xxhash64(key), F.col("_n"))).drop("_n"), *cell, "_s")
