@@ -38,6 +38,18 @@ def test_corners_meet_rings_of_their_own_key_alone(spark, met):
     assert sum(n for _, n in met) <= 120 * 5 * 2
 
 
+def test_points_in_many_areas_meet_a_few_of_them(spark, met, monkeypatch):
+    rng = random.Random(3)
+    spots = [(rng.uniform(-20, 20), rng.uniform(-20, 20), 60) for _ in range(300)] + [(200, 0, 5)]
+    places = [(i, rng.uniform(-110, 110), rng.uniform(-110, 110)) for i in range(200)] + [(900, 200.0, 5.0), (901, 200.0, 5.1), (902, float("nan"), 0.0)]
+    points = spark.createDataFrame(places, "id long, x double, y double")
+    monkeypatch.setattr(cover, "FIRST", 8, raising=False)
+    monkeypatch.setattr(cover, "GROWS", 1000, raising=False)
+    got = {r.id for r in spatial.inside(points, diamonds(spark, spots), "id", "ring_id", 20).collect()}
+    assert got == {i for i, x, y in places if any(abs(x - a) + abs(y - b) <= h for a, b, h in spots)}
+    assert sum(n for _, n in met) <= 200 * 60
+
+
 def test_small_blocks_are_settled_together(spark, monkeypatch):
     runs = []
     inner = graph.cut_lineage

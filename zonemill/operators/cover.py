@@ -175,12 +175,12 @@ def _place(v: Column, level: Column, size: float) -> Column:
     return F.floor((v - SHIFT * size) / wide).cast("long")
 
 
-def covering(points: DataFrame, rings: DataFrame, key: str, ring_key: str, size: float, by: str | None = None) -> DataFrame:
+def covering(points: DataFrame, rings: DataFrame, key: str, ring_key: str, size: float, by: str | None = None, coarse: bool = False) -> DataFrame:
     """(key, ring_key, on_edge): the areas that cover points x, y. A ring_key may have many rings: their insides count even-odd, and
     their edges belong to the area, and so does what lies off them by rounding alone. Points without finite places are in none.
     size: how small a border cell gets at most. by: a column of both sides, one value for each ring_key; points meet only areas
-    with their own value, which no null equals."""
-    cover = ring_cover(spread(rings.select(ring_key, "ring")), ring_key, size, coarse=by is not None)
+    with their own value, which no null equals. coarse: as of ring_cover(), where few areas share a value."""
+    cover = ring_cover(spread(rings.select(ring_key, "ring")), ring_key, size, coarse)
     own_by = [] if by is None else [by]
     if by is not None:
         cover = cover.join(rings.select(ring_key, by).distinct(), ring_key)
@@ -234,6 +234,35 @@ def covering(points: DataFrame, rings: DataFrame, key: str, ring_key: str, size:
     return per.filter((F.col("_n") % 2 == 1) | F.col("on_edge")).select(key, ring_key, "on_edge")
 
 
+#: Areas that anywhere() looks into first, and how many times as many in every later round.
+FIRST, GROWS = 1024, 8
+
+
+def anywhere(points: DataFrame, rings: DataFrame, key: str, ring_key: str, size: float, by: str | None = None, settle: Column | str | None = None) -> DataFrame:
+    """(key): the points that any area covers, each once. All areas are looked into, but in rounds of ever more of them, and a point
+    that was found in one goes no further: where many areas lie over each other, points meet a few of them instead of all."""
+    from .spatial import containing
+
+    carried = [] if by is None else [by]
+    left = points.select(*(points.columns if settle is not None else [key, "x", "y", *carried]))
+    n = rings.agg(F.count_distinct(ring_key)).first()[0]
+    parts, most = [], FIRST
+    while most < n:
+        parts.append(most / n)
+        most *= GROWS
+    parts.append(1.0)
+    at = F.pmod(F.xxhash64(ring_key, F.lit(7)), F.lit(2**30)) / float(2**30)
+    found, low = None, 0.0
+    for part in parts:
+        some = rings.filter((at >= low) & (at < part)) if len(parts) > 1 else rings
+        own = cut_lineage(containing(left, some, key, ring_key, size, settle=settle, by=by).select(key).distinct())
+        found = own if found is None else found.unionByName(own)
+        if part < 1:
+            left = cut_lineage(left.join(own, key, "left_anti"))
+        low = part
+    return found
+
+
 # --- nearest lines ----------------------------------------------------------------------------------------------------
 
 

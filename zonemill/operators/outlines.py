@@ -99,7 +99,7 @@ def nested(rings: DataFrame, key: str = "relation_id", size: float = 1.0) -> Dat
     # Corners meet rings of their own key alone, by its hash, which nulls have too; the test of equality follows.
     named = named.withColumn("_by", F.xxhash64(key))
     corners = named.select(F.col("_id").alias("_of"), "_by", F.posexplode("ring").alias("_n", "p")).select(F.struct("_of", "_n").alias("_at"), "_by", "p.x", "p.y")
-    met = containing(corners, named, "_at", "_id", size, edges=True, by="_by").join(named.select("_id", F.col(key).alias("_ring_key")), "_id")
+    met = containing(corners, named, "_at", "_id", size, edges=True, by="_by", coarse=True).join(named.select("_id", F.col(key).alias("_ring_key")), "_id")
     met = met.select(F.col("_at._of").alias("_of"), F.col("_at._n").alias("_n"), "_id", "_ring_key", "on_edge").join(named.select(F.col("_id").alias("_of"), F.col(key).alias("_own_key")), "_of")
     met = met.filter(F.col("_ring_key").eqNullSafe(F.col("_own_key")) & (F.col("_of") != F.col("_id")))
     per = met.groupBy("_of", "_n").agg(F.count(F.lit(1)).alias("around"), F.max("on_edge").alias("touches"))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
-from .cover import SHIFT, covering, nearest_lines, ring_cover, spread
+from .cover import SHIFT, anywhere, covering, nearest_lines, ring_cover, spread
 from .graph import cut_lineage
 
 
@@ -112,13 +112,13 @@ def corridor_counts(streets: DataFrame, objects: DataFrame, street_key: str, obj
     return streets.select(street_key).distinct().join(sums, street_key, "left").fillna(0, list(counts))
 
 
-def containing(points: DataFrame, rings: DataFrame, key: str, ring_key: str, size: float, edges: bool = False, settle: Column | str | None = None, by: str | None = None) -> DataFrame:
+def containing(points: DataFrame, rings: DataFrame, key: str, ring_key: str, size: float, edges: bool = False, settle: Column | str | None = None, by: str | None = None, coarse: bool = False) -> DataFrame:
     """(key, ring_key): areas that cover points x, y; their edges belong to them. rings: closed, array of points ``ring``; the
     insides of several rings of one ring_key count even-odd, so holes and exclaves may be rows of their own. Points meet the cells of a
     quad-tree cover (see cover.py) whose border cells are as small as ``size``. edges: adds on_edge. settle: of the columns of
     points and rings, decides the pairs that lie on an edge or off it by rounding alone, where the area has a formula of its own.
-    by: a column of both; points meet only areas with their own value."""
-    out = covering(points, rings, key, ring_key, size, by)
+    by: a column of both; points meet only areas with their own value. coarse: rings with few corners are not cut below their width."""
+    out = covering(points, rings, key, ring_key, size, by, coarse)
     if settle is not None:
         doubtful = out.filter("on_edge").join(points, key).join(rings.drop(by) if by else rings, ring_key).filter(settle)
         out = out.filter("NOT on_edge").unionByName(doubtful.select(*out.columns))
@@ -127,7 +127,7 @@ def containing(points: DataFrame, rings: DataFrame, key: str, ring_key: str, siz
 
 def inside(points: DataFrame, rings: DataFrame, key: str, ring_key: str, size: float, how: str = "left_semi", settle: Column | str | None = None) -> DataFrame:
     """points inside any ring (left_semi) or inside none (left_anti)."""
-    return points.join(containing(points, rings, key, ring_key, size, settle=settle).select(key).distinct(), key, how)
+    return points.join(anywhere(points, rings, key, ring_key, size, settle=settle), key, how)
 
 
 def first_container(points: DataFrame, rings: DataFrame, key: str, ring_key: str, order: str, size: float, settle: Column | str | None = None) -> DataFrame:
