@@ -50,6 +50,15 @@ def test_points_in_many_areas_meet_a_few_of_them(spark, met, monkeypatch):
     assert sum(n for _, n in met) <= 200 * 60
 
 
+def test_zones_are_met_by_units_of_their_own_first(spark, met, monkeypatch):
+    monkeypatch.setattr(cover, "FIRST", 8, raising=False)
+    monkeypatch.setattr(cover, "GROWS", 1000, raising=False)
+    zones = diamonds(spark, [(0, 0, 50)] * 40 + [(300, 0, 50)] * 40).select(F.col("ring_id").alias("shape"), F.when(F.col("ring_id") < 40, 0).otherwise(1).alias("zone"), "ring")
+    units = spark.createDataFrame([(i, float(300 * (i % 3)), 0.0, i % 2) for i in range(120)], "id long, x double, y double, band int")
+    assert tuple(spatial.verify_zones(units, zones, "id", 20).first()) == (40, 40, 40)
+    assert sum(n for _, n in met) <= 120 * 20
+
+
 def test_small_blocks_are_settled_together(spark, monkeypatch):
     runs = []
     inner = graph.cut_lineage

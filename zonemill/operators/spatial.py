@@ -152,10 +152,13 @@ def nearest_site(points: DataFrame, sites: DataFrame, key: str, site_key: str, l
 
 def verify_zones(units: DataFrame, zones: DataFrame, key: str, size: float, settle: Column | str | None = None) -> DataFrame:
     """One row: units inside a shape of their own zone, only inside another's, inside none. zones(shape, zone, ring)."""
-    hits = containing(units, zones, key, "shape", size, settle=settle).join(zones.select("shape", "zone"), "shape").groupBy(key).agg(F.collect_set("zone").alias("_z"))
-    out = units.join(hits, key, "left")
-    own = F.coalesce(F.array_contains("_z", F.col("band")), F.lit(False))
-    return out.agg(F.count_if(own).alias("own"), F.count_if(~own & F.col("_z").isNotNull()).alias("other"), F.count_if(F.col("_z").isNull()).alias("none"))
+    kind = units.schema["band"].dataType
+    own = anywhere(units.withColumn("_zone", F.col("band")), zones.withColumn("_zone", F.col("zone").cast(kind)), key, "shape", size, by="_zone", settle=settle)
+    rest = cut_lineage(units.join(own, key, "left_anti"))
+    other = anywhere(rest, zones, key, "shape", size, settle=settle)
+    one = lambda df, how: df.withColumn("_how", F.lit(how))
+    out = units.join(one(own, "own").unionByName(one(other, "other")), key, "left")
+    return out.agg(F.count_if(F.col("_how") == "own").alias("own"), F.count_if(F.col("_how") == "other").alias("other"), F.count_if(F.col("_how").isNull()).alias("none"))
 
 
 # Areas as sets of square cells (cx, cy) of one size. An area's border is off by a cell at most.
