@@ -59,6 +59,14 @@ def test_zones_are_met_by_units_of_their_own_first(spark, met, monkeypatch):
     assert sum(n for _, n in met) <= 120 * 20
 
 
+def test_land_far_from_homes_is_not_cut_into_cells(spark, met):
+    homes = spark.createDataFrame([(5.0, 5.0)], "x double, y double")
+    roads = spark.createDataFrame([], f"street_id long, line {LINE}")
+    cells = spatial.composed_footprint(homes, roads, diamonds(spark, [(0, 0, 900), (5000, 0, 900)]), "street_id", "ring_id", 10, 12, 15, 10, 20)
+    assert {(r.cx, r.cy) for r in cells.collect()} == {(i, j) for i in range(-3, 4) for j in range(-3, 4) if (abs(i), abs(j)) in {(0, 0), (0, 1), (1, 0), (1, 1), (0, 2), (2, 0), (0, 3), (3, 0), (1, 2), (2, 1)}}
+    assert max(n for n, _ in met) <= 25
+
+
 def test_small_blocks_are_settled_together(spark, monkeypatch):
     runs = []
     inner = graph.cut_lineage

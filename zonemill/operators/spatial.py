@@ -209,6 +209,10 @@ def line_area_cells(lines: DataFrame, key: str, radius: float, size: float) -> D
     return near.filter(away <= radius).select(key, "cx", "cy").distinct()
 
 
+#: Border cells of residential land are this many cells of the area wide.
+FIELD = 5
+
+
 def composed_footprint(homes: DataFrame, streets: DataFrame, fields: DataFrame, street_key: str, ring_key: str, size: float, buffer: float, street_buffer: float, closing: float, vicinity: float, reach: float = 40.0) -> DataFrame:
     """Cells of a lived-in area: discs around homes; buffers of streets that come within reach of these; residential land (rings).
     Streets and land count in the vicinity of the homes only, as whole ones would draw in fields and long empty corridors.
@@ -217,8 +221,11 @@ def composed_footprint(homes: DataFrame, streets: DataFrame, fields: DataFrame,
     around = cut_lineage(dilate(built, vicinity, size))
     centres = built.select(F.struct("cx", "cy").alias("_at"), ((F.col("cx") + 0.5) * size).alias("x"), ((F.col("cy") + 0.5) * size).alias("y"))
     near = streets.join(_near_segments(centres, streets, "_at", street_key, reach).select(street_key).distinct(), street_key, "left_semi")
-    parts = line_area_cells(near, street_key, street_buffer, size).select("cx", "cy").unionByName(ring_area_cells(fields, ring_key, size))
-    return close_gaps(built.unionByName(overlay(parts, around, "intersection")).distinct(), closing, size)
+    # Only cells of the vicinity are looked for in the land, not all cells of all land.
+    spots = around.select(F.struct("cx", "cy").alias("_at"), ((F.col("cx") + 0.5) * size).alias("x"), ((F.col("cy") + 0.5) * size).alias("y"))
+    land = anywhere(spots, fields, "_at", ring_key, FIELD * size).select("_at.cx", "_at.cy")
+    roads = overlay(line_area_cells(near, street_key, street_buffer, size).select("cx", "cy"), around, "intersection")
+    return close_gaps(built.unionByName(roads).unionByName(land).distinct(), closing, size)
 
 
 def part_records(parts: DataFrame, points: DataFrame, size: float, least: int, least_area: float) -> DataFrame:
