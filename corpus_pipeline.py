@@ -25,8 +25,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group linked by a 5-word Jaccard similarity of 0.8 or more the document with the smallest doc_id stays.
-    Links come from MinHash bands and exact comparison, not from anchor-point covering: at a similarity of 0.8 SimHash prints
-    differ in too many bits (see README). Texts without words are like no other and stay; so do rows without a doc_id. An
+    Candidates come from SimHash prints by anchor-point covering, and, as prints at a similarity of 0.8 mostly differ in more bits
+    than it covers (see README), from MinHash bands too; all are compared exactly. Texts without words are like no other and stay; so do rows without a doc_id. An
     empty table stays empty."""
     return near.keep_one(docs)
 

@@ -51,3 +51,15 @@ def test_stage_keeps_rows_by_id_and_text(spark, docs):
     got = sorted(((r.doc_id, r.text) for r in corpus_pipeline.drop_near_duplicates(spark, docs(rows), "").collect()), key=str)
     assert got == sorted([(3, a), (-4, b + " more"), (8, ""), (None, a)], key=str)
     assert corpus_pipeline.drop_near_duplicates(spark, docs([]), "").count() == 0
+
+
+def test_prints_find_copies_that_bands_do_not(spark, docs, monkeypatch):
+    # Without bands the covering of prints is the only source of candidates; some pairs differ in more bits than it covers.
+    monkeypatch.setattr(near, "BANDS", 0)
+    monkeypatch.setattr(near, "bands", lambda own: near.np.empty(0, near.np.int64))
+    rows = []
+    for i in range(20):
+        words = [f"w{i}.{n}" for n in range(1500)]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join([*words[:700], "x", *words[701:]]))]
+    left = {r.doc_id for r in near.keep_one(docs(rows)).collect()}
+    assert left >= set(range(0, 40, 2)) and len(left) <= 32

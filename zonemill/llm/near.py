@@ -1,6 +1,7 @@
 """Near-duplicates by the similarity of texts: sets of 5-word shingles whose Jaccard similarity is 0.8 or more.
 
-Candidates meet at bands of minima: BANDS bands of ROWS minima each, so a pair of similarity s meets in one with odds
+Candidates come first from SimHash prints of the sets, found by anchor-point covering (simhash.py): sets whose prints links of at
+most three bits join are a bucket. As most pairs at 0.8 differ in more bits, candidates also meet at bands of minima: BANDS bands of ROWS minima each, so a pair of similarity s meets in one with odds
 1 - (1 - s^ROWS)^BANDS, 0.9996 at 0.8. Texts with equal sets are one node. Each bucket with two nodes or more gets their
 sets, once for each different membership, and compares them exactly; from a bucket only a forest of links leaves. Buckets
 with more than CHUNK nodes or CHUNK_SHINGLES shingles are compared in pairs of chunks.
@@ -16,6 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import simhash
 from .common import forget, keep, map_arrow, unused
 from .components import components
 
@@ -49,6 +51,14 @@ def bands(own: np.ndarray) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(r.tobytes(), i) for i, r in enumerate(rows)], np.uint64).view(np.int64)
 
 
+def print_of(own: np.ndarray) -> int:
+    """The SimHash print of a set: a bit is 1 if set in over half of its hashes."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(own), 4096):
+        ones += np.unpackbits(own[at : at + 4096].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(own), bitorder="little").view("<i8")[0])
+
+
 def _forest(nodes: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
     """Links that join all that exact comparison joins: a breadth-first forest."""
     size = np.array([len(s) for s in sets])
@@ -93,9 +103,15 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def links(docs: DataFrame, sketch: DataFrame) -> DataFrame:
-    """Links (a, b) between nodes that join all candidates with similarity 0.8 or more, in a kept table. sketch: doc_id, node, size, bands."""
-    nodes = sketch.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("size").alias("size"), F.first("bands").alias("bands"))
-    rows = keep(nodes.select("node", "least", "size", F.explode("bands").alias("band")), "near-bands")
+    """Links (a, b) between nodes that join all candidates with similarity 0.8 or more, in a kept table. sketch: doc_id, node, size, print, bands."""
+    nodes = sketch.groupBy("node").agg(*[f(c).alias(n) for f, c, n in ((F.min, "doc_id", "least"), (F.first, "size", "size"), (F.first, "print", "print"), (F.first, "bands", "bands"))])
+    nodes = keep(nodes.filter("size > 0"), "near-nodes")
+    # Sets whose prints the covering links are one more bucket; sets of one print are in it, linked or not.
+    roots = components(simhash.links(keep(nodes.select(F.col("print").alias("fp")).distinct(), "near-prints")))
+    joined = nodes.join(roots.withColumnsRenamed({"node": "print", "root": "_root"}), "print", "left")
+    printed = joined.select("node", "least", "size", F.xxhash64(F.lit("print"), F.coalesce("_root", "print")).alias("band"))
+    rows = keep(nodes.select("node", "least", "size", F.explode("bands").alias("band")).unionByName(printed), "near-bands")
+    forget(nodes)
     buckets = rows.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("who")).filter("n > 1")
     # Buckets with the same members are compared once.
     chunks = F.greatest(F.ceil(F.col("n") / CHUNK), F.ceil(F.col("size") / CHUNK_SHINGLES)).cast("int")
@@ -131,13 +147,13 @@ def keep_one(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [shingles(t.as_py()) for t in batch.column("text")]
-            cols = [[node_of(x) for x in found], [len(x) for x in found], [bands(x).tolist() for x in found]]
-            kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["doc_id", "key", "node", "size", "bands"])
+            cols = [[node_of(x) for x in found], [len(x) for x in found], [print_of(x) for x in found], [bands(x).tolist() for x in found]]
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["doc_id", "key", "node", "size", "print", "bands"])
 
     key = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
     known = docs.filter(docs["doc_id"].isNotNull()).select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"], key.alias("key"))
-    sketch = keep(map_arrow(known, run, "doc_id long, key long, node long, size long, bands array<long>", lean=True), "near-sketch")
+    sketch = keep(map_arrow(known, run, "doc_id long, key long, node long, size long, print long, bands array<long>", lean=True), "near-sketch")
     roots = components(links(known, sketch))
     classes = sketch.groupBy("node").agg(F.min(F.struct("doc_id", "key")).alias("least")).join(roots, "node", "left")
     first = classes.groupBy(F.coalesce("root", "node")).agg(F.min("least").alias("least"))
