@@ -9,7 +9,7 @@ from ..functions import classify, geometry, text
 from ..operators import addresses, audit, bands, graph, spatial, streets
 from . import catalog as base
 from . import scan, village
-from .catalog import _CLASS_SQL, _DIST, _FOOTPRINT_SQL, _OBJECT_SQL, _POINTS_SQL, _RINGS_SQL, _STREETS_SQL, _objects, _parts_sql, _points, _query, _rings, _streets, _t, _units
+from .catalog import _CLASS_SQL, _DIST, _FOOTPRINT_SQL, _OBJECT_SQL, _POINTS_SQL, _RINGS_SQL, _STREETS_SQL, _apart, _objects, _parts_sql, _points, _query, _rings, _streets, _t, _units
 
 # Classification.
 
@@ -484,7 +484,7 @@ WITH p AS ({_POINTS_SQL}), r AS ({_RINGS_SQL}), h AS (SELECT id, label % 3 AS ba
 SELECT count(*) FILTER (hit AND own) AS own, count(*) FILTER (hit AND NOT own) AS other, count(*) FILTER (NOT hit) AS none FROM h""")
 def verified_zones(spark, d):
     u = _points(spark, d).withColumn("band", F.col("label") % 3)
-    zones = _rings(spark, d).select(F.col("ring_id").alias("shape"), (F.col("ring_id") % 3).cast("int").alias("zone"), "ring", "cx", "cy", "h")
+    zones = _apart(_rings(spark, d)).select(F.col("ring_id").alias("shape"), (F.col("ring_id.ring_id") % 3).cast("int").alias("zone"), "ring", "cx", "cy", "h")
     return spatial.verify_zones(u, zones, "id", 50, base._HELD)
 
 
@@ -512,7 +512,7 @@ SELECT id, CASE WHEN label = 4 THEN 'listed_street' WHEN EXISTS (SELECT 1 FROM r
 def new_units(spark, d):
     homes = _points(spark, d).withColumn("street_norm", F.concat(F.lit("street "), F.col("label").cast("string")))
     r = _rings(spark, d).drop("nth")
-    return village.select_new(homes, (10.0, 20.0), 200.0, ["street 4"], r.filter("ring_id % 2 = 0"), r.filter("ring_id % 2 = 1"), 50, settle=base._HELD).select("id", "outcome")
+    return village.select_new(homes, (10.0, 20.0), 200.0, ["street 4"], _apart(r.filter("ring_id % 2 = 0")), _apart(r.filter("ring_id % 2 = 1")), 50, settle=base._HELD).select("id", "outcome")
 
 
 # Distances of customers from two origins, by role; every thirteenth has none from the centre.
