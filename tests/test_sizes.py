@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from zonemill.operators import addresses, cover, graph, outlines, spatial
+from zonemill.operators import addresses, cover, graph, outlines, spatial, streets
 
 LINE = "array<struct<x:double,y:double>>"
 
@@ -97,3 +97,22 @@ def test_equal_searches_are_made_once(spark, monkeypatch):
     want = {(r.query_id, r.n, r["first"]) for r in addresses.search_many(records, asked).groupBy("query_id").agg(*totals).collect()}
     assert {tuple(r) for r in addresses.search_totals(records, asked, totals).select("query_id", "n", "first").collect()} == want
     assert len(want) == 30
+
+
+def test_streets_meet_a_few_areas_of_a_crowded_core(spark, monkeypatch):
+    monkeypatch.setattr(cover, "FIRST", 8, raising=False)
+    monkeypatch.setattr(cover, "GROWS", 1000, raising=False)
+    shown, inner = [], streets._touching
+
+    def counted(*args, **more):
+        out = inner(*args, **more)
+        shown.append(out.count())
+        return out
+
+    monkeypatch.setattr(streets, "_touching", counted)
+    core = diamonds(spark, [(i % 5, 0, 30) for i in range(200)] + [(500, 0, 5)])
+    ends = [(0, 20), (480, 490), (300, 310)]
+    rows = [(i % 4, [{"x": float(a), "y": 0.0}, {"x": float(b), "y": 0.0}]) for i in range(60) for a, b in [ends[min(i % 4, 2)]]]
+    got = {r.street_id: r.connected for r in streets.connected_to_core(spark.createDataFrame(rows, f"street_id long, line {LINE}"), core, "street_id", "ring_id", 10.0).collect()}
+    assert got == {0: True, 1: True, 2: False, 3: False}
+    assert sum(shown) <= 60 * 4 * 16
