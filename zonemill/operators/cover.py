@@ -270,13 +270,25 @@ def any_area(left: DataFrame, areas: DataFrame, key: str, area_key: str, look: C
     return found
 
 
+def first_ends(areas: DataFrame, order: str) -> list:
+    """Values of ``order``, a number, up to which about FIRST areas lie, then GROWS times as many in every later round."""
+    n, shares, most = areas.count(), [], FIRST
+    while most < n:
+        shares.append(most / n)
+        most *= GROWS
+    return sorted(set(areas.agg(F.percentile_approx(order, shares, 100_000)).first()[0] or [])) if shares else []
+
+
 def anywhere(points: DataFrame, rings: DataFrame, key: str, ring_key: str, size: float, by: str | None = None, settle: Column | str | None = None) -> DataFrame:
-    """(key): the points that any area covers, each once, found as by any_area()."""
+    """(key): the points that any area covers, each once, found as by any_area(). Of points that share a key any will do."""
     from .spatial import containing
 
     carried = [] if by is None else [by]
     left = points.select(*(points.columns if settle is not None else [key, "x", "y", *carried]))
-    return any_area(left, rings, key, ring_key, lambda left, some: containing(left, some, key, ring_key, size, settle=settle, by=by))
+    # Rows that share a key are told apart by their places, as pairs of a key would cancel each other by parity.
+    left = cut_lineage(left.withColumn("_place", F.struct(key, "x", "y", *carried)).dropDuplicates(["_place"]))
+    found = any_area(left, rings, "_place", ring_key, lambda left, some: containing(left, some, "_place", ring_key, size, settle=settle, by=by))
+    return found.select(f"_place.{key}").distinct()
 
 
 # --- nearest lines ----------------------------------------------------------------------------------------------------

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
-from .cover import SHIFT, anywhere, covering, nearest_lines, ring_cover, spread
+from .cover import SHIFT, anywhere, covering, first_ends, nearest_lines, ring_cover, spread
 from .graph import cut_lineage
 
 
@@ -142,11 +142,27 @@ def inside(points: DataFrame, rings: DataFrame, key: str, ring_key: str, size: f
     return points.join(anywhere(points, rings, key, ring_key, size, settle=settle), key, how)
 
 
-def first_container(points: DataFrame, rings: DataFrame, key: str, ring_key: str, order: str, size: float, settle: Column | str | None = None) -> DataFrame:
-    """points with the ring_key of the covering ring that comes first by ``order``, null outside all."""
-    hits = containing(points, rings, key, ring_key, size, settle=settle).join(rings.select(ring_key, order), ring_key)
-    best = hits.groupBy(key).agg(F.min_by(ring_key, F.struct(order, ring_key)).alias(ring_key))
-    return points.join(best, key, "left")
+def first_container(points: DataFrame, rings: DataFrame, key: str, ring_key: str, order: str, size: float, settle: Column | str | None = None, each: bool = False) -> DataFrame:
+    """points with the ring_key of the covering ring that comes first by ``order``, a number, null outside all; points that share a key
+    share the first of any of them. each: every row of rings is an area of its own, as in containing_rows(). The areas are looked
+    into in rounds, the first ones first, and points that one holds meet no later ones."""
+    if not each:
+        rings = rings.drop(order).join(rings.groupBy(ring_key).agg(F.min(order).alias(order)), ring_key)
+    rings = cut_lineage(rings.withColumn("_first", F.struct(order, ring_key)))
+    ends = first_ends(rings, order)
+    best, left, low = None, points, None
+    for end in [*ends, None]:
+        test = F.lit(True) if end is None else F.coalesce(F.col(order) <= end, F.lit(True))
+        some = rings.filter(test if low is None else test & (F.col(order) > low))
+        hits = (containing_rows if each else containing)(left, some, key, "_first", size, settle=settle)
+        own = cut_lineage(hits.groupBy(key).agg(F.min("_first").alias("_first")))
+        best = own if best is None else best.unionByName(own)
+        if end is not None:
+            left = cut_lineage(left.join(own, key, "left_anti"))
+            if left.isEmpty():
+                break
+        low = end
+    return points.join(best.select(key, F.col(f"_first.{ring_key}").alias(ring_key)), key, "left")
 
 
 def nearest_site(points: DataFrame, sites: DataFrame, key: str, site_key: str, limit: int = 10_000) -> DataFrame:
@@ -163,14 +179,15 @@ def nearest_site(points: DataFrame, sites: DataFrame, key: str, site_key: str, l
 
 
 def verify_zones(units: DataFrame, zones: DataFrame, key: str, size: float, settle: Column | str | None = None) -> DataFrame:
-    """One row: units inside a shape of their own zone, only inside another's, inside none. zones(shape, zone, ring)."""
+    """One row: units inside a shape of their own zone, only inside another's, inside none. zones(shape, zone, ring). Units that share a
+    key are one, with one band; one without a band that lies inside a shape is in none of the three counts."""
     kind = units.schema["band"].dataType
     own = anywhere(units.withColumn("_zone", F.col("band")), zones.withColumn("_zone", F.col("zone").cast(kind)), key, "shape", size, by="_zone", settle=settle)
     rest = cut_lineage(units.join(own, key, "left_anti"))
     other = anywhere(rest, zones, key, "shape", size, settle=settle)
     one = lambda df, how: df.withColumn("_how", F.lit(how))
-    out = units.join(one(own, "own").unionByName(one(other, "other")), key, "left")
-    return out.agg(F.count_if(F.col("_how") == "own").alias("own"), F.count_if(F.col("_how") == "other").alias("other"), F.count_if(F.col("_how").isNull()).alias("none"))
+    out = units.select(key, "band").distinct().join(one(own, "own").unionByName(one(other, "other")), key, "left")
+    return out.agg(F.count_if(F.col("_how") == "own").alias("own"), F.count_if((F.col("_how") == "other") & F.col("band").isNotNull()).alias("other"), F.count_if(F.col("_how").isNull()).alias("none"))
 
 
 # Areas as sets of square cells (cx, cy) of one size. An area's border is off by a cell at most.
