@@ -483,9 +483,9 @@ def coverage_gaps(spark, d):
 WITH p AS ({_POINTS_SQL}), r AS ({_RINGS_SQL}), h AS (SELECT id, label % 3 AS band, bool_or(ring_id % 3 = label % 3) AS own, count(ring_id) > 0 AS hit FROM p LEFT JOIN r ON abs(x - cx) + abs(y - cy) <= h GROUP BY id, label)
 SELECT count(*) FILTER (hit AND own) AS own, count(*) FILTER (hit AND NOT own) AS other, count(*) FILTER (NOT hit) AS none FROM h""")
 def verified_zones(spark, d):
-    u = _points(spark, d).withColumn("band", F.col("label") % 3)
+    u = _points(spark, d).withColumns({"band": F.col("label") % 3, "_unit": F.struct("id", "label")})
     zones = _apart(_rings(spark, d)).select(F.col("ring_id").alias("shape"), (F.col("ring_id.ring_id") % 3).cast("int").alias("zone"), "ring", "cx", "cy", "h")
-    return spatial.verify_zones(u, zones, "id", 50, base._HELD)
+    return spatial.verify_zones(u, zones, "_unit", 50, base._HELD)
 
 
 # Districts.
