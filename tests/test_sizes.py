@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from zonemill.operators import addresses, cover, graph, outlines, spatial, streets
+from zonemill.plans import village
 
 LINE = "array<struct<x:double,y:double>>"
 
@@ -116,3 +117,12 @@ def test_streets_meet_a_few_areas_of_a_crowded_core(spark, monkeypatch):
     got = {r.street_id: r.connected for r in streets.connected_to_core(spark.createDataFrame(rows, f"street_id long, line {LINE}"), core, "street_id", "ring_id", 10.0).collect()}
     assert got == {0: True, 1: True, 2: False, 3: False}
     assert sum(shown) <= 60 * 4 * 16
+
+
+def test_places_in_many_areas_are_covered_by_a_few(spark, met, monkeypatch):
+    monkeypatch.setattr(cover, "FIRST", 8, raising=False)
+    monkeypatch.setattr(cover, "GROWS", 1000, raising=False)
+    places = spark.createDataFrame([(i, float(i % 10), 0.0) for i in range(50)] + [(90, 100.0, 0.0)], "id long, x double, y double")
+    got = {r.id: r.distance_m for r in village.area_distance(places, diamonds(spark, [(0, 0, 60)] * 100), 20.0).collect()}
+    assert {d for i, d in got.items() if i != 90} == {0.0} and got[90] == 40.0 and len(got) == 51
+    assert sum(n for _, n in met) <= 50 * 30
